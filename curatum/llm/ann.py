@@ -64,7 +64,7 @@ def _search_cell(queries: pd.DataFrame, vectors: pd.DataFrame, pivots: np.ndarra
     return pd.concat(out)
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, pivots: int = 128, prefix: int = 24, candidates: float = 0.2, shard_rows: int = 2048, query_rows: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, pivots: int = 256, prefix: int = 64, candidates: float = 0.2, shard_rows: int = 2048, query_rows: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows of every row of ``vectors`` (vec_id,
     embedding) for which ``is_query`` holds. Recall at the defaults is measured in the tests."""
     spark = vectors.sparkSession

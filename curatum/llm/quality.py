@@ -38,6 +38,8 @@ STATISTICS = (
     "log_words", "word_length", "upper_share", "digit_share", "symbols_per_word", "stops_per_word", "words_per_line",
     "high_share", "distinct_words", "repeated_neighbour", "top_word", "bangs_per_word", "letters_share", "longest_run",
 )
+#: Words added to a text's own, so that one repetition in a short text weighs little.
+_PRIOR = 15
 
 
 def _statistics(batches):
@@ -84,9 +86,9 @@ def _block(texts: list[bytes], tables: dict[str, np.ndarray]) -> np.ndarray:
     letters = n["upper"] + n["lower"] + n["high"]
     share = lambda a, b: np.arcsin(np.sqrt(np.clip(a / b, 0, 1)))
     return np.column_stack([
-        np.log1p(count), np.log1p(letters / some), share(n["upper"], np.maximum(letters, 1)), share(n["digit"], chars), np.log1p(4 * n["symbol"] / some),
-        np.log1p(4 * n["stop"] / some), np.log1p(count / (n["newline"] + 1)), share(n["high"], chars), np.log1p(distinct) / np.log(some + 1.72),
-        share(same, some), share(top, some), np.log1p(4 * n["bang"] / some), share(letters, chars), np.log1p(run),
+        np.log1p(count), np.log1p(letters / some), share(n["upper"], np.maximum(letters, 1)), share(n["digit"], chars), np.log1p(4 * n["symbol"] / (some + 2)),
+        np.log1p(4 * (n["stop"] + 1) / (some + 8)), np.log1p(count / (n["newline"] + 1)), share(n["high"], chars), np.log1p(distinct) / np.log(some + 1.72),
+        share(same, some + _PRIOR), share(np.maximum(top - 2, 0), some + _PRIOR), np.log1p(4 * n["bang"] / (some + 2)), share(letters + 10, chars + 12), np.log1p(np.maximum(run - 2, 0)),
     ])
 
 
