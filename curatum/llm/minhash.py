@@ -9,8 +9,8 @@ Plan: one scan computes half-keys (Arrow batches, numpy). Texts with the same wo
 form one class, represented by its smallest doc_id. A pair can meet in a table only if it
 shares a half-key of A and one of B, so only representatives that share both kinds with
 somebody are expanded into pair keys. Buckets are not expanded into all pairs: each is first
-compared with one pivot, and only members that remain in different components are compared
-further. Links are confirmed by exact Jaccard similarity on full shingle sets.
+compared with pivots, and what then lies in one bucket but in different components is paired
+by exact prefix filtering. Links are confirmed by exact Jaccard similarity on full sets.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; a text of
 fewer than ``k`` words is one shingle; rows sharing a doc_id are one node (all of them get its
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .support import store
 from .tokens import mix, shingles, text_bytes, word_hashes
@@ -103,7 +103,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 85, bands: int = 10, rows: int = 3, star_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 85, bands: int = 10, rows: int = 3, star_rounds: int = 2) -> DataFrame:
     """Add ``n_shingles``, ``component_id`` and ``kept`` to ``docs`` (columns doc_id, text and any others).
 
     Two texts are linked when 100 * intersection >= percent * union of their distinct k-word
@@ -114,7 +114,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 85, bands: in
     return docs.join(result.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_node"), F.col("doc_id").eqNullSafe(F.col("_node")), "left").drop("_node")
 
 
-def node_table(docs: DataFrame, *, k: int = 5, percent: int = 85, bands: int = 10, rows: int = 3, star_rounds: int = 3) -> DataFrame:
+def node_table(docs: DataFrame, *, k: int = 5, percent: int = 85, bands: int = 10, rows: int = 3, star_rounds: int = 2) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = store(slim.mapInArrow(_signer(k, bands, rows), _SIGNATURE))
@@ -153,9 +153,8 @@ def node_table(docs: DataFrame, *, k: int = 5, percent: int = 85, bands: int = 1
         if step < star_rounds:
             order = F.lit(0) if step == 0 else F.xxhash64("rep", "part", F.lit(step))
             pairs = star(open_rows, order)
-        else:  # what stars left open, whole: every pair of different components in a bucket
-            x, y = open_rows.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c")), open_rows.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("d"))
-            pairs = x.join(y, "bucket").where("a < b and c <> d").where(fits).select("a", "b").distinct()
+        else:
+            pairs = _prefix_pairs(open_rows.select("rep", "n", "component").distinct(), items, percent).where(fits).select("a", "b").distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         found = store(compare(pairs))
@@ -170,6 +169,26 @@ def node_table(docs: DataFrame, *, k: int = 5, percent: int = 85, bands: int = 1
     return signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _prefix_pairs(open_nodes: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that can reach the threshold, by exact prefix filtering.
+
+    With shingles in any common order, two linked sets share one of the first
+    n - ceil(percent * n / 100) + 1 of each. The order is rarest first, so the many variants of a
+    text, whose changes are their own, are no candidates of each other; shingles that only one
+    open node has are counted, not joined. At the first shared shingle, what is left of both sets
+    must still suffice for the overlap that their sizes ask for.
+    """
+    held = open_nodes.join(items, F.col("rep") == F.col("node")).select("rep", "n", "component", F.explode("items").alias("item"))
+    common = held.groupBy("item").agg(F.count("*").alias("f")).where("f > 1")
+    own = W.partitionBy("rep")
+    ranked = held.join(common, "item").withColumn("at", F.row_number().over(own.orderBy("f", "item"))).withColumn("shared", F.count("*").over(own))
+    prefix = ranked.withColumn("left", F.expr("shared - at")).where(F.expr(f"left + 1 >= ({percent} * n + 99) div 100"))
+    x = prefix.select("item", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c"), F.col("left").alias("left_a"))
+    y = prefix.select("item", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("d"), F.col("left").alias("left_b"))
+    enough = F.expr(f"(100 + {percent}) * (least(left_a, left_b) + 1) >= {percent} * (n_a + n_b)")
+    return x.join(y, "item").where("a < b and c <> d").where(enough)
+
+
 def _still_open(tables: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows of buckets whose members still lie in different components."""
     placed = store(tables.join(groups, F.col("rep") == F.col("node"), "left").select("rep", "n", "bucket", "part", F.coalesce("component", "rep").alias("component")))
