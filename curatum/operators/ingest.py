@@ -44,45 +44,53 @@ INJECTIONS = (
     r"(?i)unrestricted mode",
 )
 #: Invisible characters, look-alike letters and markup left over.
-INVISIBLE = "​‌‍‎‏﻿⁠⁡⁢⁣⁤"
+INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\ufeff\u2060\u2061\u2062\u2063\u2064"
 LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "в": "b", "н": "h", "т": "t", "і": "i", "ѕ": "s", "ј": "j"}
 MARKUP = r"\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|[^|]*\|>|\{\{[^}]*\}\}|</?system>|###\s*(?:Human|Assistant|System)\s*:"
 
 
+def clean_one(text: str, strict: bool = False) -> tuple[str, list[str]]:
+    """Three layers on one text: patterns, characters, markup; and what was found."""
+    flags = []
+    if strict:
+        text = text.translate(_SWAP)
+    for pattern, compiled in _COMPILED:
+        text, n = compiled.subn("", text)
+        if n:
+            flags.append(f"injection_pattern: {pattern}")
+    hidden = sum(text.count(x) for x in INVISIBLE)
+    if hidden:
+        flags.append(f"zero_width_chars: {hidden} found")
+    text = unicodedata.normalize("NFKC", text.translate(_DROP).translate(_SWAP))
+    text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text))
+    left = re.findall(MARKUP, text)
+    if left:
+        flags.append(f"residual_markup: {', '.join(left)}")
+    return re.sub(MARKUP, "", text).strip(), flags
+
+
+_COMPILED = [(p, re.compile(p)) for p in INJECTIONS]
+_SWAP, _DROP = str.maketrans(LOOKALIKES), dict.fromkeys(map(ord, INVISIBLE))
+
+
 def sanitize(docs: DataFrame, *, strict: bool = False) -> DataFrame:
     """Add clean_text, flags, is_safe to ``docs(doc_id, text)``.
 
-    Pattern removal and counting are native; only rows with characters beyond ASCII go through
-    the Arrow function that applies compatibility normalisation. ``strict`` replaces look-alike
-    letters before the patterns instead of after.
+    One native test finds the rows that any layer could touch; only these go through the Arrow
+    function, the others are trimmed natively. ``strict`` replaces look-alike letters before the
+    patterns instead of after.
     """
-    swap = lambda c: F.translate(c, "".join(LOOKALIKES), "".join(LOOKALIKES.values()))
+
+    @F.pandas_udf("clean string, flags array<string>")
+    def layers(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([("", []) if x is None else clean_one(x, strict) for x in texts], columns=["clean", "flags"])
+
     text = F.coalesce("text", F.lit(""))
-    df = docs.withColumn("_t", swap(text) if strict else text).withColumn("_f", F.array().cast("array<string>"))
-    suspicious = "|".join(f"(?:{p})" for p in INJECTIONS)
-    df = df.withColumn("_hit", F.col("_t").rlike(suspicious))
-    # one step per pattern as a fold, so that later patterns see what earlier ones left
-    start = F.struct(F.col("_t").alias("t"), F.col("_f").alias("f"))
-    folded = F.when(F.col("_hit"), F.aggregate(F.array(*map(F.lit, INJECTIONS)), start, lambda acc, p: F.when(F.regexp_count(acc["t"], p) > 0, F.struct(F.regexp_replace(acc["t"], p, F.lit("")).alias("t"), F.concat(acc["f"], F.array(F.concat(F.lit("injection_pattern: "), p))).alias("f"))).otherwise(acc))).otherwise(start)
-    df = df.withColumn("_x", folded)
-    hidden = F.regexp_count(F.col("_x.t"), F.lit(f"[{INVISIBLE}]"))
-    df = df.withColumn("_f", F.concat("_x.f", F.when(hidden > 0, F.array(F.concat(F.lit("zero_width_chars: "), hidden.cast("string"), F.lit(" found")))).otherwise(F.array().cast("array<string>"))))
-    df = df.withColumn("_t", swap(F.translate(F.col("_x.t"), INVISIBLE, "")))
-    plain = F.col("_t").rlike(r"^[\x00-\x7F]*$")
-    df = df.withColumn("_t", F.when(plain, F.col("_t")).otherwise(_nfkc()(F.when(~plain, F.col("_t")))))
-    df = df.withColumn("_t", F.regexp_replace(F.regexp_replace("_t", r"[ \t]+", " "), r"\n{3,}", "\n\n"))
-    left = F.regexp_extract_all("_t", F.lit(f"({MARKUP})"), 1)
-    df = df.withColumn("_f", F.concat("_f", F.when(F.size(left) > 0, F.array(F.concat(F.lit("residual_markup: "), F.array_join(left, ", ")))).otherwise(F.array().cast("array<string>"))))
-    clean = F.regexp_replace(F.regexp_replace("_t", MARKUP, ""), r"(?U)^\s+|\s+$", "")
-    return df.select(*docs.columns, clean.alias("clean_text"), F.col("_f").alias("flags"), (F.size("_f") == 0).alias("is_safe"))
-
-
-def _nfkc():
-    @F.pandas_udf("string")
-    def normalise(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
-
-    return normalise
+    touched = text.rlike("|".join(f"(?:{p})" for p in (*INJECTIONS, MARKUP, r"[^\x00-\x7F]", r"\t|  |\n{3}")))
+    df = docs.withColumn("_touched", touched)
+    df = df.withColumn("_r", layers(F.when(F.col("_touched"), text)))
+    clean = F.when(F.col("_touched"), F.col("_r.clean")).otherwise(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
+    return df.select(*docs.columns, clean.alias("clean_text"), F.col("_r.flags").alias("flags"), (F.size("_r.flags") == 0).alias("is_safe"))
 
 
 def injection_report(sanitized: DataFrame) -> DataFrame:

@@ -36,58 +36,78 @@ def _count(text: Column, mark: str) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / len(mark)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with value computed once: filters on the result are pushed down without copying it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def with_pair_quality(pairs: DataFrame) -> DataFrame:
     """The six metrics of each pair as columns, by native expressions over the row's own words.
 
     The cosine comes from word counts of the row (higher-order functions); ``similarity_by_terms``
     gives the same values by a join on terms for document-length texts.
     """
-    size = lambda c: F.size(F.col(c))
-    df = pairs.withColumn("_c", _tokens(F.col("chosen"))).withColumn("_r", _tokens(F.col("rejected"))).withColumn("_p", _tokens(F.col("prompt")))
-    df = df.withColumn("_cc", _content(F.col("_c"))).withColumn("_rc", _content(F.col("_r"))).withColumn("_pc", _content(F.col("_p")))
-    df = df.withColumn("_cv", _bag("_cc")).withColumn("_rv", _bag("_rc"))
-    df = df.withColumn("semantic_similarity", _similarity())
-    ratio = F.when((size("_c") == 0) & (size("_r") == 0), F.lit(1.0)).when(size("_r") == 0, F.greatest(size("_c").cast("double"), F.lit(1.0))).otherwise(size("_c") / size("_r"))
-    df = df.withColumn("length_ratio", ratio)
-    df = df.withColumn("answer_diversity", F.when(size("_c") == 0, F.lit(0.0)).otherwise(F.size(F.array_distinct("_cc")) / size("_cc")))
-    low = F.lower(F.coalesce("prompt", F.lit("")))
-    asked = sum((F.array_contains("_p", w).cast("int") for w in QUESTION_WORDS), F.lit(0))
-    hard = 0.30 * _upto1(size("_p") / 35.0) + 0.25 * _upto1(asked / 3.0) + 0.20 * _upto1(_hits(low, DIFFICULT) / 4.0) + 0.15 * _upto1((_count(low, ",") + _count(low, ";") + _count(low, " versus ")) / 4.0) + 0.10 * _upto1(F.size(F.filter("_pc", lambda t: F.length(t) >= 9)) / 5.0)
-    df = df.withColumn("difficulty_score", F.when(size("_p") == 0, F.lit(0.0)).otherwise(_clamp(hard)))
-    better = _answer_score("chosen", "_c", "_cc") - _answer_score("rejected", "_r", "_rc")
-    df = df.withColumn("preference_margin", _clamp(0.05 + 1.8 * F.greatest(better, F.lit(0.0))))
-    balance = F.when(F.col("length_ratio") <= 0, F.lit(0.0)).otherwise(_clamp(1 - F.abs(F.ln("length_ratio")) / F.ln(F.lit(10.0))))
-    present = F.when((size("_c") > 0) & (size("_r") > 0) & (size("_p") > 0), 1.0).otherwise(0.0)
-    total = _clamp(0.35 * F.col("preference_margin") + 0.25 * (1 - F.col("semantic_similarity")) + 0.15 * balance + 0.10 * F.col("answer_diversity") + 0.10 * F.col("difficulty_score") + 0.05 * present)
-    alike = F.when(F.col("semantic_similarity") > 0.85, 1 - 0.55 * _upto1((F.col("semantic_similarity") - 0.85) / 0.15)).otherwise(1.0)
-    df = df.withColumn("overall_quality", total * alike)
-    return df.select(*pairs.columns, *(F.round(m, 6).alias(m) for m in METRICS))
-
-
-def _bag(tokens: str) -> Column:
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    words = F.struct(*(_tokens(text(c)).alias(c) for c in ("prompt", "chosen", "rejected")))
+    content = lambda t: F.struct(t.alias("t"), *(_content(t[c]).alias(c) for c in ("prompt", "chosen", "rejected")))
+    basic = lambda k: F.struct(k.alias("k"), _similarity(k["chosen"], k["rejected"]).alias("sim"), _ratio(k["t"]).alias("ratio"), _difficulty(F.lower(text("prompt")), k["t"]["prompt"], k["prompt"]).alias("hard"))
+
+    def total(m: Column) -> Column:
+        k, t = m["k"], m["k"]["t"]
+        better = _answer_score(text("chosen"), t["chosen"], k["chosen"], m["hard"]) - _answer_score(text("rejected"), t["rejected"], k["rejected"], m["hard"])
+        variety = F.when(F.size(t["chosen"]) == 0, F.lit(0.0)).otherwise(F.size(F.array_distinct(k["chosen"])) / F.size(k["chosen"]))
+        present = F.when((F.size(t["chosen"]) > 0) & (F.size(t["rejected"]) > 0) & (F.size(t["prompt"]) > 0), 1.0).otherwise(0.0)
+        return F.struct(m.alias("m"), _clamp(0.05 + 1.8 * F.greatest(better, F.lit(0.0))).alias("margin"), variety.alias("variety"), present.alias("present"))
+
+    def final(x: Column) -> Column:
+        m = x["m"]
+        balance = F.when(m["ratio"] <= 0, F.lit(0.0)).otherwise(_clamp(1 - F.abs(F.ln(m["ratio"])) / F.ln(F.lit(10.0))))
+        whole = _clamp(0.35 * x["margin"] + 0.25 * (1 - m["sim"]) + 0.15 * balance + 0.10 * x["variety"] + 0.10 * m["hard"] + 0.05 * x["present"])
+        alike = F.when(m["sim"] > 0.85, 1 - 0.55 * _upto1((m["sim"] - 0.85) / 0.15)).otherwise(1.0)
+        values = (m["sim"], m["ratio"], x["variety"], x["margin"], m["hard"], whole * alike)
+        return F.struct(*(F.round(v, 6).alias(name) for v, name in zip(values, METRICS, strict=True)))
+
+    scores = _let(words, lambda t: _let(content(t), lambda k: _let(basic(k), lambda m: _let(total(m), final))))
+    return pairs.withColumn("_q", scores).select(*pairs.columns, *(F.col(f"_q.{m}") for m in METRICS))
+
+
+def _bag(tokens: Column) -> Column:
     return F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("t"), F.size(F.filter(tokens, lambda x: x == t)).cast("double").alias("n")))
 
 
-def _similarity() -> Column:
+def _similarity(c: Column, r: Column) -> Column:
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x["n"] * x["n"]))
-    other = F.map_from_entries("_rv")
-    dot = F.aggregate("_cv", F.lit(0.0), lambda a, x: a + x["n"] * F.coalesce(F.try_element_at(other, x["t"]), F.lit(0.0)))
-    jaccard = F.size(F.array_intersect("_cc", "_rc")) / F.size(F.array_union("_cc", "_rc"))
-    none_c, none_r = F.size("_c") == 0, F.size("_r") == 0
-    return F.when(none_c & none_r, F.lit(1.0)).when(none_c | none_r, F.lit(0.0)).otherwise(_clamp(0.8 * dot / (norm("_cv") * norm("_rv")) + 0.2 * jaccard))
+    dot = lambda v: F.aggregate(v["c"], F.lit(0.0), lambda a, x: a + x["n"] * F.coalesce(F.try_element_at(F.map_from_entries(v["r"]), x["t"]), F.lit(0.0)))
+    cosine = _let(F.struct(_bag(c).alias("c"), _bag(r).alias("r")), lambda v: dot(v) / (norm(v["c"]) * norm(v["r"])))
+    jaccard = F.size(F.array_intersect(c, r)) / F.size(F.array_union(c, r))
+    none_c, none_r = F.size(c) == 0, F.size(r) == 0
+    return F.when(none_c & none_r, F.lit(1.0)).when(none_c | none_r, F.lit(0.0)).otherwise(_clamp(0.8 * cosine + 0.2 * jaccard))
+
+
+def _ratio(t: Column) -> Column:
+    c, r = F.size(t["chosen"]), F.size(t["rejected"])
+    return F.when((c == 0) & (r == 0), F.lit(1.0)).when(r == 0, F.greatest(c.cast("double"), F.lit(1.0))).otherwise(c / r)
+
+
+def _difficulty(low: Column, tokens: Column, content: Column) -> Column:
+    asked = sum((F.array_contains(tokens, w).cast("int") for w in QUESTION_WORDS), F.lit(0))
+    clauses = _count(low, ",") + _count(low, ";") + _count(low, " versus ")
+    long = F.size(F.filter(content, lambda t: F.length(t) >= 9))
+    hard = 0.30 * _upto1(F.size(tokens) / 35.0) + 0.25 * _upto1(asked / 3.0) + 0.20 * _upto1(_hits(low, DIFFICULT) / 4.0) + 0.15 * _upto1(clauses / 4.0) + 0.10 * _upto1(long / 5.0)
+    return F.when(F.size(tokens) == 0, F.lit(0.0)).otherwise(_clamp(hard))
 
 
-def _answer_score(text: str, tokens: str, content: str) -> Column:
-    t, low, d = F.col(tokens), F.lower(F.coalesce(F.col(text), F.lit(""))), F.col("difficulty_score")
-    n, want = F.size(t), 5.0 + 24.0 * d
-    digits = F.size(F.filter(t, lambda x: x.rlike("[0-9]")))
+def _answer_score(text: Column, tokens: Column, content: Column, hard: Column) -> Column:
+    low, n, want = F.lower(text), F.size(tokens), 5.0 + 24.0 * hard
+    digits = F.size(F.filter(tokens, lambda x: x.rlike("[0-9]")))
     length = _upto1(n / want) * F.when(n > want * 8, F.greatest(F.lit(0.2), want * 8 / n)).otherwise(1.0)
     specific = _upto1((F.size(F.array_distinct(content)) + 2.0 * digits) / F.greatest(want, F.lit(6.0)))
     marks = _upto1((_hits(low, INDICATORS) + digits) / 4.0)
-    sentences = F.greatest(F.lit(1), F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")))
-    shape = _upto1(sentences / F.greatest(1.0 + 2.0 * d, F.lit(1.0)))
-    variety = F.size(F.array_distinct(content)) / F.size(F.col(content))
-    score = 0.30 * length + 0.30 * specific + 0.20 * marks + 0.15 * shape + 0.05 * variety - F.when(_hits(low, UNCERTAIN) > 0, 0.35).otherwise(0.0) - F.when((n <= 3) & (d > 0.15), 0.20).otherwise(0.0)
+    sentences = F.greatest(F.lit(1), F.size(F.filter(F.split(text, r"[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")))
+    shape = _upto1(sentences / F.greatest(1.0 + 2.0 * hard, F.lit(1.0)))
+    variety = F.size(F.array_distinct(content)) / F.size(content)
+    doubt, terse = F.when(_hits(low, UNCERTAIN) > 0, 0.35).otherwise(0.0), F.when((n <= 3) & (hard > 0.15), 0.20).otherwise(0.0)
+    score = 0.30 * length + 0.30 * specific + 0.20 * marks + 0.15 * shape + 0.05 * variety - doubt - terse
     return F.when(n == 0, F.lit(0.0)).otherwise(_clamp(score))
 
 

@@ -29,7 +29,7 @@ def error_distribution(responses: DataFrame) -> DataFrame:
 
 def timeline(responses: DataFrame, last: int = 15) -> DataFrame:
     """Accuracy per model and day: the latest ``last`` points, by a top-k sort."""
-    g = responses.groupBy(F.substring("model", 1, 15).alias("model"), F.to_date("created_at").alias("day")).agg(F.round(F.avg(F.col("right").cast("double")) * 100, 6).alias("accuracy"))
+    g = responses.groupBy(F.substring("model", 1, 15).alias("model"), F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.round(F.avg(F.col("right").cast("double")) * 100, 6).alias("accuracy"))
     return g.orderBy(F.col("day").desc(), "model").limit(last)
 
 

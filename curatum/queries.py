@@ -42,23 +42,25 @@ _ERR = r"""CASE WHEN letter IS NULL THEN 'no_answer' WHEN letter = key_letter TH
  WHEN regexp_matches(lower(question), 'calculate|compute|solve|equation|sum|product|derivative|integral|evaluate') AND regexp_matches(lower(response), '\d+\s*[+\-*/]\s*\d+|\b(calculation|compute|equals|sum|product|difference)\b') THEN 'calculation_error'
  WHEN regexp_matches(lower(response), '\b(therefore|thus|hence|so|because|since|implies)\b') THEN 'reasoning_error'
  WHEN regexp_matches(lower(response), '\b(not sure|partial|maybe|possibly|might be|could be|i think)\b') THEN 'incomplete_answer' ELSE 'factual_error' END"""
-_conf = A.heuristic_confidence(c("letter"), c("right"), c("response"))
+
+
+def _conf():
+    return A.heuristic_confidence(c("letter"), c("right"), c("response"))
 
 
 def _scored_answers(spark: SparkSession, d: str) -> DataFrame:
-    return X.responses(spark, d).withColumn("confidence", _conf)
+    return X.responses(spark, d).withColumn("confidence", _conf())
 
 
 _add("mcq_prompt", _of(X.responses, lambda r: probing.mcq_prompts(r).select("id", "prompt")), f"{R} SELECT id, {_PROMPT} AS prompt FROM responses")
 _add("answer_extract", _of(X.responses, lambda r: r.select("id", "letter")), f"{R} SELECT id, letter FROM responses")
 _add("answer_score", _of(X.responses, lambda r: r.select("id", c("right").alias("is_right"))), f"{R} SELECT id, is_right FROM responses")
-_add("confidence_heuristic", _of(X.responses, lambda r: r.select("id", F.round(_conf, 6).alias("confidence"))), f"{R} SELECT id, round({_CONF}, 6) AS confidence FROM responses")
-_key, _judge = F.when(c("id") % 3 != 0, c("right")), F.when(c("id") % 5 != 0, c("id") % 2 == 0)
+_add("confidence_heuristic", _of(X.responses, lambda r: r.select("id", F.round(_conf(), 6).alias("confidence"))), f"{R} SELECT id, round({_CONF}, 6) AS confidence FROM responses")
 _add(
-    "confidence_layered", _of(X.responses, lambda r: r.select("id", A.layered_confidence(_key, _judge, c("id") % 7 < 3).alias("confidence"))),
+    "confidence_layered", _of(X.responses, lambda r: r.select("id", A.layered_confidence(F.when(c("id") % 3 != 0, c("right")), F.when(c("id") % 5 != 0, c("id") % 2 == 0), c("id") % 7 < 3).alias("confidence"))),
     f"{R} SELECT id, CASE WHEN id % 3 <> 0 THEN CASE WHEN is_right THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END WHEN id % 5 = 0 THEN 0.5::DOUBLE WHEN id % 2 = 0 THEN CASE WHEN id % 7 < 3 THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END ELSE CASE WHEN id % 7 < 3 THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END END AS confidence FROM responses",
 )
-_add("route_by_confidence", _of(X.responses, lambda r: r.groupBy(A.route(_conf).alias("route")).agg(F.count("*").alias("n"))), f"{R} SELECT CASE WHEN c >= 0.7 THEN 'auto_approved' WHEN c <= 0 THEN 'rejected' ELSE 'needs_review' END AS route, count(*) AS n FROM (SELECT {_CONF} AS c FROM responses) GROUP BY 1")
+_add("route_by_confidence", _of(X.responses, lambda r: r.groupBy(A.route(_conf()).alias("route")).agg(F.count("*").alias("n"))), f"{R} SELECT CASE WHEN c >= 0.7 THEN 'auto_approved' WHEN c <= 0 THEN 'rejected' ELSE 'needs_review' END AS route, count(*) AS n FROM (SELECT {_CONF} AS c FROM responses) GROUP BY 1")
 _add(
     "rule_judge", _of(X.responses, lambda r: r.select("id", c("right").alias("correct"), F.when(c("letter").isNull(), 0.0).when(c("right"), 0.9).otherwise(0.3).alias("confidence"))),
     f"{R} SELECT id, is_right AS correct, CASE WHEN letter IS NULL THEN 0.0::DOUBLE WHEN is_right THEN 0.9::DOUBLE ELSE 0.3::DOUBLE END AS confidence FROM responses",
@@ -164,8 +166,8 @@ _add("stats_overview", _of(X.responses, stats.overview), f"{R} SELECT count(*) A
 _add("accuracy_by_domain", _of(X.responses, stats.accuracy_by_domain), f"{R} SELECT split_part(subject, '_', 1) AS domain, round(avg(a) * 100, 6) AS accuracy FROM (SELECT subject, avg(CAST(is_right AS DOUBLE)) AS a FROM responses GROUP BY 1) GROUP BY 1")
 _add("latest_responses", _of(X.responses, lambda r: r.orderBy(c("created_at").desc(), "id").limit(100).select("id", "created_at")), f"{R} SELECT id, created_at FROM responses ORDER BY created_at DESC, id LIMIT 100")
 _add("subject_bars", _of(X.responses, stats.subject_bars), f"{R} SELECT replace(subject, '_', ' ') AS name, count(*) FILTER (is_right) AS n_right, count(*) FILTER (NOT is_right) AS n_wrong, count(*) AS total FROM responses GROUP BY 1 ORDER BY total DESC, name LIMIT 12")
-_add("error_distribution", _of(_scored_answers, stats.error_distribution), f"{R} SELECT CASE WHEN letter IS NULL THEN 'other' WHEN abs(ascii(letter) - ascii(key_letter)) = 1 THEN 'close' WHEN c < 0.3 THEN 'factual' ELSE 'reasoning' END AS kind, count(*) AS n FROM (SELECT *, {_CONF} AS c FROM responses) WHERE NOT is_right GROUP BY 1")
-_add("score_timeline", _of(X.responses, stats.timeline), f"{R} SELECT model[1:15] AS model, CAST(created_at AS DATE) AS day, round(avg(CAST(is_right AS DOUBLE)) * 100, 6) AS accuracy FROM responses GROUP BY 1, 2 ORDER BY day DESC, model LIMIT 15")
+_add("error_distribution", _of(_scored_answers, stats.error_distribution), f"{R} SELECT CASE WHEN letter IS NULL THEN 'other' WHEN abs(ascii(letter) - ascii(key_letter)) = 1 THEN 'close' WHEN conf < 0.3 THEN 'factual' ELSE 'reasoning' END AS kind, count(*) AS n FROM (SELECT *, {_CONF} AS conf FROM responses) WHERE NOT is_right GROUP BY 1")
+_add("score_timeline", _of(X.responses, stats.timeline), f"{R} SELECT model[1:15] AS model, strftime(created_at, '%Y-%m-%d') AS day, round(avg(CAST(is_right AS DOUBLE)) * 100, 6) AS accuracy FROM responses GROUP BY 1, 2 ORDER BY day DESC, model LIMIT 15")
 _add("eval_accuracy", _of(X.responses, lambda r: r.groupBy("model", "subject").agg(F.round(F.avg(F.coalesce(c("right"), F.lit(False)).cast("double")), 6).alias("score"))), f"{R} SELECT model, subject, round(avg(CAST(is_right AS DOUBLE)), 6) AS score FROM responses GROUP BY 1, 2")
 _add("compare_models", _of(X.responses, lambda r: stats.compare(r, "model-0", "model-1")), f"{R} SELECT subject, round(b, 6) AS base, round(t, 6) AS tuned, round(t - b, 6) AS gain, round(CASE WHEN b > 0 THEN (t - b) / b * 100 ELSE 0.0 END, 6) AS gain_pct FROM (SELECT subject, avg(CAST(is_right AS DOUBLE)) FILTER (model = 'model-0') AS b, avg(CAST(is_right AS DOUBLE)) FILTER (model = 'model-1') AS t FROM responses WHERE model IN ('model-0', 'model-1') GROUP BY 1)")
 _add("forgetting_check", _of(X.responses, lambda r: stats.compare(r, "model-0", "model-2").select((c("subject") == "philosophy").alias("target"), "gain").groupBy("target").agg(F.round(F.avg("gain"), 5).alias("mean_gain"), F.count_if(c("gain") < 0).alias("fell"))), f"{R} SELECT subject = 'philosophy' AS target, round(avg(round(t - b, 6)), 5) AS mean_gain, count(*) FILTER (round(t - b, 6) < 0) AS fell FROM (SELECT subject, avg(CAST(is_right AS DOUBLE)) FILTER (model = 'model-0') AS b, avg(CAST(is_right AS DOUBLE)) FILTER (model = 'model-2') AS t FROM responses WHERE model IN ('model-0', 'model-2') GROUP BY 1) GROUP BY 1")
