@@ -117,8 +117,8 @@ def similarity_by_terms(pairs: DataFrame) -> DataFrame:
     both = side("chosen").join(side("rejected"), ["id", "t"], "full")
     c, r = F.coalesce("n_chosen", F.lit(0.0)), F.coalesce("n_rejected", F.lit(0.0))
     g = both.groupBy("id").agg(F.sum(c * r).alias("dot"), F.sqrt(F.sum(c * c)).alias("x"), F.sqrt(F.sum(r * r)).alias("y"), F.count_if((c > 0) & (r > 0)).alias("common"), F.count("*").alias("either"))
-    s = F.when((F.col("x") == 0) | (F.col("y") == 0), 0.0).otherwise(_clamp(0.8 * F.col("dot") / (F.col("x") * F.col("y")) + 0.2 * F.col("common") / F.col("either")))
-    return pairs.select("id").join(g, "id", "left").select("id", F.round(F.coalesce(s, F.lit(1.0)), 6).alias("semantic_similarity"))
+    s = F.when(F.col("x").isNull(), 1.0).when((F.col("x") == 0) | (F.col("y") == 0), 0.0).otherwise(_clamp(0.8 * F.col("dot") / (F.col("x") * F.col("y")) + 0.2 * F.col("common") / F.col("either")))
+    return pairs.select("id").join(g, "id", "left").select("id", F.round(s, 6).alias("semantic_similarity"))
 
 
 def quality_report(scored: DataFrame, threshold: float = 0.3) -> DataFrame:
