@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .support import store
-from .tokens import mix, shingles, text_bytes, word_hashes
+from .tokens import mix, shingles, slices, text_bytes, word_hashes
 
 _SIGNATURE = "doc_id long, n_shingles long, seq_hi long, seq_lo long, a array<long>, b array<long>"
 
@@ -36,7 +36,7 @@ def _signer(k: int, bands: int, rows: int):
 
     def sign(batches):
         mult = mix(np.arange(1, n_hash + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             words, counts = word_hashes(text_bytes(batch.column(1)))
             flat, sizes = shingles(words, counts, k)
             has = np.flatnonzero(sizes)
@@ -73,7 +73,7 @@ def _signer(k: int, bands: int, rows: int):
 
 def _set_maker(k: int):
     def sets(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             words, counts = word_hashes(text_bytes(batch.column(1)))
             flat, sizes = shingles(words, counts, k)
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 _R = 0x9E3779B97F4A7C15 | 1
@@ -57,6 +58,15 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 22):
+    """Parts of a batch with about ``limit`` bytes in a text column, at least one row each."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), dtype=np.int64)
+    group = np.cumsum(sizes) // limit
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(sizes) else np.zeros(0, np.int64)
+    for a, b in zip(starts, np.append(starts[1:], len(sizes)), strict=True):
+        yield batch.slice(int(a), int(b - a))
+
+
 def _hash_block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
     space = _SPACE[raw]
