@@ -48,7 +48,7 @@ def sessions(rows: DataFrame, gap: str = "30 minutes") -> DataFrame:
 def run_to_table(spark: SparkSession, path: str, schema, job: Callable[[DataFrame], DataFrame], *, late: str = "1 day", mode: str = "append", glob: str = "*.parquet") -> DataFrame:
     """Run ``job`` over files under ``path`` as a stream until it has read all, and return what it wrote."""
     out = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='curatum-')}/stream-{uuid.uuid4().hex}"
-    source = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path).withWatermark("ts", late)
+    source = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     query = job(source).writeStream.outputMode(mode).format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{out}/data")
