@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: The injection patterns, removed in this order.
 INJECTIONS = (
@@ -125,6 +125,20 @@ def chunk_bounds(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]
         start = max(end - overlap, start + 1)
 
 
+def register_chunk(spark: SparkSession, name: str = "chunk") -> None:
+    """Give SQL users ``LATERAL chunk(text, size, overlap)`` with rows (index, start_char, end_char, part)."""
+
+    class Chunk:
+        def eval(self, text: str, size: int, overlap: int):
+            index = 0
+            for a, b in chunk_bounds(text or "", size, overlap):
+                if part := text[a:b].strip():
+                    yield index, a, b, part
+                    index += 1
+
+    spark.udtf.register(name, F.udtf(Chunk, returnType="index int, start_char int, end_char int, part string"))
+
+
 def chunks(docs: DataFrame, size: int = 4000, overlap: int = 200) -> DataFrame:
     """(doc_id, index, start_char, end_char, text): whole texts in overlapping trimmed chunks."""
 
@@ -143,20 +157,30 @@ def chunks(docs: DataFrame, size: int = 4000, overlap: int = 200) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, index int, start_char int, end_char int, text string")
 
 
+#: Inline styles that hide an element, and the elements that have no end tag.
+HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0(?![.\d])")
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
 class _Extractor(HTMLParser):
     """Title, text blocks and links of a page, in document order."""
 
     SKIP = frozenset(("script", "style", "noscript", "header", "footer", "nav"))
     BLOCKS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "th"))
 
-    def __init__(self) -> None:
+    def __init__(self, strip_hidden: bool = False) -> None:
         super().__init__(convert_charrefs=True)
+        self.strip_hidden, self.hidden, self.depth = strip_hidden, "", 0
         self.skip, self.title, self.links = 0, "", []
         self.blocks: list[tuple[str, list[str]]] = []
         self.open: list[int] = []
         self.in_title = False
 
     def handle_starttag(self, tag, attrs):
+        if self.hidden:
+            self.depth += tag == self.hidden
+        elif self.strip_hidden and tag not in VOID and HIDDEN.search(dict(attrs).get("style") or ""):
+            self.hidden, self.depth = tag, 1
         if tag == "a" and (href := dict(attrs).get("href")):
             self.links.append(href)
         if tag in self.SKIP:
@@ -170,6 +194,10 @@ class _Extractor(HTMLParser):
             self.open.append(len(self.blocks) - 1)
 
     def handle_endtag(self, tag):
+        if tag == self.hidden:
+            self.depth -= 1
+            if not self.depth:
+                self.hidden = ""
         if tag in self.SKIP:
             self.skip = max(0, self.skip - 1)
         elif tag == "title":
@@ -183,7 +211,7 @@ class _Extractor(HTMLParser):
     def handle_data(self, data):
         if self.in_title:
             self.title += data
-        elif not self.skip:
+        elif not self.skip and not self.hidden:
             for i in self.open:
                 self.blocks[i][1].append(data.strip())
 
@@ -195,14 +223,14 @@ class _Extractor(HTMLParser):
         return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, title, content, links) of stored pages."""
+def extract_pages(pages: DataFrame, *, strip_hidden: bool = False) -> DataFrame:
+    """(page_id, url, title, content, links) of stored pages; ``strip_hidden`` leaves out elements that inline styles hide."""
 
     def run(frames):
         for pdf in frames:
             out = []
             for i, url, html in zip(pdf.page_id, pdf.url, pdf.html, strict=True):
-                e = _Extractor()
+                e = _Extractor(strip_hidden)
                 e.feed(html or "")
                 e.close()
                 out.append((i, url, e.title.strip(), e.content(), e.links))
@@ -231,12 +259,13 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
     visited = frontier = seeds.select("page").distinct().withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
         step = frontier.join(edges, frontier.page == edges.src).select(F.col("dst").alias("page")).distinct()
-        frontier = _stored(step.join(visited.select("page"), "page", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = stored(step.join(visited.select("page"), "page", "left_anti").withColumn("depth", F.lit(depth)))
         visited = visited.unionByName(frontier)
     return visited
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` in the session's shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         import tempfile

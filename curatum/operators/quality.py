@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Word lists of the pair metrics.
@@ -166,3 +170,61 @@ def bayes_rank(scored: DataFrame, low: float = -2.0) -> DataFrame:
     x = scored.crossJoin(F.broadcast(cut)).withColumn("a", scale("margin", "u1")).withColumn("b", scale("implicit", "u2"))
     both, none = F.col("a") * F.col("b"), (1 - F.col("a")) * (1 - F.col("b"))
     return x.select("id", F.round(both / F.nullif(both + none, F.lit(0.0)), 6).alias("p"))
+
+
+def response_overlap(pairs: DataFrame, high: float = 0.9, moderate: float = 0.75) -> DataFrame:
+    """(id, ratio, level) of pairs whose two responses share matching blocks beyond ``moderate``.
+
+    Lengths bound the ratio from above; only pairs that this bound leaves open are compared, in Arrow batches.
+    """
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    c, r = F.coalesce("chosen", F.lit("")), F.coalesce("rejected", F.lit(""))
+    bound = F.when(F.length(c) + F.length(r) == 0, 1.0).otherwise(2.0 * F.least(F.length(c), F.length(r)) / F.greatest(F.length(c) + F.length(r), F.lit(1)))
+    found = pairs.where(bound > moderate).select("id", F.round(ratio(c, r), 6).alias("ratio")).where(F.col("ratio") > moderate)
+    return found.withColumn("level", F.when(F.col("ratio") > high, "high").otherwise("moderate"))
+
+
+def best_and_worst(scored: DataFrame, share: float = 0.5) -> DataFrame:
+    """The best and the worst ``share / 2`` of the rows by margin, cut at exact percentiles (one row, broadcast)."""
+    cut = scored.agg(F.percentile("margin", share / 2).alias("lo"), F.percentile("margin", 1 - share / 2).alias("hi"))
+    end = F.when(F.col("margin") >= F.col("hi"), "best").when(F.col("margin") <= F.col("lo"), "worst")
+    return scored.crossJoin(F.broadcast(cut)).withColumn("end", end).where("end is not null").drop("lo", "hi")
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two number arrays in double precision; null where either is null, empty or zero."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+
+
+def semantic_weight(pairs: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """(id, weight) of vector pairs (id, x, y): exp(-alpha * cosine distance)."""
+    return pairs.select("id", F.round(F.exp(-alpha * (1 - cosine(F.col("x"), F.col("y")))), 6).alias("weight"))
+
+
+def cache_hits(vectors: DataFrame, threshold: float = 0.9, *, bits: int = 10, tables: int = 24, seed: int = 11) -> DataFrame:
+    """(id, cached_id, similarity): an earlier row whose answer a semantic cache could have given again.
+
+    Signs of random projections key ``tables`` buckets of ``bits`` bits. Each row is held, exactly,
+    against the first row of each of its buckets: ``tables`` comparisons a row, however many rows
+    share a bucket. A match at 0.9 meets in some bucket with probability 0.997; one that is missed
+    only costs the call that the cache would have saved. Equal vectors share all buckets.
+    """
+    rows = vectors.select("id", "x").where(cosine(F.col("x"), F.col("x")).isNotNull())
+
+    @F.pandas_udf("array<long>")
+    def keys(batch: pd.Series) -> pd.Series:
+        out = []
+        for v in batch:
+            planes = np.random.default_rng((seed, len(v))).standard_normal((len(v), tables * bits), dtype=np.float32) if not out or len(v) != size else planes
+            size = len(v)
+            out.append(((np.asarray(v, dtype=np.float32) @ planes > 0).reshape(tables, bits) @ (1 << np.arange(bits))).tolist())
+        return pd.Series(out)
+
+    posted = rows.select("id", "x", F.size("x").alias("d"), F.posexplode(keys("x")).alias("t", "key"))
+    first = posted.groupBy("d", "t", "key").agg(F.min("id").alias("cached_id"), F.min_by("x", "id").alias("y"))
+    met = posted.join(first, ["d", "t", "key"]).where("cached_id < id").select("id", "cached_id", F.round(cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
+    return met.where(F.col("similarity") >= threshold).groupBy("id").agg(F.min("cached_id").alias("cached_id"), F.min_by("similarity", "cached_id").alias("similarity"))

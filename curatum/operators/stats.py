@@ -85,3 +85,47 @@ def conformal_threshold(rows: DataFrame, alpha: float = 0.1) -> DataFrame:
     run, total = F.sum("n").over(W.orderBy("s")), F.sum("n").over(W.partitionBy())
     g = g.select("s", run.alias("upto"), total.alias("total"))
     return g.where(F.col("upto") >= F.least(F.ceil((F.col("total") + 1) * (1 - alpha)), F.col("total"))).agg(F.round(F.min("s"), 6).alias("threshold"))
+
+
+def platt_fit(rows: DataFrame, iterations: int = 100) -> DataFrame:
+    """One row (a, b) of sigma(a p + b), fitted without regularisation; rows are counted by (p, y) first."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    counts = rows.where("p is not null and y is not null").groupBy("p", F.col("y").cast("double").alias("y")).agg(F.count("*").cast("double").alias("w"))
+    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=iterations, regParam=0.0).fit(VectorAssembler(inputCols=["p"], outputCol="x").transform(counts))
+    return rows.sparkSession.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "a double, b double")
+
+
+def isotonic_fit(rows: DataFrame, steps: int = 10_000) -> DataFrame:
+    """(p, calibrated) at the knots of the monotone map from p to y.
+
+    Scores are binned to ``steps`` equal widths and their labels averaged with weights, so that
+    what the fit gathers is bounded by ``steps`` and not by the rows.
+    """
+    from pyspark.ml.regression import IsotonicRegression
+
+    at = F.least(F.floor(F.col("p") * steps), F.lit(steps - 1))
+    bins = rows.where("p is not null and y is not null").groupBy(at.alias("k")).agg(F.avg("p").alias("p"), F.avg("y").alias("y"), F.count("*").cast("double").alias("w"))
+    model = IsotonicRegression(featuresCol="p", labelCol="y", weightCol="w").fit(bins)
+    knots = zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist(), strict=True)
+    return rows.sparkSession.createDataFrame([(p, y) for p, y in knots], "p double, calibrated double")
+
+
+def cost_threshold(rows: DataFrame, *, false_accept: float = 100.0, review: float = 5.0, edit: float = 3.0, bins: int = 10) -> DataFrame:
+    """The cheapest (accept_from, edit_from): accept from the one, edit from the other, review below.
+
+    Rows are binned first; only the bins and the grid of threshold pairs, both of fixed size, are crossed.
+    """
+    at = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int").alias("bin")
+    g = rows.groupBy(at).agg(F.count("*").alias("n"), F.sum(1 - F.col("y")).alias("wrong"))
+    grid = rows.sparkSession.range(bins + 1).select(F.col("id").cast("int").alias("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("a"))).alias("e"))
+    cost = F.when(F.col("bin") >= F.col("a"), F.col("wrong") * false_accept).when(F.col("bin") >= F.col("e"), F.col("n") * edit).otherwise(F.col("n") * review)
+    total = g.crossJoin(F.broadcast(grid)).groupBy("a", "e").agg(F.sum(cost).alias("cost"))
+    return total.orderBy("cost", "a", "e").limit(1).select((F.col("a") / bins).alias("accept_from"), (F.col("e") / bins).alias("edit_from"), F.round("cost", 6).alias("cost"))
+
+
+def run_history(responses: DataFrame, last: int = 20) -> DataFrame:
+    """The newest runs (model, subject): when they ended, their size and score."""
+    g = responses.groupBy("model", "subject").agg(F.max("created_at").alias("ended"), F.count("*").alias("n"), F.round(F.avg(F.col("right").cast("double")), 6).alias("score"))
+    return g.orderBy(F.col("ended").desc(), "model", "subject").limit(last)

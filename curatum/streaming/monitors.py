@@ -52,3 +52,22 @@ def run_to_table(spark: SparkSession, path: str, schema, job: Callable[[DataFram
     query = job(source).writeStream.outputMode(mode).format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{out}/data")
+
+
+def first_by_content(rows: DataFrame, *content: str, late: str = "1 day") -> DataFrame:
+    """The first arrival of each content hash; on a stream, within the watermark ``late`` that the caller has set."""
+    hashed = rows.withColumn("content_hash", F.sha2(F.concat_ws("\u001f", *(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in content)), 256))
+    if rows.isStreaming:
+        return hashed.dropDuplicatesWithinWatermark(["content_hash"]).select("content_hash", "event_id", "ts")
+    best = hashed.groupBy("content_hash").agg(F.min(F.struct("ts", "event_id")).alias("f"))
+    return best.select("content_hash", F.col("f.event_id").alias("event_id"), F.col("f.ts").alias("ts"))
+
+
+def route_stream(rows: DataFrame, out: str, threshold: float = 0.7):
+    """Start a query that writes each batch below ``out`` by route and batch id; a batch that runs again replaces its files."""
+    routed = rows.withColumn("route", A.route(F.col("confidence"), threshold))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").partitionBy("route").parquet(f"{out}/data/batch={batch_id}")
+
+    return routed.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
