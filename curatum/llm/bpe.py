@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 SHORT = 48
 _NONE = np.int64(1 << 40)
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 200_000
 #: Fixed value: the split pattern of the public byte-level BPE tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -155,7 +155,6 @@ class Encoder:
         self.v = vocabulary
         self.words = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")").split if vocabulary.special else None
-        self.cache: dict[str, tuple[str, bytes]] = {}
         self.ids: dict[str, str] = {}
         self.back: dict[str, bytes] = {}
 
@@ -176,6 +175,11 @@ class Encoder:
         for w, ids in zip(new, self.v.encode_words([w.encode() for w in new]), strict=True):
             self.ids[w], self.back[w] = ",".join(map(str, ids)), self.decode(ids)
 
+    def forget(self) -> None:
+        """Free the words at the end of a task: the worker process stays and serves other stages."""
+        self.ids, self.back = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.v.bytes[i] for i in ids])
 
@@ -224,6 +228,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             for texts in _texts(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(texts)], pa.array([encoder.encode(t) for t in texts], pa.list_(pa.int32()))], names=["doc_id", "ids"])
                 at += len(texts)
+        encoder.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -259,5 +264,6 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     out[1].append(sha(ids.encode()))
                     out[2].append(sha(b"".join(map(encoder.back.__getitem__, words)).decode("utf-8", "replace").encode()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
