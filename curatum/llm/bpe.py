@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 SHORT = 48
-_NONE = np.int64(1 << 40)
-_CACHE_WORDS = 200_000
+_NONE = np.int32((1 << 31) - 1)
+#: Words in each of the two generations of the cache.
+_CACHE_WORDS = 100_000
 #: Fixed value: the split pattern of the public byte-level BPE tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -62,66 +63,64 @@ class Vocabulary:
         keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
+        self.keys, self.rank, self.made = keys[order], order.astype(np.int32), made.astype(np.int32)
+        self.of_bytes = self.pair(self.of_byte[:, None], self.of_byte[None, :])
+        self.names = list(map(str, range(size)))
         self.table = None
 
-    def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank of each adjacent pair (``_NONE`` without a merge) and the token it becomes."""
-        key = left << 20 | right
+    def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of tokens, ``_NONE`` without a merge; ``made`` has the token a rank makes."""
+        key = left.astype(np.int64) << 20 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        return np.where(hit, self.rank[at], _NONE), self.made[at]
+        return np.where(self.keys[at] == key, self.rank[at], _NONE)
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word; words of one length form the rows of one array."""
+        """Token ids of each word; words of like length form the rows of one array."""
         out: list[list[int]] = [[]] * len(words)
-        sizes = np.array([len(w) for w in words])
-        for size in np.unique(sizes):
-            own = np.flatnonzero(sizes == size)
-            if size > SHORT:
-                for i in own:
-                    out[i] = self._encode_long(words[i])
-                continue
-            for at in range(0, len(own), 20_000):
-                some = own[at : at + 20_000]
-                raw = np.frombuffer(b"".join(words[i] for i in some), np.uint8).reshape(len(some), size)
-                for i, ids in zip(some, self._encode_rows(self.of_byte[raw]), strict=True):
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for i in np.flatnonzero(sizes > SHORT):
+            out[i] = self._encode_long(words[i])
+        for low, high in ((0, 6), (6, 9), (9, 12), (12, 18), (18, SHORT)):
+            own = np.flatnonzero((sizes > low) & (sizes <= high))
+            for at in range(0, len(own), 10_000):
+                some = own[at : at + 10_000]
+                raw = np.frombuffer(b"".join([words[i].ljust(high, b"\0") for i in some]), np.uint8).reshape(len(some), high)
+                for i, ids in zip(some, self._encode_rows(raw, sizes[some]), strict=True):
                     out[i] = ids
         return out
 
-    def _encode_rows(self, parts: np.ndarray) -> list[list[int]]:
-        n, width = parts.shape
+    def _encode_rows(self, raw: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+        """Token ids of the words in the rows of ``raw``, of which the first ``sizes`` bytes count."""
+        n, width = raw.shape
         done, live = [None] * n, np.arange(n)
+        parts = self.of_byte[raw].astype(np.int32)
         ranks = np.full((n, width), _NONE)
-        if width > 1:
-            ranks[:, :-1] = self.pair(parts[:, :-1], parts[:, 1:])[0]
-        left = width  # every live row has had the same number of boundaries deleted
+        ranks[:, :-1] = self.of_bytes[raw[:, :-1], raw[:, 1:]]
+        ranks[np.arange(width)[None, :] >= sizes[:, None] - 1] = _NONE
         while len(live):
             at = ranks.argmin(1)
+            least = ranks[np.arange(len(live)), at]
+            more = least < _NONE
+            over = np.flatnonzero(~more)
+            for i, ids, size in zip(live[over].tolist(), parts[over].tolist(), sizes[over].tolist(), strict=True):
+                done[i] = ids[:size]
+            live, parts, ranks, at, sizes = live[more], parts[more], ranks[more], at[more], sizes[more] - 1
             row = np.arange(len(live))
-            more = ranks[row, at] < _NONE
-            for r in np.flatnonzero(~more):
-                done[live[r]] = parts[r, :left].tolist()
-            live, parts, ranks, at = live[more], parts[more], ranks[more], at[more]
-            if not len(live):
-                break
-            row = np.arange(len(live))
-            made = self.pair(parts[row, at], parts[row, at + 1])[1]
-            left -= 1
-            gap = np.arange(left + 1)[None, :-1] >= at[:, None] + 1  # close the gap behind the merged part
-            parts = np.where(gap, parts[:, 1 : left + 1], parts[:, :left])
-            parts[row, at] = made
-            ranks = np.where(np.arange(left)[None, :] >= at[:, None] + 1, ranks[:, 1 : left + 1], ranks[:, :left])
-            ranks[:, left - 1] = _NONE
-            for step in (-1, 0):  # refresh the ranks on both sides of the new part
-                i = at + step
-                ok = np.flatnonzero((i >= 0) & (i < left - 1))
-                ranks[ok, i[ok]] = self.pair(parts[ok, i[ok]], parts[ok, i[ok] + 1])[0]
+            width -= 1
+            behind = np.arange(width)[None, :] > at[:, None]  # close the gap behind the merged part
+            parts = np.where(behind, parts[:, 1:], parts[:, :-1])
+            ranks = np.where(behind, ranks[:, 1:], ranks[:, :-1])
+            parts[row, at] = self.made[least[more]]
+            ranks[row, at] = _NONE
+            # refresh the ranks on both sides of the new part
+            left, right = np.flatnonzero(at > 0), np.flatnonzero(at < sizes - 1)
+            r, i = np.concatenate((left, right)), np.concatenate((at[left] - 1, at[right]))
+            ranks[r, i] = self.pair(parts[r, i], parts[r, i + 1])
         return done
 
     def _encode_long(self, word: bytes) -> list[int]:
         if self.table is None:
-            self.table = {k: (r, m) for k, r, m in zip(self.keys.tolist(), self.rank.tolist(), self.made.tolist(), strict=True)}
+            self.table = {k: (r, m) for k, r, m in zip(self.keys.tolist(), self.rank.tolist(), self.made[self.rank].tolist(), strict=True)}
         parts = self.of_byte[np.frombuffer(word, np.uint8)].tolist()
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap: list[tuple[int, int, int, int]] = []
@@ -157,6 +156,7 @@ class Encoder:
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")").split if vocabulary.special else None
         self.ids: dict[str, str] = {}
         self.back: dict[str, bytes] = {}
+        self.old: tuple[dict[str, str], dict[str, bytes]] = {}, {}
 
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens of a text; special tokens stand alone."""
@@ -165,19 +165,28 @@ class Encoder:
         return self.words(text)
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.ids]
-        if len(self.ids) + len(new) > _CACHE_WORDS:
-            self.ids, self.back, new = {}, {}, list(words)
-        for w in self.v.special:
-            if w in words:
-                self.ids[w], self.back[w] = str(self.v.special[w]), self.decode([self.v.special[w]])
+        """Make ``ids`` and ``back`` hold all of ``words``.
+
+        The cache has two generations: once the young one is full it becomes the old one, whose
+        words return as they are met again, so frequent words stay and rare ones leave.
+        """
+        if len(self.ids) >= _CACHE_WORDS:
+            self.old, self.ids, self.back = (self.ids, self.back), {}, {}
+        new = words.difference(self.ids)
+        ids_of, back_of = self.old
+        for w in new.intersection(ids_of):
+            self.ids[w], self.back[w] = ids_of[w], back_of[w]
+        new = list(new.difference(ids_of))
+        for w in filter(self.v.special.__contains__, new):
+            self.ids[w], self.back[w] = str(self.v.special[w]), self.decode([self.v.special[w]])
         new = [w for w in new if w not in self.v.special]
+        name = self.v.names.__getitem__
         for w, ids in zip(new, self.v.encode_words([w.encode() for w in new]), strict=True):
-            self.ids[w], self.back[w] = ",".join(map(str, ids)), self.decode(ids)
+            self.ids[w], self.back[w] = ",".join(map(name, ids)), self.decode(ids)
 
     def forget(self) -> None:
         """Free the words at the end of a task: the worker process stays and serves other stages."""
-        self.ids, self.back = {}, {}
+        self.ids, self.back, self.old = {}, {}, ({}, {})
         pa.default_memory_pool().release_unused()
 
     def decode(self, ids: list[int]) -> bytes:
@@ -202,8 +211,8 @@ def _encoder(shared) -> Encoder:
 def _texts(column: pa.Array, limit: int = 1 << 20):
     """Slices of a string column of about ``limit`` characters, at least one text each."""
     texts, size = [], 0
-    for x in column.to_pylist():
-        texts.append(x or "")
+    for x in column:
+        texts.append(x.as_py() or "")
         size += len(texts[-1])
         if size >= limit:
             yield texts
