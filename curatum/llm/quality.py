@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .support import store
-from .tokens import text_bytes, word_hashes
+from .tokens import slices, text_bytes, word_hashes
 
 _SYMBOLS = b"#$%&*!|<>{}[]=~^_@+/\\`"
 _CLASSES = {
@@ -44,17 +44,8 @@ _PRIOR = 15
 
 def _statistics(batches):
     tables = {name: np.isin(np.arange(256), list(members)) for name, members in _CLASSES.items()}
-    for batch in batches:
-        ids, column = batch.column(0).cast(pa.int64()), text_bytes(batch.column(1))
-        out = np.zeros((len(column), len(STATISTICS)))
-        at = 0
-        while at < len(column):
-            upto, size = at, 0
-            while upto < len(column) and size < 1 << 21:
-                size += len(column[upto])
-                upto += 1
-            out[at:upto] = _block(column[at:upto], tables)
-            at = upto
+    for batch in (part for whole in batches for part in slices(whole, 1, 1 << 21)):
+        ids, out = batch.column(0).cast(pa.int64()), _block(text_bytes(batch.column(1)), tables)
         values = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), len(STATISTICS)).cast(pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([ids, values], names=["doc_id", "x"])
 
