@@ -6,8 +6,11 @@ import difflib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .ingest import stored
+
 #: Word lists of the pair metrics.
 STOPWORDS = "a an and are as at be because but by for from has have i in into is it its of on or that the their this to was were with you your".split()
 UNCERTAIN = ("i don't know", "i do not know", "not sure", "unsure", "unknown", "cannot answer", "can't answer", "no information", "maybe", "probably")
@@ -205,26 +208,71 @@ def semantic_weight(pairs: DataFrame, alpha: float = 1.0) -> DataFrame:
     return pairs.select("id", F.round(F.exp(-alpha * (1 - cosine(F.col("x"), F.col("y")))), 6).alias("weight"))
 
 
-def cache_hits(vectors: DataFrame, threshold: float = 0.9, *, bits: int = 10, tables: int = 24, seed: int = 11) -> DataFrame:
-    """(id, cached_id, similarity): an earlier row whose answer a semantic cache could have given again.
+def cache_hits(vectors: DataFrame, threshold: float = 0.9, *, bits: int = 10, tables: int = 24, seed: int = 11, bucket_rows: int = 32, block: int = 512) -> DataFrame:
+    """(id, cached_id, similarity): the first earlier row whose answer a semantic cache could have given again.
 
-    Signs of random projections key ``tables`` buckets of ``bits`` bits. Each row is held, exactly,
-    against the first row of each of its buckets: ``tables`` comparisons a row, however many rows
-    share a bucket. A match at 0.9 meets in some bucket with probability 0.997; one that is missed
-    only costs the call that the cache would have saved. Equal vectors share all buckets.
+    Signs of random projections key buckets, and each row is held, exactly, against all earlier rows
+    of its buckets. Equal vectors are one class first, met by its smallest id. Bits grow with the
+    number of classes so that buckets stay near ``bucket_rows`` rows where vectors are spread, and
+    tables with the bits so that a match at ``threshold`` is missed no more often than by the given
+    numbers (0.0033 at 0.9). A crowded bucket is dealt into blocks and each two blocks are one cell,
+    so no task holds it whole; small buckets share a cell. Rows with a null id, and vectors that are
+    null, empty, zero or not finite, meet nothing.
     """
-    rows = vectors.select("id", "x").where(cosine(F.col("x"), F.col("x")).isNotNull())
+    rows = vectors.select("id", "x").where("id is not null").withColumn("_c", cosine(F.col("x"), F.col("x"))).where("_c is not null and not isnan(_c)")
+    rows = rows.select("id", "x", F.xxhash64("x").alias("h"), F.xxhash64(F.lit(1), "x").alias("g"))
+    classes = stored(rows.groupBy("h", "g").agg(F.min("id").alias("rep"), F.min_by("x", "id").alias("x")))
+    n = classes.count()
+    meet = 1 - np.arccos(threshold) / np.pi
+    wide = max(bits, int(np.ceil(np.log2(max(n / bucket_rows, 1)))))
+    many = tables if wide == bits else int(np.ceil(tables * np.log1p(-(meet**bits)) / np.log1p(-(meet**wide))))
 
     @F.pandas_udf("array<long>")
     def keys(batch: pd.Series) -> pd.Series:
-        out = []
-        for v in batch:
-            planes = np.random.default_rng((seed, len(v))).standard_normal((len(v), tables * bits), dtype=np.float32) if not out or len(v) != size else planes
-            size = len(v)
-            out.append(((np.asarray(v, dtype=np.float32) @ planes > 0).reshape(tables, bits) @ (1 << np.arange(bits))).tolist())
+        out, sizes = np.empty(len(batch), object), batch.map(len).to_numpy()
+        for size in np.unique(sizes):
+            planes = np.random.default_rng((seed, int(size))).standard_normal((size, many * wide), dtype=np.float32)
+            at = np.flatnonzero(sizes == size)
+            for part in np.array_split(at, -(-len(at) // 1024)):
+                signs = np.stack(batch.iloc[part].to_numpy()).astype(np.float32) @ planes > 0
+                out[part] = list(signs.reshape(len(part), many, wide) @ (1 << np.arange(wide)))
         return pd.Series(out)
 
-    posted = rows.select("id", "x", F.size("x").alias("d"), F.posexplode(keys("x")).alias("t", "key"))
-    first = posted.groupBy("d", "t", "key").agg(F.min("id").alias("cached_id"), F.min_by("x", "id").alias("y"))
-    met = posted.join(first, ["d", "t", "key"]).where("cached_id < id").select("id", "cached_id", F.round(cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
-    return met.where(F.col("similarity") >= threshold).groupBy("id").agg(F.min("cached_id").alias("cached_id"), F.min_by("similarity", "cached_id").alias("similarity"))
+    bucket = F.struct(F.size("x").alias("d"), "t", "key").alias("bucket")
+    posted = classes.select("rep", "x", F.posexplode(keys("x")).alias("t", "key")).select("rep", "x", bucket)
+    held = posted.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    packs = max(1, n * many // 4096)
+    dealt = posted.join(held, "bucket").withColumn("s", F.ceil(F.col("m") / block).cast("int")).withColumn("b", F.expr("cast(pmod(xxhash64(rep), s) as int)"))
+    cells = dealt.withColumn("o", F.explode(F.expr("sequence(0, s - 1)"))).select(
+        "rep", "x", "b", F.xxhash64("bucket").alias("key"), F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"),
+        F.when(F.col("s") == 1, F.pmod(F.xxhash64("bucket"), F.lit(packs))).otherwise(F.xxhash64("bucket")).alias("cell"),
+    )
+
+    def meet_all(cell: pa.Table) -> pa.Table:
+        reps, key, b = cell["rep"].to_numpy(), cell["key"].to_numpy(), cell["b"].to_numpy()
+        names, rank = np.unique(reps, return_inverse=True)
+        across = cell["i"][0].as_py() != cell["j"][0].as_py()
+        order = np.lexsort((rank, key))
+        who, first, sim = [], [], []
+        for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            x = np.stack(cell["x"].take(pa.array(at)).to_pandas().to_numpy()).astype(float)
+            x /= np.sqrt((x * x).sum(1, keepdims=True))
+            s = np.floor(x @ x.T * 1e6 + 0.5) / 1e6
+            good = (s >= threshold) & (rank[at][None, :] < rank[at][:, None])
+            if across:
+                good &= b[at][None, :] != b[at][:, None]
+            hit = np.flatnonzero(good.any(1))
+            best = good[hit].argmax(1)  # in order of rank, so the smallest id
+            who.append(rank[at][hit])
+            first.append(rank[at][best])
+            sim.append(s[hit, best])
+        kind = cell["rep"].type
+        return pa.table({"rep": pa.array(names[np.concatenate(who)], kind), "cached_id": pa.array(names[np.concatenate(first)], kind), "similarity": np.concatenate(sim)})
+
+    kind = vectors.schema["id"].dataType.simpleString()
+    met = cells.groupBy("cell", "i", "j").applyInArrow(meet_all, f"rep {kind}, cached_id {kind}, similarity double")
+    met = met.groupBy("rep").agg(F.min("cached_id").alias("cached_id"), F.min_by("similarity", "cached_id").alias("similarity"))
+    found = classes.select("h", "g", "rep").join(met, "rep", "left")
+    # a copy of a class meets what the class meets, or else the class itself
+    out = rows.select("id", "h", "g").join(found, ["h", "g"]).where("cached_id is not null or rep < id")
+    return out.select("id", F.coalesce("cached_id", "rep").alias("cached_id"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))

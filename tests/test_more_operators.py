@@ -136,6 +136,23 @@ def test_cache_hits(spark):
     assert got == {40 + i: i for i in range(40)} | {80 + i: i for i in range(5)}
 
 
+def test_cache_hits_recall_in_crowded_buckets(spark):
+    """Buckets hold hundreds of rows: hits of rows that are not the first of a bucket, against brute force."""
+    rng = np.random.default_rng(8)
+    centre = np.repeat(rng.standard_normal((6, 48)), 300, axis=0)
+    base = centre + 0.55 * rng.standard_normal(centre.shape)
+    x = np.vstack([base, base[200:400] + 0.4 * rng.standard_normal((200, 48)), base[:50]])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.tril(unit @ unit.T, -1).round(6) >= 0.9
+    want = {int(i): int(s[i].argmax()) for i in np.flatnonzero(s.any(1))}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[0].tolist()), (9000, [float("nan")] * 48)], "id long, x array<double>")
+    for more in ({}, {"block": 64}):
+        got = {r.id: (r.cached_id, r.similarity) for r in quality.cache_hits(df, **more).collect()}
+        recall = sum(i in got and got[i][0] == j for i, j in want.items()) / len(want)
+        assert len(want) > 200 and recall >= 0.99
+        assert got.keys() <= want.keys() and all(abs(unit[i] @ unit[j] - v) < 1e-5 for i, (j, v) in got.items())
+
+
 def test_response_overlap(spark):
     df = spark.createDataFrame([(1, "same text here", "same text here"), (2, "same text here", "same text hers and"), (3, "abc", "xyz"), (4, None, ""), (5, "a", "a" * 50)], "id long, chosen string, rejected string")
     assert {r.id: r.level for r in quality.response_overlap(df).collect()} == {1: "high", 2: "moderate", 4: "high"}
