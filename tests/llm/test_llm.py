@@ -327,5 +327,19 @@ def test_pipeline_stages(spark, docs, empty):
         start.collect()
 
 
+def test_pipeline_near_dedup_links_from_80(spark):
+    """Copies at similarities between 0.78 and 0.87: the stage keeps what brute force at 80 keeps."""
+    import corpus_pipeline
+
+    rows = []
+    for g in range(60):
+        base = [f"g{g}w{j}" for j in range(200)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[: 175 + g // 3] + [f"x{g}y{j}" for j in range(25 - g // 3)]))]
+    want = brute_components(rows, percent=80)
+    assert want != brute_components(rows)
+    kept = corpus_pipeline.dedup_near(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(i for i, c in want.items() if i == c)
+
+
 def test_all_registered():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
