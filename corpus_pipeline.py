@@ -14,9 +14,11 @@ from curatum.llm.support import store, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, learned from ``labels``, does not reject."""
-    scores = store(quality.quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(scores, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti").select(docs.columns)
+    """Documents that the quality classifier, learned from ``labels``, does not reject: each row by its own text."""
+    scores = quality.text_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 0")
+    gone = store(scores.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & quality.text_hash().eqNullSafe(F.col("_text"))
+    return docs.join(gone, same, "left_anti").select(docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ def _statistics(batches):
     for batch in (part for whole in batches for part in slices(whole, 1, 1 << 21)):
         ids, out = batch.column(0).cast(pa.int64()), _block(text_bytes(batch.column(1)), tables)
         values = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), len(STATISTICS)).cast(pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([ids, values], names=["doc_id", "x"])
+        yield pa.RecordBatch.from_arrays([ids, values, *batch.columns[2:]], names=["doc_id", "x", *batch.schema.names[2:]])
 
 
 def _block(texts: list[bytes], tables: dict[str, np.ndarray]) -> np.ndarray:
@@ -83,9 +83,14 @@ def _block(texts: list[bytes], tables: dict[str, np.ndarray]) -> np.ndarray:
     ])
 
 
+def text_hash() -> Column:
+    """Tells texts apart where rows share a doc_id; null for a null text."""
+    return F.md5(F.col("text").cast("string"))
+
+
 def statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, x): the transformed statistics of each text, in the order of ``STATISTICS``."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_statistics, "doc_id long, x array<double>")
+    """(doc_id, x, text_hash): the transformed statistics of each text, in the order of ``STATISTICS``."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("text_hash")).mapInArrow(_statistics, "doc_id long, x array<double>, text_hash string")
 
 
 def _moments(frames):
@@ -147,13 +152,18 @@ def held_out(doc_id: Column) -> Column:
 def quality_scores(docs: DataFrame, labels: DataFrame, *, lam: float = 0.1, gamma: float = 0.02) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; learned from ``labels(doc_id, quality)``
     of documents that are not held out. ``lam`` and ``gamma`` are the shrinkage weights."""
+    return text_scores(docs, labels, lam=lam, gamma=gamma).drop("text_hash")
+
+
+def text_scores(docs: DataFrame, labels: DataFrame, *, lam: float = 0.1, gamma: float = 0.02) -> DataFrame:
+    """``quality_scores`` with the ``text_hash`` of each row, which with its doc_id finds the row again."""
     stats = store(statistics(docs))
     model = fit(stats, labels.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label")), lam=lam, gamma=gamma)
 
     def scored(batches):
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(model.score(x), 9))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(model.score(x), 9)), batch.column(2)], names=["doc_id", "score", "text_hash"])
 
-    out = stats.mapInArrow(scored, "doc_id long, score double")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = stats.mapInArrow(scored, "doc_id long, score double, text_hash string")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_hash")

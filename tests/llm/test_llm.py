@@ -341,5 +341,19 @@ def test_pipeline_near_dedup_links_from_80(spark):
     assert sorted(r.doc_id for r in kept) == sorted(i for i, c in want.items() if i == c)
 
 
+def test_pipeline_rejects_rows_not_ids(spark):
+    """Junk goes and clean text stays where they share a doc_id or have none."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    d, y = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scored = quality.quality_scores(d, y).join(d, "doc_id").orderBy("score", "doc_id").collect()
+    junk, clean = [r.text for r in scored[:2]], [r.text for r in scored[-2:]]
+    rows = [(None, junk[0]), (None, clean[0]), (7, junk[1]), (7, clean[1])]
+    docs = d.select("doc_id", "text").unionByName(spark.createDataFrame([(i if i is None else -i, t) for i, t in rows], "doc_id long, text string"))
+    kept = corpus_pipeline.keep_quality(spark, docs, sf).where("doc_id is null or doc_id < 0").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, clean[0]), (-7, clean[1])])
+
+
 def test_all_registered():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
