@@ -1,5 +1,7 @@
 """Golden cases of tables, described subjects, judging, knowledge and calibration fits."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +95,37 @@ def test_passages_and_answers(spark):
     assert answers[1].startswith("A heading of the page here This sentence") and len(answers[1]) <= 201
 
 
+def _evidence_score(question, text):
+    """The rule in plain Python."""
+    stop = "a an and are as at for from how in is of on or the to what when where which who why".split()
+    terms = lambda t: {w for w in re.findall("[a-z0-9]+", t.lower()) if w not in stop and len(w) > 1}
+    q, a, low = terms(question), terms(text), question.lower()
+    if not q:
+        return 0.5
+    place = re.search(r"\bcapital\s+of\s+([a-z][a-z\s]+?)(?:\?|\.|$)", low)
+    score = 0.2 + 0.7 * len(q & a) / len(q) + 0.2 * bool(place and "capital of " + " ".join(place[1].split()) in text.lower()) + 0.1 * (low.strip(" ?.") in text.lower())
+    return round(min(score, 1.0), 6) if q & a else None
+
+
+def test_evidence_equals_brute_force(spark):
+    questions = [(1, "What is the capital of  New Delhi?"), (2, "red fox runs"), (3, "何ですか"), (4, "who, why?"), (5, "Why be it that was?"), (6, None), (7, "mat cat."), (8, "unheard")]
+    passages = [
+        (1, 0, "runs fox red and more words that only make this passage longer than others"), (2, 0, "a red fox runs"), (3, 0, "the capital of new delhi is here"), (3, 1, "capital delhi new"), (4, 0, "Delhi, a new capital, is the one"),
+        (5, 0, "it was that"), (6, 0, "format category"), (6, 1, "the format cat"), (7, 0, "the format catalogue is read by a cat"), (8, 0, "red fox"), (9, 0, None),
+    ]
+    want = set()
+    for i, q in questions:
+        best = {}
+        for page, n, text in passages:
+            s = _evidence_score(q or "", text or "")
+            if s is not None:
+                best[page] = min(best.get(page, (9,)), (-s, -min(len(text or ""), 500), n))
+        want |= {(i, r, page, v[2], -v[0]) for r, (page, v) in enumerate(sorted(best.items(), key=lambda x: (x[1][0], x[0]))[:3], 1)}
+    got = ingest.evidence(spark.createDataFrame(questions, "q_id long, question string"), spark.createDataFrame(passages, "page_id long, passage_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == want
+    assert (2, 1, 2, 0, 1.0) in want and any(r[0] == 3 for r in want)
+
+
 def test_hidden_text(spark):
     html = '<p>seen</p><div style="display: none"><div><p>gone</p></div><p>gone too</p></div><p style="font-size:0.9em">small</p>'
     pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
