@@ -1,5 +1,6 @@
 """Golden cases of tables, described subjects, judging, knowledge and calibration fits."""
 
+import hashlib
 import re
 
 import numpy as np
@@ -126,6 +127,19 @@ def test_evidence_equals_brute_force(spark):
     assert (2, 1, 2, 0, 1.0) in want and any(r[0] == 3 for r in want)
 
 
+def test_prompts_hold_whole_documents(spark, tmp_path):
+    """One prompt for each chunk: no character of a long document is left out."""
+    from curatum.queries_more import QUERIES
+
+    text = " ".join(f"word{i}" for i in range(3000))
+    spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    parts = [(1, n, text[a:b].strip()) for n, (a, b) in enumerate(ingest.chunk_bounds(text, 4000, 200))] + [(2, 0, "short")]
+    assert len(parts) > 5 and {w for _, _, t in parts for w in t.split()} >= set(text.split())
+    head, tail = spark.range(1).select(knowledge.qa_prompt(F.lit("\x00"), "history")).first()[0].split("\x00")
+    want = {(i, n, hashlib.sha256((head + t + tail).encode()).hexdigest()) for i, n, t in parts}
+    assert {tuple(r) for r in QUERIES["qa_prompt_chunks"](spark, str(tmp_path)).collect()} == want
+
+
 def test_hidden_text(spark):
     html = '<p>seen</p><div style="display: none"><div><p>gone</p></div><p>gone too</p></div><p style="font-size:0.9em">small</p>'
     pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
