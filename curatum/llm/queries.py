@@ -56,6 +56,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.node_table(table(spark, sf_dir, "documents"))
 
 
+def quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4 over quotations of all levels; op4 itself keeps to level 1, as its oracle does."""
+    return quotes.reply_ordered(table(spark, sf_dir, "conversations"), whole=True)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,4 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_source_mixing, op3_lm_scoring, op4_quotation_linking, op5_line_dedup, op6_permutation_index, op7_matroska_packets, op8_wrapper_induction, op9_bpe_encoding, op10_minhash_near_dedup, pipeline)}
 
+#: Beside the numbered queries, without oracle.
+MORE = {"quotation_threads": quotation_threads}
+
 ORACLES = {"op2_source_mixing": mixing.ORACLE, "op4_quotation_linking": quotes.ORACLE}

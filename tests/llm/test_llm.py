@@ -177,6 +177,17 @@ def test_quotes_equal_oracle(spark):
     assert quotes.reply_ordered(df.limit(0)).count() == 0
 
 
+def test_quotes_of_all_levels(spark):
+    """Deeper quotations link where level 1 finds nothing, and a passage wrapped anew is found."""
+    rows = [
+        (1, 0, "The first message is here.\nIt has two lines."), (1, 1, "> The first message\n> is here. It has two lines.\nA reply."),
+        (1, 2, "> words of nobody\n>> The first message is here.\nStill linked."), (1, 3, ">>> A reply.\nOnly deep."), (1, 4, "> Still linked.\n>> The first message is here.\n>> It has two lines.\nLowest wins."), (2, 0, ">> never said"),
+    ]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_turn, r.root_turn, r.depth) for r in quotes.reply_ordered(df, whole=True).collect()}
+    assert got == {(1, 0): (None, 0, 0), (1, 1): (0, 0, 1), (1, 2): (0, 0, 1), (1, 3): (1, 0, 2), (1, 4): (2, 0, 2), (2, 0): (None, 0, 0)}
+
+
 def brute_lines(rows, min_words):
     """Later copies by comparing all windows of all sizes 2**k directly."""
     order = sorted(range(len(rows)), key=lambda n: (rows[n][0] is not None, rows[n][0] or 0))
