@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if configured is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="curatum-"))
-        configured = sc.getCheckpointDir()
-    return configured
+    """The folder driver and executors share: ``spark.checkpoint.dir``, or the warehouse's where it is unset."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/curatum-stored"
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many leading underscores as keep it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def store(df: DataFrame) -> DataFrame:

@@ -189,48 +189,60 @@ def test_quotes_of_all_levels(spark):
 
 
 def brute_lines(rows, min_words):
-    """Later copies by comparing all windows of all sizes 2**k directly."""
+    """Lines left when every run of at least min_words words that an earlier place holds whole is deleted."""
     order = sorted(range(len(rows)), key=lambda n: (rows[n][0] is not None, rows[n][0] or 0))
     seqs = {n: [x.strip(" \t\r\x0b\x0c") for x in (rows[n][1] or "").split("\n") if x.strip(" \t\r\x0b\x0c")] for n in order}
-    gone = {n: set() for n in order}
-    size = 1
-    while any(len(s) >= size for s in seqs.values()):
-        seen, later = set(), {n: [] for n in order}
-        for n in order:
-            for i in range(len(seqs[n]) - size + 1):
-                run = tuple(seqs[n][i : i + size])
-                if run in seen:
-                    later[n].append(i)
+    gone, seen = {n: set() for n in order}, set()
+    for n in order:
+        s = seqs[n]
+        for i in range(len(s)):
+            for j in range(i + 1, len(s) + 1):
+                run = tuple(s[i:j])
+                if run in seen and sum(len(WORD.findall(x)) for x in run) >= min_words:
+                    gone[n] |= set(range(i, j))
                 seen.add(run)
-        for n, at in later.items():
-            chains = []
-            for i in at:
-                if size > 1 and chains and chains[-1][1] == i - 1:
-                    chains[-1][1] = i
-                else:
-                    chains.append([i, i])
-            for a, b in chains:
-                if sum(len(WORD.findall(x)) for x in seqs[n][a : b + size]) >= min_words:
-                    gone[n] |= set(range(a, b + size))
-        size *= 2
     return {n: [x for i, x in enumerate(seqs[n]) if i not in gone[n]] for n in order}
 
 
+def left_lines(text):
+    return None if text is None else [x.strip() for x in text.split("\n") if x.strip()]
+
+
 def test_line_dedup_equals_brute_force(spark, docs, empty):
     rng = random.Random(2)
     lines = [" ".join(rng.choice("abcdefgh") + str(i) for _ in range(rng.randint(1, 6))) for i in range(30)]
-    rows = [(i, "\n".join(rng.choice(lines) if rng.random() < 0.5 else f"own {i} {j}" for j in range(rng.randint(1, 25)))) for i in range(40)]
-    rows += [(50, rows[3][1]), (51, "\n\n"), (None, rows[5][1]), (52, None), (53, "")]
-    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, m string")
-    got = {r.doc_id: r.text for r in linededup.dedup_lines(df, min_words=8).collect()}
-    want = brute_lines(rows, 8)
-    for n, (i, text) in enumerate(rows):
-        left = None if got[i] is None else [x.strip() for x in got[i].split("\n") if x.strip()]
-        assert left == (None if text is None else want[n]), i
+    rows = [(i, "\n".join(rng.choice(lines) if rng.random() < 0.6 else f"own {i} {j}" for j in range(rng.randint(1, 25)))) for i in range(40)]
+    rows += [(60 + i, "\n".join(rows[i][1].split("\n")[2:-1] + ["tail"] + rows[i + 1][1].split("\n")[1:])) for i in range(8)]
+    rows += [(50, rows[3][1]), (51, "\n\n"), (None, rows[5][1]), (52, None), (53, ""), (80, "a\n" * 40), (81, "a\n" * 30)]
+    df = spark.createDataFrame([(*r, "k", 1, 2) for r in rows], "doc_id long, text string, d string, h long, _marks long")
+    for least in (1, 10):
+        got = {r.doc_id: r.text for r in linededup.dedup_lines(df, min_words=least).collect()}
+        want = brute_lines(rows, least)
+        for n, (i, text) in enumerate(rows):
+            assert left_lines(got[i]) == (None if text is None else want[n]), (least, i)
+    assert linededup.dedup_lines(df).columns == [*df.columns, "n_lines", "n_deleted"]
+    assert linededup.dedup_lines(df.withColumn("n_deleted", F.lit("x"))).columns == [*df.columns, "n_lines", "n_deleted"]
     assert linededup.dedup_lines(docs).count() == docs.count()
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_asks_for_one_earlier_place(spark):
+    """A run whose pieces come from different places is no copy; a run that one place holds is."""
+    a, b, c = "one two three", "four five six", "seven eight nine"
+    join = "\n".join
+    rows = [(0, join([a, b])), (1, join([b, c])), (2, join([a, b, c])), (3, join([a, b, c]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_deleted for r in linededup.dedup_lines(df, min_words=9).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
+def test_line_dedup_of_frequent_lines(spark, monkeypatch):
+    """With room for one frequent name only, the rest is joined by shuffle, with equal results."""
+    monkeypatch.setattr(linededup, "HOT", 1)
+    rows = [(i, "\n".join(["shared line of a whole dozen words that is put in every text here", f"own {i % 3} line"])) for i in range(50)]
+    got = {r.doc_id: left_lines(r.text) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(50)] == list(brute_lines(rows, 10).values())
+
+
 def test_ann_recall_and_edges(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     p = df.toPandas()
