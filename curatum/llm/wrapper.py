@@ -1,32 +1,43 @@
 """Main text of web pages by wrapper induction.
 
-Each page's DOM is reduced to a small ordered tree of labelled slots (tag and class; repeated
-siblings are one slot) with a fingerprint of each slot's own text. Pages of one host are
-aligned with reference pages of the host by simple tree matching; aligned slots vote: equal
-text for template, different text for content. Slots whose votes over all pages of the host
-are nearly all equal become the host's template; all others are varying slots.
-
-The text of a page is what lies in its content region (article or main, else the body),
-without elements whose role says otherwise (navigation, header, footer, sidebar, notice,
-advert, form, script, style, reader comments) and without its host's template slots. Character
-references are decoded, white space inside a block becomes one space, blocks are joined by
-one space in page order.
-
-Plan: pages are scanned once for trees, whose rows are some hundred bytes; references and
-votes are grouped by host with partial aggregation; the template list, one row per host that
-has any, is stored, so that Spark broadcasts it if its measured size allows and joins by
-shuffle otherwise. The html itself is never shuffled unless that list is large.
+Each page's DOM is reduced to an ordered tree of slots: a slot is a path of labels (tag, class
+and id, long numbers dropped), siblings with one label are one slot, and each slot has a fingerprint
+and a length of its own text. Pages of one host are aligned with reference pages by simple
+tree matching: of the slots that two parents share, the heaviest sequence in the same order on
+both sides is matched. Aligned slots vote: the same text speaks for template, different text for
+content, with its length. Only pairs of pages that differ in a fifth of their text or more vote,
+so copies of one article do not make it a template.
+
+The votes of all pages of a host decide. A slot whose votes are nearly all equal is template:
+its text, known by its fingerprint, is dropped wherever it stands. The content region is found
+by going down from the root to the child that holds most of the host's varying text, as long as
+there is one. The text of a page is that of its region, without template slots and without
+elements whose role says otherwise (navigation, header, footer, sidebar, notice, advert, form,
+script, style, reader comments). Roles and the tags article and main break ties, and they decide
+alone on hosts whose pages gave no votes. Names that may also mark a part of the article
+(related, share, subscribe ...) count inside a region only where most of the text is links.
+Character references are decoded, white space inside a block becomes one space, blocks are
+joined by one space in page order.
+
+References are ``host_refs`` contents of each host and the first and last of each (host, layout),
+chosen by hash: a fixed number of comparisons a page, while every page votes.
+
+Plan: pages are scanned once for trees of some hundred bytes; references and votes are grouped
+with partial aggregation; wrappers, one row per host, are stored, so that Spark broadcasts them
+if their measured size allows and joins by shuffle otherwise. The html itself is never
+shuffled unless that table is large. Parsing and matching are iterative and take time in
+proportion to the page, whatever its depth or the number of siblings.
 
 Defined cases: null and empty pages give an empty text; a page without tags is its whole text;
-a null url is a host of its own; a host with one page has no template; pages with equal
-texts in every slot do not vote on each other; repeated rows are extracted alike.
+a null url is a host of its own; a host whose pages do not vote has no wrapper; a page that
+would lose all its text to the wrapper is read without it; repeated rows are extracted alike
+and vote once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html as _html
-import json
 import re
 from collections import Counter
 
@@ -34,37 +45,50 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .support import store
+from .tokens import slices
 
 _RAW = "script|style|noscript|template|textarea|svg|iframe|select"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|(?P<text>[^<]+|<)", re.S | re.I)
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _OUT_TAGS = frozenset("head nav footer aside form button dialog menu title option".split())
 _MAIN_TAGS = frozenset(("article", "main"))
 _ROLES_OUT = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+_EDGES = r"(?:^|[\s_-])(?:{})(?:$|[\s_-])"
 _OUT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|promotions?|menus?|nav|navbar|navigation|topbar|toolbar|sidebars?|footers?|site-header|page-header|masthead|cookies?|consent|gdpr|notices?|alerts?|comments?|commentlist|respond|replies|share|sharing|social|related|breadcrumbs?|popups?|modals?|overlays?|newsletters?|subscribe|subscription|signup|widgets?|disqus|copyright|pagination|pager)(?:$|[\s_-])",
+    _EDGES.format("ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|menus?|nav|navbar|navigation|topbar|toolbar|sidebars?|footers?|site-header|page-header|masthead|cookies?|consent|gdpr|notices?|comments?|commentlist|respond|replies|breadcrumbs?|popups?|modals?|overlays?|disqus"),
     re.I,
-)
+)
+_MAYBE_NAMES = re.compile(_EDGES.format("promos?|promotions?|alerts?|share|sharing|social|related|newsletters?|subscribe|subscription|signup|widgets?|copyright|pagination|pager"), re.I)
+_DIGITS = re.compile(r"\d{3,}")
+#: Elements that hold blocks: only these can be a content region.
+_BOXES = frozenset("# html body div section article main center table tbody tr td form fieldset".split())
 #: Closed by the start of the tag: an open element of these kinds ends when the tag begins.
 _CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "body": {"head"}}
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 class Page:
-    """Nodes of a page in order: parent, label, tag, state, and (node, text) runs with block breaks."""
+    """Nodes of a page in order (parent, tag, slot, roles) and its (node, text) runs with block breaks."""
 
-    __slots__ = ("label", "main", "out", "parent", "runs", "tag")
-
-    def __init__(self, source: str):
-        self.parent, self.tag, self.label, self.out, self.main = [-1], ["#"], ["#"], [False], [False]
+    def __init__(self, source: str, names: bool = True):
+        self.names = names
+        self.parent, self.tag, self.slot, self.out, self.maybe = [-1], ["#"], [0], [False], [False]
+        self.sig, self.above = [_digest(0, "#")], [-1]  # of each slot: path digest, parent slot
         self.runs: list[tuple[int, str | None]] = []
         self._read(source)
 
     def _read(self, source: str) -> None:
-        parent, tag, label, out, main, runs = self.parent, self.tag, self.label, self.out, self.main, self.runs
-        here = 0
+        parent, tag, slot, out, maybe, runs = self.parent, self.tag, self.slot, self.out, self.maybe, self.runs
+        slots: dict[tuple[int, str], int] = {}
+        inside, here = [False], 0
+        opened: Counter = Counter()
+
+        def leave(n: int) -> int:
+            opened[tag[n]] -= 1
+            return parent[n]
+
         for m in _TOKEN.finditer(source):
             text = m["text"]
             if text is not None:
@@ -77,121 +101,186 @@ class Page:
             if name not in _INLINE:
                 runs.append((here, None))
             if m["end"]:
-                n = here
-                while n > 0 and tag[n] != name:
-                    n = parent[n]
-                if n > 0:
-                    here = parent[n]
+                if opened[name] > 0:
+                    while tag[here] != name:
+                        here = leave(here)
+                    here = leave(here)
                 continue
             if name in _VOID:
                 continue
-            if name == "p" or (name not in _INLINE and name in _HEADINGS):
+            if name == "p" or name in _HEADINGS:
                 n = here  # a paragraph ends where the next block begins, through unclosed inline elements
-                while n > 0 and (tag[n] in _INLINE or tag[n] == "p"):
-                    if tag[n] == "p":
-                        here = parent[n]
+                while tag[n] in _INLINE:
                     n = parent[n]
+                if tag[n] == "p":
+                    while here != n:
+                        here = leave(here)
+                    here = leave(here)
             elif name in _CLOSES and tag[here] in _CLOSES[name]:
-                here = parent[here]
+                here = leave(here)
                 if name == "tr" and tag[here] == "tr":
-                    here = parent[here]
-            names, role = "", ""
+                    here = leave(here)
+            label, role = "", ""
             if m["rest"]:
                 for a in _ATTR.finditer(m["rest"]):
-                    value = a[2] or a[3] or a[4] or ""
-                    if a[1].lower() == "role":
-                        role = value.lower()
-                    else:
-                        names += " " + value
-            inside = main[here]
-            bad = out[here] or name in _OUT_TAGS or role in _ROLES_OUT or (name == "header" and not inside) or (name not in ("html", "body") and bool(names) and bool(_OUT_NAMES.search(names)))
+                    key = a[1].lower()
+                    if key == "role":
+                        role = (a[2] or a[3] or a[4] or "").lower()
+                    elif key in ("class", "id"):
+                        label += " " + (a[2] or a[3] or a[4] or "")
+            named = self.names and label and name not in ("html", "body")
+            bad = out[here] or name in _OUT_TAGS or role in _ROLES_OUT or (name == "header" and not inside[here]) or bool(named and _OUT_NAMES.search(label))
+            key = (slot[here], name + _DIGITS.sub("#", label))
+            if key not in slots:
+                slots[key] = len(self.sig)
+                self.sig.append(_digest(self.sig[slot[here]], key[1]))
+                self.above.append(slot[here])
             parent.append(here)
             tag.append(name)
-            label.append(name + "." + names.strip() if names else name)
+            slot.append(slots[key])
             out.append(bad)
-            main.append(inside or (not bad and (name in _MAIN_TAGS or role == "main")))
+            maybe.append(maybe[here] or bool(named and _MAYBE_NAMES.search(label)))
+            inside.append(inside[here] or (not bad and (name in _MAIN_TAGS or role == "main")))
             here = len(parent) - 1
+            opened[name] += 1
             if m["rest"].endswith("/") and name not in _INLINE and name not in ("p", "div", "article", "main", "section"):
-                here = parent[here]
-
-    def signatures(self) -> list[str]:
-        """Path of labels of each node, as a short digest."""
-        paths, out = [], []
-        for p, name in zip(self.parent, self.label, strict=True):
-            paths.append((paths[p] if p >= 0 else "") + "/" + name)
-            out.append(paths[-1])
-        known: dict[str, str] = {}
-        return [known[x] if x in known else known.setdefault(x, hashlib.blake2b(x.encode(), digest_size=8).hexdigest()) for x in out]
-
-    def text(self, template: frozenset[str] = frozenset()) -> str:
-        """Main text, without the slots in ``template``."""
-        whole = not any(self.main)
-        use = [not o and (whole or m) for o, m in zip(self.out, self.main, strict=True)]
-        if template:
-            marks = self.signatures()
-            for n in range(1, len(use)):  # a template slot's own text goes; its children are judged by their own slots
-                use[n] = use[n] and marks[n] not in template
-        parts = [" " if t is None else t for n, t in self.runs if t is None or use[n]]
-        return " ".join(_html.unescape("".join(parts)).split())
-
-    def tree(self) -> list:
-        """[label, signature, text fingerprint, children]; equal neighbouring siblings are one slot."""
-        marks = self.signatures()
-        texts: dict[int, list[str]] = {}
+                here = leave(here)
+        self.inside = inside
+
+    def own_texts(self) -> tuple[list[int], list[int]]:
+        """Fingerprint (0 without text) and length of each slot's own text."""
+        found: list[list[str]] = [[] for _ in self.sig]
         for n, t in self.runs:
             if t is not None and not t.isspace():
-                texts.setdefault(n, []).append(t)
-        root = [self.label[0], marks[0], [], []]
-        slots = [root]
+                found[self.slot[n]].append(t)
+        texts = [" ".join(" ".join(x).split()) for x in found]
+        return [_digest(1, x) if x else 0 for x in texts], [len(x) for x in texts]
+
+    def text(self, wrapper: dict[int, tuple[int | None, float]] | None = None) -> str:
+        """Main text, by the host's ``wrapper``: slot digest -> (template fingerprint or None, varying length)."""
+        found = self._by_wrapper(wrapper) if wrapper else ""
+        return found or self._by_roles()
+
+    def _joined(self, use: list[bool]) -> str:
+        return " ".join(_html.unescape("".join(" " if t is None else t for n, t in self.runs if t is None or use[n])).split())
+
+    def _by_roles(self) -> str:
+        whole = not any(self.inside)
+        return self._joined([not o and not m and (whole or i) for o, m, i in zip(self.out, self.maybe, self.inside, strict=True)])
+
+    def _by_wrapper(self, wrapper: dict[int, tuple[int | None, float]]) -> str:
+        n_slots = len(self.sig)
+        tags, bad = [""] * n_slots, [False] * n_slots
+        for n, s in enumerate(self.slot):
+            tags[s], bad[s] = self.tag[n], self.out[n]
+        mass = [0.0 if b else wrapper.get(x, (None, 0.0))[1] for x, b in zip(self.sig, bad, strict=True)]
+        children: list[list[int]] = [[] for _ in range(n_slots)]
+        for s in range(n_slots - 1, 0, -1):
+            mass[self.above[s]] += mass[s]
+            children[self.above[s]].append(s)
+        if not mass[0]:
+            return ""
+        region = 0
+        while children[region]:
+            best = max(children[region], key=lambda s: mass[s])
+            if tags[best] not in _BOXES or mass[best] < 0.6 * mass[region]:
+                break
+            region = best
+        held = [False] * n_slots
+        for s in range(region, n_slots):
+            held[s] = s == region or (s > 0 and held[self.above[s]])
+        mains = [s for s in range(n_slots) if held[s] and s != region and tags[s] in _MAIN_TAGS and mass[s] >= 0.5 * mass[region]]
+        if mains:  # slots come after their parents: the first is the outermost
+            held = [s == mains[0] or (s > mains[0] and held[s]) for s in range(n_slots)]
+            for s in range(mains[0] + 1, n_slots):
+                held[s] = held[self.above[s]]
+        own = self.own_texts()[0]
+        gone = [own[s] != 0 and wrapper.get(x, (None, 0.0))[0] == own[s] for s, x in enumerate(self.sig)]
+        links = self._link_lists() if any(self.maybe) else self.maybe
+        return self._joined([held[s] and not gone[s] and not self.out[n] and not links[n] for n, s in enumerate(self.slot)])
+
+    def _link_lists(self) -> list[bool]:
+        """Nodes in an element whose name may say that it is no content and whose text is mostly links."""
+        size, linked = [0] * len(self.parent), [0] * len(self.parent)
+        in_link = [False] * len(self.parent)
+        for n in range(1, len(self.parent)):
+            in_link[n] = self.tag[n] == "a" or in_link[self.parent[n]]
+        for n, t in self.runs:
+            if t is not None:
+                k = len(t.strip())
+                size[n] += k
+                linked[n] += k * in_link[n]
+        for n in range(len(self.parent) - 1, 0, -1):
+            size[self.parent[n]] += size[n]
+            linked[self.parent[n]] += linked[n]
+        out = [False] * len(self.parent)
         for n in range(1, len(self.parent)):
-            above = slots[self.parent[n]]
-            if above[3] and above[3][-1][1] == marks[n]:
-                slots.append(above[3][-1])
-            else:
-                above[3].append([self.label[n], marks[n], [], []])
-                slots.append(above[3][-1])
-        for n, found in texts.items():
-            slots[n][2] += found
-        stack = [root]
-        while stack:
-            slot = stack.pop()
-            slot[2] = hashlib.blake2b("\0".join(slot[2]).encode(), digest_size=8).hexdigest() if slot[2] else ""
-            stack += slot[3]
-        return root
-
-
-def _weights(a: list, b: list, memo: dict) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: size of the largest order-keeping match of two slots and their matched children."""
-    key = (id(a), id(b))
-    if key not in memo:
-        x, y = a[3], b[3]
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i, p in enumerate(x, 1):
-            row, above = best[i], best[i - 1]
-            for j, q in enumerate(y, 1):
-                w = above[j - 1] + (_weights(p, q, memo)[0] if p[0] == q[0] else 0)
-                row[j] = max(w, row[j - 1], above[j])
-        pairs, i, j = [], len(x), len(y)
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((i, j))
-        memo[key] = (1 + best[len(x)][len(y)], pairs)
-    return memo[key]
-
-
-def matched(a: list, b: list) -> list[tuple[list, list]]:
-    """Aligned slots of two trees."""
-    memo: dict = {}
-    out, stack = [], [(a, b)] if a[0] == b[0] else []
+            out[n] = out[self.parent[n]] or (self.maybe[n] and not self.maybe[self.parent[n]] and 2 * linked[n] > size[n])
+        return out
+
+
+_digests: dict[tuple[int, str], int] = {}
+
+
+def _digest(seed: int, text: str) -> int:
+    """A signed 64-bit digest; those of short texts, which recur, are kept."""
+    key = (seed, text)
+    if key in _digests:
+        return _digests[key]
+    x = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, salt=seed.to_bytes(9, "little", signed=True)).digest(), "little", signed=True) or 1
+    if len(text) < 100:
+        if len(_digests) > 50_000:
+            _digests.clear()
+        _digests[key] = x
+    return x
+
+
+def heaviest_increasing(places: list[int], weights: list[int]) -> list[int]:
+    """Indexes of the heaviest strictly increasing subsequence of distinct ``places``, in n log n."""
+    if all(a < b for a, b in zip(places, places[1:], strict=False)):
+        return list(range(len(places)))
+    rank = {p: i + 1 for i, p in enumerate(sorted(places))}
+    tree: list[tuple[int, int]] = [(0, -1)] * (len(places) + 1)
+    before, best = [-1] * len(places), (0, -1)
+    for i, (p, w) in enumerate(zip(places, weights, strict=True)):
+        at, top = rank[p] - 1, (0, -1)
+        while at > 0:
+            top, at = max(top, tree[at]), at & (at - 1)
+        before[i], mine, at = top[1], (top[0] + w, i), rank[p]
+        best = max(best, mine)
+        while at <= len(places):
+            tree[at] = max(tree[at], mine)
+            at += at & -at
+    out, i = [], best[1]
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
+def aligned(a: tuple[list[int], list[int]], b: tuple[list[int], list[int]]) -> list[tuple[int, int]]:
+    """Simple tree matching of two slot trees (digests, parents; parents first): matched slot pairs.
+
+    Slots with one digest have one path of labels, so they can only be matched with each other;
+    among the shared children of two slots the heaviest sequence in common order is.
+    """
+    in_b = {x: j for j, x in enumerate(b[0])}
+    shared = [in_b.get(x, -1) for x in a[0]]
+    children: dict[int, list[int]] = {}
+    for i in range(1, len(a[0])):
+        if shared[i] >= 0:
+            children.setdefault(a[1][i], []).append(i)
+    weight = [1] * len(a[0])
+    for i in range(len(a[0]) - 1, -1, -1):
+        if i in children:
+            own = children[i]
+            children[i] = [own[x] for x in heaviest_increasing([shared[j] for j in own], [weight[j] for j in own])]
+            weight[i] += sum(weight[j] for j in children[i])
+    out, stack = [], [0] if shared and shared[0] >= 0 else []
     while stack:
-        x, y = stack.pop()
-        out.append((x, y))
-        stack += [(x[3][i], y[3][j]) for i, j in _weights(x, y, memo)[1]]
+        i = stack.pop()
+        out.append((i, shared[i]))
+        stack += children.get(i, ())
     return out
 
 
@@ -199,53 +288,88 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
 
 
-_DEEP = 200
+_TREE = "struct<layout:bigint,sig:array<bigint>,above:array<int>,print:array<bigint>,size:array<int>>"
 
 
-def _trees(batches):
-    for batch in batches:
-        out = []
-        for source in batch.column(2).to_pylist():
-            page = Page(source or "")
-            depth = [0] * len(page.parent)
-            for n in range(1, len(depth)):
-                depth[n] = depth[page.parent[n]] + 1
-            out.append(json.dumps(page.tree()) if max(depth) < _DEEP else None)  # deeper nests than any template are not aligned
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["order", "host", "tree"])
+def _tree_maker(names: bool):
+    def trees(batches):
+        for batch in (p for whole in batches for p in slices(whole, 1)):
+            rows, content = [], []
+            for source in batch.column(1).to_pylist():
+                page = Page(source or "", names)
+                prints, sizes = page.own_texts()
+                rows.append({"layout": _digest(2, repr(page.sig)), "sig": page.sig, "above": page.above, "print": prints, "size": sizes})
+                content.append(_digest(3, repr((page.sig, prints))))
+            kind = pa.struct([("layout", pa.int64()), ("sig", pa.list_(pa.int64())), ("above", pa.list_(pa.int32())), ("print", pa.list_(pa.int64())), ("size", pa.list_(pa.int32()))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.int64()), pa.array(rows, kind)], names=["host", "content", "tree"])
+
+    return trees
 
 
 def _votes(batches):
+    """(host, slot, print, n, size): votes for a constant text, or with a null print for varying text."""
+    known: dict = {}
     for batch in batches:
-        votes: Counter = Counter()
-        for host, tree, refs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            a = json.loads(tree)
+        votes: dict[tuple, list[int]] = {}
+        for host, content, a, refs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             for ref in refs:
-                pairs = [(x, y) for x, y in matched(a, json.loads(ref)) if x[2] or y[2]] if ref != tree else []
-                for x, y in pairs:
-                    votes[host, x[1], x[2] == y[2]] += 1
+                if ref["content"] == content:
+                    continue
+                b = ref["tree"]
+                key = (a["layout"], b["layout"])
+                if key not in known:
+                    if len(known) > 2000:
+                        known.clear()
+                    known[key] = aligned((a["sig"], a["above"]), (b["sig"], b["above"]))
+                pairs = [(i, a["print"][i] == b["print"][j]) for i, j in known[key] if a["print"][i] or b["print"][j]]
+                if 5 * sum(a["size"][i] for i, same in pairs if same) > 4 * sum(a["size"]):
+                    continue  # copies of one article: no evidence of what is template
+                for i, same in pairs:
+                    vote = votes.setdefault((host, a["sig"][i], a["print"][i] if same else None), [0, 0])
+                    vote[0] += 1
+                    vote[1] += a["size"][i]
         rows = list(votes.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([k[2] for k, _ in rows], pa.bool_()), pa.array([n for _, n in rows], pa.int64())], names=["host", "slot", "same", "n"])
-
-
-def induce(pages: DataFrame, *, least_votes: int = 4, same_share: float = 0.9) -> DataFrame:
-    """(host, template): the signatures of each host's template slots."""
-    trees = store(pages.select(F.xxhash64("page_id", "url").alias("order"), host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_trees, "order long, host string, tree string").where("tree is not null"))
-    ends = trees.groupBy("host").agg(F.min(F.struct("order", "tree")).alias("a"), F.max(F.struct("order", "tree")).alias("b")).where("a.order <> b.order")
-    refs = store(ends.select("host", F.array("a.tree", "b.tree").alias("refs")))
-    votes = trees.join(refs, "host").select("host", "tree", "refs").mapInArrow(_votes, "host string, slot string, same boolean, n long")
-    slots = votes.groupBy("host", "slot").agg(F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("same"), F.sum("n").alias("n"))
-    return slots.where((F.col("n") >= least_votes) & (F.col("same") >= same_share * F.col("n"))).groupBy("host").agg(F.sort_array(F.collect_set("slot")).alias("template"))
-
-
-def main_text(pages: DataFrame, **parameters) -> DataFrame:
-    """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html)."""
-    templates = store(induce(pages, **parameters).withColumnRenamed("host", "_host"))
+        columns = [pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int64()), pa.array([k[2] for k, _ in rows], pa.int64()), pa.array([v[0] for _, v in rows], pa.int64()), pa.array([v[1] for _, v in rows], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["host", "slot", "print", "n", "size"])
+
+
+def induce(pages: DataFrame, *, least_votes: int = 2, same_share: float = 0.9, host_refs: int = 4, names: bool = True) -> DataFrame:
+    """(host, wrapper): for each host whose pages vote, its slots with template fingerprint or null and mean varying length.
+
+    Slots with less than a hundredth of the votes of their host's commonest slot are left out, which
+    bounds a wrapper by a hundred times the slots of a page.
+    """
+    slim = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
+    trees = store(slim.mapInArrow(_tree_maker(names), f"host string, content bigint, tree {_TREE}").dropDuplicates(["host", "content"]))
+    ref = F.struct(F.xxhash64("content").alias("o"), F.col("content"), F.col("tree"))
+    by_host = trees.groupBy("host", F.pmod(F.xxhash64("content", F.lit(7)), F.lit(host_refs)).alias("part")).agg(F.min(ref).alias("r")).groupBy("host").agg(F.collect_list("r").alias("refs"))
+    by_layout = trees.groupBy("host", F.col("tree.layout").alias("layout")).agg(F.min(ref).alias("lo"), F.max(ref).alias("hi")).where("lo.content <> hi.content").select("host", "layout", F.array("lo", "hi").alias("own"))
+    by_host, by_layout = store(by_host), store(by_layout.withColumnRenamed("host", "host2"))
+    asked = trees.join(by_host, "host").join(by_layout, (F.col("host") == F.col("host2")) & (F.col("tree.layout") == F.col("layout")), "left")
+    asked = asked.select("host", "content", "tree", F.array_distinct(F.concat("refs", F.coalesce("own", F.expr("array()")))).alias("refs"))
+    votes = asked.mapInArrow(_votes, "host string, slot bigint, print bigint, n bigint, size bigint").groupBy("host", "slot", "print").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    slots = votes.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("print").isNull(), F.col("size")).otherwise(0)).alias("varying"), F.max(F.when(F.col("print").isNotNull(), F.struct("n", "print"))).alias("top"))
+    slots = store(slots)
+    most = slots.groupBy(F.col("host").alias("host2")).agg(F.max("n").alias("most"))
+    fixed = F.when((F.col("n") >= least_votes) & (F.col("top.n") >= same_share * F.col("n")), F.col("top.print"))
+    kept = slots.join(most, F.col("host") == F.col("host2")).where("100 * n >= most").select("host", F.struct("slot", fixed.alias("print"), (F.col("varying") / F.col("n")).alias("mass")).alias("x"))
+    return kept.where("x.print is not null or x.mass > 0").groupBy("host").agg(F.sort_array(F.collect_list("x")).alias("wrapper"))
+
+
+def main_text(pages: DataFrame, *, names: bool = True, **parameters) -> DataFrame:
+    """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html).
+
+    Without ``names`` class and id names say nothing about roles.
+    """
+    wrappers = store(induce(pages, names=names, **parameters).withColumnRenamed("host", "_host"))
 
     def extract(batches):
-        for batch in batches:
-            texts = [Page(source or "").text(frozenset(t or ())) for source, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        for batch in (p for whole in batches for p in slices(whole, 2)):
+            texts = []
+            for source, slots in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                texts.append(Page(source or "", names).text({x["slot"]: (x["print"], x["mass"]) for x in slots} if slots else None))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     slim = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    joined = slim.join(templates, host_of(F.col("url")) == F.col("_host"), "left").select("page_id", "url", "html", "template")
+    joined = slim.join(wrappers, host_of(F.col("url")) == F.col("_host"), "left").select("page_id", "url", "html", "wrapper")
     return joined.mapInArrow(extract, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

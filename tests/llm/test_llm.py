@@ -302,6 +302,89 @@ def test_wrapper(spark):
     assert wrapper.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def extracted(spark, rows, **parameters):
+    found = wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), **parameters)
+    return {r.page_id: r.text for r in found.collect()}
+
+
+def sentence(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+
+
+def test_wrapper_decides_without_names(spark):
+    """Class names that say nothing: constant parts are template, the varying bulk is content."""
+    rng = random.Random(8)
+    rows, want = [], {}
+    for i in range(12):
+        h, a, b = sentence(rng, 4), sentence(rng, 60), sentence(rng, 50)
+        html = f"<div class=k1>Home Archive About us</div><div class=k2>{sentence(rng, 5)}</div><div class=k3><h1>{h}</h1><div class=k4>Posted by the editors of this site</div><p>{a}</p><p>{b}</p></div><div class=k5>{sentence(rng, 6)}</div>"
+        rows.append((i, f"http://h.example/{i}", f"<html><body>{html}</body></html>"))
+        want[i] = f"{h} {a} {b}"
+    assert extracted(spark, rows, names=False) == want
+    assert wrapper.Page(rows[0][2], names=False).text() != want[0]
+    assert extracted(spark, rows[:2]) == {i: want[i] for i in (0, 1)}  # two pages are enough
+
+
+def test_wrapper_takes_the_varying_bulk_before_teaser_articles(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for i in range(10):
+        body = [sentence(rng, 40) for _ in range(3)]
+        cards = "".join(f"<article class=card><h3>{sentence(rng, 4)}</h3></article>" for _ in range(4))
+        share = "<div class=related-work><p>%s</p></div>" % sentence(rng, 12)
+        rows.append((i, f"http://t.example/{i}", "<body><div class=text>" + "".join(f"<p>{x}</p>" for x in body) + share + "</div>" + cards + "</body>"))
+        want[i] = " ".join(body) + " " + share[share.index("<p>") + 3 : share.index("</p>")]
+    assert extracted(spark, rows) == want
+
+
+def test_wrapper_leaves_copies_of_one_article(spark):
+    """Pages that differ in the advert only do not make their article a template."""
+    rng = random.Random(10)
+    text = sentence(rng, 200)
+    rows = [(i, f"http://c.example/{i}", f"<div class=x>{sentence(rng, 5)}</div><div class=y><p>{text}</p></div>") for i in range(9)]
+    assert all(text in x for x in extracted(spark, rows).values())
+
+
+def test_tree_matching_equals_dynamic_programming():
+    rng = random.Random(4)
+
+    def tree(path, depth):
+        kids = rng.sample(range(6), rng.randint(0, 5)) if depth < 4 else []
+        return path, [tree(path + (k,), depth + 1) for k in kids]
+
+    def flat(root):
+        paths, above, stack = [], [], [(root, -1)]
+        while stack:
+            (path, kids), up = stack.pop(0)
+            paths.append(hash(path))
+            above.append(up)
+            stack += [(k, len(paths) - 1) for k in kids]
+        return paths, above
+
+    def best(a, b):
+        grid = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+        for i, x in enumerate(a[1], 1):
+            for j, y in enumerate(b[1], 1):
+                grid[i][j] = max(grid[i - 1][j], grid[i][j - 1], grid[i - 1][j - 1] + best(x, y) if x[0] == y[0] else 0)
+        return 1 + grid[-1][-1]
+
+    for _ in range(200):
+        a, b = tree((), 0), tree((), 0)
+        assert len(wrapper.aligned(flat(a), flat(b))) == best(a, b)
+
+
+def test_wrapper_reads_wide_and_deep_pages_in_seconds():
+    import time
+
+    began = time.time()
+    wide = wrapper.Page("<body>" + "".join(f"<x{i}>a</x{i}>" for i in range(20_000)))
+    turned = wrapper.Page("<body>" + "".join(f"<x{i}>b</x{i}>" for i in reversed(range(20_000))))
+    assert len(wrapper.aligned((wide.sig, wide.above), (turned.sig, turned.above))) == 3
+    assert wrapper.Page("<div>" * 50_000 + "deep").text({wrapper.Page("").sig[0]: (None, 1.0)}) == "deep"
+    assert wrapper.Page("<p data-id=ad title='id=menu class=nav'>kept</p>").text() == "kept"
+    assert time.time() - began < 20
+
+
 def test_bpe_equals_library(spark, docs, empty):
     from tokenizers import Tokenizer
 
