@@ -1,34 +1,45 @@
 """Language-model scoring with Elias-Fano n-gram tries.
 
-The model is a bigram model over words plus an end token, interpolated with unigrams:
-
-    p(w | u) = s(c(u)) * c(u, w) / c(u) + (1 - s(c(u))) * p(w)
-    p(w)     = (1 - m) * c(w) / N for known words, m for the class of unknown ones
-
-``m`` is the Good-Turing mass of words seen once. ``1 - s(c)`` is ``discount * d(c) / c``
-where ``d(c)`` is the mean number of distinct successors of a context seen c times, taken
-from all training data and continued as a power law. The distribution sums to one for
-every context.
-
-N-grams are spread over shards by hash. Each shard is a trie in compact flat buffers: the
-contexts (Elias-Fano), monotone pointers to their successors (Elias-Fano), the successors,
-stored relative to their context (Elias-Fano), and one byte per n-gram, a code of its
-log-probability relative to the training text. A lookup finds the context by successor
-search, then searches only that context's range. ``Trie.dump`` and ``Trie.open`` write and
-memory-map the same buffers as a file.
+The model is a trigram model over words plus an end token, each order mixed with the next
+lower one:
+
+    p(w | t u) = (1 - b3(c(t u))) * c(t u w) / c(t u) + b3(c(t u)) * p(w | u)
+    p(w | u)   = (1 - b2(c(u))) * c(u w) / c(u) + b2(c(u)) * p(w)
+    p(w)       = (1 - m) * c(w) / N for known words, m for the class of unknown ones
+
+``m`` is the Good-Turing mass of words seen once. ``b(c) = discount * c ** (beta - 1)`` is what
+absolute discounting takes, on average, from a context seen c times, if it has c ** beta
+distinct successors; beta is chosen, for each order, so that all contexts of the training
+texts together have as many successors as there are distinct n-grams. As b depends on the
+context's count alone, every distribution sums to one (up to the rounding of counts above
+2,048, half a percent at most), and as counts, counts of counts and numbers of n-grams are of
+all training texts, a score depends on neither the layout of the files nor the chunks.
+
+N-grams are spread over shards by hash, so that no frequent word or pair is one shard's burden.
+Each shard holds, for pairs and for triples, a trie in compact memory-mapped levels: the contexts
+(Elias-Fano), monotone pointers to their successors (Elias-Fano), the successors, named
+relative to their context (Elias-Fano), and for each n-gram a code of its quantised log-frequency. A lookup
+finds the context by successor search, then searches only that context's range. The division
+by the context's count and the mixing happen at lookup: storing the mixed probabilities would need all
+successors of a context in one shard. Words are 64-bit hashes. An n-gram is 32 bits of its context's hash
+and 32 bits of a hash of word and context, so that two n-grams are taken for one another with
+probability 2 ** -64, and 2 ** -32 if they share their context.
+``Trie.dump`` and ``Trie.open`` write the levels to a file and map it.
 
 Plan: texts are hashed once into chunks (word ids within the chunk, its distinct words);
-chunks send their distinct words and pairs to the shards, a shard merges all counts, builds
-its trie and answers with counts and codes; chunks join the answers and sum scores by
-document. Nothing but a few totals passes the driver.
+chunks send their distinct words, pairs and triples to the shards, a shard merges all counts, builds
+its tries and answers with counts and codes; chunks join the answers and sum scores by
+document. Nothing but a thousand totals passes the driver.
 
-Defined cases: null and empty texts are the end token alone; repeated rows are scored and
+Defined cases: null and empty texts are the end token alone; a text's first word has the end
+token as context and no triple; repeated rows are scored and
 counted like any others; rows with a null doc_id are held out by no rule, so they are scored
 but not learned; with no training text every probability is that of the unknown class.
 """
 
 from __future__ import annotations
 
+import mmap
 import struct
 
 import numpy as np
@@ -37,11 +48,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .support import store
-from .tokens import mix, word_hashes
+from .tokens import mix, slices, text_bytes, word_hashes
 
 _U = np.uint64
 END = _U(0x7D0CBA5E9F3B1A65)
-_BINS = 64
+_BINS = 256
+_LOW, _HIGH = _U(0xFFFFFFFF), _U(0xFFFFFFFF00000000)
+
+#: Counts of the codes 1, 2, ...: exact up to 2,048, then in steps of 1.1 %, up to 10 ** 13. Code 0 stands for none.
+BOOK = np.append(np.arange(2049.0), np.round(2048 * 1.011 ** np.arange(1, 2040)))
 
 
 def _squeeze(data: bytes) -> bytes:
@@ -137,35 +152,35 @@ class EliasFano:
 
 
 class Trie:
-    """Two trie levels of one shard: contexts, pointers, context-relative successors and codes."""
+    """Two trie levels: contexts, pointers, context-relative successors and codes, over one buffer."""
 
     def __init__(self, buffer):
         self.buffer = buffer
-        sizes = struct.unpack_from("<qqqqq", buffer)
-        at, parts = 40, []
+        sizes = struct.unpack_from("<qqqq", buffer)
+        at, parts = 32, []
         for size in sizes:
             parts.append(memoryview(buffer)[at : at + size])
             at += size
         self.contexts, self.pointers, self.successors = (EliasFano(p) for p in parts[:3])
-        self.codes, self.book = np.frombuffer(parts[3], np.uint8), np.frombuffer(parts[4], "<f4")
+        self.codes = np.frombuffer(parts[3], "<u2")
 
     @classmethod
-    def build(cls, pairs: np.ndarray, counts: np.ndarray) -> Trie:
-        """``pairs``: sorted distinct (context << 32 | word); ``counts``: their positive training counts."""
-        context, word = pairs >> _U(32), pairs & _U(0xFFFFFFFF)
+    def build(cls, keys: np.ndarray, counts: np.ndarray) -> Trie:
+        """``keys``: sorted distinct (context << 32 | word); ``counts``: their positive training counts."""
+        context, word = keys >> _U(32), keys & _LOW
         names, first = np.unique(context, return_index=True)
-        rank = np.repeat(np.arange(len(names), dtype=_U), np.diff(np.append(first, len(pairs))))
-        seen = np.unique(counts)
-        if len(seen) > 256:
-            seen = np.unique(np.round(np.geomspace(1, float(seen[-1]), 256)))
-        book = np.log10(seen.astype(float)).astype("<f4")
-        edge = (book[1:] + book[:-1]) / 2
-        codes = np.searchsorted(edge, np.log10(np.maximum(counts, 1))).astype(np.uint8)
+        rank = np.repeat(np.arange(len(names), dtype=_U), np.diff(np.append(first, len(keys))))
+        edges = np.sqrt(BOOK[1:-1] * BOOK[2:])
+        codes = (np.searchsorted(edges, counts) + 1).astype("<u2")
         parts = [
-            EliasFano.encode(names, 1 << 32), EliasFano.encode(np.append(first, len(pairs)).astype(_U), len(pairs) + 1),
-            EliasFano.encode((rank << _U(32)) | word, max(1, len(names)) << 32), codes.tobytes(), book.tobytes(),
+            EliasFano.encode(names, 1 << 32), EliasFano.encode(np.append(first, len(keys)).astype(_U), len(keys) + 1),
+            EliasFano.encode((rank << _U(32)) | word, max(1, len(names)) << 32), codes.tobytes(),
         ]
-        return cls(struct.pack("<qqqqq", *map(len, parts)) + b"".join(parts))
+        mapped = mmap.mmap(-1, 32 + sum(map(len, parts)))
+        mapped.write(struct.pack("<qqqq", *map(len, parts)))
+        for part in parts:
+            mapped.write(part)
+        return cls(mapped)
 
     def dump(self, path: str) -> None:
         with open(path, "wb") as f:
@@ -175,90 +190,82 @@ class Trie:
     def open(cls, path: str) -> Trie:
         return cls(np.memmap(path, np.uint8, "r"))
 
-    def lookup(self, pairs: np.ndarray) -> np.ndarray:
-        """log10 of the count of each pair as quantised, minus infinity where the trie has none."""
-        out = np.full(len(pairs), -np.inf, np.float32)
-        code, hit = self.lookup_codes(pairs)
-        out[hit] = self.book[code[hit]]
-        return out
-
-    def lookup_codes(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, zero = len(pairs), np.zeros(len(pairs), np.int64)
+    def lookup(self, keys: np.ndarray) -> np.ndarray:
+        """Code of each key, 0 where the trie has none."""
+        n, zero = len(keys), np.zeros(len(keys), np.int64)
         if not len(self.codes) or not n:
-            return np.zeros(n, np.uint8), np.zeros(n, bool)
-        at, known = self.contexts.successor(pairs >> _U(32), zero, np.full(n, self.contexts.n))
+            return np.zeros(n, "<u2")
+        at, known = self.contexts.successor(keys >> _U(32), zero, np.full(n, self.contexts.n))
         at = np.where(known, at, 0)
         start, stop = self.pointers.get(at).astype(np.int64), self.pointers.get(at + 1).astype(np.int64)
-        place, found = self.successors.successor((at.astype(_U) << _U(32)) | (pairs & _U(0xFFFFFFFF)), start, stop)
+        place, found = self.successors.successor((at.astype(_U) << _U(32)) | (keys & _LOW), start, stop)
         hit = known & found
-        return self.codes[np.where(hit, place, 0)], hit
+        return np.where(hit, self.codes[np.where(hit, place, 0)], 0).astype("<u2")
+
+
+def _before(stream: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The token before each token, the end token before a text's first."""
+    out = np.empty_like(stream)
+    out[1:] = stream[:-1]
+    out[first] = END
+    return out
+
+
+def n_grams(stream: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the pair and of the triple that end at each token; a text's first token has no triple (0)."""
+    u = _before(stream, first)
+    with np.errstate(over="ignore"):
+        pairs = (mix(u) & _HIGH) | (mix(u * _U(0xA24BAED4963EE407) + stream) >> _U(32))
+        context = mix(_before(u, first) * _U(0x9FB21C651E98DF25) + mix(u))
+        triples = (context & _HIGH) | (mix(context * _U(0xD6E8FEB86659FD93) + stream) >> _U(32))
+    triples[first] = 0
+    return pairs, triples
+
 
+def _firsts(lengths: np.ndarray) -> np.ndarray:
+    return np.cumsum(lengths) - lengths
 
-def _pairs(words: np.ndarray, index: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(context << 32 | word) of each token; a text's first token has the end token as context."""
-    stream = words[index]
-    context = np.empty_like(stream)
-    context[1:] = stream[:-1]
-    context[first] = END
-    return (context & _U(0xFFFFFFFF00000000)) | (stream & _U(0xFFFFFFFF))
 
+def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of ``keys`` by shard, and the bounds of the shards in it."""
+    shard = (mix(keys) % _U(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
+    return np.argsort(shard, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=shards))))
 
-_CHUNK = "chunk long, ids array<long>, train binary, lengths binary, words binary, stream binary, n_tokens long, n_train long, bin_n array<double>, bin_d array<double>"
+
+_CHUNK = "chunk long, ids array<long>, train binary, lengths binary, words binary, stream binary, n_tokens long"
 
 
 def _chunker(chunk_words: int):
     def cut(batches):
         from pyspark import TaskContext
 
-        task, serial = TaskContext.get().partitionId(), 0
+        task, serial, size = TaskContext.get().partitionId(), 0, 0
         held: list = []
-        size = 0
 
         def flush():
             nonlocal held, size, serial
             ids = [i for h in held for i in h[0]]
             train = np.concatenate([h[1] for h in held])
-            words, counts = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
-            lengths = counts + 1
+            words, lengths = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held]) + 1
             last = np.cumsum(lengths) - 1
             stream = np.empty(int(lengths.sum()), _U)
             body = np.ones(len(stream), bool)
             body[last] = False
             stream[body], stream[last] = words, END
             names, index = np.unique(stream, return_inverse=True)
-            learned = np.repeat(train, lengths)
-            pairs, times = np.unique(_pairs(names, index, last - lengths + 1)[learned], return_counts=True)
-            # distinct successors against occurrences, by the binary logarithm of the occurrences
-            _, first = np.unique(pairs >> _U(32), return_index=True)
-            bin_n, bin_d = np.zeros(_BINS), np.zeros(_BINS)
-            if len(pairs):
-                c = np.add.reduceat(times, first)
-                d = np.diff(np.append(first, len(pairs)))
-                b = np.log2(c).astype(int)
-                bin_n, bin_d = np.bincount(b, weights=np.log(c), minlength=_BINS), np.bincount(b, weights=np.log(d), minlength=_BINS)
-                size_b = np.maximum(np.bincount(b, minlength=_BINS), 1)
-                bin_n, bin_d = np.append(bin_n, size_b), np.append(bin_d, size_b)
             out = pa.RecordBatch.from_arrays(
-                [pa.array([task << 32 | serial]), pa.array([ids], pa.list_(pa.int64())), pa.array([np.packbits(train).tobytes()]), pa.array([pack(lengths)]), pa.array([pack_sorted(names)]), pa.array([pack(index)]), pa.array([len(stream)]), pa.array([int(learned.sum())]), pa.array([list(bin_n)], pa.list_(pa.float64())), pa.array([list(bin_d)], pa.list_(pa.float64()))],
-                names=["chunk", "ids", "train", "lengths", "words", "stream", "n_tokens", "n_train", "bin_n", "bin_d"],
+                [pa.array([task << 32 | serial]), pa.array([ids], pa.list_(pa.int64())), pa.array([np.packbits(train).tobytes()]), pa.array([pack(lengths)]), pa.array([pack_sorted(names)]), pa.array([pack(index)]), pa.array([len(stream)])],
+                names=["chunk", "ids", "train", "lengths", "words", "stream", "n_tokens"],
             )
             serial, held, size = serial + 1, [], 0
             return out
 
-        for batch in batches:
-            ids, train, texts = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), bool), batch.column(2).cast(pa.large_binary())
-            at = 0
-            while at < len(ids):
-                upto, weight = at, 0
-                while upto < len(ids) and weight < 4 << 20:
-                    weight += len(texts[upto].as_buffer() or b"") if texts[upto].is_valid else 0
-                    upto += 1
-                words, counts = word_hashes([x or b"" for x in texts[at:upto].to_pylist()])
-                held.append((ids[at:upto], train[at:upto], words, counts))
-                size += len(words) + upto - at
-                at = upto
-                if size >= chunk_words:
-                    yield flush()
+        for batch in (part for whole in batches for part in slices(whole, 2)):
+            words, counts = word_hashes(text_bytes(batch.column(2)))
+            held.append((batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), bool), words, counts))
+            size += len(words) + len(counts)
+            if size >= chunk_words:
+                yield flush()
         if held:
             yield flush()
 
@@ -266,28 +273,33 @@ def _chunker(chunk_words: int):
 
 
 def _sender(shards: int):
-    """Each chunk's distinct words and pairs with training counts, one row per shard that gets any."""
+    """Each chunk's distinct words, pairs and triples with training counts, one row per shard."""
 
     def send(frames):
         for pdf in frames:
             for row in pdf.itertuples():
                 names, index, lengths = unpack_sorted(row.words), unpack(row.stream).astype(np.int64), unpack(row.lengths).astype(np.int64)
-                train = np.unpackbits(np.frombuffer(row.train, np.uint8))[: len(lengths)].astype(bool)
-                learned = np.repeat(train, lengths)
-                counts = np.bincount(index[learned], minlength=len(names))
-                keys, inverse = np.unique(_pairs(names, index, np.cumsum(lengths) - lengths), return_inverse=True)
-                times = np.bincount(inverse[learned], minlength=len(keys))
-                at_w, at_p = mix(names) % _U(shards), mix(keys) % _U(shards)
-                out = []
-                for s in range(shards):
-                    w, p = at_w == s, at_p == s
-                    if w.any() or p.any():
-                        out.append((s, row.chunk, pack_sorted(names[w]), pack(counts[w]), pack_sorted(keys[p]), pack(times[p])))
-                yield pd.DataFrame(out, columns=["shard", "chunk", "words", "counts", "pairs", "times"])
+                learned = np.repeat(np.unpackbits(np.frombuffer(row.train, np.uint8))[: len(lengths)].astype(bool), lengths)
+                columns = [_messages(names, np.bincount(index[learned], minlength=len(names)), shards)]
+                for keys in n_grams(names[index], _firsts(lengths)):
+                    distinct, inverse = np.unique(keys, return_inverse=True)
+                    times = np.bincount(inverse[learned], minlength=len(distinct))
+                    del inverse
+                    columns.append(_messages(distinct, times, shards))
+                yield pd.DataFrame([(s, row.chunk, *(x for c in columns for x in c[s])) for s in range(shards)], columns=["shard", "chunk", *_SENT])
 
     return send
 
 
+_SENT = ("words", "words_n", "pairs", "pairs_n", "triples", "triples_n")
+
+
+def _messages(keys: np.ndarray, counts: np.ndarray, shards: int) -> list[tuple[bytes, bytes]]:
+    order, bounds = _by_shard(keys, shards)
+    keys, counts = keys[order], counts[order]
+    return [(pack_sorted(keys[a:b]), pack(counts[a:b])) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, c = np.concatenate(keys), np.concatenate(counts)
     seen = c > 0
@@ -298,51 +310,80 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
+def _counts_of_counts(counts: np.ndarray) -> list[int]:
+    """By class of count (exact up to 64, then eight to a doubling): how many have it, and their sum."""
+    kind = np.where(counts <= 64, counts, 64 + np.floor(8 * np.log2(np.maximum(counts, 1) / 64))).astype(int)
+    return [*np.bincount(kind, minlength=_BINS)[:_BINS].tolist(), *np.bincount(kind, weights=counts, minlength=_BINS)[:_BINS].astype(int).tolist()]
+
+
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One shard: merge the counts, build the trie, answer each chunk's words and pairs."""
-    words, pairs = [unpack_sorted(x) for x in pdf.words], [unpack_sorted(x) for x in pdf.pairs]
-    known, count = _merged(words, [unpack(x) for x in pdf.counts])
-    trie = Trie.build(*_merged(pairs, [unpack(x) for x in pdf.times]))
-    totals = (int(count.sum()), len(known), int((count == 1).sum()))
-    out = []
-    for i, (chunk, w, p) in enumerate(zip(pdf.chunk, words, pairs, strict=True)):
+    """One shard: merge the counts, build the tries, answer each chunk's words, pairs and triples."""
+    words = [unpack_sorted(x) for x in pdf.words]
+    known, count = _merged(words, [unpack(x) for x in pdf.words_n])
+    exact = []
+    for w in words:
         at = np.minimum(np.searchsorted(known, w), max(len(known) - 1, 0))
-        exact = np.where(known[at] == w, count[at], 0) if len(known) else np.zeros(len(w), np.int64)
-        code, hit = trie.lookup_codes(p)
-        out.append((chunk, int(pdf.shard.iloc[0]), pack(exact), _squeeze(code.tobytes()), _squeeze(np.packbits(hit).tobytes()), trie.book.tobytes(), *(totals if i == 0 else (0, 0, 0))))
-    return pd.DataFrame(out, columns=["chunk", "shard", "counts", "codes", "hits", "book", "n", "v", "once"])
+        exact.append(pack(np.where(known[at] == w, count[at], 0) if len(known) else np.zeros(len(w), np.int64)))
+    codes, stats = [], [int(count.sum()), len(known), int((count == 1).sum())]
+    for name in ("pairs", "triples"):
+        keys = [unpack_sorted(x) for x in pdf[name]]
+        merged, times = _merged(keys, [unpack(x) for x in pdf[name + "_n"]])
+        real = merged != 0
+        merged, times = merged[real], times[real]
+        trie = Trie.build(merged, times)
+        codes.append([_squeeze(trie.lookup(k).tobytes()) for k in keys])
+        stats.append(len(merged))
+        if name == "pairs":
+            stats += _counts_of_counts(count) + _counts_of_counts(times)
+    out = [(chunk, int(pdf.shard.iloc[0]), *x, stats if i == 0 else None) for i, (chunk, *x) in enumerate(zip(pdf.chunk, exact, *codes, strict=True))]
+    return pd.DataFrame(out, columns=["chunk", "shard", "words", "pairs", "triples", "stats"])
+
+
+def successor_power(numbers: list[int], sums: list[int], distinct: int) -> float:
+    """beta in [0, 1] for which contexts with these counts of counts have ``distinct`` successors, c ** beta each."""
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        beta = (low + high) / 2
+        total = sum(n * (c / n) ** beta for n, c in zip(numbers, sums, strict=True) if n)
+        low, high = (beta, high) if total < distinct else (low, beta)
+    return (low + high) / 2
+
+
+def _scorer(shards: int, n: int, v: int, once: int, beta2: float, beta3: float, discount: float):
+    unknown = max(once, 1) / (max(n, 1) + 1)
 
+    def gathered(keys: np.ndarray, answers: list, expand) -> np.ndarray:
+        order, bounds = _by_shard(keys, shards)
+        out = np.zeros(len(keys), np.int64)
+        for s, data in answers:
+            out[order[bounds[s] : bounds[s + 1]]] = expand(data)
+        return out
 
-def _scorer(shards: int, n: int, v: int, once: int, log_c: list[float], log_d: list[float], discount: float):
-    unknown = max(once, 1) / (max(n, 1) + 1)
+    def counted(keys: np.ndarray, answers: list) -> np.ndarray:
+        distinct, inverse = np.unique(keys, return_inverse=True)
+        code = gathered(distinct, answers, lambda x: np.frombuffer(_expand(x), "<u2"))
+        return BOOK[code][inverse]
+
+    def mixed(seen: np.ndarray, context: np.ndarray, beta: float, lower: np.ndarray) -> np.ndarray:
+        c = np.maximum(context, 1)
+        back = np.where(context > 0, discount * c ** (beta - 1), 1.0)
+        return (1 - back) * np.minimum(seen / c, 1.0) + back * lower
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         frames = []
         for row in left.itertuples():
             names, index, lengths = unpack_sorted(row.words), unpack(row.stream).astype(np.int64), unpack(row.lengths).astype(np.int64)
-            first = np.cumsum(lengths) - lengths
-            keys, inverse = np.unique(_pairs(names, index, first), return_inverse=True)
-            at_w, at_p = mix(names) % _U(shards), mix(keys) % _U(shards)
-            count, pair = np.zeros(len(names), np.int64), np.zeros(len(keys), np.float64)
-            for a in right.itertuples():
-                w, p = np.flatnonzero(at_w == a.shard), np.flatnonzero(at_p == a.shard)
-                count[w] = unpack(a.counts)
-                code, hit = np.frombuffer(_expand(a.codes), np.uint8), np.unpackbits(np.frombuffer(_expand(a.hits), np.uint8))[: len(p)].astype(bool)
-                pair[p[hit]] = 10.0 ** np.frombuffer(a.book, "<f4").astype(float)[code[hit]]
-            c_w = count[index]
-            end = np.searchsorted(names, END)
-            c_u = np.empty_like(c_w)
-            c_u[1:] = c_w[:-1]
-            c_u[first] = count[end]
-            uni = np.where(c_w > 0, (1 - unknown) * c_w / max(n, 1), unknown)
-            c = np.maximum(c_u, 1)
-            spread = np.exp(np.interp(np.log(c), log_c, log_d)) if log_c else c
-            over = np.log(c) > log_c[-1] if log_c else np.zeros(len(c), bool)
-            if over.any() and len(log_c) > 1:  # beyond the counts seen within chunks: the last slope goes on
-                slope = np.clip((log_d[-1] - log_d[0]) / max(log_c[-1] - log_c[0], 1e-9), 0, 1)
-                spread = np.where(over, np.exp(log_d[-1] + slope * (np.log(c) - log_c[-1])), spread)
-            back = np.where(c_u > 0, np.clip(discount * spread / c, 1e-4, 0.999), 1.0)
-            p = (1 - back) * np.minimum(pair[inverse] / c, 1.0) + back * uni
+            first = _firsts(lengths)
+            count = gathered(names, list(zip(right.shard, right.words, strict=True)), unpack)
+            pairs, triples = n_grams(names[index], first)
+            c_w, c_uw = count[index], counted(pairs, list(zip(right.shard, right.pairs, strict=True)))
+            c_tuw = counted(triples, list(zip(right.shard, right.triples, strict=True)))
+            c_u, c_tu = np.append(0, c_w[:-1]), np.append(0, c_uw[:-1])
+            c_u[first] = count[np.searchsorted(names, END)]
+            p = np.where(c_w > 0, (1 - unknown) * c_w / max(n, 1), unknown)
+            p = mixed(c_uw, c_u, beta2, p)
+            c_tu[first] = 0
+            p = mixed(c_tuw, c_tu, beta3, p)
             base = np.log10((c_w + 1) / (n + v + 1))
             frames.append(pd.DataFrame({"doc_id": pd.array(row.ids, "Int64"), "n_tokens": lengths, "n_known": np.add.reduceat((c_w > 0).astype(np.int64), first), "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(np.log10(p), first)}))
         return pd.concat(frames) if frames else pd.DataFrame(columns=["doc_id", "n_tokens", "n_known", "base_score", "score"])
@@ -357,20 +398,16 @@ def lm_score(docs: DataFrame, held_out, *, chunk_words: int = 2_000_000, shard_t
     score (this model), both log10. ``chunk_words`` bounds what a task holds of the corpus at
     once, ``shard_tokens`` the corpus tokens per trie shard.
     """
-    spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(~held_out, F.lit(False)).alias("train"), F.col("text").cast("string").alias("text"))
     chunks = store(slim.mapInArrow(_chunker(chunk_words), _CHUNK))
-    total = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
-    shards = max(4, -(-total[0] // shard_tokens))
-    rows = chunks.where("size(bin_n) > 64").select(F.posexplode(F.arrays_zip("bin_n", "bin_d", F.expr("transform(sequence(0, 63), i -> bin_n[i + 64])").alias("k"))).alias("b", "x")).where("b < 64").groupBy("b").agg(F.sum("x.bin_n").alias("c"), F.sum("x.bin_d").alias("d"), F.sum(F.when(F.col("x.bin_d").isNotNull(), F.col("x.k"))).alias("k")).where("k > 0").orderBy("b").collect()
-    log_c, log_d = [], []
-    for r in rows:
-        if r.c / r.k >= (log_c[-1] if log_c else -1):
-            log_c.append(r.c / r.k)
-            log_d.append(r.d / r.k)
-    sent = chunks.select("chunk", "train", "lengths", "words", "stream").mapInPandas(_sender(shards), "shard int, chunk long, words binary, counts binary, pairs binary, times binary")
-    answers = store(sent.groupBy("shard").applyInPandas(_answer, "chunk long, shard int, counts binary, codes binary, hits binary, book binary, n long, v long, once long"))
-    n, v, once = answers.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "v", "once"))).first()
-    score = _scorer(shards, n, v, once, log_c, log_d, discount)
-    scored = chunks.select("chunk", "ids", "lengths", "words", "stream").groupBy("chunk").cogroup(answers.drop("n", "v", "once").groupBy("chunk")).applyInPandas(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    total = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    shards = max(4, -(-total // shard_tokens))
+    sent = chunks.select("chunk", "train", "lengths", "words", "stream").mapInPandas(_sender(shards), f"shard int, chunk long, {', '.join(f'{x} binary' for x in _SENT)}")
+    answers = store(sent.groupBy("shard").applyInPandas(_answer, "chunk long, shard int, words binary, pairs binary, triples binary, stats array<long>"))
+    totals = {r.pos: r.x for r in answers.select(F.posexplode("stats").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x")).collect()}
+    n, v, once, n_pairs, *rest = (totals.get(i, 0) for i in range(5 + 4 * _BINS))
+    *classes, n_triples = rest
+    one, one_sum, two, two_sum = (classes[i * _BINS : (i + 1) * _BINS] for i in range(4))
+    score = _scorer(shards, n, v, once, successor_power(one, one_sum, n_pairs), successor_power(two, two_sum, n_triples), discount)
+    scored = chunks.select("chunk", "ids", "lengths", "words", "stream").groupBy("chunk").cogroup(answers.drop("stats").groupBy("chunk")).applyInPandas(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -124,44 +124,79 @@ def test_mixing_equals_oracle(spark, docs, empty):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
-def test_lm_base_score_and_gain(spark, docs, empty):
-    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").unionByName(docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is null"))
-    rows = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+def brute_lm(rows, held, discount=0.8):
+    """n_tokens, n_known, base and model score of each text, counted with plain dictionaries."""
+    streams = [[*words(t), "</s>"] for _, t in rows]
+    one, two, three = Counter(), Counter(), Counter()
+    for (i, _), s in zip(rows, streams, strict=True):
+        if not held(i):
+            one.update(s)
+            two.update(zip(["</s>", *s], s))
+            three.update(zip(["</s>", *s], s, s[1:]))
+    n, v, m = sum(one.values()), len(one), max(sum(c == 1 for c in one.values()), 1) / (max(sum(one.values()), 1) + 1)
+
+    def beta(counts, distinct):
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(c**mid for c in counts) < distinct else (low, mid)
+        return (low + high) / 2
+
+    b2, b3 = beta(one.values(), len(two)), beta(two.values(), len(three))
+    out = []
+    for s in streams:
+        score = 0.0
+        for j, w in enumerate(s):
+            u = s[j - 1] if j else "</s>"
+            p = (1 - m) * one[w] / max(n, 1) if one[w] else m
+            for seen, context, power in ((two[u, w], one[u], b2), *([(three[s[j - 2] if j > 1 else "</s>", u, w], two[s[j - 2] if j > 1 else "</s>", u], b3)] if j else [])):
+                if context:
+                    back = discount * context ** (power - 1)
+                    p = (1 - back) * seen / context + back * p
+            score += math.log10(p)
+        out.append((len(s), sum(one[w] > 0 for w in s), sum(math.log10((one[w] + 1) / (n + v + 1)) for w in s), score))
+    return n, out
+
+
+def test_lm_equals_brute_force(spark, docs, empty):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 300").select("doc_id", "text").unionByName(docs.select("doc_id", "text").where("doc_id is null"))
+    rows = [(r.doc_id, r.text) for r in frame.collect()]
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 == 2
     held_col = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    counts = Counter(t for i, text in rows if i is not None and not held(i) for t in [*words(text), None])
-    n, v = sum(counts.values()), len(counts)
-    got = ngram_lm.lm_score(frame, held_col, chunk_words=50_000, shard_tokens=20_000).collect()
-    assert len(got) == len(rows)
-    texts = dict(rows)
-    for r in got:
-        if r.doc_id is None:
-            continue
-        tokens = [*words(texts[r.doc_id]), None]
-        base = sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in tokens)
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(counts[t] > 0 for t in tokens), n)
-        assert math.isclose(r.base_score, base, rel_tol=1e-9)
-    tested = [r for r in got if r.held_out]
-    assert sum(r.score for r in tested) > sum(r.base_score for r in tested)
-    again = ngram_lm.lm_score(frame, held_col).collect()
-    assert math.isclose(sum(r.score for r in got), sum(r.score for r in again), rel_tol=0.02)
+    n, want = brute_lm(rows, held)
+    want = sorted((i is not None, i or 0, *w) for (i, _), w in zip(rows, want, strict=True))
+    for parts, parameters in ((3, {}), (7, {"chunk_words": 20_000}), (1, {"chunk_words": 5_000, "shard_tokens": 9_000})):
+        got = ngram_lm.lm_score(frame.repartition(parts), held_col, **parameters).collect()
+        assert len(got) == len(rows) and all(r.train_tokens == n for r in got)
+        for r, w in zip(sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.n_known, r.base_score, r.score) for r in got), want, strict=True):
+            assert r[:4] == w[:4] and math.isclose(r[4], w[4], rel_tol=1e-9) and math.isclose(r[5], w[5], rel_tol=5e-3)
     assert ngram_lm.lm_score(docs, F.lit(False)).count() == docs.count()
     assert ngram_lm.lm_score(empty, F.lit(False)).count() == 0
 
 
+def test_lm_does_not_depend_on_layout(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.col("doc_id") % 7 == 2
+    runs = [{r.doc_id: (r.base_score, r.score, r.held_out) for r in ngram_lm.lm_score(f, held, chunk_words=c).collect()} for f, c in ((frame, 2_000_000), (frame.repartition(16), 30_000))]
+    assert all(math.isclose(x[k], y[k], rel_tol=1e-9) for i, x in runs[0].items() for y in [runs[1][i]] for k in (0, 1))
+    tested = [x for x in runs[0].values() if x[2]]
+    assert sum(x[1] for x in tested) > sum(x[0] for x in tested)
+
+
 def test_trie_finds_all_and_nothing_else(tmp_path):
     rng = np.random.default_rng(3)
-    pairs = np.unique(rng.integers(0, 50, 4000).astype(np.uint64) << np.uint64(32) | rng.integers(0, 1 << 32, 4000).astype(np.uint64))
-    counts = rng.integers(1, 2000, len(pairs))
-    trie = ngram_lm.Trie.build(pairs, counts)
-    assert np.allclose(trie.lookup(pairs), np.log10(counts), atol=0.02)
-    assert np.isinf(trie.lookup(pairs ^ np.uint64(1))[~np.isin(pairs ^ np.uint64(1), pairs)]).all()
+    keys = np.unique(rng.integers(0, 50, 4000).astype(np.uint64) << np.uint64(32) | rng.integers(0, 1 << 32, 4000).astype(np.uint64))
+    counts = rng.integers(1, 9000, len(keys))
+    trie = ngram_lm.Trie.build(keys, counts)
+    found = ngram_lm.BOOK[trie.lookup(keys)]
+    assert (found[counts <= 2048] == counts[counts <= 2048]).all() and np.allclose(found, counts, rtol=0.006)
+    assert (trie.lookup(keys ^ np.uint64(1))[~np.isin(keys ^ np.uint64(1), keys)] == 0).all()
     trie.dump(str(tmp_path / "t"))
-    assert (ngram_lm.Trie.open(str(tmp_path / "t")).lookup(pairs) == trie.lookup(pairs)).all()
+    assert (ngram_lm.Trie.open(str(tmp_path / "t")).lookup(keys) == trie.lookup(keys)).all()
     values = np.sort(rng.integers(0, 1 << 60, 999).astype(np.uint64))
     ef = ngram_lm.EliasFano(ngram_lm.EliasFano.encode(values, 1 << 60))
     assert (ef.get(np.arange(999)) == values).all()
-    assert len(ngram_lm.Trie.build(pairs[:0], counts[:0]).lookup(pairs)) == len(pairs)
+    assert len(ngram_lm.Trie.build(keys[:0], counts[:0]).lookup(keys)) == len(keys)
 
 
 def test_quotes_equal_oracle(spark):
