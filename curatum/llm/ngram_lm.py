@@ -21,9 +21,9 @@ Each shard holds, for pairs and for triples, a trie in compact memory-mapped lev
 relative to their context (Elias-Fano), and for each n-gram a code of its quantised log-frequency. A lookup
 finds the context by successor search, then searches only that context's range. The division
 by the context's count and the mixing happen at lookup: storing the mixed probabilities would need all
-successors of a context in one shard. Words are 64-bit hashes. An n-gram is 32 bits of its context's hash
+successors of a context in one shard. Words are 64-bit hashes. An n-gram is 28 bits of its context's hash
 and 32 bits of a hash of word and context, so that two n-grams are taken for one another with
-probability 2 ** -64, and 2 ** -32 if they share their context.
+probability 2 ** -60, and 2 ** -32 if they share their context.
 ``Trie.dump`` and ``Trie.open`` write the levels to a file and map it.
 
 Plan: texts are hashed once into chunks (word ids within the chunk, its distinct words);
@@ -53,7 +53,7 @@ from .tokens import mix, slices, text_bytes, word_hashes
 _U = np.uint64
 END = _U(0x7D0CBA5E9F3B1A65)
 _BINS = 256
-_LOW, _HIGH = _U(0xFFFFFFFF), _U(0xFFFFFFFF00000000)
+_LOW, _HIGH = _U(0xFFFFFFFF), _U(0x0FFFFFFF00000000)
 
 #: Counts of the codes 1, 2, ...: exact up to 2,048, then in steps of 1.1 %, up to 10 ** 13. Code 0 stands for none.
 BOOK = np.append(np.arange(2049.0), np.round(2048 * 1.011 ** np.arange(1, 2040)))
@@ -166,14 +166,14 @@ class Trie:
 
     @classmethod
     def build(cls, keys: np.ndarray, counts: np.ndarray) -> Trie:
-        """``keys``: sorted distinct (context << 32 | word); ``counts``: their positive training counts."""
+        """``keys``: sorted distinct (context << 32 | word), 60 bits; ``counts``: their positive training counts."""
         context, word = keys >> _U(32), keys & _LOW
         names, first = np.unique(context, return_index=True)
         rank = np.repeat(np.arange(len(names), dtype=_U), np.diff(np.append(first, len(keys))))
         edges = np.sqrt(BOOK[1:-1] * BOOK[2:])
         codes = (np.searchsorted(edges, counts) + 1).astype("<u2")
         parts = [
-            EliasFano.encode(names, 1 << 32), EliasFano.encode(np.append(first, len(keys)).astype(_U), len(keys) + 1),
+            EliasFano.encode(names, 1 << 28), EliasFano.encode(np.append(first, len(keys)).astype(_U), len(keys) + 1),
             EliasFano.encode((rank << _U(32)) | word, max(1, len(names)) << 32), codes.tobytes(),
         ]
         mapped = mmap.mmap(-1, 32 + sum(map(len, parts)))
