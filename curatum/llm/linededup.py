@@ -107,10 +107,12 @@ def later_copies(docs: DataFrame, min_words: int) -> DataFrame:
     places, found, k = store(_intervals(lines)), None, 0
     while True:
         size = 1 << k
-        asked = places.select("d", "h", "pos", "c", F.explode(F.expr(f"filter(runs, x -> x >= {size} and x < {2 * size})")).alias("length"))
-        whole = _pairs(asked, places, F.col("length") - size).select("d", "h", "pos", "length", F.expr("unhex(md5(concat(c, c2, cast(cast(length as string) as binary))))").alias("c"))
-        part = _intervals(store(whole)).where("later").select("d", "h", "pos", "length")
+        part = places.where(F.col("later") & F.array_contains("runs", size)).select("d", "h", "pos", F.lit(size).alias("length"))
         found = part if found is None else found.unionByName(part)
+        if size > 1:
+            asked = places.select("d", "h", "pos", "c", F.explode(F.expr(f"filter(runs, x -> x > {size} and x < {2 * size})")).alias("length"))
+            whole = _pairs(asked, places, F.col("length") - size).select("d", "h", "pos", "length", F.expr("unhex(md5(concat(c, c2, cast(cast(length as string) as binary))))").alias("c"))
+            found = found.unionByName(_intervals(store(whole)).where("later").select("d", "h", "pos", "length"))
         if 2 * size > min_words:
             return found
         longer = places.select("d", "h", "pos", "c", "runs")
