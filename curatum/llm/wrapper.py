@@ -36,12 +36,13 @@ and vote once.
 
 from __future__ import annotations
 
-import hashlib
 import html as _html
 import re
+from array import array
 from collections import Counter
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .support import store
@@ -219,20 +220,9 @@ class Page:
         return out
 
 
-_digests: dict[tuple[int, str], int] = {}
-
-
-def _digest(seed: int, text: str) -> int:
-    """A signed 64-bit digest; those of short texts, which recur, are kept."""
-    key = (seed, text)
-    if key in _digests:
-        return _digests[key]
-    x = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, salt=seed.to_bytes(9, "little", signed=True)).digest(), "little", signed=True) or 1
-    if len(text) < 100:
-        if len(_digests) > 50_000:
-            _digests.clear()
-        _digests[key] = x
-    return x
+def _digest(seed: int, text: str | bytes) -> int:
+    """A signed 64-bit digest, not 0."""
+    return xxhash.xxh3_64_intdigest(text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass"), seed & 0xFFFFFFFFFFFFFFFF) - (1 << 63) or 1
 
 
 def heaviest_increasing(places: list[int], weights: list[int]) -> list[int]:
@@ -288,20 +278,30 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
 
 
-_TREE = "struct<layout:bigint,sig:array<bigint>,above:array<int>,print:array<bigint>,size:array<int>>"
+def _packed(sig: list[int], above: list[int], prints: list[int], sizes: list[int]) -> bytes:
+    return b"".join(array("q", x).tobytes() for x in (sig, above, prints, sizes))
+
+
+def _unpacked(tree: bytes) -> tuple[list[int], list[int], list[int], list[int]]:
+    flat = array("q")
+    flat.frombytes(tree)
+    n = len(flat) // 4
+    return tuple(flat[i * n : (i + 1) * n].tolist() for i in range(4))
 
 
 def _tree_maker(names: bool):
+    """(host, content, layout, tree): digests of texts and of slots, and the packed slot tree of each page."""
+
     def trees(batches):
         for batch in (p for whole in batches for p in slices(whole, 1)):
-            rows, content = [], []
+            layouts, content, rows = [], [], []
             for source in batch.column(1).to_pylist():
                 page = Page(source or "", names)
                 prints, sizes = page.own_texts()
-                rows.append({"layout": _digest(2, repr(page.sig)), "sig": page.sig, "above": page.above, "print": prints, "size": sizes})
-                content.append(_digest(3, repr((page.sig, prints))))
-            kind = pa.struct([("layout", pa.int64()), ("sig", pa.list_(pa.int64())), ("above", pa.list_(pa.int32())), ("print", pa.list_(pa.int64())), ("size", pa.list_(pa.int32()))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.int64()), pa.array(rows, kind)], names=["host", "content", "tree"])
+                rows.append(_packed(page.sig, page.above, prints, sizes))
+                layouts.append(_digest(2, array("q", page.sig).tobytes()))
+                content.append(_digest(3, rows[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.int64()), pa.array(layouts, pa.int64()), pa.array(rows, pa.binary())], names=["host", "content", "layout", "tree"])
 
     return trees
 
@@ -309,27 +309,37 @@ def _tree_maker(names: bool):
 def _votes(batches):
     """(host, slot, print, n, size): votes for a constant text, or with a null print for varying text."""
     known: dict = {}
+    trees: dict = {}
+
+    def tree(data: bytes):
+        if data not in trees:
+            if len(trees) > 500:
+                trees.clear()
+            trees[data] = _unpacked(data)
+        return trees[data]
+
     for batch in batches:
         votes: dict[tuple, list[int]] = {}
-        for host, content, a, refs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for host, content, layout, packed, refs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            sig, above, prints, sizes = _unpacked(packed)
             for ref in refs:
                 if ref["content"] == content:
                     continue
-                b = ref["tree"]
-                key = (a["layout"], b["layout"])
+                other = tree(ref["tree"])
+                key = (layout, ref["layout"])
                 if key not in known:
                     if len(known) > 2000:
                         known.clear()
-                    known[key] = aligned((a["sig"], a["above"]), (b["sig"], b["above"]))
-                pairs = [(i, a["print"][i] == b["print"][j]) for i, j in known[key] if a["print"][i] or b["print"][j]]
-                if 5 * sum(a["size"][i] for i, same in pairs if same) > 4 * sum(a["size"]):
+                    known[key] = aligned((sig, above), other[:2])
+                pairs = [(i, prints[i] == other[2][j]) for i, j in known[key] if prints[i] or other[2][j]]
+                if 5 * sum(sizes[i] for i, same in pairs if same) > 4 * sum(sizes):
                     continue  # copies of one article: no evidence of what is template
                 for i, same in pairs:
-                    vote = votes.setdefault((host, a["sig"][i], a["print"][i] if same else None), [0, 0])
+                    vote = votes.setdefault((host, sig[i], prints[i] if same else None), [0, 0])
                     vote[0] += 1
-                    vote[1] += a["size"][i]
+                    vote[1] += sizes[i]
         rows = list(votes.items())
-        columns = [pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int64()), pa.array([k[2] for k, _ in rows], pa.int64()), pa.array([v[0] for _, v in rows], pa.int64()), pa.array([v[1] for _, v in rows], pa.int64())]
+        columns = [pa.array([k[0] for k, _ in rows], pa.string()), *(pa.array([k[x] for k, _ in rows], pa.int64()) for x in (1, 2)), *(pa.array([v[x] for _, v in rows], pa.int64()) for x in (0, 1))]
         yield pa.RecordBatch.from_arrays(columns, names=["host", "slot", "print", "n", "size"])
 
 
@@ -340,13 +350,13 @@ def induce(pages: DataFrame, *, least_votes: int = 2, same_share: float = 0.9, h
     bounds a wrapper by a hundred times the slots of a page.
     """
     slim = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    trees = store(slim.mapInArrow(_tree_maker(names), f"host string, content bigint, tree {_TREE}").dropDuplicates(["host", "content"]))
-    ref = F.struct(F.xxhash64("content").alias("o"), F.col("content"), F.col("tree"))
+    trees = store(slim.mapInArrow(_tree_maker(names), "host string, content bigint, layout bigint, tree binary").dropDuplicates(["host", "content"]))
+    ref = F.struct(F.xxhash64("content").alias("o"), "content", "layout", "tree")
     by_host = trees.groupBy("host", F.pmod(F.xxhash64("content", F.lit(7)), F.lit(host_refs)).alias("part")).agg(F.min(ref).alias("r")).groupBy("host").agg(F.collect_list("r").alias("refs"))
-    by_layout = trees.groupBy("host", F.col("tree.layout").alias("layout")).agg(F.min(ref).alias("lo"), F.max(ref).alias("hi")).where("lo.content <> hi.content").select("host", "layout", F.array("lo", "hi").alias("own"))
-    by_host, by_layout = store(by_host), store(by_layout.withColumnRenamed("host", "host2"))
-    asked = trees.join(by_host, "host").join(by_layout, (F.col("host") == F.col("host2")) & (F.col("tree.layout") == F.col("layout")), "left")
-    asked = asked.select("host", "content", "tree", F.array_distinct(F.concat("refs", F.coalesce("own", F.expr("array()")))).alias("refs"))
+    by_layout = trees.groupBy("host", "layout").agg(F.min(ref).alias("lo"), F.max(ref).alias("hi")).where("lo.content <> hi.content").select(F.col("host").alias("host2"), F.col("layout").alias("layout2"), F.array("lo", "hi").alias("own"))
+    by_host, by_layout = store(by_host), store(by_layout)
+    asked = trees.join(by_host, "host").join(by_layout, (F.col("host") == F.col("host2")) & (F.col("layout") == F.col("layout2")), "left")
+    asked = asked.select("host", "content", "layout", "tree", F.array_distinct(F.concat("refs", F.coalesce("own", F.expr("array()")))).alias("refs"))
     votes = asked.mapInArrow(_votes, "host string, slot bigint, print bigint, n bigint, size bigint").groupBy("host", "slot", "print").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
     slots = votes.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("print").isNull(), F.col("size")).otherwise(0)).alias("varying"), F.max(F.when(F.col("print").isNotNull(), F.struct("n", "print"))).alias("top"))
     slots = store(slots)
