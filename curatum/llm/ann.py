@@ -3,23 +3,29 @@
 A vector is represented by its ``prefix`` nearest pivots in order. A shard of vectors keeps,
 for each pivot, an inverted file of the vectors that have it and at which place. A query's
 candidates are ranked by the footrule distance of the two orders, a pivot outside a prefix
-counting as place ``prefix``; the best ``candidates`` share of each shard is reranked by exact
-cosine, and each query's best rows over all shards are the answer.
+counting as place ``prefix``. Only postings within ``window`` places of the query's are read.
+The best of each shard, ``rerank`` rows over all shards, are reranked by exact
+cosine, and each query's best rows are the answer. ``rerank`` is a fixed number: neighbours get
+nearer, and easier to rank, as the table grows (recall at the defaults is measured in the tests).
 
 Pivots are a bounded, documented sample: the ``pivots`` vectors with the smallest id hashes.
-Every valid vector is indexed. Queries and vectors meet in a grid of blocks (query block x
-vector shard), both bounded, so no task holds all queries or all vectors.
+Every valid vector is indexed: its pivots are found once and stored with it. Queries and vectors
+meet in a grid of blocks (query block x
+vector shard), both bounded, so no task holds all queries or all vectors. The footrule is summed for all
+pairs of the grid, so that work grows with queries times vectors; only the reranking does not.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component, and
-rows without an id, take no part; equal vectors tie and the smaller id comes first; a shard
-with few vectors is reranked whole; without queries the answer is empty. Vectors of a length
-other than the pivots' take no part.
+rows without an id, take no part; of rows sharing an id the one with the smallest vector counts;
+vectors of different lengths have no cosine and are searched apart, each length with pivots of
+its own; equal vectors tie and the smaller id comes first, in the ranking by footrule as in the result; without queries the
+answer is empty.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .support import store
@@ -36,27 +42,41 @@ def _nearest(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(-(_unit(x) @ pivots.T), axis=1, kind="stable")[:, :prefix]
 
 
-def _search_cell(queries: pd.DataFrame, vectors: pd.DataFrame, pivots: np.ndarray, prefix: int, share: float, least: int, k: int) -> pd.DataFrame:
-    v_ids, q_ids = vectors.vec_id.to_numpy(), queries.vec_id.to_numpy()
-    if not len(v_ids) or not len(q_ids):
+def _indexer(pivots: np.ndarray, prefix: int):
+    """Adds the place order of each vector's nearest pivots, and the vector itself as bytes."""
+
+    def index(batches):
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            order = _nearest(x, pivots, prefix).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([o.tobytes() for o in order], pa.binary())], names=["vec_id", "q", "vector", "places"])
+
+    return index
+
+
+def _search_cell(queries: pd.DataFrame, vectors: pd.DataFrame, n_pivots: int, window: int, share: float, least: int, k: int) -> pd.DataFrame:
+    if not len(vectors) or not len(queries):
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-    v, q = np.stack(vectors.embedding.to_numpy()).astype(float), np.stack(queries.embedding.to_numpy()).astype(float)
-    order = _nearest(v, pivots, prefix)
-    owner = np.repeat(np.arange(len(v)), order.shape[1])
-    place = np.tile(np.arange(order.shape[1]), len(v))
-    by_pivot = np.argsort(order.ravel(), kind="stable")
-    bounds = np.searchsorted(order.ravel()[by_pivot], np.arange(len(pivots) + 1))
-    files = [(owner[by_pivot[a:b]], place[by_pivot[a:b]]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    vectors = vectors.sort_values("vec_id")
+    v_ids, q_ids = vectors.vec_id.to_numpy(), queries.vec_id.to_numpy()
+    of = lambda column, kind: np.stack([np.frombuffer(x, kind) for x in column])
+    v, q, order, asked = of(vectors.vector, float), of(queries.vector, float), of(vectors.places, np.uint16), of(queries.places, np.uint16)
+    prefix = order.shape[1]
+    # inverted files: of each pivot the vectors that have it, by their place for it
+    by_pivot = np.lexsort((np.tile(np.arange(prefix), len(v)), order.ravel()))
+    owner, place = by_pivot // prefix, by_pivot % prefix
+    bounds = np.searchsorted(order.ravel()[by_pivot], np.arange(n_pivots + 1))
     n = min(len(v), max(least, int(np.ceil(share * len(v)))))
     norms = np.sqrt((v * v).sum(1))
     out = []
-    for i, ranks in enumerate(_nearest(q, pivots, prefix)):
+    for i, ranks in enumerate(asked):
         # footrule: start as if no pivot were shared, and correct by each posting of the query's pivots
-        saved = np.zeros(len(v))
+        saved = np.zeros(len(v), np.int64)
         for r, p in enumerate(ranks):
-            who, at = files[p]
-            saved[who] += (prefix - r) + (prefix - at) - np.abs(at - r)
-        best = np.argpartition(-saved, n - 1)[:n] if n < len(v) else np.arange(len(v))
+            a, b = bounds[p], bounds[p + 1]
+            lo, hi = a + np.searchsorted(place[a:b], (r - window, r + window + 1))
+            saved[owner[lo:hi]] += (prefix - r) + (prefix - place[lo:hi]) - np.abs(place[lo:hi] - r)
+        best = np.argsort(-saved, kind="stable")[: n + 1] if n < len(v) else np.arange(len(v))
         best = best[v_ids[best] != q_ids[i]]
         score = (v[best] @ q[i]) / (norms[best] * np.sqrt((q[i] * q[i]).sum()))
         top = np.lexsort((v_ids[best], -score))[:k]
@@ -64,7 +84,7 @@ def _search_cell(queries: pd.DataFrame, vectors: pd.DataFrame, pivots: np.ndarra
     return pd.concat(out)
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, pivots: int = 256, prefix: int = 64, candidates: float = 0.2, shard_rows: int = 2048, query_rows: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, pivots: int = 256, prefix: int = 64, window: int = 48, rerank: int = 2500, shard_rows: int = 2048, query_rows: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows of every row of ``vectors`` (vec_id,
     embedding) for which ``is_query`` holds. Recall at the defaults is measured in the tests."""
     spark = vectors.sparkSession
@@ -72,20 +92,25 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, pivots: int = 2
     valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("q")).where(
         "vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, e -> e is not null and not isnan(e) and abs(e) < double('Infinity')) and exists(embedding, e -> e <> 0)"
     )
-    valid = store(valid)
-    chosen = valid.orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(pivots).collect()
-    if not chosen:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width = len(chosen[0][0])
-    points = _unit(np.array([r[0] for r in chosen if len(r[0]) == width]))
-    valid = valid.where(F.size("embedding") == width)
-    n, n_q = valid.agg(F.count("*"), F.count(F.when(F.col("q"), 1))).first()
+    valid = store(valid.groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.max("q").alias("q")))
+    found = None
+    for width in [r[0] for r in valid.groupBy(F.size("embedding").alias("n")).agg(F.max("q").alias("q")).where("q").select("n").collect()]:
+        part = _nearest_of(valid.where(F.size("embedding") == width), k, pivots, prefix, window, rerank, shard_rows, query_rows)
+        found = part if found is None else found.unionByName(part)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if found is None else found
+
+
+def _nearest_of(valid: DataFrame, k: int, pivots: int, prefix: int, window: int, rerank: int, shard_rows: int, query_rows: int) -> DataFrame:
+    """``nearest`` among vectors of one length."""
+    points = _unit(np.array([r[0] for r in valid.orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(pivots).collect()]))
+    index = store(valid.select("vec_id", "embedding", "q").mapInArrow(_indexer(points, min(prefix, len(points))), "vec_id long, q boolean, vector binary, places binary"))
+    n, n_q = index.agg(F.count("*"), F.count(F.when(F.col("q"), 1))).first()
     shards, blocks = -(-n // shard_rows), max(1, -(-n_q // query_rows))
     of = lambda col, m: F.pmod(F.xxhash64(F.col(col), F.lit(m)), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = valid.where("q").select("vec_id", "embedding", of("vec_id", blocks).alias("block"), every(shards).alias("shard"))
-    right = valid.select("vec_id", "embedding", of("vec_id", shards).alias("shard"), every(blocks).alias("block"))
-    cell = lambda a, b: _search_cell(a, b, points, min(prefix, len(points)), candidates, 16 * k, k)
+    left = index.where("q").select("vec_id", "vector", "places", of("vec_id", blocks).alias("block"), every(shards).alias("shard"))
+    right = index.select("vec_id", "vector", "places", of("vec_id", shards).alias("shard"), every(blocks).alias("block"))
+    cell = lambda a, b: _search_cell(a, b, len(points), window, rerank / n, 16 * k, k)
     found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(cell, _FIELDS)
     best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("d"), "vec_id", "score"))), 1, k).alias("top"))
     return best.select("query_id", F.posexplode("top").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).alias("rank"), "hit.vec_id", "hit.score")
