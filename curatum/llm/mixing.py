@@ -1,6 +1,6 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Documents get a random key (a hash of their id). Within each source the keys are split into
+Documents get a random key (a hash of their id and text). Within each source the keys are split into
 ranges, about as many as the square root of the source's rows, so that neither a range nor
 the list of ranges grows out of hand; word counts are summed per range, ranges get their
 prefix sums, and rows are sorted and summed within their range. Together these are the
@@ -8,21 +8,22 @@ source's prefix sums in key order; a hot source is spread over all its ranges. E
 cut at its exact budget; a budget above the source's size repeats whole epochs first.
 
 Defined cases: a null or empty text has size 0 and is taken 0 times; a null source is a source
-of its own, last in order; a null doc_id has the key of the empty string; rows with the same
-doc_id have the same key and are ordered by size; an empty table gives an empty mix.
+of its own, last in order; a null doc_id counts as the empty string; rows equal in doc_id and
+text have one key and, where whole documents are delivered, are delivered alike; an empty table
+gives an empty mix.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .support import store
+from .support import fresh, store
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _key():
-    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary"))
 
 
 def budgets(sources: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -70,17 +71,18 @@ def mix(docs: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, most: float =
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, the document at a source's cut whole."""
     rows = mix(docs, **parameters)
+    of, whole, cut, copies, copy = fresh(docs, "of", "whole", "cut", "copies", "copy")
     taken_last = F.col("taken") > F.col("epochs") * F.col("size")
-    cuts = store(rows.groupBy("source").agg(F.max("epochs").alias("_epochs"), F.max(F.when(taken_last, F.col("key"))).alias("_cut")).withColumnRenamed("source", "_s"))
+    cuts = store(rows.groupBy("source").agg(F.max("epochs").alias(whole), F.max(F.when(taken_last, F.col("key"))).alias(cut)).withColumnRenamed("source", of))
     size = F.regexp_count("text", F.lit(WORD))
-    copies = F.when(F.coalesce(size, F.lit(0)) > 0, F.col("_epochs") + F.coalesce(_key() <= F.col("_cut"), F.lit(False)).cast("long")).otherwise(0)
-    out = docs.join(cuts, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("_copies", copies).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(docs.columns)
+    times = F.when(F.coalesce(size, F.lit(0)) > 0, F.col(whole) + F.coalesce(_key() <= F.col(cut), F.lit(False)).cast("long")).otherwise(0)
+    out = docs.join(cuts, F.col("source").eqNullSafe(F.col(of)), "left").withColumn(copies, times).where(F.col(copies) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(docs.columns)
 
 
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+  SELECT doc_id, source, md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', coalesce(text, ''))) AS key,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM sources),
