@@ -8,7 +8,8 @@ apply them to columns, one row at a time inside tasks, without a shuffle.
 
 Defined cases: a null text is an empty one; an empty payload is padded to 64 zero bytes;
 a file that is truncated or no Matroska yields the packets that can be read (none, at the
-worst); equal payloads give equal files.
+worst); equal payloads give equal files; texts are held in slices of a few MB, and one longer
+than that by itself, so a task needs some five times its longest text (2 GB at most).
 """
 
 from __future__ import annotations
@@ -21,13 +22,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .tokens import slices, text_bytes
+
 #: Element ids of the Matroska specification.
 EBML, DOC_TYPE, SEGMENT, INFO, TIMESTAMP_SCALE = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+DEFAULT_DURATION, REFERENCE_BLOCK = 0x23E383, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
-_MASTERS = {SEGMENT, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS}
+_MASTERS = {SEGMENT, INFO, TRACKS, TRACK_ENTRY, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS}
 
 RATE, FRAME, LACED, BLOCKS = 8000, 1024, 8, 16
 
@@ -68,7 +72,7 @@ def mux(payload: bytes) -> bytes:
     head = element(EBML, element(DOC_TYPE, b"matroska"))
     body = [element(INFO, _uint(TIMESTAMP_SCALE, 1_000_000))]
     audio = element(SAMPLING_FREQUENCY, struct.pack(">d", RATE)) + _uint(CHANNELS, 1) + _uint(BIT_DEPTH, 8)
-    body.append(element(TRACKS, element(TRACK_ENTRY, _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + element(CODEC_ID, b"A_PCM/INT/LIT") + element(AUDIO, audio))))
+    body.append(element(TRACKS, element(TRACK_ENTRY, _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + _uint(DEFAULT_DURATION, FRAME * 1_000_000_000 // RATE) + element(CODEC_ID, b"A_PCM/INT/LIT") + element(AUDIO, audio))))
     at, cues, block, cluster = sum(map(len, body)), [], FRAME * LACED, FRAME * LACED * BLOCKS
     for start in range(0, len(payload), cluster):
         time = start * 1000 // RATE
@@ -160,17 +164,35 @@ def _frames(data, at: int, end: int) -> tuple[int, int, int, list[tuple[int, int
 
 
 def packets(data) -> list[tuple[int, int, int, int, bool]]:
-    """(track, timestamp, start, end, keyframe) of every frame in file order."""
-    base, out = 0, []
+    """(track, timestamp, start, end, keyframe) of every frame in file order.
+
+    Timestamps are milliseconds: a block's ticks times the file's scale; the frames of a lace
+    follow each other by the track's default duration, where it has one. A frame of a block
+    group is a keyframe unless the group refers to another block.
+    """
+    base, scale, number, group = 0, 1_000_000, 0, 0
+    duration: dict[int, int] = {}
+    out: list[tuple[int, int, int, int, bool]] = []
     for kind, at, end in elements(data):
         if kind == TIMESTAMP:
             base = int.from_bytes(data[at:end], "big")
+        elif kind == TIMESTAMP_SCALE:
+            scale = int.from_bytes(data[at:end], "big")
+        elif kind == TRACK_NUMBER:
+            number = int.from_bytes(data[at:end], "big")
+        elif kind == DEFAULT_DURATION:
+            duration[number] = int.from_bytes(data[at:end], "big")
+        elif kind == BLOCK_GROUP:
+            group = len(out)
+        elif kind == REFERENCE_BLOCK:
+            out[group:] = [(*p[:4], False) for p in out[group:]]
         elif kind in (SIMPLE_BLOCK, BLOCK):
             try:
                 track, relative, flags, ranges = _frames(data, at, end)
             except (IndexError, struct.error):
                 continue
-            out += [(track, base + relative, a, b, bool(flags & 0x80)) for a, b in ranges]
+            first, step = (base + relative) * scale, duration.get(track, 0)
+            out += [(track, (first + i * step) // 1_000_000, a, b, kind == BLOCK or bool(flags & 0x80)) for i, (a, b) in enumerate(ranges)]
     return out
 
 
@@ -189,12 +211,10 @@ def media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each text, padded with zero bytes to a positive multiple of 64, as a Matroska file."""
 
     def run(batches):
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.large_binary())
-            for at in range(0, len(ids), 256):
-                raw = [x or b"" for x in texts[at : at + 256].to_pylist()]
-                files = [mux(t + b"\0" * (-len(t) % 64 if t else 64)) for t in raw]
-                yield pa.RecordBatch.from_arrays([ids[at : at + 256], pa.array([len(t) for t in raw], pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
+        for part in (p for whole in batches for p in slices(whole, 1)):
+            raw = text_bytes(part.column(1))
+            files = [mux(t + b"\0" * (-len(t) % 64 if t else 64)) for t in raw]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in raw], pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
@@ -203,7 +223,7 @@ def packet_table(files: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row a packet of the ``media`` column: key, seq, track, timestamp, start, length, keyframe."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (p for whole in batches for p in slices(whole, 1)):
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = packets(data or b"")
                 if rows:
@@ -218,7 +238,7 @@ def read_back(files: DataFrame) -> DataFrame:
     fields = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches):
-        for batch in batches:
+        for batch in (p for whole in batches for p in slices(whole, 2)):
             out = []
             for i, n, data in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 rows = packets(data)
