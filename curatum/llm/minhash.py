@@ -10,12 +10,15 @@ form one class, represented by its smallest doc_id. A pair can meet in a table o
 shares a half-key of A and one of B, so only representatives that share both kinds with
 somebody are expanded into pair keys. Buckets are not expanded into all pairs: each is first
 compared with pivots, and what then lies in one bucket but in different components is paired
-by exact prefix filtering. Links are confirmed by exact Jaccard similarity on full sets.
+by exact prefix filtering. Links are confirmed by exact Jaccard similarity on full sets of 64-bit
+shingle hashes: in a corpus of n distinct shingles one of them is taken for another with
+probability n / 2 ** 64, and a link is wrong only where that moves a pair over the threshold.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; a text of
 fewer than ``k`` words is one shingle; rows sharing a doc_id are one node (all of them get its
 component); a null doc_id stands alone in component null and is kept; an empty table gives an
-empty result; other columns pass through ``near_duplicates`` untouched.
+empty result; other columns pass through ``near_duplicates`` untouched, but for columns that have
+the names of its results, which are replaced; of rows sharing a doc_id it shows the largest n_shingles.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .support import store
+from .support import fresh, store
 from .tokens import mix, shingles, slices, text_bytes, word_hashes
 
 _SIGNATURE = "doc_id long, n_shingles long, seq_hi long, seq_lo long, a array<long>, b array<long>"
@@ -111,7 +114,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 85, bands: in
     the defaults a pair is missed with probability 2 * (1 - 0.85 ** 3) ** 10 = 0.00015.
     """
     result = node_table(docs, k=k, percent=percent, bands=bands, rows=rows, star_rounds=star_rounds)
-    return docs.join(result.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_node"), F.col("doc_id").eqNullSafe(F.col("_node")), "left").drop("_node")
+    docs = docs.drop("n_shingles", "component_id", "kept")
+    (node,) = fresh(docs, "node")
+    sizes = result.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"), F.max("kept").alias("kept"))
+    return docs.join(sizes.withColumnRenamed("doc_id", node), F.col("doc_id").cast("long").eqNullSafe(F.col(node)), "left").drop(node)
 
 
 def node_table(docs: DataFrame, *, k: int = 5, percent: int = 85, bands: int = 10, rows: int = 3, star_rounds: int = 2) -> DataFrame:

@@ -79,6 +79,8 @@ def test_minhash_edge_cases(docs, empty):
     assert len(got) == len(rows)
     want = brute_components(rows)
     assert all(r.component_id == want.get(r.doc_id) and r.kept == (r.doc_id == r.component_id) for r in got)
+    clash = minhash.near_duplicates(docs.withColumn("kept", F.lit(1)).withColumn("node", F.lit(1)))
+    assert clash.columns.count("kept") == 1 and clash.count() == len(rows)
     wide = minhash.near_duplicates(docs)
     assert wide.columns[: len(docs.columns)] == docs.columns and wide.count() == len(rows)
     assert minhash.node_table(empty).count() == 0
@@ -114,7 +116,7 @@ def test_mixing_equals_oracle(spark, docs, empty):
 
     con = duckdb.connect()
     for frame, name in ((spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "sf"), (docs, "edge"), (empty, "empty")):
-        con.register("documents", frame.select("doc_id", "text", "source").toPandas())
+        con.register("documents", frame.select("doc_id", "text", "source").toPandas().astype({"doc_id": "Int64"}))
         got = sorted(map(repr, (tuple(r) for r in mixing.mix(frame).select("size", "source_size", "target", "taken").collect())))
         want = sorted(map(repr, (tuple(r) for r in con.execute(f"SELECT size, source_size, target, taken FROM ({ORACLES['op2_source_mixing']})").fetchall())))
         assert got == want, name
@@ -122,6 +124,12 @@ def test_mixing_equals_oracle(spark, docs, empty):
     assert sum(r.taken for r in rows) == sum(math.floor(t) for t in {r.source: r.target for r in rows}.values())
     assert all(0 <= r.taken <= 2 * r.size for r in rows)
     assert mixing.mixed_documents(docs).columns == docs.columns
+    nameless = spark.createDataFrame([(None, f"w{i} " * (1 + i % 7), f"s{i % 3}", 1, 2) for i in range(900)], "doc_id long, text string, source string, copies int, cut int")
+    targets = {r.source: r.target for r in mixing.mix(nameless).collect()}
+    out = mixing.mixed_documents(nameless)
+    assert out.columns == nameless.columns
+    for r in out.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect():
+        assert targets[r.source] - 1 <= r.n <= targets[r.source] + 7
 
 
 def brute_lm(rows, held, discount=0.8):
@@ -298,6 +306,11 @@ def test_ann_recall_and_edges(spark):
     tiny = ann.nearest(spark.createDataFrame(odd, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.vec_id) for r in tiny] == [(0, 1), (0, 2), (0, 50), (0, 7), (50, 0), (50, 1), (50, 2), (50, 7)]
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
+    same = {tuple(r) for r in got}
+    assert {tuple(r) for r in ann.nearest(df.union(df.where("vec_id % 3 = 0")).repartition(5), F.col("vec_id") % 50 == 0).collect()} == same
+    mixed = [(0, [1.0, 0.0]), (1, [1.0]), (2, [3.0]), (3, [0.0, 1.0]), (50, [2.0]), (4, [1.0, 1.0, 1.0])]
+    tiny = ann.nearest(spark.createDataFrame(mixed, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in tiny] == [(0, 3), (50, 1), (50, 2)]
 
 
 def test_matroska_round_trip_and_lacing(spark, docs, empty):
@@ -315,6 +328,11 @@ def test_matroska_round_trip_and_lacing(spark, docs, empty):
     body = matroska.element(matroska.TIMESTAMP, b"\x0a") + matroska.element(matroska.SIMPLE_BLOCK, xiph) + matroska.element(matroska.BLOCK_GROUP, matroska.element(matroska.BLOCK, fixed))
     live = matroska._id(matroska.SEGMENT) + b"\x01" + b"\xff" * 7 + matroska._id(matroska.CLUSTER) + b"\xff" + body
     assert [(t, live[a:b]) for _, t, a, b, _ in matroska.packets(live)] == [(15, f) for f in frames] + [(10, b"xx"), (10, b"yy")]
+    times = [t for _, t, *_ in matroska.packets(matroska.mux(bytes(20_000)))]
+    assert times == [i * 128 for i in range(20)]
+    grouped = matroska.element(matroska.BLOCK_GROUP, matroska.element(matroska.BLOCK, b"\x81\x00\x00\x00a")) + matroska.element(matroska.BLOCK_GROUP, matroska.element(matroska.BLOCK, b"\x81\x00\x02\x00b") + matroska.element(matroska.REFERENCE_BLOCK, b"\xff"))
+    scaled = matroska.element(matroska.SEGMENT, matroska.element(matroska.INFO, matroska.element(matroska.TIMESTAMP_SCALE, b"\x1e\x84\x80")) + matroska.element(matroska.CLUSTER, matroska.element(matroska.TIMESTAMP, b"\x05") + grouped))
+    assert [(t, k) for _, t, _, _, k in matroska.packets(scaled)] == [(10, True), (14, False)]
     for r in matroska.read_back(matroska.media(docs)).join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]).where("doc_id not in (8, 11)"), "doc_id").collect():
         raw = (r.text or "").encode()
         raw += b"\0" * (-len(raw) % 64 if raw else 64)
