@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from curatum.llm import bpe, linededup, minhash, mixing, quality
 from curatum.llm.queries import tokenizer_path
-from curatum.llm.support import store, table
+from curatum.llm.support import fresh, store, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learned from ``labels``, does not reject: each row by its own text."""
     scores = quality.text_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 0")
-    gone = store(scores.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & quality.text_hash().eqNullSafe(F.col("_text"))
+    key, text = fresh(docs, "id", "hash")
+    gone = store(scores.select(F.col("doc_id").alias(key), F.col("text_hash").alias(text)).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & quality.text_hash().eqNullSafe(F.col(text))
     return docs.join(gone, same, "left_anti").select(docs.columns)
 
 
@@ -33,8 +34,9 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Links are taken from a similarity of 0.8; with 13 bands a pair there is missed with
     probability 2 * (1 - 0.8 ** 3) ** 13 = 0.00018.
     """
-    gone = store(minhash.node_table(docs, percent=80, bands=13, rows=3).where("not kept").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti").select(docs.columns)
+    (key,) = fresh(docs, "id")
+    gone = store(minhash.node_table(docs, percent=80, bands=13, rows=3).where("not kept").select(F.col("doc_id").alias(key)).distinct())
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
