@@ -18,9 +18,20 @@ def _last(items: Column, field: str, name: str, value: str) -> Column:
     return F.try_element_at(F.filter(items, lambda x: x[field] == name), F.lit(-1))[value]
 
 
+def _strip(text: Column) -> Column:
+    """``text`` without the white space at its ends, of any kind."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def _tagged(text: Column, role: str) -> Column:
-    found = F.regexp_extract(text, rf"(?s)<\|im_start\|>{role}\n?(.*?)<\|im_end\|>", 1)
-    return F.when(text.contains(f"<|im_start|>{role}"), F.trim(found)).otherwise(text)
+    """Text between the first tag of ``role`` and the end tag behind it, stripped; unterminated: the whole text."""
+    tag, end = f"<|im_start|>{role}\n", "<|im_end|>"
+    behind = F.substring(text, F.instr(text, tag) + F.lit(len(tag)), F.length(text))
+    found = F.when(F.contains(behind, F.lit(end)), _strip(F.substring_index(behind, end, 1))).otherwise(text)
+    if role == "user":
+        return F.when(F.contains(text, F.lit(tag)) & F.contains(text, F.lit(end)), found).otherwise(text)
+    marked = F.contains(text, F.lit("<|im_start|>user\n")) & F.contains(text, F.lit(end))
+    return F.when(~marked, text).when(F.contains(text, F.lit(tag)), found).otherwise("")
 
 
 def write(df: DataFrame, target: str) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urldefrag, urljoin, urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -46,7 +48,7 @@ INJECTIONS = (
 #: Invisible characters, look-alike letters and markup left over.
 INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\ufeff\u2060\u2061\u2062\u2063\u2064"
 LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "в": "b", "н": "h", "т": "t", "і": "i", "ѕ": "s", "ј": "j"}
-MARKUP = r"\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|[^|]*\|>|\{\{[^}]*\}\}|</?system>|###\s*(?:Human|Assistant|System)\s*:"
+MARKUP = r"\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|[^|]*\|>|\{\{[^}]*\}\}|</?system>|###\s*(Human|Assistant|System)\s*:"
 
 
 def clean_one(text: str, strict: bool = False) -> tuple[str, list[str]]:
@@ -65,11 +67,13 @@ def clean_one(text: str, strict: bool = False) -> tuple[str, list[str]]:
     text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text))
     left = re.findall(MARKUP, text)
     if left:
-        flags.append(f"residual_markup: {', '.join(left)}")
+        flags.append(f"residual_markup: {left}")  # a list of the role names that the last pattern captures, empty for the others
     return re.sub(MARKUP, "", text).strip(), flags
 
 
 _COMPILED = [(p, re.compile(p)) for p in INJECTIONS]
+#: Anything but ASCII and common letters and signs that no layer changes (tested).
+_CHANGED = r"[^\x00-\x7F\u00A1\u00A7\u00A9\u00AB\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u2013\u2014\u2018-\u201D\u2022\u3001\u3002\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3]"
 _SWAP, _DROP = str.maketrans(LOOKALIKES), dict.fromkeys(map(ord, INVISIBLE))
 
 
@@ -86,7 +90,7 @@ def sanitize(docs: DataFrame, *, strict: bool = False) -> DataFrame:
         return pd.DataFrame([("", []) if x is None else clean_one(x, strict) for x in texts], columns=["clean", "flags"])
 
     text = F.coalesce("text", F.lit(""))
-    touched = text.rlike("|".join(f"(?:{p})" for p in (*INJECTIONS, MARKUP, r"[^\x00-\x7F]", r"\t|  |\n{3}")))
+    touched = text.rlike("|".join(f"(?:{p})" for p in (*INJECTIONS, MARKUP, _CHANGED, r"\t|  |\n{3}")))
     df = docs.withColumn("_touched", touched)
     df = df.withColumn("_r", layers(F.when(F.col("_touched"), text)))
     clean = F.when(F.col("_touched"), F.col("_r.clean")).otherwise(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
@@ -239,10 +243,47 @@ def extract_pages(pages: DataFrame, *, strip_hidden: bool = False) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, title string, content string, links array<string>")
 
 
+def page_links(pages: DataFrame) -> DataFrame:
+    """(page_id, url, place, link): links of each page to pages of its own host, in order.
+
+    Anchors, scripts, mail and telephone links are left out; links are made absolute by the
+    page's url, lose their fragment, and the first of equal ones stays.
+    """
+
+    @F.pandas_udf("array<string>")
+    def absolute(urls: pd.Series, links: pd.Series) -> pd.Series:
+        return pd.Series([_same_host(u or "", found) for u, found in zip(urls, links, strict=True)], dtype=object)
+
+    kept = F.filter("links", lambda x: ~x.rlike("^(#|javascript:|mailto:|tel:)"))
+    found = extract_pages(pages).select("page_id", "url", absolute(F.col("url"), kept).alias("links"))
+    return found.select("page_id", "url", F.posexplode("links").alias("place", "link"))
+
+
+def _same_host(url: str, links) -> list[str]:
+    out = {}
+    for link in links:
+        try:
+            whole = urldefrag(urljoin(url, link))[0]
+            if urlparse(whole).netloc == urlparse(url).netloc:
+                out[whole] = None
+        except ValueError:  # no url
+            continue
+    return list(out)
+
+
 def manifest(sources: DataFrame) -> DataFrame:
-    """One row per source (id, text): hash, words, status; sources under 50 characters are skipped."""
-    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    return sources.where(F.length("text") >= 50).select("id", F.sha2("text", 256).alias("content_hash"), words.alias("word_count"))
+    """One row per source (id, text, and where known url, title, method, mode, depth, flags): hash,
+    words and status; sources under 50 characters are skipped, missing columns have the defaults of one page."""
+    have = set(sources.columns)
+    given = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in have else F.lit(default)
+    flags = F.col("flags") if "flags" in have else F.array().cast("array<string>")
+    none = F.coalesce(F.size(flags), F.lit(0)) <= 0
+    return sources.where(F.length("text") >= 50).select(
+        "id", given("url", "").alias("url"), given("title", "").alias("page_title"), F.sha2("text", 256).alias("content_hash"),
+        F.regexp_count("text", F.lit(r"(?U)\S+")).alias("word_count"), given("method", "html").alias("extraction_method"),
+        F.when(none, "clean").otherwise("flagged").alias("sanitization_status"), F.when(~none, F.to_json(flags)).alias("injection_flags"),
+        given("mode", "single").alias("crawl_mode"), given("depth", 0).alias("crawl_depth"),
+    )
 
 
 def duplicate_content(sources: DataFrame) -> DataFrame:
@@ -250,28 +291,36 @@ def duplicate_content(sources: DataFrame) -> DataFrame:
     return sources.groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, *, max_pages: int | None = None, pattern: str | None = None) -> DataFrame:
     """(page, depth) reachable from the seeds over stored edges (src, dst), level by level.
 
     Each level joins the last frontier with the edges and drops visited pages by an anti join;
-    levels are stored through ``checkpoint`` in the session's shared folder.
+    levels are written as tables in the session's shared folder, whose sizes Spark knows. With
+    ``pattern``, pages that do not match it are neither kept nor followed; with ``max_pages`` the
+    first pages by (depth, page) stay and the search ends with the level that completes them.
     """
-    visited = frontier = seeds.select("page").distinct().withColumn("depth", F.lit(0))
+    fits = (lambda df: df.where(F.col("page").rlike(pattern))) if pattern else (lambda df: df)
+    visited = frontier = stored(fits(seeds.select("page").distinct()).withColumn("depth", F.lit(0)))
     for depth in range(1, max_depth + 1):
-        step = frontier.join(edges, frontier.page == edges.src).select(F.col("dst").alias("page")).distinct()
+        if max_pages is not None and visited.count() >= max_pages:
+            break
+        step = fits(frontier.join(edges, frontier.page == edges.src).select(F.col("dst").alias("page")).distinct())
         frontier = stored(step.join(visited.select("page"), "page", "left_anti").withColumn("depth", F.lit(depth)))
         visited = visited.unionByName(frontier)
-    return visited
+    return visited if max_pages is None else visited.orderBy("depth", "page").limit(max_pages)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the session's shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
+def shared_dir(spark: SparkSession) -> str:
+    """The folder driver and executors share: ``spark.checkpoint.dir``, or the warehouse's where it is unset."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/curatum-stored"
+
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="curatum-"))
-    return df.checkpoint()
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once in the shared folder and reread it, which cuts its lineage."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def qa_dedup(qa: DataFrame, *scope: str) -> DataFrame:

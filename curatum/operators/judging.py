@@ -28,26 +28,28 @@ def _truth(value: object) -> bool:
     return bool(value)
 
 
-def _fields(data: dict) -> tuple[bool, float, str]:
-    return _truth(data.get("correct", False)), float(data.get("confidence", 0.5)), str(data.get("explanation") or "No explanation provided.")
+def _fields(data: dict) -> tuple[bool, float, str, str]:
+    explanation = str(data.get("explanation") or "No explanation provided.")
+    return _truth(data.get("correct", False)), float(data.get("confidence", 0.5)), explanation, str(data.get("reasoning") or explanation)
 
 
 def _braced(text: str):
-    """The balanced ``{...}`` pieces of a text, by where they start; braces in strings count too."""
-    for opened in re.finditer(r"\{", text):
-        depth = 0
-        for brace in re.compile(r"[{}]").finditer(text, opened.start()):
-            depth += 1 if brace.group() == "{" else -1
-            if not depth:
-                yield text[opened.start() : brace.end()]
-                break
-
-
-def json_verdict(text: str) -> tuple[str | None, bool | None, float | None, str | None]:
-    """(mode, correct, confidence, explanation) of a reply with JSON; all None where none can be read."""
+    """The balanced ``{...}`` pieces of a text, by where they start; braces in strings count too. One pass."""
+    opened, closed = [], {}
+    for brace in re.finditer(r"[{}]", text):
+        if brace.group() == "{":
+            opened.append(brace.start())
+        elif opened:
+            closed[opened.pop()] = brace.end()
+    for start in sorted(closed):
+        yield text[start : closed[start]]
+
+
+def json_verdict(text: str) -> tuple[str | None, bool | None, float | None, str | None, str | None]:
+    """(mode, correct, confidence, explanation, reasoning) of a reply with JSON; all None where none can be read."""
     try:
         data = json.loads(text.strip())
-        return ("json", *_fields(data)) if isinstance(data, dict) else ("neutral", True, 0.5, "")
+        return ("json", *_fields(data)) if isinstance(data, dict) else ("neutral", True, 0.5, "", "")
     except (ValueError, TypeError, RecursionError):
         pass
     for piece in _braced(text):
@@ -55,19 +57,19 @@ def json_verdict(text: str) -> tuple[str | None, bool | None, float | None, str
             return ("embedded_json", *_fields(json.loads(piece)))
         except (ValueError, TypeError, RecursionError):
             continue
-    return None, None, None, None
+    return (None,) * 5
 
 
 def parse_verdicts(replies: DataFrame, column: str = "reply") -> DataFrame:
-    """Add parse_mode, correct, confidence, explanation to raw judge replies.
+    """Add parse_mode, correct, confidence, explanation, reasoning to raw judge replies.
 
     Only replies that could hold JSON go through the Arrow function; the text rules are native.
     A null reply and JSON that is no object are neutral: (true, 0.5).
     """
 
-    @F.pandas_udf("mode string, correct boolean, confidence double, explanation string")
+    @F.pandas_udf("mode string, correct boolean, confidence double, explanation string, reasoning string")
     def from_json(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None,) * 4 if x is None else json_verdict(x) for x in texts], columns=["mode", "correct", "confidence", "explanation"]).astype(object)
+        return pd.DataFrame([(None,) * 5 if x is None else json_verdict(x) for x in texts], columns=["mode", "correct", "confidence", "explanation", "reasoning"]).astype(object)
 
     text, low = F.col(column), F.lower(column)
     tried = replies.withColumn("_j", from_json(F.when(text.rlike(r'\{|^\s*[\["\-0-9tfnNI]'), text)))
@@ -77,9 +79,15 @@ def parse_verdicts(replies: DataFrame, column: str = "reply") -> DataFrame:
     return tried.select(
         *replies.columns, pick(F.lit("neutral"), F.col("_j.mode"), F.lit("text")).alias("parse_mode"), pick(F.lit(True), F.col("_j.correct"), right).alias("correct"),
         pick(F.lit(0.5), F.col("_j.confidence"), F.when(right, 0.7).when(wrong, 0.3).otherwise(0.5)).alias("confidence"), pick(F.lit(""), F.col("_j.explanation"), short).alias("explanation"),
+        pick(F.lit(""), F.col("_j.reasoning"), short).alias("reasoning"),
     )
 
 
+def parse_report(parsed: DataFrame, *by: str) -> DataFrame:
+    """How many replies were read in which mode, by ``by`` (the judge)."""
+    return parsed.groupBy(*by, "parse_mode").agg(F.count("*").alias("n"))
+
+
 def escalation(verdicts: DataFrame, *, quorum: float = 2 / 3, panel_mean: float = 0.7, dissent: float = 0.9, senior: float = 0.75, premium: float = 0.7) -> DataFrame:
     """(entry_id, tier): who settles each entry.
 

@@ -160,6 +160,28 @@ def short_responses(pairs: DataFrame) -> DataFrame:
     return short("chosen", "high").unionByName(short("rejected", "medium"))
 
 
+def label_consistency(scored: DataFrame) -> DataFrame:
+    """(id, level): critical where the margin contradicts the label, weak below 0.1."""
+    return scored.select("id", F.when(F.col("margin") < 0, "critical").when(F.col("margin") < 0.1, "weak").otherwise("sound").alias("level"))
+
+
+def filter_by_margin(scored: DataFrame, least: float = 0.0) -> DataFrame:
+    return scored.where(F.col("margin") >= least)
+
+
+def hardest_pairs(scored: DataFrame, keep: float = 0.1) -> DataFrame:
+    """Pairs whose implicit gap is at most its ``keep`` percentile."""
+    cut = scored.agg(F.percentile("implicit", keep).alias("cut"))
+    return scored.crossJoin(F.broadcast(cut)).where("implicit <= cut").select(*scored.columns)
+
+
+def reward_disagreement(scored: DataFrame, margins: tuple[str, ...] = ("margin", "implicit")) -> DataFrame:
+    """(id, agreement, level): mean sign of the models' margins, 0 counting as against; critical below 0.5, partial below 1."""
+    sign = sum((F.when(F.col(m) > 0, 1).otherwise(-1) for m in margins), F.lit(0))
+    level = F.when(F.col("agreement") < 0.5, "critical").when(F.col("agreement") < 1.0, "partial").otherwise("full")
+    return scored.select("id", (sign / float(len(margins))).alias("agreement")).withColumn("level", level)
+
+
 def filter_by_strength(scored: DataFrame, keep: float = 0.6) -> DataFrame:
     """Pairs whose absolute margin reaches the (1 - keep) percentile: one exact percentile, broadcast as one row."""
     cut = scored.agg(F.percentile(F.abs("margin"), 1 - keep).alias("cut"))

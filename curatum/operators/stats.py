@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def accuracy_by_domain(responses: DataFrame) -> DataFrame:
@@ -12,8 +12,26 @@ def accuracy_by_domain(responses: DataFrame) -> DataFrame:
     return by_subject.groupBy(domain.alias("domain")).agg(F.round(F.avg("a") * 100, 6).alias("accuracy"))
 
 
-def overview(responses: DataFrame) -> DataFrame:
-    return responses.agg(F.count("*").alias("responses"), F.count_distinct("subject").alias("subjects"), F.count_distinct("model").alias("models"), F.count_if("right").alias("n_right"))
+def overview(responses: DataFrame, entries: DataFrame, runs: DataFrame) -> DataFrame:
+    """Counts of responses, entries, subjects (null is none) and runs, in one row."""
+    counted = lambda df, name: df.agg(F.count("*").alias(name))
+    asked = responses.agg(F.count("*").alias("total_questions"), F.count_distinct("subject").alias("subjects"))
+    return asked.crossJoin(counted(entries, "training_pairs")).crossJoin(counted(runs, "training_runs"))
+
+
+def latest_responses(responses: DataFrame, last: int = 100) -> DataFrame:
+    return responses.orderBy(F.col("created_at").desc(), "id").limit(last)
+
+
+def eval_accuracy(responses: DataFrame, *by: str) -> DataFrame:
+    """Share of right answers by model and ``by``; an answer that is missing or failed counts as wrong."""
+    return responses.groupBy("model", *by).agg(F.round(F.avg(F.coalesce("right", F.lit(False)).cast("double")), 6).alias("score"))
+
+
+def calibration_split(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Add ``part``: six tenths train, two calibrate, two test, by the key."""
+    at = F.pmod(F.col(key), F.lit(10))
+    return rows.withColumn("part", F.when(at < 6, "train").when(at < 8, "calibrate").otherwise("test"))
 
 
 def subject_bars(responses: DataFrame, top: int = 12) -> DataFrame:
@@ -40,10 +58,28 @@ def compare(responses: DataFrame, base: str, tuned: str) -> DataFrame:
     return g.select("subject", F.round("b", 6).alias("base"), F.round("t", 6).alias("tuned"), F.round(F.col("t") - F.col("b"), 6).alias("gain"), F.round(F.when(F.col("b") > 0, (F.col("t") - F.col("b")) / F.col("b") * 100).otherwise(0.0), 6).alias("gain_pct"))
 
 
-def matrix(responses: DataFrame) -> DataFrame:
-    """Accuracy by subject and model with all subtotals (cube)."""
-    g = responses.cube("subject", "model").agg(F.round(F.avg(F.col("right").cast("double")), 6).alias("accuracy"), F.count("*").alias("n"))
-    return g.select(F.coalesce("subject", F.lit("all")).alias("subject"), F.coalesce("model", F.lit("all")).alias("model"), "accuracy", "n")
+def _domain() -> Column:
+    return F.when(F.coalesce("subject", F.lit("")) == "", "unknown").otherwise(F.split_part("subject", F.lit("_"), F.lit(1)))
+
+
+def domain_matrix(responses: DataFrame, models: tuple[str, ...]) -> DataFrame:
+    """Accuracy by domain with a column for each of ``models``."""
+    g = responses.groupBy(_domain().alias("domain")).pivot("model", list(models)).agg(F.round(F.avg(F.col("right").cast("double")), 6))
+    return g.select("domain", *(F.col(f"`{m}`").alias(m) for m in models))
+
+
+def _subtotals(grouped) -> DataFrame:
+    return grouped.agg(F.grouping_id().cast("int").alias("level"), F.round(F.avg(F.col("right").cast("double")), 6).alias("accuracy"), F.count("*").alias("n"))
+
+
+def domain_rollup(responses: DataFrame) -> DataFrame:
+    """(domain, subject, level, accuracy, n): subjects (level 0), domains (1) and all (3)."""
+    return _subtotals(responses.withColumn("domain", _domain()).rollup("domain", "subject"))
+
+
+def domain_cube(responses: DataFrame) -> DataFrame:
+    """(domain, model, level, accuracy, n): all subtotals of domain and model; level names the columns summed over."""
+    return _subtotals(responses.withColumn("domain", _domain()).cube("domain", "model"))
 
 
 def reliability_bins(rows: DataFrame, bins: int = 10, *by: str) -> DataFrame:
@@ -62,29 +98,77 @@ def calibration_metrics(rows: DataFrame, bins: int = 10) -> DataFrame:
     return g.agg(F.round(F.sum(gap * F.col("n")) / n, 6).alias("ece"), F.round(F.max(gap), 6).alias("mce"), F.round(F.sum("b") / n, 6).alias("brier"), F.round(F.sum("l") / n, 6).alias("nll"))
 
 
+def group_calibration(rows: DataFrame, group: str, *, bins: int = 10, least: int = 50, key: str = "doc_id") -> DataFrame:
+    """(group, bin, n, confidence, accuracy): bins of equal mass of each group with ``least`` rows or more.
+
+    Rows are ranked by (p, key) through prefix sums over score ranges, so that no group is sorted in one task.
+    """
+    named = rows.where(F.col("p").isNotNull()).withColumn("_cell", _cell())
+    cells = named.groupBy(group, "_cell").agg(F.count("*").alias("_n"))
+    by_cell = W.partitionBy(group).orderBy("_cell")
+    cells = cells.select(F.col(group).alias("_g"), F.col("_cell").alias("_c"), (F.sum("_n").over(by_cell) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy(group)).alias("_total")).where(F.col("_total") >= least)
+    ranked = named.join(cells, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_cell") == F.col("_c"))).withColumn("_rank", F.col("_before") + F.row_number().over(W.partitionBy(group, "_cell").orderBy("p", key)) - 1)
+    # the first total % bins bins hold one row more, as ntile has it
+    small, more = F.floor(F.col("_total") / bins), F.col("_total") % bins
+    first = more * (small + 1)
+    at = F.when(F.col("_rank") < first, F.floor(F.col("_rank") / (small + 1))).otherwise(more + F.floor((F.col("_rank") - first) / F.greatest(small, F.lit(1))))
+    return ranked.groupBy(group, at.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("confidence"), F.round(F.avg("y"), 6).alias("accuracy"))
+
+
+#: Score ranges in [0, 1] over which prefix sums are taken.
+CELLS = 4096
+
+
+def _cell(p: str = "p") -> Column:
+    return F.floor(F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0)) * CELLS).cast("int")
+
+
+def _running(scores: DataFrame, sums: tuple[str, ...]) -> DataFrame:
+    """``scores``, one row per distinct ``p`` in [0, 1], with ``below_x`` for each sum x: the total of x
+    over smaller scores, and ``all_x``. Ranges of scores are summed first, scores within their range."""
+    placed = scores.withColumn("_cell", _cell())
+    cells = placed.groupBy("_cell").agg(*(F.sum(x).alias(x) for x in sums))
+    ahead, whole = W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
+    cells = cells.select(F.col("_cell").alias("_c"), *(F.coalesce(F.sum(x).over(ahead), F.lit(0)).alias(f"_b_{x}") for x in sums), *(F.sum(x).over(whole).alias(f"all_{x}") for x in sums))
+    within = W.partitionBy("_cell").orderBy("p").rowsBetween(W.unboundedPreceding, -1)
+    joined = placed.join(cells, F.col("_cell") == F.col("_c"))
+    return joined.select(*scores.columns, *((F.col(f"_b_{x}") + F.coalesce(F.sum(x).over(within), F.lit(0))).alias(f"below_{x}") for x in sums), *(f"all_{x}" for x in sums))
+
+
 def auroc(rows: DataFrame) -> DataFrame:
-    """Rank statistic with ties at half; the running sum goes over distinct scores."""
+    """Rank statistic with ties at half."""
     g = rows.groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    g = g.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2.0))
+    g = _running(g, ("neg",)).withColumn("wins", F.col("pos") * (F.col("below_neg") + F.col("neg") / 2.0))
     return g.agg(F.round(F.sum("wins") / (F.sum("pos") * F.sum("neg")), 6).alias("auroc"))
 
 
 def threshold_sweep(rows: DataFrame) -> DataFrame:
     """For each score c: accuracy and coverage of the rows with p >= c."""
-    g = rows.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    up = W.orderBy(F.col("p").desc())
-    total = F.sum("n").over(W.partitionBy())
-    g = g.select("p", F.sum("n").over(up).alias("kept"), F.sum("pos").over(up).alias("good"), total.alias("total"))
-    return g.select("p", F.round(F.col("good") / F.col("kept"), 6).alias("accuracy"), F.round(F.col("kept") / F.col("total"), 6).alias("coverage"))
+    g = _running(rows.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").alias("pos")), ("n", "pos"))
+    kept, good = F.col("all_n") - F.col("below_n"), F.col("all_pos") - F.col("below_pos")
+    return g.select("p", F.round(good / kept, 6).alias("accuracy"), F.round(kept / F.col("all_n"), 6).alias("coverage"))
+
+
+def threshold_choice(rows: DataFrame, target: float = 0.95, reject_below: float = 0.3) -> DataFrame:
+    """(accept_from, edit_from): the smallest score from which on accuracy meets ``target``, and the largest
+    score below which it stays under ``reject_below``; null where there is none."""
+    g = _running(rows.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").alias("pos")), ("n", "pos"))
+    above = (F.col("all_pos") - F.col("below_pos")) / (F.col("all_n") - F.col("below_n"))
+    below = F.col("below_pos") / F.nullif(F.col("below_n"), F.lit(0))
+    return g.agg(F.min(F.when(above >= target, F.col("p"))).alias("accept_from"), F.max(F.when(below < reject_below, F.col("p"))).alias("edit_from"))
+
+
+def three_way(rows: DataFrame, choice: DataFrame) -> DataFrame:
+    """``rows`` with ``route``: accept, edit or reject by the thresholds of ``choice`` (one row); edit is what lies between."""
+    route = F.when(F.col("p") >= F.col("accept_from"), "accept").when(F.col("p") < F.col("edit_from"), "reject").otherwise("edit")
+    return rows.crossJoin(F.broadcast(choice)).withColumn("route", route).select(*rows.columns, "route")
 
 
 def conformal_threshold(rows: DataFrame, alpha: float = 0.1) -> DataFrame:
     """The finite-sample (1 - alpha) quantile of 1 - p over positive rows, from counts by score."""
-    g = rows.where("y = 1").groupBy((1 - F.col("p")).alias("s")).agg(F.count("*").alias("n"))
-    run, total = F.sum("n").over(W.orderBy("s")), F.sum("n").over(W.partitionBy())
-    g = g.select("s", run.alias("upto"), total.alias("total"))
-    return g.where(F.col("upto") >= F.least(F.ceil((F.col("total") + 1) * (1 - alpha)), F.col("total"))).agg(F.round(F.min("s"), 6).alias("threshold"))
+    g = _running(rows.where("y = 1").groupBy((1 - F.col("p")).alias("p")).agg(F.count("*").alias("n")), ("n",))
+    reached = F.col("below_n") + F.col("n") >= F.least(F.ceil((F.col("all_n") + 1) * (1 - alpha)), F.col("all_n"))
+    return g.where(reached).agg(F.round(F.min("p"), 6).alias("threshold"))
 
 
 def platt_fit(rows: DataFrame, iterations: int = 100) -> DataFrame:
@@ -125,7 +209,11 @@ def cost_threshold(rows: DataFrame, *, false_accept: float = 100.0, review: floa
     return total.orderBy("cost", "a", "e").limit(1).select((F.col("a") / bins).alias("accept_from"), (F.col("e") / bins).alias("edit_from"), F.round("cost", 6).alias("cost"))
 
 
-def run_history(responses: DataFrame, last: int = 20) -> DataFrame:
-    """The newest runs (model, subject): when they ended, their size and score."""
-    g = responses.groupBy("model", "subject").agg(F.max("created_at").alias("ended"), F.count("*").alias("n"), F.round(F.avg(F.col("right").cast("double")), 6).alias("score"))
-    return g.orderBy(F.col("ended").desc(), "model", "subject").limit(last)
+def run_history(runs: DataFrame, last: int = 100) -> DataFrame:
+    """The newest training runs."""
+    return runs.orderBy(F.col("started_at").desc(), "id").limit(last)
+
+
+def eval_history(results: DataFrame, last: int = 100) -> DataFrame:
+    """The newest evaluation results."""
+    return results.orderBy(F.col("created_at").desc(), "id").limit(last)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import answers as A
-from .operators import formats, ingest, probing, quality, review, stats
+from .operators import formats, ingest, probing, quality, review, stats, taxonomy
 from .plans.curation import curation_waterfall
 from .sources import fixtures as X
 from .sources.fixtures import CALIBRATION, PAIRS, RESPONSES, VERDICTS
@@ -92,7 +92,7 @@ _add("probe_summary", _of(X.responses, probing.run_summary), f"{R} SELECT model,
 _add("conversation_pairs", lambda s, d: formats.conversation_pairs(X.table(s, d, "conversations")), f"{P} SELECT conv_id, turn, prompt, chosen FROM raw_pairs")
 _add("fmt_dpo", _of(X.pairs, lambda p: formats.write(p, "dpo")), f"{P} SELECT id, prompt, chosen, rejected FROM pairs")
 _add("fmt_alpaca", _of(X.pairs, lambda p: formats.convert(p, "dpo", "alpaca")), f"{P} SELECT id, prompt AS instruction, '' AS input, chosen AS output FROM pairs")
-_add("fmt_chatml", _of(X.pairs, lambda p: formats.convert(p, "dpo", "chatml")), f"{P} SELECT id, '<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || chosen || '<|im_end|>' AS text FROM pairs")
+_add("fmt_chatml", _of(X.pairs, lambda p: formats.write(p, "chatml").join(formats.read(formats.write(p, "chatml"), "chatml").drop("rejected"), "id")), f"{P} SELECT id, '<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || chosen || '<|im_end|>' AS text, trim(prompt, ' ' || chr(9) || chr(10) || chr(13)) AS prompt, trim(chosen, ' ' || chr(9) || chr(10) || chr(13)) AS chosen FROM pairs")
 _add("fmt_completion", _of(X.pairs, lambda p: formats.convert(p, "dpo", "completion")), f"{P} SELECT id, prompt, chosen AS completion FROM pairs")
 _back = lambda f: lambda p: formats.read(formats.write(p, f), f).select("id", "prompt", "chosen")
 _add("fmt_openai_messages", _of(X.pairs, _back("openai_messages")), f"{P} SELECT id, prompt, chosen FROM pairs")
@@ -108,8 +108,14 @@ _add("cascade_review", _of(X.verdicts, review.cascade), f"""{V}{_WIDE}, flags AS
 asked AS (SELECT v.* FROM verdicts v JOIN flags f ON v.entry_id = f.entry_id WHERE judge_no = 1 OR (judge_no = 2 AND escalated) OR (judge_no = 3 AND tiebreaker_used))
 SELECT x.*, f.escalated, f.tiebreaker_used FROM ({_CONSENSUS.format(src='asked')}) x JOIN flags f ON x.entry_id = f.entry_id""")
 _SWAP = "(NOT c1 AND c2)"
-_add("review_action", _of(X.verdicts, review.actions), f"{V}{_WIDE} SELECT entry_id, {_SWAP} AS should_edit, CASE WHEN {_SWAP} THEN 'edit' WHEN s1 >= 0.7 AND c1 THEN 'accept' WHEN s1 < 0.3 THEN 'reject' ELSE 'accept' END AS action, CASE WHEN {_SWAP} THEN greatest(s1, s2) ELSE s1 END AS confidence FROM wide")
-_add("cross_verify", _of(X.verdicts, lambda v: review.actions(v).groupBy("should_edit").agg(F.count("*").alias("n"))), f"{V}{_WIDE} SELECT {_SWAP} AS should_edit, count(*) AS n FROM wide GROUP BY 1")
+_entries = lambda s, d: X.responses(s, d).select(c("id").alias("entry_id"), "l_orderkey")
+_seen = lambda s, d: X.verdicts(s, d).where("entry_id % 11 <> 0")
+_proof = lambda s, d: _entries(s, d).where("entry_id % 5 = 0").select("entry_id", F.when(c("entry_id") % 2 == 0, 0.9).alias("rejudged"))
+_UNSURE = "(NOT swap AND entry_id % 5 = 0 AND s < 0.7)"
+_add("review_action", lambda s, d: review.actions(_entries(s, d), _seen(s, d), _proof(s, d)), f"""{V}{_WIDE}, seen AS (SELECT r.id AS entry_id, coalesce({_SWAP}, false) AS swap, coalesce(c1, true) AS ok, coalesce(s1, 0.5::DOUBLE) AS s, coalesce(s2, 0.5::DOUBLE) AS s2 FROM responses r LEFT JOIN (SELECT * FROM wide WHERE entry_id % 11 <> 0) w ON r.id = w.entry_id)
+SELECT entry_id, swap AS should_edit, {_UNSURE} AS from_evidence, CASE WHEN swap OR {_UNSURE} THEN 'edit' WHEN s >= 0.7 AND ok THEN 'accept' WHEN s < 0.3 THEN 'reject' ELSE 'accept' END AS action,
+ CASE WHEN swap THEN greatest(s, s2) WHEN {_UNSURE} THEN greatest(s, CASE WHEN entry_id % 2 = 0 THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END) ELSE s END AS confidence FROM seen""")
+_add("cross_verify", _of(X.verdicts, lambda v: review.cross_verify(v).select("entry_id", "should_edit")), f"{V}{_WIDE} SELECT entry_id, {_SWAP} AS should_edit FROM wide")
 
 
 def _decisions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -120,12 +126,16 @@ def _decisions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 _add("apply_decisions", lambda s, d: review.apply_decisions(*_decisions(s, d)), f"""{P} SELECT id, CASE WHEN id % 3 <> 0 AND id % 4 = 2 AND id % 8 < 4 THEN 'edited' ELSE chosen END AS chosen, rejected,
- CASE WHEN id % 3 = 0 THEN 'pending' ELSE ['accepted', 'rejected', 'edited', 'skipped'][id % 4 + 1] END AS status FROM pairs""")
+ CASE WHEN id % 3 = 0 THEN 'pending' ELSE ['accepted', 'rejected', 'edited', 'skipped'][id % 4 + 1] END AS status, CASE WHEN id % 3 <> 0 THEN 2 END AS reviewed_at FROM pairs""")
+_D = P + ", dec AS (SELECT id AS entry_id, CASE WHEN k = 1 THEN 'reject' ELSE ['accept', 'reject', 'edit', 'skip'][id % 4 + 1] END AS action, CASE WHEN id % 8 < 4 THEN 'edited' ELSE '' END AS edited_chosen, CAST(NULL AS VARCHAR) AS edited_rejected, k AS \"at\" FROM pairs, (VALUES (1), (2)) t(k) WHERE id % 3 <> 0)"
+_known = lambda s, d: _decisions(s, d)[0].where("id % 7 <> 0")
+_add("review_sessions", lambda s, d: review.review_sessions(_known(s, d), _decisions(s, d)[1]), f"{_D} SELECT entry_id AS training_entry_id, action, edited_chosen, edited_rejected, \"at\" AS reviewed_at FROM dec WHERE entry_id % 7 <> 0")
+_add("unknown_decisions", lambda s, d: review.unknown_decisions(_known(s, d), _decisions(s, d)[1]).select("entry_id", "action", "at"), f"{_D} SELECT entry_id, action, \"at\" FROM dec WHERE entry_id % 7 = 0")
 _add("review_summary", lambda s, d: review.apply_decisions(*_decisions(s, d)).groupBy("status").agg(F.count("*").alias("n")), f"{P} SELECT CASE WHEN id % 3 = 0 THEN 'pending' ELSE ['accepted', 'rejected', 'edited', 'skipped'][id % 4 + 1] END AS status, count(*) AS n FROM pairs GROUP BY 1")
 _add("pending_queue", lambda s, d: review.apply_decisions(*_decisions(s, d)).where("status = 'pending'").orderBy("id").limit(100).select("id"), f"{P} SELECT id FROM pairs WHERE id % 3 = 0 ORDER BY id LIMIT 100")
 _H = "CASE WHEN s <= 0 OR s >= 1 THEN 0.0::DOUBLE ELSE -(s * log2(s)) - (1 - s) * log2(1 - s) END"
-_add("panel_vote", _of(X.verdicts, review.panel), f"""{V} SELECT entry_id, yes * 2 > n AS majority, round(w, 6) > 0 AS weighted, yes = 0 OR yes = n AS unanimous, CASE WHEN s * 3 >= 2 THEN 'accept' WHEN s * 3 <= 1 THEN 'reject' ELSE 'escalate' END AS two_thirds, round(1 - ({_H}), 6) AS certainty
-FROM (SELECT *, yes / n::DOUBLE AS s FROM (SELECT entry_id, count(*) AS n, count(*) FILTER (correct) AS yes, sum(CASE WHEN correct THEN confidence ELSE -confidence END) AS w FROM verdicts GROUP BY 1))""")
+_add("panel_vote", _of(X.verdicts, review.panel), f"""{V} SELECT entry_id, yes * 2 > n AS majority, round(w, 6) > 0 AS weighted, round(r, 6) > 0 AS root_weighted, yes = 0 OR yes = n AS unanimous, CASE WHEN s * 3 >= 2 THEN 'accept' WHEN s * 3 <= 1 THEN 'reject' ELSE 'escalate' END AS two_thirds, round(1 - ({_H}), 6) AS certainty
+FROM (SELECT *, yes / n::DOUBLE AS s FROM (SELECT entry_id, count(*) AS n, count(*) FILTER (correct) AS yes, sum(CASE WHEN correct THEN confidence ELSE -confidence END) AS w, sum(CASE WHEN correct THEN sqrt(confidence) ELSE -sqrt(confidence) END) AS r FROM verdicts GROUP BY 1))""")
 _add("agreement_rates", _of(X.verdicts, lambda v: review.panel(v).agg(F.round(F.avg(c("unanimous").cast("double")), 6).alias("unanimous"), F.round(F.avg(c("majority").cast("double")), 6).alias("accepted"))), f"{V} SELECT round(avg(CAST(yes = 0 OR yes = n AS DOUBLE)), 6) AS unanimous, round(avg(CAST(yes * 2 > n AS DOUBLE)), 6) AS accepted FROM (SELECT count(*) AS n, count(*) FILTER (correct) AS yes FROM verdicts GROUP BY entry_id)")
 _add("cohen_kappa", _of(X.verdicts, review.cohen_kappa), f"""{V} SELECT judge_a, judge_b, round(po, 6) AS agreement, round((po - pe) / nullif(1 - pe, 0), 6) AS kappa FROM (SELECT *, px * py + (1 - px) * (1 - py) AS pe FROM (
  SELECT a.judge_no AS judge_a, b.judge_no AS judge_b, avg(CAST(a.correct = b.correct AS DOUBLE)) AS po, avg(CAST(a.correct AS DOUBLE)) AS px, avg(CAST(b.correct AS DOUBLE)) AS py FROM verdicts a JOIN verdicts b ON a.entry_id = b.entry_id AND a.judge_no < b.judge_no GROUP BY 1, 2))""")
@@ -137,11 +147,12 @@ _add("filter_low_quality", _of(X.pairs, lambda p: quality.with_pair_quality(p).w
 _add("low_quality_entries", _of(X.pairs, lambda p: quality.with_pair_quality(p).where("overall_quality < 0.3").select("id", "overall_quality").orderBy("id").limit(20)))
 _add("quality_report", _of(X.pairs, lambda p: quality.quality_report(quality.with_pair_quality(p))))
 _add("similarity_by_terms", _of(X.pairs, quality.similarity_by_terms))
-_add("pair_duplicates", _of(X.pairs, quality.pair_duplicates), f"{P} SELECT id, 'high' AS severity FROM (SELECT id, row_number() OVER (PARTITION BY lower(trim(chosen, ' ')), lower(trim(rejected, ' ')) ORDER BY id) AS n FROM pairs) WHERE n > 1")
+D = "WITH " + X.REPEATED
+_add("pair_duplicates", _of(X.repeated_pairs, quality.pair_duplicates), f"{D} SELECT id, 'high' AS severity FROM (SELECT id, row_number() OVER (PARTITION BY lower(trim(chosen, ' ')), lower(trim(rejected, ' ')) ORDER BY id) AS n FROM repeated) WHERE n > 1")
 _W = lambda x: rf"len(regexp_extract_all({x}, '[^\x20\x09-\x0D]+'))"
 _add("length_ratio_flags", _of(X.pairs, quality.length_ratio_flags), f"{P} SELECT * FROM (SELECT id, round({_W('chosen')} / nullif({_W('rejected')}, 0)::DOUBLE, 6) AS ratio FROM pairs) WHERE ratio > 3.0 OR ratio < 0.33")
 _add("length_bias_dataset", _of(X.pairs, quality.length_bias), f"{P} SELECT round(a, 6) AS mean_chosen, round(b, 6) AS mean_rejected, round(a / b, 6) AS ratio, a / b > 1.5 OR a / b < 0.67 AS biased FROM (SELECT avg({_W('chosen')}) AS a, avg({_W('rejected')}) AS b FROM pairs)")
-_add("short_responses", _of(X.pairs, quality.short_responses), f"{P} SELECT id, 'chosen' AS side, 'high' AS severity FROM pairs WHERE len(trim(chosen, ' ')) < 10 UNION ALL SELECT id, 'rejected', 'medium' FROM pairs WHERE len(trim(rejected, ' ')) < 10")
+_add("short_responses", _of(X.repeated_pairs, quality.short_responses), f"{D} SELECT id, 'chosen' AS side, 'high' AS severity FROM repeated WHERE len(trim(chosen, ' ')) < 10 UNION ALL SELECT id, 'rejected', 'medium' FROM repeated WHERE len(trim(rejected, ' ')) < 10")
 
 
 def _margins(spark: SparkSession, d: str) -> DataFrame:
@@ -150,38 +161,45 @@ def _margins(spark: SparkSession, d: str) -> DataFrame:
 
 
 M = P + ", m AS (SELECT *, ((id * 37) % 101 - 40) / 50.0::DOUBLE AS margin, ((id * 53) % 97 - 30) / 40.0::DOUBLE AS implicit FROM pairs)"
-_add("label_consistency", _of(_margins, lambda m: m.select("id", F.when(c("margin") < 0, "critical").when(c("margin") < 0.1, "weak").otherwise("sound").alias("level"))), f"{M} SELECT id, CASE WHEN margin < 0 THEN 'critical' WHEN margin < 0.1 THEN 'weak' ELSE 'sound' END AS level FROM m")
-_add("filter_by_margin", _of(_margins, lambda m: m.where("margin >= 0.5").select("id", "margin")), f"{M} SELECT id, margin FROM m WHERE margin >= 0.5")
+_add("label_consistency", _of(_margins, quality.label_consistency), f"{M} SELECT id, CASE WHEN margin < 0 THEN 'critical' WHEN margin < 0.1 THEN 'weak' ELSE 'sound' END AS level FROM m")
+_add("filter_by_margin", _of(_margins, lambda m: quality.filter_by_margin(m, 0.5).select("id", "margin")), f"{M} SELECT id, margin FROM m WHERE margin >= 0.5")
 _add("filter_by_pd", _of(_margins, lambda m: quality.filter_by_strength(m, 0.6).select("id", "margin")), f"{M} SELECT id, margin FROM m WHERE abs(margin) >= (SELECT quantile_cont(abs(margin), 0.4) FROM m)")
-_add("hardest_pairs", _of(_margins, lambda m: m.crossJoin(F.broadcast(m.agg(F.percentile("implicit", 0.1).alias("cut")))).where("implicit <= cut").select("id", "implicit")), f"{M} SELECT id, implicit FROM m WHERE implicit <= (SELECT quantile_cont(implicit, 0.1) FROM m)")
+_add("hardest_pairs", _of(_margins, lambda m: quality.hardest_pairs(m).select("id", "implicit")), f"{M} SELECT id, implicit FROM m WHERE implicit <= (SELECT quantile_cont(implicit, 0.1) FROM m)")
 _SC = lambda m, u: f"(least(greatest({m}, -2.0::DOUBLE), {u}) + 2.0::DOUBLE) / ({u} + 2.0::DOUBLE)"
 _add("bayes_rank", _of(_margins, quality.bayes_rank), f"{M} SELECT id, round(a * b / nullif(a * b + (1 - a) * (1 - b), 0), 6) AS p FROM (SELECT id, {_SC('margin', 'u1')} AS a, {_SC('implicit', 'u2')} AS b FROM m, (SELECT quantile_cont(abs(margin), 0.9) AS u1, quantile_cont(abs(implicit), 0.9) AS u2 FROM m))")
 _add("curation_pipeline", _of(_margins, curation_waterfall), f"""{M}, dup AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY lower(trim(chosen, ' ')), lower(trim(rejected, ' ')) ORDER BY id) AS n FROM m) WHERE n > 1),
 sound AS (SELECT * FROM m WHERE id NOT IN (SELECT id FROM dup) AND len(trim(chosen, ' ')) >= 10), pos AS (SELECT * FROM sound WHERE margin >= 0), strong AS (SELECT * FROM pos WHERE abs(margin) >= (SELECT quantile_cont(abs(margin), 0.4) FROM pos))
-SELECT 0 AS step, 'all' AS name, count(*) AS n FROM m UNION ALL SELECT 1, 'sound', count(*) FROM sound UNION ALL SELECT 2, 'positive', count(*) FROM pos UNION ALL SELECT 3, 'strong', count(*) FROM strong""")
-_add("reward_disagreement", _of(_margins, lambda m: m.select("id", ((F.when(c("margin") > 0, 1).otherwise(-1) + F.when(c("implicit") > 0, 1).otherwise(-1)) / 2.0).alias("agreement")).withColumn("level", F.when(c("agreement") < 0.5, "critical").when(c("agreement") < 1.0, "partial").otherwise("full"))), f"{M} SELECT id, a AS agreement, CASE WHEN a < 0.5 THEN 'critical' WHEN a < 1.0 THEN 'partial' ELSE 'full' END AS level FROM (SELECT id, (CASE WHEN margin > 0 THEN 1 ELSE -1 END + CASE WHEN implicit > 0 THEN 1 ELSE -1 END) / 2.0::DOUBLE AS a FROM m)")
+SELECT 0 AS step, 'all' AS name, count(*) AS n FROM m UNION ALL SELECT 1, 'sound', count(*) FROM sound UNION ALL SELECT 2, 'positive', count(*) FROM pos UNION ALL SELECT 3, 'strong', count(*) FROM strong UNION ALL SELECT 4, 'agreed', count(*) FROM strong WHERE NOT (margin <= 0 OR implicit <= 0)""")
+_add("reward_disagreement", _of(_margins, quality.reward_disagreement), f"{M} SELECT id, a AS agreement, CASE WHEN a < 0.5 THEN 'critical' WHEN a < 1.0 THEN 'partial' ELSE 'full' END AS level FROM (SELECT id, (CASE WHEN margin > 0 THEN 1 ELSE -1 END + CASE WHEN implicit > 0 THEN 1 ELSE -1 END) / 2.0::DOUBLE AS a FROM m)")
 
 # --- statistics and calibration ----------------------------------------------------------
-_add("stats_overview", _of(X.responses, stats.overview), f"{R} SELECT count(*) AS responses, count(DISTINCT subject) AS subjects, count(DISTINCT model) AS models, count(*) FILTER (is_right) AS n_right FROM responses")
+_add("stats_overview", lambda s, d: stats.overview(X.responses(s, d), X.pairs(s, d), X.training_runs(s, d)), f"{R}, {X.PAIRS}, {X.RUNS} SELECT (SELECT count(*) FROM responses) AS total_questions, (SELECT count(DISTINCT subject) FROM responses) AS subjects, (SELECT count(*) FROM pairs) AS training_pairs, (SELECT count(*) FROM runs) AS training_runs")
 _add("accuracy_by_domain", _of(X.responses, stats.accuracy_by_domain), f"{R} SELECT split_part(subject, '_', 1) AS domain, round(avg(a) * 100, 6) AS accuracy FROM (SELECT subject, avg(CAST(is_right AS DOUBLE)) AS a FROM responses GROUP BY 1) GROUP BY 1")
-_add("latest_responses", _of(X.responses, lambda r: r.orderBy(c("created_at").desc(), "id").limit(100).select("id", "created_at")), f"{R} SELECT id, created_at FROM responses ORDER BY created_at DESC, id LIMIT 100")
+_add("latest_responses", _of(X.responses, lambda r: stats.latest_responses(r).select("id", "created_at")), f"{R} SELECT id, created_at FROM responses ORDER BY created_at DESC, id LIMIT 100")
 _add("subject_bars", _of(X.responses, stats.subject_bars), f"{R} SELECT replace(subject, '_', ' ') AS name, count(*) FILTER (is_right) AS n_right, count(*) FILTER (NOT is_right) AS n_wrong, count(*) AS total FROM responses GROUP BY 1 ORDER BY total DESC, name LIMIT 12")
 _add("error_distribution", _of(_scored_answers, stats.error_distribution), f"{R} SELECT CASE WHEN letter IS NULL THEN 'other' WHEN abs(ascii(letter) - ascii(key_letter)) = 1 THEN 'close' WHEN conf < 0.3 THEN 'factual' ELSE 'reasoning' END AS kind, count(*) AS n FROM (SELECT *, {_CONF} AS conf FROM responses) WHERE NOT is_right GROUP BY 1")
 _add("score_timeline", _of(X.responses, stats.timeline), f"{R} SELECT model[1:15] AS model, strftime(created_at, '%Y-%m-%d') AS day, round(avg(CAST(is_right AS DOUBLE)) * 100, 6) AS accuracy FROM responses GROUP BY 1, 2 ORDER BY day DESC, model LIMIT 15")
-_add("eval_accuracy", _of(X.responses, lambda r: r.groupBy("model", "subject").agg(F.round(F.avg(F.coalesce(c("right"), F.lit(False)).cast("double")), 6).alias("score"))), f"{R} SELECT model, subject, round(avg(CAST(is_right AS DOUBLE)), 6) AS score FROM responses GROUP BY 1, 2")
+_add("eval_accuracy", _of(X.responses, lambda r: stats.eval_accuracy(r, "subject")), f"{R} SELECT model, subject, round(avg(CAST(is_right AS DOUBLE)), 6) AS score FROM responses GROUP BY 1, 2")
 _add("compare_models", _of(X.responses, lambda r: stats.compare(r, "model-0", "model-1")), f"{R} SELECT subject, round(b, 6) AS base, round(t, 6) AS tuned, round(t - b, 6) AS gain, round(CASE WHEN b > 0 THEN (t - b) / b * 100 ELSE 0.0 END, 6) AS gain_pct FROM (SELECT subject, avg(CAST(is_right AS DOUBLE)) FILTER (model = 'model-0') AS b, avg(CAST(is_right AS DOUBLE)) FILTER (model = 'model-1') AS t FROM responses WHERE model IN ('model-0', 'model-1') GROUP BY 1)")
 _add("forgetting_check", _of(X.responses, lambda r: stats.compare(r, "model-0", "model-2").select((c("subject") == "philosophy").alias("target"), "gain").groupBy("target").agg(F.round(F.avg("gain"), 5).alias("mean_gain"), F.count_if(c("gain") < 0).alias("fell"))), f"{R} SELECT subject = 'philosophy' AS target, round(avg(round(t - b, 6)), 5) AS mean_gain, count(*) FILTER (round(t - b, 6) < 0) AS fell FROM (SELECT subject, avg(CAST(is_right AS DOUBLE)) FILTER (model = 'model-0') AS b, avg(CAST(is_right AS DOUBLE)) FILTER (model = 'model-2') AS t FROM responses WHERE model IN ('model-0', 'model-2') GROUP BY 1) GROUP BY 1")
-_add("model_domain_matrix", _of(X.responses, stats.matrix), f"{R} SELECT coalesce(subject, 'all') AS subject, coalesce(model, 'all') AS model, round(avg(CAST(is_right AS DOUBLE)), 6) AS accuracy, count(*) AS n FROM responses GROUP BY CUBE (subject, model)")
+_MODELS = ("model-0", "model-1", "model-2")
+_LEVELS = "round(avg(CAST(is_right AS DOUBLE)), 6) AS accuracy, count(*) AS n FROM (SELECT *, split_part(subject, '_', 1) AS domain FROM responses)"
+_add("model_domain_matrix", _of(X.responses, lambda r: stats.domain_matrix(r, _MODELS)), f"{R} SELECT split_part(subject, '_', 1) AS domain, " + ", ".join(f"round(avg(CAST(is_right AS DOUBLE)) FILTER (model = '{m}'), 6) AS \"{m}\"" for m in _MODELS) + " FROM responses GROUP BY 1")
+_add("domain_rollup", _of(X.responses, stats.domain_rollup), f"{R} SELECT domain, subject, CAST(grouping_id(domain, subject) AS INTEGER) AS level, {_LEVELS} GROUP BY ROLLUP (domain, subject)")
+_add("domain_cube", _of(X.responses, stats.domain_cube), f"{R} SELECT domain, model, CAST(grouping_id(domain, model) AS INTEGER) AS level, {_LEVELS} GROUP BY CUBE (domain, model)")
 _BIN = "CAST(least(floor(p * 10), 9) AS INTEGER)"
 _add("reliability_bins", _of(X.calibration, stats.reliability_bins), f"{C} SELECT {_BIN} AS bin, count(*) AS n, round(avg(p), 6) AS confidence, round(avg(y), 6) AS accuracy FROM cal GROUP BY 1")
-_add("group_calibration", _of(X.calibration, lambda r: stats.reliability_bins(r, 10, "lang").where("n >= 5")), f"{C} SELECT * FROM (SELECT lang, {_BIN} AS bin, count(*) AS n, round(avg(p), 6) AS confidence, round(avg(y), 6) AS accuracy FROM cal GROUP BY 1, 2) WHERE n >= 5")
+_add("group_calibration", _of(X.calibration, lambda r: stats.group_calibration(r, "lang")), f"{C}, t AS (SELECT *, ntile(10) OVER (PARTITION BY lang ORDER BY p, doc_id) - 1 AS bin, count(*) OVER (PARTITION BY lang) AS total FROM cal) SELECT lang, CAST(bin AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) AS confidence, round(avg(y), 6) AS accuracy FROM t WHERE total >= 50 GROUP BY 1, 2")
 _CLIP = "least(1 - 1e-15::DOUBLE, greatest(1e-15::DOUBLE, p))"
 _add("calibration_metrics", _of(X.calibration, stats.calibration_metrics), f"""{C}, b AS (SELECT {_BIN} AS bin, count(*) AS n, avg(p) AS c, avg(y) AS a, sum((p - y) * (p - y)) AS b, sum(-(y * ln({_CLIP}) + (1 - y) * ln(1 - {_CLIP}))) AS l FROM cal GROUP BY 1)
 SELECT round(sum(abs(c - a) * n) / sum(n), 6) AS ece, round(max(abs(c - a)), 6) AS mce, round(sum(b) / sum(n), 6) AS brier, round(sum(l) / sum(n), 6) AS nll FROM b""")
 _add("auroc", _of(X.calibration, stats.auroc), f"{C}, g AS (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM cal GROUP BY 1), w AS (SELECT *, pos * (coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + neg / 2.0::DOUBLE) AS wins FROM g) SELECT round(sum(wins) / CAST(sum(pos) * sum(neg) AS DOUBLE), 6) AS auroc FROM w")
 _add("threshold_sweep", _of(X.calibration, stats.threshold_sweep), f"{C}, g AS (SELECT p, count(*) AS n, sum(y) AS pos FROM cal GROUP BY 1), s AS (SELECT p, CAST(sum(n) OVER w AS DOUBLE) AS kept, CAST(sum(pos) OVER w AS DOUBLE) AS good, CAST(sum(n) OVER () AS DOUBLE) AS total FROM g WINDOW w AS (ORDER BY p DESC)) SELECT p, round(good / kept, 6) AS accuracy, round(kept / total, 6) AS coverage FROM s")
 _add("conformal_threshold", _of(X.calibration, stats.conformal_threshold), f"{C}, g AS (SELECT 1 - p AS s, count(*) AS n FROM cal WHERE y = 1 GROUP BY 1), r AS (SELECT s, sum(n) OVER (ORDER BY s) AS upto, sum(n) OVER () AS total FROM g) SELECT round(min(s), 6) AS threshold FROM r WHERE upto >= least(ceil((total + 1) * (1 - 0.1::DOUBLE)), total)")
-_add("calibration_split", _of(X.calibration, lambda r: r.groupBy(F.when(c("doc_id") % 10 < 6, "train").when(c("doc_id") % 10 < 8, "calibrate").otherwise("test").alias("part")).agg(F.count("*").alias("n"))), f"{C} SELECT CASE WHEN doc_id % 10 < 6 THEN 'train' WHEN doc_id % 10 < 8 THEN 'calibrate' ELSE 'test' END AS part, count(*) AS n FROM cal GROUP BY 1")
+_add("calibration_split", _of(X.calibration, lambda r: stats.calibration_split(r).groupBy("part").agg(F.count("*").alias("n"))), f"{C} SELECT CASE WHEN doc_id % 10 < 6 THEN 'train' WHEN doc_id % 10 < 8 THEN 'calibrate' ELSE 'test' END AS part, count(*) AS n FROM cal GROUP BY 1")
+_CHOICE = f"{C}, g AS (SELECT p, count(*) AS n, sum(y) AS pos FROM cal GROUP BY 1), s AS (SELECT p, sum(pos) OVER up / CAST(sum(n) OVER up AS DOUBLE) AS above, (sum(pos) OVER lo - pos) / nullif(CAST(sum(n) OVER lo - n AS DOUBLE), 0) AS below FROM g WINDOW up AS (ORDER BY p DESC), lo AS (ORDER BY p)), ch AS (SELECT min(p) FILTER (above >= 0.9) AS accept_from, max(p) FILTER (below < 0.3) AS edit_from FROM s)"
+_add("threshold_choice", _of(X.calibration, lambda r: stats.threshold_choice(r, 0.9)), f"{_CHOICE} SELECT * FROM ch")
+_add("three_way_route", _of(X.calibration, lambda r: stats.three_way(r, stats.threshold_choice(r, 0.9)).groupBy("route").agg(F.count("*").alias("n"))), f"{_CHOICE} SELECT CASE WHEN p >= accept_from THEN 'accept' WHEN p < edit_from THEN 'reject' ELSE 'edit' END AS route, count(*) AS n FROM cal, ch GROUP BY 1")
 
 # --- ingest ------------------------------------------------------------------------------
 _docs = lambda s, d: X.table(s, d, "documents").select("doc_id", "text")
@@ -189,9 +207,11 @@ _add("sanitize", _of(_docs, lambda t: ingest.sanitize(ingest.planted(t)).select(
 _add("injection_report", _of(_docs, lambda t: ingest.injection_report(ingest.sanitize(ingest.planted(t)))))
 _add("chunk", _of(_docs, ingest.chunks))
 _add("page_extract", lambda s, d: ingest.extract_pages(X.table(s, d, "pages")).drop("links"))
-_add("page_links", lambda s, d: ingest.extract_pages(X.table(s, d, "pages")).select("page_id", "url", F.explode("links").alias("href")).where(~c("href").rlike("^(#|javascript:|mailto:|tel:)")).distinct())
+_add("page_links", lambda s, d: ingest.page_links(X.table(s, d, "pages")).select("page_id", "url", "link"), """WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
+SELECT DISTINCT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]+') || split_part(href, '#', 1) AS link FROM l WHERE href[1] = '/'""")
 _sources = lambda s, d: X.table(s, d, "documents").select(c("doc_id").alias("id"), "text")
-_add("source_manifest", _of(_sources, ingest.manifest), f"SELECT doc_id AS id, sha256(text) AS content_hash, CAST({_W('text')} AS INTEGER) AS word_count FROM documents WHERE len(text) >= 50")
+_add("source_manifest", _of(_sources, lambda t: ingest.manifest(t.withColumn("url", F.concat(F.lit("doc:"), "id")).withColumn("flags", F.when(c("id") % 4 == 0, F.array(F.lit("a"), F.lit("b")))))), f"""SELECT doc_id AS id, 'doc:' || doc_id AS url, '' AS page_title, sha256(text) AS content_hash, CAST({_W('text')} AS INTEGER) AS word_count, 'html' AS extraction_method,
+ CASE WHEN doc_id % 4 = 0 THEN 'flagged' ELSE 'clean' END AS sanitization_status, CASE WHEN doc_id % 4 = 0 THEN '["a","b"]' END AS injection_flags, 'single' AS crawl_mode, 0 AS crawl_depth FROM documents WHERE len(text) >= 50""")
 _add("duplicate_content", _of(_sources, ingest.duplicate_content), "SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 _edges = lambda s, d: X.table(s, d, "pages").select(c("page_id").alias("src"), F.explode(F.array(c("page_id") * 2 + 1, c("page_id") * 2 + 2, c("page_id") - 1)).alias("dst"))
 _add("crawl_reach", lambda s, d: ingest.reach(_edges(s, d).join(X.table(s, d, "pages").select(c("page_id").alias("dst")), "dst", "left_semi"), X.table(s, d, "pages").where("page_id % 50 = 7").select(c("page_id").alias("page"))), """WITH RECURSIVE e AS (SELECT page_id AS src, unnest([page_id * 2 + 1, page_id * 2 + 2, page_id - 1]) AS dst FROM pages), ok AS (SELECT * FROM e WHERE dst IN (SELECT page_id FROM pages)),
@@ -203,12 +223,12 @@ _add("qa_to_dpo", _of(_qa, lambda q: ingest.qa_pairs(q, "Answer:")), f"{_QA} SEL
 _add("evidence_topk", lambda s, d: ingest.evidence(X.table(s, d, "benchmark").select(c("item_id").alias("q_id"), c("text").alias("question")), X.table(s, d, "documents").select(c("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n", -1)).alias("passage_id", "text")).where("length(text) >= 20")))
 
 # --- taxonomy ----------------------------------------------------------------------------
-_subjects = lambda s, d: X.responses(s, d).select("subject").distinct().withColumn("domain", F.when(c("subject").like("high_school%") | c("subject").isin("abstract_algebra", "college_biology"), "STEM").when(c("subject").isin("python", "docker"), "Code").otherwise("Humanities"))
-S = R + ", subj AS (SELECT DISTINCT subject, CASE WHEN subject LIKE 'high_school%' OR subject IN ('abstract_algebra', 'college_biology') THEN 'STEM' WHEN subject IN ('python', 'docker') THEN 'Code' ELSE 'Humanities' END AS domain FROM responses)"
-_add("taxonomy_search", _of(_subjects, lambda t: t.where(F.lower("subject").contains("ph"))), f"{S} SELECT subject, domain FROM subj WHERE contains(lower(subject), 'ph')")
-_add("taxonomy_domain", _of(_subjects, lambda t: t.where(F.lower("domain") == "stem")), f"{S} SELECT subject, domain FROM subj WHERE lower(domain) = 'stem'")
-_add("custom_subjects", _of(_subjects, lambda t: t.where(~c("domain").isin("STEM", "Humanities")).select("subject")), f"{S} SELECT subject FROM subj WHERE domain NOT IN ('STEM', 'Humanities')")
-_add("taxonomy_coverage", lambda s, d: _subjects(s, d).join(X.responses(s, d).where("model = 'model-0'").select("subject").distinct().withColumn("hit", F.lit(1)), "subject", "left").groupBy("domain").agg(F.count("hit").alias("probed"), F.count("*").alias("total")), f"{S} SELECT domain, count(*) FILTER (subject IN (SELECT subject FROM responses WHERE model = 'model-0')) AS probed, count(*) AS total FROM subj GROUP BY 1")
+S = "WITH " + X.TAXONOMY
+_add("taxonomy_search", _of(X.subjects, lambda t: taxonomy.search(t, " PH ")), f"{S} SELECT subject, domain, count(*) OVER () AS n FROM subj WHERE contains(lower(subject), 'ph')")
+_add("taxonomy_domain", _of(X.subjects, lambda t: taxonomy.domain(t, "stem")), f"{S} SELECT subject, domain, count(*) OVER () AS n FROM subj WHERE lower(domain) = 'stem'")
+_add("custom_subjects", _of(X.subjects, lambda t: taxonomy.custom_subjects(t, ("STEM", "Humanities"))), f"{S} SELECT subject FROM subj WHERE domain NOT IN ('STEM', 'Humanities')")
+_add("taxonomy_coverage", lambda s, d: taxonomy.coverage(X.subjects(s, d), X.responses(s, d).where("model = 'model-0'")), f"{S} SELECT domain, count(*) FILTER (subject IN (SELECT subject FROM responses WHERE model = 'model-0')) AS probed, count(*) AS total FROM subj GROUP BY 1")
+_add("never_probed", lambda s, d: taxonomy.never_probed(X.subjects(s, d), X.responses(s, d)), f"{S} SELECT domain, subject FROM subj WHERE subject NOT IN (SELECT subject FROM responses)")
 
 # --- batch twins of the streams ----------------------------------------------------------
 _ev = lambda s, d: monitors.answer_events(X.table(s, d, "events"))
@@ -216,6 +236,14 @@ E = "WITH ev AS (SELECT event_id, user_id, ts, 'model-' || (user_id % 3) AS mode
 _add("stream_accuracy", _of(_ev, monitors.accuracy_by_window), f"{E} SELECT date_trunc('day', ts)::TIMESTAMP AS start, model, count(*) AS n, round(avg(CAST(is_right AS DOUBLE)), 6) AS accuracy FROM ev GROUP BY 1, 2")
 _add("stream_ece", _of(_ev, lambda e: monitors.fold_ece(monitors.bins_by_window(e))), f"""{E}, w AS (SELECT date_trunc('day', ts)::TIMESTAMP - to_days(CAST(k AS INTEGER)) AS start, least(floor(confidence * 10), 9) AS bin, confidence, is_right FROM ev, range(7) t(k)),
 b AS (SELECT start, bin, count(*) AS n, sum(confidence) AS c, sum(CAST(is_right AS DOUBLE)) AS a FROM w GROUP BY 1, 2) SELECT start, CAST(sum(n) AS BIGINT) AS n, round(sum(abs(c - a)) / sum(n), 6) AS ece FROM b GROUP BY 1""")
+
+
+def _alerts(e: DataFrame) -> DataFrame:
+    rolling = monitors.fold_ece(monitors.bins_by_window(e))
+    return monitors.ece_alerts(rolling, rolling.where("start < timestamp '2024-01-08'"))
+
+
+_add("stream_ece_alert", _of(_ev, _alerts), f"""WITH r AS ({ORACLES["stream_ece"]}), l AS (SELECT avg(ece) + 2 * stddev_pop(ece) AS lim FROM r WHERE start < TIMESTAMP '2024-01-08') SELECT start, n, ece, ece > lim AS alert FROM r, l""")
 _add("stream_threshold_monitor", _of(_ev, monitors.load_by_window), f"{E} SELECT date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n, count(*) FILTER (confidence >= 0.7) AS accepted, count(*) FILTER (confidence >= 0.7 AND NOT is_right) AS accepted_wrong, count(*) FILTER (confidence < 0.7 AND confidence > 0) AS review FROM ev GROUP BY 1")
 _add("stream_session_reviews", _of(_ev, monitors.sessions), f"""{E}, g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM ev), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, fresh DESC ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")

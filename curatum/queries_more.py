@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .operators import ingest, judging, knowledge, probing, quality, review, stats
+from .operators import formats, ingest, judging, knowledge, probing, quality, review, stats
 from .queries import _PROMPT, _QA, _WIDE, C, M, ORACLES, P, QUERIES, R, V, _add, _decisions, _ev, _margins, _of, _qa
 from .sources import fixtures as X, tables
 from .streaming import monitors
@@ -23,6 +23,17 @@ def _exported(spark: SparkSession, d: str) -> DataFrame:
     return tables.read_entries(spark, path)
 
 
+def _exported_as(target: str):
+    """Entries written in a format by the exporter, read back as JSON Lines and by the format's reader."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        path, pairs = tables.scratch_dir(spark), X.pairs(spark, d)
+        tables.export_training(pairs, target, path)
+        return formats.read(spark.read.schema(formats.write(pairs, target).schema).json(path), target)
+
+    return run
+
+
 def _routed(spark: SparkSession, d: str) -> DataFrame:
     path = tables.scratch_dir(spark)
     scored = X.responses(spark, d).withColumn("confidence", F.when(c("right"), 0.9).when(c("letter").isNull(), 0.0).otherwise(0.4))
@@ -38,6 +49,10 @@ def _appended(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).groupBy(c("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 
+for _f in formats.FORMATS:
+    _clean = (lambda x: f"trim({x}, ' ' || chr(9) || chr(10) || chr(13))") if _f == "chatml" else (lambda x: x)
+    _rest = {"dpo": "rejected", "template_free": "nullif(rejected, '')"}.get(_f, "CAST(NULL AS VARCHAR)")
+    _add(f"export_{_f}", _exported_as(_f), f"{P} SELECT id, {_clean('prompt')} AS prompt, {_clean('chosen')} AS chosen, {_rest} AS rejected FROM pairs")
 _add("read_entries", _exported, f"{P} SELECT id, prompt, chosen, rejected FROM pairs")
 _add("vault_routed", _routed, f"{R} SELECT CASE WHEN is_right THEN 'auto_approved' WHEN letter IS NULL THEN 'rejected' ELSE 'needs_review' END AS route, split_part(subject, '_', 1) AS domain, count(*) AS n FROM responses GROUP BY 1, 2")
 _add("vault_append", _appended, "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
@@ -94,14 +109,15 @@ _add("subject_resolve", _resolved, f"""{R} SELECT id, CASE id % 4 WHEN 0 THEN su
 
 def _replies(spark: SparkSession, d: str) -> DataFrame:
     k = (F.floor(c("entry_id") / 10) + c("judge_no")) % 10
-    said = F.concat(F.lit('{"correct": '), c("correct").cast("string"), F.lit(', "confidence": '), c("confidence").cast("string"), F.lit(', "explanation": "by {judge} '), "judge_no", F.lit('"}'))
+    said = F.concat(F.lit('{"correct": '), c("correct").cast("string"), F.lit(', "confidence": '), c("confidence").cast("string"), F.lit(', "explanation": "by {judge} '), "judge_no", F.when(c("entry_id") % 2 == 0, F.concat(F.lit('", "reasoning": "because '), "judge_no", F.lit('"}'))).otherwise('"}'))
     text = F.when(k <= 5, said).when(k == 6, F.concat(F.lit("My view {as asked}: "), said, F.lit(" so it is."))).when(k == 7, "This is incorrect.").when(k == 8, "The answer is correct.").otherwise("no verdict {broken")
     return X.verdicts(spark, d).select("entry_id", "judge_no", text.alias("reply"))
 
 
 _K = "((entry_id // 10 + judge_no) % 10)"
 _add("verdict_parse", _of(_replies, lambda v: judging.parse_verdicts(v).drop("reply")), f"""{V} SELECT entry_id, judge_no, CASE WHEN {_K} <= 5 THEN 'json' WHEN {_K} = 6 THEN 'embedded_json' ELSE 'text' END AS parse_mode, CASE WHEN {_K} <= 6 THEN correct ELSE {_K} = 8 END AS correct,
- CASE WHEN {_K} <= 6 THEN confidence WHEN {_K} = 7 THEN 0.3::DOUBLE WHEN {_K} = 8 THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS confidence, CASE WHEN {_K} <= 6 THEN 'by {{judge}} ' || judge_no WHEN {_K} = 7 THEN 'This is incorrect.' WHEN {_K} = 8 THEN 'The answer is correct.' ELSE 'no verdict {{broken' END AS explanation FROM verdicts""")
+ CASE WHEN {_K} <= 6 THEN confidence WHEN {_K} = 7 THEN 0.3::DOUBLE WHEN {_K} = 8 THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS confidence, CASE WHEN {_K} <= 6 THEN 'by {{judge}} ' || judge_no WHEN {_K} = 7 THEN 'This is incorrect.' WHEN {_K} = 8 THEN 'The answer is correct.' ELSE 'no verdict {{broken' END AS explanation, CASE WHEN {_K} <= 6 AND entry_id % 2 = 0 THEN 'because ' || judge_no WHEN {_K} <= 6 THEN 'by {{judge}} ' || judge_no WHEN {_K} = 7 THEN 'This is incorrect.' WHEN {_K} = 8 THEN 'The answer is correct.' ELSE 'no verdict {{broken' END AS reasoning FROM verdicts""")
+_add("verdict_report", _of(_replies, lambda v: judging.parse_report(judging.parse_verdicts(v), "judge_no")), f"{V} SELECT judge_no, CASE WHEN {_K} <= 5 THEN 'json' WHEN {_K} = 6 THEN 'embedded_json' ELSE 'text' END AS parse_mode, count(*) AS n FROM verdicts GROUP BY 1, 2")
 _add("judge_prompt", _of(X.pairs, lambda p: p.select("id", judging.judge_prompt(c("prompt"), c("chosen"), F.when(c("id") % 2 == 0, c("rejected"))).alias("judge_prompt"))), f"""{P} SELECT id, 'You are an expert reviewer evaluating a training data entry for correctness.' || chr(10) || 'Analyze whether the provided answer is correct.' || chr(10) || 'Explain your logic step-by-step in the reasoning field before giving the verdict fields.' || chr(10) || chr(10) || 'Question: ' || prompt || chr(10) || chr(10) || 'Answer to evaluate: ' || chosen || chr(10) || chr(10)
  || CASE WHEN id % 2 = 0 AND rejected <> '' THEN 'Claimed correct answer: ' || rejected || chr(10) || chr(10) ELSE '' END || 'Evaluate whether the answer is factually correct.' || chr(10) || 'Respond in the following JSON format only:' || chr(10) || '{{"reasoning": "step-by-step logic", "correct": true/false, "confidence": 0.0-1.0, "explanation": "brief verdict summary"}}' AS judge_prompt FROM pairs""")
 _add("escalation_ladder", _of(X.verdicts, lambda v: judging.escalation(v).groupBy("tier").agg(F.count("*").alias("n"))), f"""{V}, g AS (SELECT entry_id, count(*) AS n, count(*) FILTER (correct) AS yes, avg(confidence) AS mean, max(confidence) AS top, max(confidence) FILTER (correct) AS top_yes, max(confidence) FILTER (NOT correct) AS top_no, last(correct ORDER BY judge_no) AS last_correct, last(confidence ORDER BY judge_no) AS last_sure FROM verdicts GROUP BY 1)
@@ -146,7 +162,8 @@ _add("platt_fit", _of(X.calibration, lambda r: stats.platt_fit(r).select(F.round
 _add("isotonic_fit", _of(X.calibration, stats.isotonic_fit))
 _add("cost_threshold", _of(X.calibration, stats.cost_threshold), f"""{C}, b AS (SELECT least(floor(p * 10), 9) AS bin, count(*) AS n, sum(1 - y) AS wrong FROM cal GROUP BY 1), g AS (SELECT a.k AS a, e.k AS e FROM range(11) a(k), range(11) e(k) WHERE e.k <= a.k)
 SELECT a / 10.0::DOUBLE AS accept_from, e / 10.0::DOUBLE AS edit_from, round(sum(CASE WHEN bin >= a THEN wrong * 100.0::DOUBLE WHEN bin >= e THEN n * 3.0::DOUBLE ELSE n * 5.0::DOUBLE END), 6) AS cost FROM b, g GROUP BY a, e ORDER BY cost, a, e LIMIT 1""")
-_add("run_history", _of(X.responses, stats.run_history), f"{R} SELECT model, subject, max(created_at) AS ended, count(*) AS n, round(avg(CAST(is_right AS DOUBLE)), 6) AS score FROM responses GROUP BY 1, 2 ORDER BY ended DESC, model, subject LIMIT 20")
+_add("run_history", _of(X.training_runs, stats.run_history), f"WITH {X.RUNS} SELECT * FROM runs ORDER BY started_at DESC, id LIMIT 100")
+_add("eval_history", _of(X.evaluation_results, stats.eval_history), f"WITH {X.RESULTS} SELECT * FROM results ORDER BY created_at DESC, id LIMIT 100")
 
 # --- knowledge ---------------------------------------------------------------------------
 _chunks = lambda s, d: ingest.chunks(ingest.planted(X.table(s, d, "documents").select("doc_id", "text")))

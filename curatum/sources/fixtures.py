@@ -94,3 +94,45 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CALIBRATION = "cal AS (SELECT d.doc_id, least(1.0::DOUBLE, n_chars / 4000.0::DOUBLE) AS p, CAST(quality AS INTEGER) AS y, lang FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+
+
+def training_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training runs, one per order: id, model, mode, status, loss, started_at."""
+    o = table(spark, sf_dir, "orders")
+    mode = F.element_at(F.array(F.lit("dpo"), F.lit("sft")), (F.col("o_orderkey") % 2 + 1).cast("int"))
+    return o.groupBy("o_orderkey").agg(F.min("o_custkey").alias("k"), F.min("o_orderstatus").alias("status"), F.min("o_totalprice").alias("price"), F.min("o_orderdate").alias("started_at")).select(F.col("o_orderkey").alias("id"), F.concat(F.lit("model-"), (F.col("k") % 3).cast("string")).alias("model"), mode.alias("mode"), "status", F.round(F.col("price") / 1e6, 6).alias("loss"), "started_at")
+
+
+RUNS = "runs AS (SELECT o_orderkey AS id, 'model-' || (min(o_custkey) % 3) AS model, ['dpo', 'sft'][CAST(o_orderkey % 2 + 1 AS INTEGER)] AS mode, min(o_orderstatus) AS status, round(min(o_totalprice) / 1e6::DOUBLE, 6) AS loss, min(o_orderdate) AS started_at FROM orders GROUP BY o_orderkey)"
+
+
+def evaluation_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation results, one per model, subject and day of answers: id, model, task, score, metric, created_at."""
+    g = responses(spark, sf_dir).groupBy("model", "subject", "created_at").agg(F.min("id").alias("id"), F.round(F.avg(F.col("right").cast("double")), 6).alias("score"))
+    return g.select("id", "model", F.col("subject").alias("task"), "score", F.lit("accuracy").alias("metric"), "created_at")
+
+
+RESULTS = RESPONSES + ", results AS (SELECT min(id) AS id, model, subject AS task, round(avg(CAST(is_right AS DOUBLE)), 6) AS score, 'accuracy' AS metric, created_at FROM responses GROUP BY model, subject, created_at)"
+
+
+def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(domain, subject) of the answers, and one subject that no answer has."""
+    found = responses(spark, sf_dir).select("subject").distinct()
+    name = F.col("subject")
+    domain = F.when(name.like("high_school%") | name.isin("abstract_algebra", "college_biology"), "STEM").when(name.isin("python", "docker"), "Code").otherwise("Humanities")
+    return found.unionByName(found.agg(F.lit("world_religions").alias("subject"))).select(domain.alias("domain"), "subject")
+
+
+TAXONOMY = RESPONSES + """, names AS (SELECT DISTINCT subject FROM responses UNION ALL SELECT 'world_religions'),
+subj AS (SELECT subject, CASE WHEN subject LIKE 'high_school%' OR subject IN ('abstract_algebra', 'college_biology') THEN 'STEM' WHEN subject IN ('python', 'docker') THEN 'Code' ELSE 'Humanities' END AS domain FROM names)"""
+
+
+def repeated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pairs``, each third one twice with other spaces, and each fifth with a short chosen text."""
+    p = pairs(spark, sf_dir)
+    again = p.where("id % 3 = 0").select((F.col("id") + 1_000_000_000).alias("id"), "prompt", F.concat("chosen", F.lit("  ")).alias("chosen"), F.concat(F.lit(" "), "rejected").alias("rejected"))
+    return p.unionByName(again).withColumn("chosen", F.when(F.col("id") % 5 == 0, F.substring("chosen", 1, 8)).otherwise(F.col("chosen")))
+
+
+REPEATED = PAIRS + """, twice AS (SELECT id, prompt, chosen, rejected FROM pairs UNION ALL SELECT id + 1000000000, prompt, chosen || '  ', ' ' || rejected FROM pairs WHERE id % 3 = 0),
+repeated AS (SELECT id, prompt, CASE WHEN id % 5 = 0 THEN chosen[1:8] ELSE chosen END AS chosen, rejected FROM twice)"""

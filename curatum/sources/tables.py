@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import answers as A
 from ..operators import formats
+from ..operators.ingest import shared_dir
 
 ENTRY = "id long, prompt string, chosen string, rejected string"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share (``spark.checkpoint.dir``)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="curatum-")
-    return f"{base}/table-{uuid.uuid4().hex}"
+    """A new folder below the one that driver and executors share."""
+    return f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
 
 
 def read_entries(spark: SparkSession, path: str, schema: str = ENTRY, *, quarantine: bool = False) -> DataFrame:

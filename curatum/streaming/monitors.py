@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import answers as A
+from ..operators.ingest import shared_dir
 
 
 def answer_events(events: DataFrame) -> DataFrame:
@@ -33,6 +33,13 @@ def fold_ece(bins: DataFrame) -> DataFrame:
     return bins.groupBy("start").agg(F.sum("n").alias("n"), F.round(F.sum(F.abs(F.col("c") - F.col("a"))) / F.sum("n"), 6).alias("ece"))
 
 
+def ece_alerts(rolling: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Windows of ``rolling`` (start, n, ece) with ``alert``: whether their error exceeds the mean of the
+    ``baseline`` windows by more than two standard deviations. The baseline is folded to one row."""
+    base = baseline.agg((F.avg("ece") + 2 * F.coalesce(F.stddev_pop("ece"), F.lit(0.0))).alias("limit"))
+    return rolling.crossJoin(F.broadcast(base)).select("start", "n", "ece", (F.col("ece") > F.col("limit")).alias("alert"))
+
+
 def load_by_window(rows: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Automation share, errors among the accepted and review load per day."""
     r = A.route(F.col("confidence"), threshold)
@@ -47,7 +54,7 @@ def sessions(rows: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 def run_to_table(spark: SparkSession, path: str, schema, job: Callable[[DataFrame], DataFrame], *, late: str = "1 day", mode: str = "append", glob: str = "*.parquet") -> DataFrame:
     """Run ``job`` over files under ``path`` as a stream until it has read all, and return what it wrote."""
-    out = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='curatum-')}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     query = job(source).writeStream.outputMode(mode).format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -20,7 +20,7 @@ def duck(sf):
     import duckdb
 
     con = duckdb.connect()
-    for t in "lineitem events documents embeddings pages benchmark labels conversations".split():
+    for t in "lineitem orders events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     return con
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curatum.functions import answers as A
-from curatum.operators import formats, ingest, quality, review
+from curatum.operators import formats, ingest, quality, review, stats, taxonomy
 from curatum.streaming import monitors
 
 
@@ -81,3 +81,76 @@ def test_stream_equals_batch(spark, sf):
     want = {(r.start, r.model): (r.n, r.accuracy) for r in job(spark.read.parquet(f"{sf}/events.parquet")).collect()}
     assert got and all(want[r.start, r.model] == (r.n, r.accuracy) for r in got)
     assert len(want) - len(got) <= 6  # windows the watermark has not closed
+
+
+@pytest.mark.parametrize("text,prompt,chosen", [
+    ("<|im_start|>user\n hi \n<|im_end|>\n<|im_start|>assistant\n yo\t<|im_end|>", "hi", "yo"),
+    ("<|im_start|>user\nhi<|im_end|>\n", "hi", ""),
+    ("<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo", "hi", None),
+    ("<|im_end|><|im_start|>user\nhi", None, ""),
+    ("<|im_start|>user\nhi", None, None), ("plain", None, None), ("", "", ""),
+])
+def test_chatml_reader(spark, text, prompt, chosen):
+    """None stands for the whole text, which unterminated or untagged texts give."""
+    r = formats.read(spark.createDataFrame([(1, text)], "id long, text string"), "chatml").first()
+    assert (r.prompt, r.chosen) == (text if prompt is None else prompt, text if chosen is None else chosen)
+
+
+def test_page_links(spark):
+    html = "".join(f'<a href="{x}">x</a>' for x in ("/a#top", "#here", "/a", "b?q=1", "mailto:x@y", "http://other.example/", "//h.example/c", "javascript:x", "http://[bad"))
+    df = spark.createDataFrame([(1, "http://h.example/d/e", html), (2, None, "<a href=/x>x</a>"), (3, "http://h.example/", None)], "page_id long, url string, html string")
+    found = ingest.page_links(df).where("page_id <> 2").orderBy("page_id", "place").collect()
+    assert [r.link for r in found] == ["http://h.example/a", "http://h.example/d/b?q=1", "http://h.example/c"]
+
+
+def test_reach_limits(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "x1"), ("x1", "e")], "src string, dst string")
+    seeds = spark.createDataFrame([("a",)], "page string")
+    found = lambda **k: sorted((r.depth, r.page) for r in ingest.reach(edges, seeds, **k).collect())
+    assert found(max_depth=2) == [(0, "a"), (1, "b"), (1, "x1"), (2, "c"), (2, "e")]
+    assert found(max_pages=3) == [(0, "a"), (1, "b"), (1, "x1")]
+    assert found(pattern="^[a-d]$") == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+
+
+def test_sanitize_skips_only_what_no_layer_changes(spark):
+    import re
+    import unicodedata
+
+    safe = [chr(i) for i in range(128, 0x10000) if not 0xD800 <= i < 0xE000 and not re.match(ingest._CHANGED, chr(i))]
+    assert len(safe) > 30_000
+    for x in safe:
+        assert unicodedata.normalize("NFKC", x) == x and not unicodedata.combining(x) and x not in ingest.LOOKALIKES and x not in ingest.INVISIBLE
+    assert ingest.clean_one("a </system> ### Human : b")[1][-1:] != ["residual_markup"]
+    assert "residual_markup: ['']" in ingest.clean_one("a {{b}} c")[1]
+
+
+def test_taxonomy(spark):
+    df = spark.createDataFrame([("A", "Maths"), ("A", "art"), ("B", "mathematical_art"), ("B", "art")], "domain string, subject string")
+    assert {(r.subject, r.n) for r in taxonomy.search(df, " MATH ").collect()} == {("Maths", 2), ("mathematical_art", 2)}
+    with pytest.raises(ValueError):
+        taxonomy.search(df, "  ")
+    assert [r.subject for r in taxonomy.custom_subjects(df, ("A",)).collect()] == ["mathematical_art"]
+    assert {r.subject for r in taxonomy.never_probed(df, df.where("domain = 'A'")).collect()} == {"mathematical_art"}
+    assert taxonomy.domain(df, "c").count() == 0
+
+
+def test_review_without_judge_and_with_evidence(spark):
+    entries = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,)], "entry_id long")
+    v = spark.createDataFrame([(2, 1, True, 0.4), (2, 2, False, 0.9), (3, 1, False, 0.6), (3, 2, True, 0.8), (4, 1, True, 0.2), (4, 2, True, 0.2), (5, 1, True, 0.4)], "entry_id long, judge_no int, correct boolean, confidence double")
+    proof = spark.createDataFrame([(2, None), (3, 0.9)], "entry_id long, rejudged double")
+    got = {r.entry_id: (r.action, r.confidence) for r in review.actions(entries, v, proof).collect()}
+    assert got == {1: ("accept", 0.5), 2: ("edit", 0.7), 3: ("edit", 0.8), 4: ("reject", 0.2), 5: ("accept", 0.4)}
+
+
+def test_running_sums_over_score_ranges(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(round(rng.random(), 5), rng.random() < 0.5) for _ in range(3000)] + [(0.0, True), (1.0, False), (0.5, True)]
+    df = spark.createDataFrame([(p, int(y)) for p, y in rows], "p double, y int")
+    pos, neg = [p for p, y in rows if y], [p for p, y in rows if not y]
+    want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+    assert abs(stats.auroc(df).first()[0] - want) < 2e-6
+    choice = stats.threshold_choice(df, 0.6, 0.4).first()
+    fits = [c for c, _ in rows if sum(y for p, y in rows if p >= c) >= 0.6 * sum(p >= c for p, _ in rows)]
+    assert choice.accept_from == (min(fits) if fits else None)
