@@ -81,7 +81,7 @@ def _hash_block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.diff(bounds)
 
 
-def word_hashes(texts: list[bytes], block_bytes: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], block_bytes: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of ``texts`` in order, and the number of words of each text."""
     words, counts, block, size = [], [], [], 0
     for t in texts:
