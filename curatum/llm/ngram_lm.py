@@ -47,13 +47,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .support import store
+from .support import release_memory, store
 from .tokens import mix, slices, text_bytes, word_hashes
 
 _U = np.uint64
 END = _U(0x7D0CBA5E9F3B1A65)
 _BINS = 256
-_LOW, _HIGH = _U(0xFFFFFFFF), _U(0x0FFFFFFF00000000)
+_LOW = _U(0xFFFFFFFF)
 
 #: Counts of the codes 1, 2, ...: exact up to 2,048, then in steps of 1.1 %, up to 10 ** 13. Code 0 stands for none.
 BOOK = np.append(np.arange(2049.0), np.round(2048 * 1.011 ** np.arange(1, 2040)))
@@ -212,24 +212,37 @@ def _before(stream: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def n_grams(stream: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the pair and of the triple that end at each token; a text's first token has no triple (0)."""
+    """Keys of the pair and of the triple that end at each token; a text's first token has no triple (0).
+
+    A key is (relative successor << 28 | context): in this order shards are ranges of keys, so that
+    sorted keys of a shard lie close together, and a context's successors still go to all shards.
+    """
     u = _before(stream, first)
     with np.errstate(over="ignore"):
-        pairs = (mix(u) & _HIGH) | (mix(u * _U(0xA24BAED4963EE407) + stream) >> _U(32))
+        pairs = _key(mix(u), mix(u * _U(0xA24BAED4963EE407) + stream))
         context = mix(_before(u, first) * _U(0x9FB21C651E98DF25) + mix(u))
-        triples = (context & _HIGH) | (mix(context * _U(0xD6E8FEB86659FD93) + stream) >> _U(32))
+        triples = _key(context, mix(context * _U(0xD6E8FEB86659FD93) + stream))
     triples[first] = 0
     return pairs, triples
 
 
+def _key(context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+    return (successor >> _U(32) << _U(28)) | (context >> _U(36))
+
+
+def _by_context(keys: np.ndarray) -> np.ndarray:
+    """(context << 32 | relative successor), as the tries hold them."""
+    return ((keys & _U((1 << 28) - 1)) << _U(32)) | (keys >> _U(28))
+
+
 def _firsts(lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(lengths) - lengths
 
 
-def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of ``keys`` by shard, and the bounds of the shards in it."""
-    shard = (mix(keys) % _U(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
-    return np.argsort(shard, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=shards))))
+def _bounds(keys: np.ndarray, shards: int, bits: int) -> np.ndarray:
+    """Where the shards, ranges of the ``bits``-bit key space, begin and end in sorted ``keys``."""
+    edges = np.array([(s << bits) // shards for s in range(1, shards)], dtype=_U)
+    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
 _CHUNK = "chunk long, ids array<long>, train binary, lengths binary, words binary, stream binary, n_tokens long"
@@ -258,6 +271,7 @@ def _chunker(chunk_words: int):
                 names=["chunk", "ids", "train", "lengths", "words", "stream", "n_tokens"],
             )
             serial, held, size = serial + 1, [], 0
+            release_memory()
             return out
 
         for batch in (part for whole in batches for part in slices(whole, 2)):
@@ -280,13 +294,14 @@ def _sender(shards: int):
             for row in pdf.itertuples():
                 names, index, lengths = unpack_sorted(row.words), unpack(row.stream).astype(np.int64), unpack(row.lengths).astype(np.int64)
                 learned = np.repeat(np.unpackbits(np.frombuffer(row.train, np.uint8))[: len(lengths)].astype(bool), lengths)
-                columns = [_messages(names, np.bincount(index[learned], minlength=len(names)), shards)]
+                columns = [_messages(names, np.bincount(index[learned], minlength=len(names)), shards, 64)]
                 for keys in n_grams(names[index], _firsts(lengths)):
                     distinct, inverse = np.unique(keys, return_inverse=True)
                     times = np.bincount(inverse[learned], minlength=len(distinct))
                     del inverse
-                    columns.append(_messages(distinct, times, shards))
+                    columns.append(_messages(distinct, times, shards, 60))
                 yield pd.DataFrame([(s, row.chunk, *(x for c in columns for x in c[s])) for s in range(shards)], columns=["shard", "chunk", *_SENT])
+                release_memory()
 
     return send
 
@@ -294,10 +309,9 @@ def _sender(shards: int):
 _SENT = ("words", "words_n", "pairs", "pairs_n", "triples", "triples_n")
 
 
-def _messages(keys: np.ndarray, counts: np.ndarray, shards: int) -> list[tuple[bytes, bytes]]:
-    order, bounds = _by_shard(keys, shards)
-    keys, counts = keys[order], counts[order]
-    return [(pack_sorted(keys[a:b]), pack(counts[a:b])) for a, b in zip(bounds, bounds[1:], strict=False)]
+def _messages(keys: np.ndarray, counts: np.ndarray, shards: int, bits: int) -> list[tuple[bytes, bytes]]:
+    at = _bounds(keys, shards, bits)
+    return [(pack_sorted(keys[a:b]), pack(counts[a:b])) for a, b in zip(at, at[1:], strict=False)]
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -328,13 +342,14 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     for name in ("pairs", "triples"):
         keys = [unpack_sorted(x) for x in pdf[name]]
         merged, times = _merged(keys, [unpack(x) for x in pdf[name + "_n"]])
-        real = merged != 0
-        merged, times = merged[real], times[real]
-        trie = Trie.build(merged, times)
-        codes.append([_squeeze(trie.lookup(k).tobytes()) for k in keys])
+        merged, times = _by_context(merged[merged != 0]), times[merged != 0]
+        order = np.argsort(merged)
+        trie = Trie.build(merged[order], times[order])
+        codes.append([_squeeze(trie.lookup(_by_context(k)).tobytes()) for k in keys])
         stats.append(len(merged))
         if name == "pairs":
             stats += _counts_of_counts(count) + _counts_of_counts(times)
+    release_memory()
     out = [(chunk, int(pdf.shard.iloc[0]), *x, stats if i == 0 else None) for i, (chunk, *x) in enumerate(zip(pdf.chunk, exact, *codes, strict=True))]
     return pd.DataFrame(out, columns=["chunk", "shard", "words", "pairs", "triples", "stats"])
 
@@ -352,16 +367,15 @@ def successor_power(numbers: list[int], sums: list[int], distinct: int) -> float
 def _scorer(shards: int, n: int, v: int, once: int, beta2: float, beta3: float, discount: float):
     unknown = max(once, 1) / (max(n, 1) + 1)
 
-    def gathered(keys: np.ndarray, answers: list, expand) -> np.ndarray:
-        order, bounds = _by_shard(keys, shards)
-        out = np.zeros(len(keys), np.int64)
+    def gathered(keys: np.ndarray, bits: int, answers: list, expand) -> np.ndarray:
+        at, out = _bounds(keys, shards, bits), np.zeros(len(keys), np.int64)
         for s, data in answers:
-            out[order[bounds[s] : bounds[s + 1]]] = expand(data)
+            out[at[s] : at[s + 1]] = expand(data)
         return out
 
     def counted(keys: np.ndarray, answers: list) -> np.ndarray:
         distinct, inverse = np.unique(keys, return_inverse=True)
-        code = gathered(distinct, answers, lambda x: np.frombuffer(_expand(x), "<u2"))
+        code = gathered(distinct, 60, answers, lambda x: np.frombuffer(_expand(x), "<u2"))
         return BOOK[code][inverse]
 
     def mixed(seen: np.ndarray, context: np.ndarray, beta: float, lower: np.ndarray) -> np.ndarray:
@@ -374,7 +388,7 @@ def _scorer(shards: int, n: int, v: int, once: int, beta2: float, beta3: float,
         for row in left.itertuples():
             names, index, lengths = unpack_sorted(row.words), unpack(row.stream).astype(np.int64), unpack(row.lengths).astype(np.int64)
             first = _firsts(lengths)
-            count = gathered(names, list(zip(right.shard, right.words, strict=True)), unpack)
+            count = gathered(names, 64, list(zip(right.shard, right.words, strict=True)), unpack)
             pairs, triples = n_grams(names[index], first)
             c_w, c_uw = count[index], counted(pairs, list(zip(right.shard, right.pairs, strict=True)))
             c_tuw = counted(triples, list(zip(right.shard, right.triples, strict=True)))
@@ -386,12 +400,13 @@ def _scorer(shards: int, n: int, v: int, once: int, beta2: float, beta3: float,
             p = mixed(c_tuw, c_tu, beta3, p)
             base = np.log10((c_w + 1) / (n + v + 1))
             frames.append(pd.DataFrame({"doc_id": pd.array(row.ids, "Int64"), "n_tokens": lengths, "n_known": np.add.reduceat((c_w > 0).astype(np.int64), first), "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(np.log10(p), first)}))
+        release_memory()
         return pd.concat(frames) if frames else pd.DataFrame(columns=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return score
 
 
-def lm_score(docs: DataFrame, held_out, *, chunk_words: int = 2_000_000, shard_tokens: int = 2_000_000, discount: float = 0.8) -> DataFrame:
+def lm_score(docs: DataFrame, held_out, *, chunk_words: int = 1_000_000, shard_tokens: int = 1_000_000, discount: float = 0.8) -> DataFrame:
     """Score every text of ``docs`` (doc_id, text) by the model of the rows where ``held_out`` is false.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and
