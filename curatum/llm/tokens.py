@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .support import release_memory
+
 _U = np.uint64
 _R = 0x9E3779B97F4A7C15 | 1
 _RINV = pow(_R, -1, 1 << 64)
@@ -65,6 +67,7 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 22):
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(sizes) else np.zeros(0, np.int64)
     for a, b in zip(starts, np.append(starts[1:], len(sizes)), strict=True):
         yield batch.slice(int(a), int(b - a))
+    release_memory()
 
 
 def _hash_block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
