@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import answers as A
 from .operators import formats, ingest, probing, quality, review, stats, taxonomy
 from .plans.curation import curation_waterfall
+from .quality_sql import REPORT, SCORED
 from .sources import fixtures as X
 from .sources.fixtures import CALIBRATION, PAIRS, RESPONSES, VERDICTS
 from .streaming import monitors
@@ -142,11 +143,11 @@ _add("cohen_kappa", _of(X.verdicts, review.cohen_kappa), f"""{V} SELECT judge_a,
 _add("fleiss_kappa", _of(X.verdicts, review.fleiss_kappa), f"""{V} SELECT round(p, 6) AS observed, round((p - pe) / (1 - pe), 6) AS kappa FROM (SELECT p, s * s + (1 - s) * (1 - s) AS pe FROM (SELECT avg((yes * yes + (n - yes) * (n - yes) - n) / (n * (n - 1))::DOUBLE) AS p, sum(yes) / sum(n)::DOUBLE AS s FROM (SELECT count(*) AS n, count(*) FILTER (correct) AS yes FROM verdicts GROUP BY entry_id) WHERE n > 1))""")
 
 # --- pair quality ------------------------------------------------------------------------
-_add("pair_quality", _of(X.pairs, lambda p: quality.with_pair_quality(p).select("id", *quality.METRICS)))
-_add("filter_low_quality", _of(X.pairs, lambda p: quality.with_pair_quality(p).where("overall_quality >= 0.3").select("id", "overall_quality")))
-_add("low_quality_entries", _of(X.pairs, lambda p: quality.with_pair_quality(p).where("overall_quality < 0.3").select("id", "overall_quality").orderBy("id").limit(20)))
-_add("quality_report", _of(X.pairs, lambda p: quality.quality_report(quality.with_pair_quality(p))))
-_add("similarity_by_terms", _of(X.pairs, quality.similarity_by_terms))
+_add("pair_quality", _of(X.pairs, lambda p: quality.with_pair_quality(p).select("id", *quality.METRICS)), f"{P}, {SCORED} SELECT * FROM scored")
+_add("filter_low_quality", _of(X.pairs, lambda p: quality.with_pair_quality(p).where("overall_quality >= 0.3").select("id", "overall_quality")), f"{P}, {SCORED} SELECT id, overall_quality FROM scored WHERE overall_quality >= 0.3")
+_add("low_quality_entries", _of(X.pairs, lambda p: quality.with_pair_quality(p).where("overall_quality < 0.3").select("id", "overall_quality").orderBy("id").limit(20)), f"{P}, {SCORED} SELECT id, overall_quality FROM scored WHERE overall_quality < 0.3 ORDER BY id LIMIT 20")
+_add("quality_report", _of(X.pairs, lambda p: quality.quality_report(quality.with_pair_quality(p))), f"{P}, {SCORED} {REPORT}")
+_add("similarity_by_terms", _of(X.pairs, quality.similarity_by_terms), f"{P}, {SCORED} SELECT id, semantic_similarity FROM scored")
 D = "WITH " + X.REPEATED
 _add("pair_duplicates", _of(X.repeated_pairs, quality.pair_duplicates), f"{D} SELECT id, 'high' AS severity FROM (SELECT id, row_number() OVER (PARTITION BY lower(trim(chosen, ' ')), lower(trim(rejected, ' ')) ORDER BY id) AS n FROM repeated) WHERE n > 1")
 _W = lambda x: rf"len(regexp_extract_all({x}, '[^\x20\x09-\x0D]+'))"
