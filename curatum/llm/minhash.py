@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .support import fresh, store
 from .tokens import mix, shingles, slices, text_bytes, word_hashes
 
+#: Tasks over which the copies of one text are dealt.
+_SALTS = 16
 _SIGNATURE = "doc_id long, n_shingles long, seq_hi long, seq_lo long, a array<long>, b array<long>"
 
 
@@ -125,8 +127,12 @@ def node_table(docs: DataFrame, *, k: int = 5, percent: int = 85, bands: int = 1
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = store(slim.mapInArrow(_signer(k, bands, rows), _SIGNATURE))
     known = signed.where("n_shingles > 0 and doc_id is not null")
-    same = known.groupBy("seq_hi", "seq_lo", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    nodes = store(known.join(same, ["seq_hi", "seq_lo", "n_shingles"]).select("doc_id", "rep", "n_shingles", "a", "b"))
+    sequence = ["seq_hi", "seq_lo", "n_shingles"]
+    same = known.groupBy(sequence).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
+    # Copies of one text are dealt over _SALTS tasks; texts that occur once need no partner.
+    same = same.select(*sequence, "least", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    salted = known.withColumn("salt", F.expr(f"cast(pmod(xxhash64(doc_id), {_SALTS}) as int)"))
+    nodes = store(salted.join(same, [*sequence, "salt"], "left").select("doc_id", F.coalesce("least", "doc_id").alias("rep"), "n_shingles", "a", "b"))
     reps = nodes.where("doc_id = rep").dropDuplicates(["rep", "n_shingles", "a", "b"])
 
     halves = reps.select("rep", F.posexplode(F.concat("a", "b")).alias("i", "key"))
