@@ -143,20 +143,34 @@ def register_chunk(spark: SparkSession, name: str = "chunk") -> None:
     spark.udtf.register(name, F.udtf(Chunk, returnType="index int, start_char int, end_char int, part string"))
 
 
+def _framed(rows: Iterator[tuple], columns: list[str], text: str, limit: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """Rows as frames that each hold about ``limit`` characters in the column ``text``."""
+    at, held, size = columns.index(text), [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[at])
+        if size >= limit:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def chunks(docs: DataFrame, size: int = 4000, overlap: int = 200) -> DataFrame:
     """(doc_id, index, start_char, end_char, text): whole texts in overlapping trimmed chunks."""
 
+    def parts(pdf):
+        for doc, text in zip(pdf.doc_id, pdf.text, strict=True):
+            index = 0
+            for a, b in chunk_bounds(text or "", size, overlap):
+                part = text[a:b].strip()
+                if part:
+                    yield doc, index, a, b, part
+                    index += 1
+
     def cut(frames):
         for pdf in frames:
-            out = []
-            for doc, text in zip(pdf.doc_id, pdf.text, strict=True):
-                index = 0
-                for a, b in chunk_bounds(text or "", size, overlap):
-                    part = text[a:b].strip()
-                    if part:
-                        out.append((doc, index, a, b, part))
-                        index += 1
-            yield pd.DataFrame(out, columns=["doc_id", "index", "start_char", "end_char", "text"])
+            yield from _framed(parts(pdf), ["doc_id", "index", "start_char", "end_char", "text"], "text")
 
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, index int, start_char int, end_char int, text string")
 
@@ -230,15 +244,16 @@ class _Extractor(HTMLParser):
 def extract_pages(pages: DataFrame, *, strip_hidden: bool = False) -> DataFrame:
     """(page_id, url, title, content, links) of stored pages; ``strip_hidden`` leaves out elements that inline styles hide."""
 
+    def read(pdf):
+        for i, url, html in zip(pdf.page_id, pdf.url, pdf.html, strict=True):
+            e = _Extractor(strip_hidden)
+            e.feed(html or "")
+            e.close()
+            yield i, url, e.title.strip(), e.content(), e.links
+
     def run(frames):
         for pdf in frames:
-            out = []
-            for i, url, html in zip(pdf.page_id, pdf.url, pdf.html, strict=True):
-                e = _Extractor(strip_hidden)
-                e.feed(html or "")
-                e.close()
-                out.append((i, url, e.title.strip(), e.content(), e.links))
-            yield pd.DataFrame(out, columns=["page_id", "url", "title", "content", "links"])
+            yield from _framed(read(pdf), ["page_id", "url", "title", "content", "links"], "content")
 
     return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, title string, content string, links array<string>")
 
