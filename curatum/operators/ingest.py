@@ -352,6 +352,8 @@ def qa_pairs(qa: DataFrame, prefix: str = "") -> DataFrame:
 
 #: Words that carry no evidence.
 EVIDENCE_STOPWORDS = "a an and are as at for from how in is of on or the to what when where which who why".split()
+#: Postings of rarest terms that set a question's bound; more or fewer change the work, never the result.
+EVIDENCE_SEEDS = 1000
 
 
 def evidence(questions: DataFrame, passages: DataFrame, k: int = 3) -> DataFrame:
@@ -359,10 +361,11 @@ def evidence(questions: DataFrame, passages: DataFrame, k: int = 3) -> DataFrame
 
     The score is 0.2 + 0.7 * the share of the question's terms, + 0.2 where a question about the
     capital of a place finds "capital of" that place, + 0.1 where the passage holds the question
-    itself, at most 1. An inverted index join: terms of both sides meet on the term, distinct terms
-    are counted per (question, passage), the best passage of each page and the best pages of each
-    question follow from two ranked windows. Texts are fetched only for pairs that can get an
-    addition: a passage that holds the question lacks at most its first and last term.
+    itself, at most 1. Exact search by prefixes: passages that hold a question's rarest terms show
+    how many of its n terms the k-th best page shares; only a passage with at least so many (less
+    what its additions may be worth, m in all) can be among the best, and it holds one of the
+    n - m + 1 rarest terms. So common terms are not joined where rarer ones decide. Texts are fetched
+    only for pairs that can get an addition: who holds the question lacks at most its first and last term.
 
     Defined cases: a passage without a shared term is no evidence; for a question without terms all
     passages score 0.5, so it gets the longest passage (up to 500) of each of the first k pages.
@@ -371,10 +374,29 @@ def evidence(questions: DataFrame, passages: DataFrame, k: int = 3) -> DataFrame
     low = F.lower(F.coalesce("question", F.lit("")))
     place = F.trim(F.regexp_replace(F.regexp_extract(low, r"\bcapital\s+of\s+([a-z][a-z\s]+?)(?:\?|\.|$)", 1), r"\s+", " "))
     asked = questions.select("q_id", F.btrim(low, F.lit(" ?.")).alias("said"), F.when(place != "", F.concat(F.lit("capital of "), place)).alias("capital"), terms(F.col("question")).alias("terms")).withColumn("n_terms", F.size("terms"))
+    asked = stored(asked)
+    bags = stored(passages.select("page_id", "passage_id", F.length("text").alias("len"), terms(F.col("text")).alias("bag")).where("size(bag) > 0"))
     q = asked.select("q_id", "n_terms", F.explode("terms").alias("term"))
-    p = passages.select("page_id", "passage_id", F.length("text").alias("len"), F.explode(terms(F.col("text"))).alias("term"))
-    hits = p.join(q, "term").groupBy("q_id", "page_id", "passage_id", "len", "n_terms").agg(F.count("*").alias("common"))
-    hits = stored(hits.join(asked.select("q_id", "said", "capital"), "q_id").withColumn("more", (F.col("common") >= F.col("n_terms") - 2) | F.col("capital").isNotNull()))
+    held_terms = bags.select("page_id", "passage_id", F.explode("bag").alias("term"))
+    found = held_terms.join(q.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("found"))
+    rarest = W.partitionBy("q_id").orderBy("found", "term")
+    ranked = q.join(found, "term").withColumn("place", F.row_number().over(rarest)).withColumn("absent", F.col("n_terms") - F.count("*").over(W.partitionBy("q_id")))
+    ranked = stored(ranked.withColumn("before", F.sum("found").over(rarest) - F.col("found")))
+
+    def shared(keys: DataFrame) -> DataFrame:
+        """How many terms each passage that holds one of the keys (q_id, term) shares with the question."""
+        pairs = held_terms.join(keys.select("q_id", "term"), "term").select("q_id", F.col("page_id").alias("_page"), F.col("passage_id").alias("_passage")).distinct()
+        rows = bags.join(pairs, F.col("page_id").eqNullSafe(F.col("_page")) & F.col("passage_id").eqNullSafe(F.col("_passage")))
+        rows = rows.join(asked.select("q_id", "n_terms", "terms", "said", "capital"), "q_id")
+        return rows.select("q_id", "page_id", "passage_id", "len", "n_terms", "said", "capital", F.size(F.array_intersect("terms", "bag")).alias("common"))
+
+    pages = shared(ranked.where(F.col("before") < EVIDENCE_SEEDS)).groupBy("q_id", "page_id").agg(F.max("common").alias("common")).groupBy("q_id", "common").agg(F.count("*").alias("n"))
+    bound = pages.withColumn("n", F.sum("n").over(W.partitionBy("q_id").orderBy(F.col("common").desc()))).where(F.col("n") >= k).groupBy("q_id").agg(F.max("common").alias("kth"))
+    least = F.least(F.coalesce("kth", F.lit(1)), F.col("n_terms") - 2) - F.when(F.col("capital").isNotNull(), F.ceil(F.col("n_terms") * 3 / 7)).otherwise(0)
+    needs = stored(asked.join(bound, "q_id", "left").select("q_id", F.greatest(F.lit(1), least).alias("least")))
+    prefix = ranked.join(needs, "q_id").where(F.col("place") + F.col("absent") <= F.col("n_terms") - F.col("least") + 1)
+    hits = shared(prefix).join(needs, "q_id").where(F.col("common") >= F.col("least"))
+    hits = stored(hits.withColumn("more", (F.col("common") >= F.col("n_terms") - 2) | F.col("capital").isNotNull()))
     texts = passages.select("page_id", "passage_id", F.length("text").alias("len"), F.lower("text").alias("low"))
     held = lambda part: F.coalesce(F.contains("low", part).cast("int"), F.lit(0))
     fetched = hits.where("more").join(texts, ["page_id", "passage_id", "len"]).withColumn("plus", 0.1 * held(F.col("said")) + 0.2 * held(F.col("capital")))

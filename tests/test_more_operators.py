@@ -108,12 +108,8 @@ def _evidence_score(question, text):
     return round(min(score, 1.0), 6) if q & a else None
 
 
-def test_evidence_equals_brute_force(spark):
-    questions = [(1, "What is the capital of  New Delhi?"), (2, "red fox runs"), (3, "何ですか"), (4, "who, why?"), (5, "Why be it that was?"), (6, None), (7, "mat cat."), (8, "unheard")]
-    passages = [
-        (1, 0, "runs fox red and more words that only make this passage longer than others"), (2, 0, "a red fox runs"), (3, 0, "the capital of new delhi is here"), (3, 1, "capital delhi new"), (4, 0, "Delhi, a new capital, is the one"),
-        (5, 0, "it was that"), (6, 0, "format category"), (6, 1, "the format cat"), (7, 0, "the format catalogue is read by a cat"), (8, 0, "red fox"), (9, 0, None),
-    ]
+def _best_evidence(questions, passages):
+    """The three best pages of each question by trying every passage."""
     want = set()
     for i, q in questions:
         best = {}
@@ -122,9 +118,40 @@ def test_evidence_equals_brute_force(spark):
             if s is not None:
                 best[page] = min(best.get(page, (9,)), (-s, -min(len(text or ""), 500), n))
         want |= {(i, r, page, v[2], -v[0]) for r, (page, v) in enumerate(sorted(best.items(), key=lambda x: (x[1][0], x[0]))[:3], 1)}
+    return want
+
+
+def _found_evidence(spark, questions, passages):
     got = ingest.evidence(spark.createDataFrame(questions, "q_id long, question string"), spark.createDataFrame(passages, "page_id long, passage_id long, text string"))
-    assert {tuple(r) for r in got.collect()} == want
+    return {tuple(r) for r in got.collect()}
+
+
+def test_evidence_equals_brute_force(spark):
+    questions = [(1, "What is the capital of  New Delhi?"), (2, "red fox runs"), (3, "何ですか"), (4, "who, why?"), (5, "Why be it that was?"), (6, None), (7, "mat cat."), (8, "unheard")]
+    passages = [
+        (1, 0, "runs fox red and more words that only make this passage longer than others"), (2, 0, "a red fox runs"), (3, 0, "the capital of new delhi is here"), (3, 1, "capital delhi new"), (4, 0, "Delhi, a new capital, is the one"),
+        (5, 0, "it was that"), (6, 0, "format category"), (6, 1, "the format cat"), (7, 0, "the format catalogue is read by a cat"), (8, 0, "red fox"), (9, 0, None),
+    ]
+    want = _best_evidence(questions, passages)
+    assert _found_evidence(spark, questions, passages) == want
     assert (2, 1, 2, 0, 1.0) in want and any(r[0] == 3 for r in want)
+    assert _found_evidence(spark, questions, []) == set() and _found_evidence(spark, [], passages) == set()
+
+
+def test_evidence_prefixes_lose_nothing(spark, monkeypatch):
+    """Frequent and rare terms, copies and verbatim questions: prefixes and any number of seeds give the full search's result."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(rng.choice(words[: rng.choice((4, 15, 60))]) for _ in range(n))
+    questions = [(i, text(rng.randint(1, 12)) + "?") for i in range(20)] + [(20, "the capital of oz w1 w2 w3 w4 w5?"), (21, "unheard w59 words")]
+    passages = [(i // 3, i % 3, text(rng.randint(1, 25))) for i in range(300)] + [(200 + i, 0, "w0 w1 w2 w3") for i in range(40)]
+    passages += [(300, 0, "so " + questions[3][1]), (301, 0, "capital of oz w1"), (302, 0, questions[5][1] + " indeed")]
+    want = _best_evidence(questions, passages)
+    for seeds in (1, 20, 1000):
+        monkeypatch.setattr(ingest, "EVIDENCE_SEEDS", seeds)
+        assert _found_evidence(spark, questions, passages) == want
 
 
 def test_prompts_hold_whole_documents(spark, tmp_path):
