@@ -386,6 +386,7 @@ def evidence(questions: DataFrame, passages: DataFrame, k: int = 3) -> DataFrame
     def shared(keys: DataFrame) -> DataFrame:
         """How many terms each passage that holds one of the keys (q_id, term) shares with the question."""
         pairs = held_terms.join(keys.select("q_id", "term"), "term").select("q_id", F.col("page_id").alias("_page"), F.col("passage_id").alias("_passage")).distinct()
+        pairs = stored(pairs)  # so that Spark knows whether they are few: then no passage is shuffled
         rows = bags.join(pairs, F.col("page_id").eqNullSafe(F.col("_page")) & F.col("passage_id").eqNullSafe(F.col("_passage")))
         rows = rows.join(asked.select("q_id", "n_terms", "terms", "said", "capital"), "q_id")
         return rows.select("q_id", "page_id", "passage_id", "len", "n_terms", "said", "capital", F.size(F.array_intersect("terms", "bag")).alias("common"))
@@ -394,7 +395,7 @@ def evidence(questions: DataFrame, passages: DataFrame, k: int = 3) -> DataFrame
     bound = pages.withColumn("n", F.sum("n").over(W.partitionBy("q_id").orderBy(F.col("common").desc()))).where(F.col("n") >= k).groupBy("q_id").agg(F.max("common").alias("kth"))
     least = F.least(F.coalesce("kth", F.lit(1)), F.col("n_terms") - 2) - F.when(F.col("capital").isNotNull(), F.ceil(F.col("n_terms") * 3 / 7)).otherwise(0)
     needs = stored(asked.join(bound, "q_id", "left").select("q_id", F.greatest(F.lit(1), least).alias("least")))
-    prefix = ranked.join(needs, "q_id").where(F.col("place") + F.col("absent") <= F.col("n_terms") - F.col("least") + 1)
+    prefix = stored(ranked.join(needs, "q_id").where(F.col("place") + F.col("absent") <= F.col("n_terms") - F.col("least") + 1).select("q_id", "term"))
     hits = shared(prefix).join(needs, "q_id").where(F.col("common") >= F.col("least"))
     hits = stored(hits.withColumn("more", (F.col("common") >= F.col("n_terms") - 2) | F.col("capital").isNotNull()))
     texts = passages.select("page_id", "passage_id", F.length("text").alias("len"), F.lower("text").alias("low"))
