@@ -52,10 +52,13 @@ def sessions(rows: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return g.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def run_to_table(spark: SparkSession, path: str, schema, job: Callable[[DataFrame], DataFrame], *, late: str = "1 day", mode: str = "append", glob: str = "*.parquet") -> DataFrame:
-    """Run ``job`` over files under ``path`` as a stream until it has read all, and return what it wrote."""
+def run_to_table(spark: SparkSession, path: str, schema, job: Callable[[DataFrame], DataFrame], *, late: str = "1 day", mode: str = "append", glob: str = "*.parquet", files: int | None = None) -> DataFrame:
+    """Run ``job`` over files under ``path`` as a stream until it has read all, and return what it wrote:
+    in append mode the windows that the watermark has closed. With ``files``, a batch reads so many files, oldest first."""
     out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    source = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    reader = reader.option("maxFilesPerTrigger", files) if files else reader
+    source = reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     query = job(source).writeStream.outputMode(mode).format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{out}/data")

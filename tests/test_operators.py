@@ -1,5 +1,8 @@
 """Golden cases and properties of the curation operators."""
 
+import os
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,13 +77,48 @@ def test_chunks_cover(spark):
             assert all(len(r.text) <= 1000 and b.start_char <= r.end_char and b.start_char > r.start_char for r, b in zip(own, own[1:], strict=False))
 
 
-def test_stream_equals_batch(spark, sf):
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    job = lambda df: monitors.accuracy_by_window(monitors.answer_events(df))
-    got = monitors.run_to_table(spark, sf, schema, job, glob="events.parquet").collect()
-    want = {(r.start, r.model): (r.n, r.accuracy) for r in job(spark.read.parquet(f"{sf}/events.parquet")).collect()}
-    assert got and all(want[r.start, r.model] == (r.n, r.accuracy) for r in got)
-    assert len(want) - len(got) <= 6  # windows the watermark has not closed
+@pytest.fixture(scope="module")
+def event_files(spark, sf, tmp_path_factory):
+    """The events in three files by time, each file's last 12 hours arriving with the next, then a sentinel of a far later day."""
+    path = tmp_path_factory.mktemp("events")
+    events = spark.read.parquet(f"{sf}/events.parquet").toPandas().sort_values("ts")
+    day = (events.ts - events.ts.min()).dt.total_seconds() / 86400
+    part = (day // 10).clip(upper=2)
+    part = part.where((day % 10 < 9.5) | (part == 2), part + 1)
+    sentinel = events.tail(1).assign(event_id=-1, ts=events.ts.max() + (events.ts.max() - events.ts.min()) * 10)
+    for i, rows in enumerate([events[part == n] for n in range(3)] + [sentinel]):
+        rows.astype({"ts": "datetime64[us]"}).to_parquet(path / f"{i}.parquet", index=False)
+        os.utime(path / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    return str(path)
+
+
+@pytest.mark.parametrize("job", [
+    monitors.accuracy_by_window, monitors.bins_by_window, monitors.load_by_window, monitors.sessions, lambda r: monitors.accuracy_by_window(r, "2 days", "1 day"),
+], ids=["accuracy", "calibration bins", "load", "sessions", "sliding accuracy"])
+def test_stream_equals_batch(spark, event_files, job):
+    """The sentinel closes all windows but its own: what the stream wrote, file by file, is the batch result without it."""
+    batch = spark.read.parquet(event_files).withColumn("ts", F.col("ts").cast("timestamp"))
+    run = lambda df: job(monitors.answer_events(df))
+    rows = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+    got = rows(monitors.run_to_table(spark, event_files, spark.read.parquet(event_files).schema, run, files=1))
+    want = rows(run(batch.where("event_id >= 0")))
+    assert want and got == want
+
+
+def test_stream_drops_what_comes_after_the_watermark(spark, tmp_path):
+    """A row more than the allowed day behind changes no window, once the watermark that passed it has reached late rows (one batch after state)."""
+    row = lambda i, ts: (i, ts, 1, "view", 10.0)
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    arrivals = [row(1, datetime(2024, 1, 1, 5)), row(2, datetime(2024, 1, 9)), row(4, datetime(2024, 1, 8, 12)), row(3, datetime(2024, 1, 1, 6)), row(5, datetime(2025, 1, 1))]
+    for n, rows in enumerate([r] for r in arrivals):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/w{n}")
+        (part,) = (tmp_path / f"w{n}").glob("*.parquet")
+        os.makedirs(tmp_path / "in", exist_ok=True)
+        part.rename(tmp_path / "in" / f"{n}.parquet")
+        os.utime(tmp_path / "in" / f"{n}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
+    job = lambda df: monitors.load_by_window(monitors.answer_events(df))
+    got = monitors.run_to_table(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, job, files=1)
+    assert sorted((r.start.day, r.n) for r in got.collect()) == [(1, 1), (8, 1), (9, 1)]
 
 
 @pytest.mark.parametrize("text,prompt,chosen", [
