@@ -220,6 +220,48 @@ def test_quotes_equal_oracle(spark):
     assert quotes.reply_ordered(df.limit(0)).count() == 0
 
 
+def test_quotes_planted_in_many_conversations_equal_oracle(spark):
+    """Chains of replies with nested quotes, forwarded messages, partly quoted passages, repeated rows and one line that all quote."""
+    import random
+
+    import duckdb
+
+    rng, rows = random.Random(7), []
+    words = [f"Word{i}" for i in range(300)]
+    line = lambda: "  ".join(rng.choice(words) for _ in range(rng.randint(1, 8)))
+    quote = lambda text: "\n".join(("> " if rng.random() < 0.8 else ">") + x for x in text.split("\n"))
+    for conv in range(300):
+        said = []
+        for turn in range(rng.randint(1, 7)):
+            own = "\n".join([line() for _ in range(rng.randint(1, 4))] + ["Thanks."] * (rng.random() < 0.3))
+            kind, old = rng.random(), said or [x[3] for x in rows[-200:]]
+            if kind < 0.6 and old:
+                source = rng.choice(old) if kind < 0.5 or not rows else rng.choice(rows)[3]
+                part = source.split("\n")
+                cut = rng.randint(0, len(part) - 1)
+                own = quote("\n".join(part[cut : cut + rng.randint(1, 6)]).upper()) + "\n" + "\n" * rng.randint(0, 2) + own
+            elif kind < 0.8:
+                own = "> thanks.\n" + own
+            said.append(own)
+            rows.append((conv, turn, "u", own))
+    rows += rng.sample(rows, 20)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(map(repr, map(tuple, quotes.reply_ordered(df).collect())))
+    con = duckdb.connect()
+    con.register("conversations", df.dropDuplicates().toPandas())
+    want = {repr(r) for r in con.execute(ORACLES["op4_quotation_linking"]).fetchall()}
+    assert len(got) == len(rows) and set(got) == want
+    assert sum("None" not in r for r in want) > 500
+
+
+def test_quotes_of_long_messages_take_linear_work(spark):
+    """One message of 40,000 lines whose level changes now and then, quoted in full."""
+    text = "\n".join(f"line {i}" for i in range(40_000))
+    reply = "\n".join(f"> line {i}" for i in range(40_000)) + "\nyes"
+    df = spark.createDataFrame([(1, 0, "u", text), (1, 1, "a", reply), (1, 2, "u", "> yes\n>> line 7\nno")], "conv_id long, turn long, role string, text string")
+    assert {(r.turn, r.reply_turn, r.n_quoted, r.depth) for r in quotes.reply_ordered(df).collect()} == {(0, None, 0, 0), (1, 0, 40_000, 1), (2, 1, 2, 2)}
+
+
 def test_quotes_of_all_levels(spark):
     """Deeper quotations link where level 1 finds nothing, and a passage wrapped anew is found."""
     rows = [
