@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, linededup, matroska, minhash, mixing, ngram_lm, quality, quotes, wrapper
+from . import ann, bpe, centroids, linededup, matroska, minhash, mixing, ngram_lm, quality, quotes, wrapper
 from .support import table
 
 
@@ -56,6 +56,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.node_table(table(spark, sf_dir, "documents"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
 def quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4 over quotations of all levels; op4 itself keeps to level 1, as its oracle does."""
     return quotes.reply_ordered(table(spark, sf_dir, "conversations"), whole=True)
@@ -67,9 +71,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_source_mixing, op3_lm_scoring, op4_quotation_linking, op5_line_dedup, op6_permutation_index, op7_matroska_packets, op8_wrapper_induction, op9_bpe_encoding, op10_minhash_near_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_source_mixing, op3_lm_scoring, op4_quotation_linking, op5_line_dedup, op6_permutation_index, op7_matroska_packets, op8_wrapper_induction, op9_bpe_encoding, op10_minhash_near_dedup, op13_centroid_clustering, pipeline)}
 
 #: Beside the numbered queries, without oracle.
 MORE = {"quotation_threads": quotation_threads}
 
-ORACLES = {"op2_source_mixing": mixing.ORACLE, "op4_quotation_linking": quotes.ORACLE}
+ORACLES = {"op2_source_mixing": mixing.ORACLE, "op4_quotation_linking": quotes.ORACLE, "op13_centroid_clustering": centroids.ORACLE}
