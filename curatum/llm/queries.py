@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, centroids, linededup, matroska, minhash, mixing, ngram_lm, prefixtrie, quality, quotes, wrapper
+from . import ann, bpe, centroids, licenses, linededup, matroska, minhash, mixing, ngram_lm, prefixtrie, quality, quotes, wrapper
 from .support import table
 
 
@@ -60,6 +60,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_report(table(spark, sf_dir, "embeddings"))
 
@@ -75,9 +79,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_source_mixing, op3_lm_scoring, op4_quotation_linking, op5_line_dedup, op6_permutation_index, op7_matroska_packets, op8_wrapper_induction, op9_bpe_encoding, op10_minhash_near_dedup, op11_conversation_trie, op13_centroid_clustering, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_source_mixing, op3_lm_scoring, op4_quotation_linking, op5_line_dedup, op6_permutation_index, op7_matroska_packets, op8_wrapper_induction, op9_bpe_encoding, op10_minhash_near_dedup, op11_conversation_trie, op12_license_scan, op13_centroid_clustering, pipeline)}
 
 #: Beside the numbered queries, without oracle.
 MORE = {"quotation_threads": quotation_threads}
 
-ORACLES = {"op2_source_mixing": mixing.ORACLE, "op4_quotation_linking": quotes.ORACLE, "op11_conversation_trie": prefixtrie.ORACLE, "op13_centroid_clustering": centroids.ORACLE}
+ORACLES = {"op2_source_mixing": mixing.ORACLE, "op4_quotation_linking": quotes.ORACLE, "op11_conversation_trie": prefixtrie.ORACLE, "op12_license_scan": licenses.ORACLE, "op13_centroid_clustering": centroids.ORACLE}
