@@ -556,5 +556,30 @@ def test_pipeline_rejects_rows_not_ids(spark):
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, clean[0]), (-7, clean[1])])
 
 
+def test_pipeline_near_dedup_judges_rows(spark):
+    """Unrelated texts that share an id do not join their groups; of equal rows one stays."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    text = lambda: [f"w{rng.randrange(5000)}" for _ in range(150)]
+    a, z, t = text(), text(), text()
+    near = lambda words: " ".join([*words[:-2], "other", "end"])
+    a, z, t, a2, z2 = " ".join(a), " ".join(z), " ".join(t), near(a), near(z)
+    rows = [(1, a), (5, a2), (5, z), (7, z2), (8, t), (8, t), (None, a), (None, "only here"), (None, "only here"), (None, None), (9, None), (9, "")]
+    for shift in (0, (1 << 62) + 5, -(1 << 62) - 5):
+        moved = [(i if i is None else i + shift, x, n) for n, (i, x) in enumerate(rows)]
+        docs = spark.createDataFrame(moved, "doc_id long, text string, node long").repartition(3)
+        kept = corpus_pipeline.dedup_near(spark, docs, "")
+        assert kept.columns == docs.columns
+        kept = sorted(((r.doc_id or shift) - shift, r.text or "") for r in kept.collect())
+        of = {a2: a, z2: z}
+        assert sorted(of.get(x, x) for _, x in kept) == sorted([a, z, t, "only here", "", "", ""]), shift
+        if shift <= 0:
+            assert kept == sorted([(1, a), (7, z2), (8, t), (0, "only here"), (0, ""), (9, ""), (9, "")])
+    both = [(-(2**63), a), (2**63 - 1, a2), (3, z), (3, z2), (4, t), (None, t)]
+    kept = corpus_pipeline.dedup_near(spark, spark.createDataFrame(both, "doc_id long, text string"), "").collect()
+    assert len(kept) == 3 and {r.text for r in kept} & {a, a2} and {r.text for r in kept} & {z, z2} and t in {r.text for r in kept}
+
+
 def test_all_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
