@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import formats, ingest, judging, knowledge, probing, quality, review, stats
 from .queries import _PROMPT, _QA, _WIDE, C, M, ORACLES, P, QUERIES, R, V, _add, _decisions, _ev, _margins, _of, _qa
-from .sources import fixtures as X, tables
+from .sources import fixtures as X, tables, versioned
 from .streaming import monitors
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -57,10 +57,19 @@ _add("read_entries", _exported, f"{P} SELECT id, prompt, chosen, rejected FROM p
 _add("vault_routed", _routed, f"{R} SELECT CASE WHEN is_right THEN 'auto_approved' WHEN letter IS NULL THEN 'rejected' ELSE 'needs_review' END AS route, split_part(subject, '_', 1) AS domain, count(*) AS n FROM responses GROUP BY 1, 2")
 _add("vault_append", _appended, "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
 _versions = lambda s, d, first: X.table(s, d, "documents").select(c("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")) if first else F.concat(F.coalesce("text", F.lit("")), F.lit("!")), 256).alias("content_hash"), F.lit(1 if first else 2).alias("version"))
-_add(
-    "vault_upsert", lambda s, d: tables.upsert(_versions(s, d, True).where("id % 4 <> 1"), _versions(s, d, False).where("id % 3 = 0 or id % 4 = 1")),
-    "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 OR doc_id % 4 = 1 THEN sha256(coalesce(text, '') || '!') ELSE sha256(coalesce(text, '')) END AS content_hash, CASE WHEN doc_id % 3 = 0 OR doc_id % 4 = 1 THEN 2 ELSE 1 END AS version FROM documents",
-)
+
+
+def _upserted(spark: SparkSession, d: str) -> DataFrame:
+    """Two commits on a versioned table, read back; a second version of every third and each other row, then a third of some."""
+    path, docs = tables.scratch_dir(spark), X.table(spark, d, "documents")
+    versioned.create_table(_versions(spark, d, True).where("id % 4 <> 1"), path)
+    versioned.upsert_table(_versions(spark, d, False).where("id % 3 = 0 or id % 4 = 1"), path)
+    late = docs.where("doc_id % 10 = 0").select(c("doc_id").alias("id"), F.sha2(F.lit("late"), 256).alias("content_hash"), (F.when(c("doc_id") % 20 == 0, 3).otherwise(0)).alias("version"))
+    return versioned.read_table(spark, path, versioned.upsert_table(late, path))
+
+
+_add("vault_upsert", _upserted, """SELECT doc_id AS id, CASE WHEN doc_id % 20 = 0 THEN sha256('late') WHEN doc_id % 3 = 0 OR doc_id % 4 = 1 THEN sha256(coalesce(text, '') || '!') ELSE sha256(coalesce(text, '')) END AS content_hash,
+ CASE WHEN doc_id % 20 = 0 THEN 3 WHEN doc_id % 3 = 0 OR doc_id % 4 = 1 THEN 2 ELSE 1 END AS version FROM documents""")
 _add(
     "pdf_text_documents", lambda s, d: tables.page_text_documents(X.table(s, d, "documents").select(F.floor(c("doc_id") / 8).alias("doc"), (c("doc_id") % 8).alias("page_no"), "text")).drop("text"),
     r"SELECT doc, page_count, CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS INTEGER) AS word_count, sha256(t) AS content_hash FROM (SELECT doc_id // 8 AS doc, count(*) AS page_count, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id % 8, text) AS t FROM documents GROUP BY 1)",

@@ -43,17 +43,28 @@ def append_rows(rows: DataFrame, path: str, *, day: str = "created_at") -> None:
     rows.withColumn("day", F.to_date(day)).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
-    """The row with the highest ``version`` of each ``key``; rows without a key get the hash of their content.
+def _content(columns: list[str], key: str) -> list:
+    return [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns if c != key]
+
+
+def keyed(rows: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` whose null keys are the hash of their content."""
+    return rows.withColumn(key, F.coalesce(key, F.abs(F.xxhash64(*_content(rows.columns, key))).cast(rows.schema[key].dataType)))
+
+
+def newest(rows: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
+    """The row with the highest ``version`` of each ``key``; ties go by content.
 
     ``max_by`` combines before the shuffle, so that no key's history is sorted in one task.
     """
-    columns = old.columns
-    rows = old.unionByName(new)
-    rest = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns if c != key]
-    rows = rows.withColumn(key, F.coalesce(key, F.abs(F.xxhash64(*rest)).cast(old.schema[key].dataType)))
-    newest = rows.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*columns), F.struct(version, F.xxhash64(*rest))).alias("_r"))
-    return newest.select(*(F.col(f"_r.{c}").alias(c) for c in columns))
+    columns = rows.columns
+    best = F.max_by(F.struct(*columns), F.struct(version, F.xxhash64(*_content(columns, key)))).alias("_r")
+    return rows.groupBy(F.col(key).alias("_k")).agg(best).select(*(F.col(f"_r.{c}").alias(c) for c in columns))
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
+    """The merged rows of two tables; :mod:`.versioned` merges into a stored one."""
+    return newest(keyed(old.unionByName(new), key), key, version)
 
 
 def write_routed(scored: DataFrame, path: str, threshold: float = 0.7) -> None:
