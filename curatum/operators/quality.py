@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions import blocks
 from .ingest import stored
 
 #: Word lists of the pair metrics.
@@ -198,18 +197,27 @@ def bayes_rank(scored: DataFrame, low: float = -2.0) -> DataFrame:
 
 
 def response_overlap(pairs: DataFrame, high: float = 0.9, moderate: float = 0.75) -> DataFrame:
-    """(id, ratio, level) of pairs whose two responses share matching blocks beyond ``moderate``.
+    """(id, ratio, level) of pairs whose two responses, in lower case, share matching blocks beyond ``moderate``.
 
-    Lengths bound the ratio from above; only pairs that this bound leaves open are compared, in Arrow batches.
+    Lengths bound the ratio from above, natively; Arrow batches hold what this leaves open against
+    counts of characters and of their pairs, and only then search blocks (:mod:`..functions.blocks`).
+    A pair in that search takes some 500 bytes a character of the rejected text. Null texts are empty.
     """
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+        return pd.Series([blocks.ratio(x, y, moderate) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    c, r = F.coalesce("chosen", F.lit("")), F.coalesce("rejected", F.lit(""))
+    c, r = (F.lower(F.coalesce(x, F.lit(""))) for x in ("chosen", "rejected"))
     bound = F.when(F.length(c) + F.length(r) == 0, 1.0).otherwise(2.0 * F.least(F.length(c), F.length(r)) / F.greatest(F.length(c) + F.length(r), F.lit(1)))
-    found = pairs.where(bound > moderate).select("id", F.round(ratio(c, r), 6).alias("ratio")).where(F.col("ratio") > moderate)
-    return found.withColumn("level", F.when(F.col("ratio") > high, "high").otherwise("moderate"))
+    found = pairs.where(bound > moderate).select("id", ratio(c, r).alias("r")).where("r is not null")
+    return found.select("id", F.round("r", 6).alias("ratio"), F.when(F.col("r") > high, "high").otherwise("moderate").alias("level"))
+
+
+def overlap_report(pairs: DataFrame, high: float = 0.9, suspect: float = 0.2) -> DataFrame:
+    """(n, n_high, n_moderate, suspect): the data set is suspect if more than ``suspect`` of its pairs overlap highly."""
+    flags = response_overlap(pairs, high).groupBy().agg(F.count_if(F.col("level") == "high").alias("n_high"), F.count_if(F.col("level") == "moderate").alias("n_moderate"))
+    whole = pairs.groupBy().agg(F.count("*").alias("n"))
+    return whole.join(flags, how="cross").select("n", "n_high", "n_moderate", (F.col("n_high") > suspect * F.col("n")).alias("suspect"))  # one row each
 
 
 def best_and_worst(scored: DataFrame, share: float = 0.5) -> DataFrame:

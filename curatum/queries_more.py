@@ -154,7 +154,13 @@ _add("batch_ask", _of(X.responses, lambda r: judging.batch_ask(probing.mcq_promp
 _add("entry_status_counts", lambda s, d: review.apply_decisions(*_decisions(s, d)).agg(*(F.count_if(c("status") == x).alias(x) for x in ("accepted", "edited", "rejected", "pending"))), f"{P} SELECT count(*) FILTER (id % 3 <> 0 AND id % 4 = 0) AS accepted, count(*) FILTER (id % 3 <> 0 AND id % 4 = 2) AS edited, count(*) FILTER (id % 3 <> 0 AND id % 4 = 1) AS rejected, count(*) FILTER (id % 3 = 0) AS pending FROM pairs")
 
 # --- pair quality ------------------------------------------------------------------------
-_add("response_overlap", _of(X.pairs, quality.response_overlap))
+# In these pairs a rejected text is a part of the chosen one, which is then the one block, or has too few of its characters.
+_OVERLAP = f"""{P}, low AS (SELECT id, lower(chosen) AS a, lower(rejected) AS b, len(chosen) + len(rejected) AS n FROM pairs),
+chars AS (SELECT id, sum(least(x, y)) AS m FROM (SELECT id, c, count(*) FILTER (side = 1) AS x, count(*) FILTER (side = 2) AS y FROM (SELECT id, 1 AS side, unnest(string_split(a, '')) AS c FROM low UNION ALL SELECT id, 2, unnest(string_split(b, '')) FROM low) GROUP BY id, c) GROUP BY id),
+seen AS (SELECT id, CASE WHEN contains(a, b) OR contains(b, a) THEN 2.0::DOUBLE * least(len(a), len(b)) / n WHEN 2.0::DOUBLE * m / n > 0.75 THEN -1.0::DOUBLE END AS r FROM low JOIN chars USING (id)),
+flags AS (SELECT id, round(r, 6) AS ratio, CASE WHEN r < 0 THEN 'open' WHEN r > 0.9 THEN 'high' ELSE 'moderate' END AS level FROM seen WHERE r > 0.75 OR r < 0)"""
+_add("response_overlap", _of(X.pairs, quality.response_overlap), f"{_OVERLAP} SELECT * FROM flags")
+_add("overlap_report", _of(X.pairs, quality.overlap_report), f"{_OVERLAP} SELECT (SELECT count(*) FROM pairs) AS n, count(*) FILTER (level = 'high') AS n_high, count(*) FILTER (level = 'moderate') AS n_moderate, count(*) FILTER (level = 'high') > 0.2 * (SELECT count(*) FROM pairs) AS suspect FROM flags")
 _add("best_worst_select", _of(_margins, lambda m: quality.best_and_worst(m).select("id", "margin", "end")), f"""{M}, k AS (SELECT quantile_cont(margin, 0.25) AS lo, quantile_cont(margin, 0.75) AS hi FROM m) SELECT id, margin, CASE WHEN margin >= hi THEN 'best' ELSE 'worst' END AS "end" FROM m, k WHERE margin >= hi OR margin <= lo""")
 
 
