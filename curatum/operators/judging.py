@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -127,34 +129,95 @@ def spot_check(judged: DataFrame, n: int = 100, seed: int = 7, alarm: float = 0.
     return sample.agg(F.count("*").alias("n"), F.round(rate, 6).alias("disagreement"), (rate > alarm).alias("alarm"))
 
 
-def batch_ask(prompts: DataFrame, make_client: Callable[[], Callable[[list[str]], list[str]]], *, answered: DataFrame | None = None, batch: int = 64) -> DataFrame:
-    """(id, prompt_hash, reply, error) of ``prompts(id, prompt)``, asked in batches within each partition.
+class Pace:
+    """A bucket that fills at ``rate`` a second and begins empty; what it gains while nothing is due is lost, so there are no bursts."""
 
-    ``make_client`` is called once a partition. A batch that fails is asked again row by row, so
-    that an error stays with its row. Prompts whose hash is in ``answered(prompt_hash)`` are skipped.
-    """
-    rows = prompts.select("id", "prompt", F.sha2(F.coalesce("prompt", F.lit("")), 256).alias("prompt_hash"))
-    if answered is not None:
-        rows = rows.join(answered.select("prompt_hash").distinct(), "prompt_hash", "left_anti").select("id", "prompt", "prompt_hash")
+    def __init__(self, rate: float, clock: Callable[[], float] = time.monotonic):
+        self.rate, self.clock, self.at = rate, clock, clock()
+
+    def due(self, cost: float) -> float:
+        """When ``cost`` may be spent."""
+        return self.at + cost / self.rate
+
+    def spend(self, cost: float) -> None:
+        self.at = max(self.due(cost), self.clock())
+
+
+def packed(costs: list[int], count: int, most: int | None) -> list[list[int]]:
+    """Places of ``costs`` in batches of at most ``count`` whose number times largest cost, as padded, is at
+    most ``most``. A cost beyond ``most`` has a batch of its own. Similar costs lie together."""
+    if most is None:
+        return [list(range(i, min(i + count, len(costs)))) for i in range(0, len(costs), count)]
+    batches: list[list[int]] = []
+    for i in sorted(range(len(costs)), key=lambda i: (costs[i], i)):  # ascending, so the new cost is the largest
+        if batches and len(batches[-1]) < count and (len(batches[-1]) + 1) * costs[i] <= most:
+            batches[-1].append(i)
+        else:
+            batches.append([i])
+    return batches
+
+
+def asking(make_client, *, batch: int = 64, max_tokens: int | None = None, batch_tokens: int | None = None, calls_per_second: float | None = None, tokens_per_second: float | None = None, tokens: Callable[[str], int] = lambda text: len(text) // 4 + 1, clock=time.monotonic, sleep=time.sleep):
+    """The function that asks the prompts of one partition, at that partition's rates."""
 
     def run(frames):
         ask = make_client()
-
-        def one(prompt):
-            try:
-                return ask([prompt])[0], None
-            except Exception as e:  # noqa: BLE001 - the client is the user's; its error is the row's result
-                return None, f"{type(e).__name__}: {e}"
+        if max_tokens is not None:
+            ask = partial(ask, max_tokens=max_tokens)
+        calls = Pace(calls_per_second, clock) if calls_per_second else None
+        spent = Pace(tokens_per_second, clock) if tokens_per_second else None
+
+        def call(prompts: list[str], cost: int) -> list[str]:
+            wait = max([0.0, *(p.due(c) - clock() for p, c in ((calls, 1), (spent, cost)) if p)])
+            if wait:
+                sleep(wait)
+            for p, c in ((calls, 1), (spent, cost)):
+                if p:
+                    p.spend(c)
+            replies = ask(prompts)
+            if len(replies) != len(prompts):
+                raise ValueError(f"{len(replies)} replies to {len(prompts)} prompts")
+            return replies
 
         for pdf in frames:
-            texts, out = pdf.prompt.fillna("").tolist(), []
-            for at in range(0, len(texts), batch):
-                part = texts[at : at + batch]
+            texts = pdf.prompt.fillna("").tolist()
+            costs = [tokens(t) + (max_tokens or 0) for t in texts]
+            replies, errors = [None] * len(texts), [None] * len(texts)
+            for at in packed(costs, batch, batch_tokens):
                 try:
-                    replies = ask(part)
-                    out += [(r, None) for _, r in zip(part, replies, strict=True)]
-                except Exception:  # noqa: BLE001
-                    out += [one(p) for p in part]
-            yield pd.DataFrame({"id": pdf.id, "prompt_hash": pdf.prompt_hash, "reply": [r for r, _ in out], "error": [e for _, e in out]})
+                    for i, reply in zip(at, call([texts[i] for i in at], sum(costs[i] for i in at)), strict=True):
+                        replies[i] = reply
+                except Exception as whole:  # noqa: BLE001 - the client is the user's; its error is the row's result
+                    for i in at:
+                        try:
+                            if len(at) == 1:
+                                raise whole
+                            replies[i] = call([texts[i]], costs[i])[0]
+                        except Exception as e:  # noqa: BLE001
+                            errors[i] = f"{type(e).__name__}: {e}"
+            yield pd.DataFrame({"id": pdf.id, "prompt_hash": pdf.prompt_hash, "reply": replies, "error": errors})
+
+    return run
+
+
+def batch_ask(prompts: DataFrame, make_client: Callable[[], Callable[..., list[str]]], *, answered: DataFrame | None = None, calls_per_second: float | None = None, tokens_per_second: float | None = None, tasks: int | None = None, **limits) -> DataFrame:
+    """(id, prompt_hash, reply, error) of ``prompts(id, prompt)``, asked in batches within each partition.
 
+    ``make_client`` is called once a partition. A batch that fails is asked again row by row, so
+    that an error stays with its row. Prompts whose hash is in ``answered(prompt_hash)`` are skipped.
+
+    ``calls_per_second`` and ``tokens_per_second`` hold for the whole job: prompts then lie in at most
+    ``tasks`` partitions (the session's default parallelism), each of which has an equal share. Spark runs a
+    lost task again with the share it had; with speculative execution two copies would share one, so leave that
+    off. ``batch_tokens`` bounds a batch as padded to its longest prompt, ``max_tokens`` goes to the
+    client and counts as spent for each prompt; see :func:`asking` for the others.
+    """
+    rows = prompts.select("id", "prompt", F.sha2(F.coalesce("prompt", F.lit("")), 256).alias("prompt_hash"))
+    if answered is not None:
+        rows = rows.join(answered.select("prompt_hash").distinct(), "prompt_hash", "left_anti").select("id", "prompt", "prompt_hash")
+    if calls_per_second or tokens_per_second:
+        tasks = tasks or prompts.sparkSession.sparkContext.defaultParallelism
+        rows = rows.repartition(tasks)
+    share = lambda rate: rate and rate / tasks
+    run = asking(make_client, calls_per_second=share(calls_per_second), tokens_per_second=share(tokens_per_second), **limits)
     return rows.mapInPandas(run, "id long, prompt_hash string, reply string, error string")

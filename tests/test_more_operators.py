@@ -241,3 +241,71 @@ def test_streams_route_and_dedup(spark, sf, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/data").count() == want
     job = lambda df: monitors.first_by_content(monitors.answer_events(df), "event_id")
     assert monitors.run_to_table(spark, sf, schema, job, glob="events.parquet").select(F.count("*")).first()[0] == want
+
+
+def _clocked(rows, **limits):
+    """Asks ``rows`` of prompts on a clock that only sleeping and the client move; the calls as (time, prompts)."""
+    import pandas as pd
+
+    now, calls = [0.0], []
+
+    def client():
+        def ask(prompts, **options):
+            calls.append((now[0], list(prompts), options))
+            now[0] += 0.01
+            if any("bad" in p for p in prompts):
+                raise RuntimeError("no")
+            return [p.upper() for p in prompts]
+
+        return ask
+
+    def sleep(seconds):
+        now[0] += seconds
+
+    frames = [pd.DataFrame({"id": range(len(rows)), "prompt": rows, "prompt_hash": rows})]
+    out = pd.concat(judging.asking(client, clock=lambda: now[0], sleep=sleep, **limits)(frames))
+    return calls, out
+
+
+@pytest.mark.parametrize("calls_rate, token_rate", [(2.0, None), (None, 50.0), (5.0, 120.0)])
+def test_rates_are_never_exceeded(calls_rate, token_rate):
+    prompts = ["x" * (7 * i % 90) for i in range(60)] + ["bad one", "more"]
+    count = lambda t: len(t) // 4 + 1
+    calls, out = _clocked(prompts, batch=4, batch_tokens=64, calls_per_second=calls_rate, tokens_per_second=token_rate)
+    assert list(out.reply.isna()) == [p == "bad one" for p in prompts] and out.error.notna().sum() == 1
+    for i, (start, _, _) in enumerate(calls):
+        for j in range(i, len(calls)):
+            span = calls[j][0] - start + 1e-9
+            if calls_rate:  # beyond the first call of a window
+                assert j - i <= calls_rate * span
+            if token_rate:
+                assert sum(sum(map(count, c[1])) for c in calls[i + 1 : j + 1]) <= token_rate * span
+    assert all(len(c[1]) <= 4 and (len(c[1]) == 1 or len(c[1]) * max(map(count, c[1])) <= 64) for c in calls)
+    assert not calls_rate or calls[0][0] >= 1 / calls_rate
+
+
+def test_batches_are_packed_by_length():
+    costs = [5, 100, 1, 30, 31, 2, 400, 3]
+    batches = judging.packed(costs, 3, 100)
+    assert sorted(i for b in batches for i in b) == list(range(8))
+    assert [[costs[i] for i in b] for b in batches] == [[1, 2, 3], [5, 30, 31], [100], [400]]
+    assert judging.packed([1] * 5, 2, None) == [[0, 1], [2, 3], [4]] and judging.packed([], 2, 10) == []
+
+
+def test_max_tokens_reach_the_client():
+    calls, _ = _clocked(["a", "b"], max_tokens=512, tokens_per_second=1000.0)
+    assert [c[2] for c in calls] == [{"max_tokens": 512}] and calls[0][0] >= 2 * 513 / 1000
+
+
+def test_batch_ask_shares_its_rate(spark):
+    """Four tasks at 40 calls a second together: each waits for its tenth of a second."""
+    import time
+
+    def client():
+        return lambda prompts: [f"{time.time()}" for _ in prompts]
+
+    df = spark.range(40).selectExpr("id", "cast(id as string) as prompt")
+    rows = judging.batch_ask(df, client, batch=1, calls_per_second=40.0, tasks=4).collect()
+    times = sorted(float(r.reply) for r in rows)
+    assert len(times) == 40 and all(b - a >= 0.05 for a, b in zip(times, times[8:], strict=False))
+    assert judging.batch_ask(df.limit(0), client, calls_per_second=1.0).collect() == []
