@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import blocks
 from .ingest import stored
+from .selection import column_percentiles, percentiles
 
 #: Word lists of the pair metrics.
 STOPWORDS = "a an and are as at be because but by for from has have i in into is it its of on or that the their this to was were with you your".split()
@@ -129,8 +130,11 @@ def similarity_by_terms(pairs: DataFrame) -> DataFrame:
 
 def quality_report(scored: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(metric, mean, median, min, max, stdev, total, kept) over all pairs."""
-    long = scored.select(F.col("overall_quality").alias("q"), F.expr(f"stack({len(METRICS)}, {', '.join(f'{m!r}, {m}' for m in METRICS)}) as (metric, v)"))
-    return long.groupBy("metric").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.percentile("v", 0.5), 6).alias("median"), F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.stddev_pop("v"), 6).alias("stdev"), F.count("*").alias("total"), F.count_if(F.col("q") >= threshold).alias("kept"))
+    long = stored(scored.select(F.col("overall_quality").alias("q"), F.expr(f"stack({len(METRICS)}, {', '.join(f'{m!r}, {m}' for m in METRICS)}) as (name, value)")))
+    medians = percentiles(long.select("name", "value"), {m: [0.5] for m in METRICS})
+    median = F.element_at(F.create_map(*(F.lit(x) for m, (v,) in medians.items() for x in (m, v))), F.col("metric"))
+    whole = long.groupBy(F.col("name").alias("metric")).agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.round(F.stddev_pop("value"), 6).alias("stdev"), F.count("*").alias("total"), F.count_if(F.col("q") >= threshold).alias("kept"))
+    return whole.select("metric", "mean", F.round(median, 6).alias("median"), "min", "max", "stdev", "total", "kept")
 
 
 def pair_duplicates(pairs: DataFrame) -> DataFrame:
@@ -170,8 +174,8 @@ def filter_by_margin(scored: DataFrame, least: float = 0.0) -> DataFrame:
 
 def hardest_pairs(scored: DataFrame, keep: float = 0.1) -> DataFrame:
     """Pairs whose implicit gap is at most its ``keep`` percentile."""
-    cut = scored.agg(F.percentile("implicit", keep).alias("cut"))
-    return scored.crossJoin(F.broadcast(cut)).where("implicit <= cut").select(*scored.columns)
+    (cut,) = column_percentiles(scored, {"implicit": [keep]})["implicit"]
+    return scored.where(F.col("implicit") <= F.lit(cut))
 
 
 def reward_disagreement(scored: DataFrame, margins: tuple[str, ...] = ("margin", "implicit")) -> DataFrame:
@@ -182,16 +186,16 @@ def reward_disagreement(scored: DataFrame, margins: tuple[str, ...] = ("margin",
 
 
 def filter_by_strength(scored: DataFrame, keep: float = 0.6) -> DataFrame:
-    """Pairs whose absolute margin reaches the (1 - keep) percentile: one exact percentile, broadcast as one row."""
-    cut = scored.agg(F.percentile(F.abs("margin"), 1 - keep).alias("cut"))
-    return scored.crossJoin(F.broadcast(cut)).where(F.abs("margin") >= F.col("cut")).select(*scored.columns)
+    """Pairs whose absolute margin reaches the exact (1 - keep) percentile."""
+    (cut,) = column_percentiles(scored, {"abs(margin)": [1 - keep]})["abs(margin)"]
+    return scored.where(F.abs("margin") >= F.lit(cut))
 
 
 def bayes_rank(scored: DataFrame, low: float = -2.0) -> DataFrame:
     """Two margins clipped to [low, 90th percentile of their size], scaled and combined as evidence."""
-    cut = scored.agg(F.percentile(F.abs("margin"), 0.9).alias("u1"), F.percentile(F.abs("implicit"), 0.9).alias("u2"))
-    scale = lambda m, u: (F.least(F.greatest(F.col(m), F.lit(low)), F.col(u)) - low) / (F.col(u) - low)
-    x = scored.crossJoin(F.broadcast(cut)).withColumn("a", scale("margin", "u1")).withColumn("b", scale("implicit", "u2"))
+    cut = column_percentiles(scored, {"abs(margin)": [0.9], "abs(implicit)": [0.9]})
+    scale = lambda m, u: (F.least(F.greatest(F.col(m), F.lit(low)), F.lit(u)) - low) / (F.lit(u) - low)
+    x = scored.select("id", scale("margin", *cut["abs(margin)"]).alias("a"), scale("implicit", *cut["abs(implicit)"]).alias("b"))
     both, none = F.col("a") * F.col("b"), (1 - F.col("a")) * (1 - F.col("b"))
     return x.select("id", F.round(both / F.nullif(both + none, F.lit(0.0)), 6).alias("p"))
 
@@ -221,10 +225,10 @@ def overlap_report(pairs: DataFrame, high: float = 0.9, suspect: float = 0.2) ->
 
 
 def best_and_worst(scored: DataFrame, share: float = 0.5) -> DataFrame:
-    """The best and the worst ``share / 2`` of the rows by margin, cut at exact percentiles (one row, broadcast)."""
-    cut = scored.agg(F.percentile("margin", share / 2).alias("lo"), F.percentile("margin", 1 - share / 2).alias("hi"))
-    end = F.when(F.col("margin") >= F.col("hi"), "best").when(F.col("margin") <= F.col("lo"), "worst")
-    return scored.crossJoin(F.broadcast(cut)).withColumn("end", end).where("end is not null").drop("lo", "hi")
+    """The best and the worst ``share / 2`` of the rows by margin, cut at exact percentiles."""
+    low, high = column_percentiles(scored, {"margin": [share / 2, 1 - share / 2]})["margin"]
+    end = F.when(F.col("margin") >= F.lit(high), "best").when(F.col("margin") <= F.lit(low), "worst")
+    return scored.withColumn("end", end).where("end is not null")
 
 
 def cosine(a: Column, b: Column) -> Column:
