@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -242,16 +244,35 @@ def semantic_weight(pairs: DataFrame, alpha: float = 1.0) -> DataFrame:
     return pairs.select("id", F.round(F.exp(-alpha * (1 - cosine(F.col("x"), F.col("y")))), 6).alias("weight"))
 
 
-def cache_hits(vectors: DataFrame, threshold: float = 0.9, *, bits: int = 10, tables: int = 24, seed: int = 11, bucket_rows: int = 32, block: int = 512) -> DataFrame:
+def _most_bits(threshold: float, sketch: int, missed: float) -> int:
+    """The smallest number of differing signs that a pair at cosine ``threshold`` exceeds with probability ``missed`` at most."""
+    p, left = float(np.arccos(threshold) / np.pi), 1.0
+    for d in range(sketch):
+        left -= math.comb(sketch, d) * p**d * (1 - p) ** (sketch - d)
+        if left <= missed:
+            return d
+    return sketch
+
+
+def _signs(x: np.ndarray, seed: tuple[int, ...], n: int) -> np.ndarray:
+    planes = np.random.default_rng(seed).standard_normal((x.shape[1], n), dtype=np.float32)
+    return x @ planes > 0
+
+
+def cache_hits(vectors: DataFrame, threshold: float = 0.9, *, bits: int = 10, tables: int = 24, sketch: int = 256, first: int = 16, seed: int = 11, bucket_rows: int = 512, block: int = 4096) -> DataFrame:
     """(id, cached_id, similarity): the first earlier row whose answer a semantic cache could have given again.
 
-    Signs of random projections key buckets, and each row is held, exactly, against all earlier rows
-    of its buckets. Equal vectors are one class first, met by its smallest id. Bits grow with the
-    number of classes so that buckets stay near ``bucket_rows`` rows where vectors are spread, and
-    tables with the bits so that a match at ``threshold`` is missed no more often than by the given
-    numbers (0.0033 at 0.9). A crowded bucket is dealt into blocks and each two blocks are one cell,
-    so no task holds it whole; small buckets share a cell. Rows with a null id, and vectors that are
-    null, empty, zero or not finite, meet nothing.
+    Signs of random projections key buckets. Only ids and ``sketch`` more signs are posted there: a pair
+    whose sketches differ in more bits than a match does (but for one in a thousand) is cut in its bucket,
+    and vectors are fetched, once each, for the pairs left. Of a row's earlier partners in a bucket the
+    ``first`` are checked; where none of these matches, and others came after them, the row is held
+    against its whole buckets, vector by vector, so groups of near-equal rows make no square of pairs and lose no match.
+
+    Equal vectors are one class first, met by its smallest id. Bits grow with the number of classes so
+    that buckets stay near ``bucket_rows`` rows where vectors are spread, and tables with the bits so that a match
+    at ``threshold`` shares no bucket no more often than by the given numbers (0.0033 at 0.9). A crowded
+    bucket is dealt into blocks and each two blocks are one cell, so no task holds it whole; small buckets share a cell.
+    Rows with a null id, and vectors that are null, empty, zero or not finite, meet nothing.
     """
     rows = vectors.select("id", "x").where("id is not null").withColumn("_c", cosine(F.col("x"), F.col("x"))).where("_c is not null and not isnan(_c)")
     rows = rows.select("id", "x", F.xxhash64("x").alias("h"), F.xxhash64(F.lit(1), "x").alias("g"))
@@ -260,53 +281,94 @@ def cache_hits(vectors: DataFrame, threshold: float = 0.9, *, bits: int = 10, ta
     meet = 1 - np.arccos(threshold) / np.pi
     wide = max(bits, int(np.ceil(np.log2(max(n / bucket_rows, 1)))))
     many = tables if wide == bits else int(np.ceil(tables * np.log1p(-(meet**bits)) / np.log1p(-(meet**wide))))
+    limit, words = _most_bits(threshold, sketch, 0.001), sketch // 64
 
-    @F.pandas_udf("array<long>")
-    def keys(batch: pd.Series) -> pd.Series:
-        out, sizes = np.empty(len(batch), object), batch.map(len).to_numpy()
+    @F.pandas_udf("struct<keys:array<long>,signs:binary>")
+    def signed(batch: pd.Series) -> pd.DataFrame:
+        keys, signs, sizes = np.empty(len(batch), object), np.empty(len(batch), object), batch.map(len).to_numpy()
         for size in np.unique(sizes):
-            planes = np.random.default_rng((seed, int(size))).standard_normal((size, many * wide), dtype=np.float32)
             at = np.flatnonzero(sizes == size)
             for part in np.array_split(at, -(-len(at) // 1024)):
-                signs = np.stack(batch.iloc[part].to_numpy()).astype(np.float32) @ planes > 0
-                out[part] = list(signs.reshape(len(part), many, wide) @ (1 << np.arange(wide)))
-        return pd.Series(out)
-
-    bucket = F.struct(F.size("x").alias("d"), "t", "key").alias("bucket")
-    posted = classes.select("rep", "x", F.posexplode(keys("x")).alias("t", "key")).select("rep", "x", bucket)
-    held = posted.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    packs = max(1, n * many // 4096)
-    dealt = posted.join(held, "bucket").withColumn("s", F.ceil(F.col("m") / block).cast("int")).withColumn("b", F.expr("cast(pmod(xxhash64(rep), s) as int)"))
-    cells = dealt.withColumn("o", F.explode(F.expr("sequence(0, s - 1)"))).select(
-        "rep", "x", "b", F.xxhash64("bucket").alias("key"), F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"),
-        F.when(F.col("s") == 1, F.pmod(F.xxhash64("bucket"), F.lit(packs))).otherwise(F.xxhash64("bucket")).alias("cell"),
-    )
-
-    def meet_all(cell: pa.Table) -> pa.Table:
-        reps, key, b = cell["rep"].to_numpy(), cell["key"].to_numpy(), cell["b"].to_numpy()
-        names, rank = np.unique(reps, return_inverse=True)
-        across = cell["i"][0].as_py() != cell["j"][0].as_py()
-        order = np.lexsort((rank, key))
-        who, first, sim = [], [], []
-        for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+                x = np.stack(batch.iloc[part].to_numpy()).astype(np.float32)
+                own = _signs(x, (seed, int(size)), many * wide).reshape(len(part), many, wide)
+                keys[part] = list(own @ (1 << np.arange(wide)))
+                signs[part] = [s.tobytes() for s in np.packbits(_signs(x, (seed, int(size), 1), sketch), axis=1)]
+        return pd.DataFrame({"keys": keys, "signs": signs})
+
+    found = classes.select("rep", F.size("x").alias("d"), signed("x").alias("s")).select("rep", "d", "s.signs", F.posexplode("s.keys").alias("t", "key"))
+    posted = found.select("rep", "signs", F.xxhash64("d", "t", "key").alias("bucket"))
+    crowded = stored(posted.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > block).select("bucket", F.ceil(F.col("m") / block).cast("int").alias("s")))
+    packs = max(1, n * many // (2 * block))
+
+    def celled(posts: DataFrame) -> DataFrame:
+        """``posts`` in cells (cell, i, j): whole small buckets, or two blocks of a crowded one."""
+        dealt = posts.join(crowded, "bucket", "left").withColumn("s", F.coalesce("s", F.lit(1))).withColumn("b", F.expr("cast(pmod(xxhash64(rep), s) as int)"))
+        dealt = dealt.withColumn("o", F.explode(F.expr("sequence(0, s - 1)"))).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).drop("o")
+        return dealt.withColumn("cell", F.when(F.col("s") == 1, F.pmod("bucket", F.lit(packs))).otherwise(F.col("bucket"))).drop("s")
+
+    def buckets(cell: pa.Table):
+        """Ranks of the ids in each bucket of a cell, ascending, with their places; whether the cell is of two blocks."""
+        names, rank = np.unique(cell["rep"].to_numpy(), return_inverse=True)
+        bucket, across = cell["bucket"].to_numpy(), cell["i"][0].as_py() != cell["j"][0].as_py()
+        order = np.lexsort((rank, bucket))
+        return names, rank, across, [at for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(at) > 1]
+
+    def near(cell: pa.Table) -> pa.Table:
+        names, rank, across, groups = buckets(cell)
+        signs = np.frombuffer(b"".join(cell["signs"].to_pylist()), np.uint64).reshape(-1, words)
+        b, who, with_, last = cell["b"].to_numpy(), [], [], []
+        for at in groups:
+            for part in np.array_split(np.arange(len(at)), -(-len(at) // 64)):
+                good = np.bitwise_count(signs[at[part]][:, None, :] ^ signs[at][None, :, :]).sum(2, dtype=np.int16) <= limit
+                good &= np.arange(len(at))[None, :] < part[:, None]
+                if across:
+                    good &= b[at][None, :] != b[at[part]][:, None]
+                count = good.cumsum(1, dtype=np.int32)
+                good &= count <= first
+                x, y = np.nonzero(good)
+                who.append(rank[at[part[x]]])
+                with_.append(rank[at[y]])
+                # of a row with more partners than were taken, the last one taken is marked
+                last.append((count[x, -1] > first) & (count[x, y] == first))
+        join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
+        return pa.table({"rep": pa.array(names[join(who).astype(np.int64)], cell["rep"].type), "other": pa.array(names[join(with_).astype(np.int64)], cell["rep"].type), "last": pa.array(join(last).astype(bool))})
+
+    def whole(cell: pa.Table) -> pa.Table:
+        names, rank, across, groups = buckets(cell)
+        b, open_, who, other, sim = cell["b"].to_numpy(), cell["open"].to_numpy(), [], [], []
+        for at in groups:
             x = np.stack(cell["x"].take(pa.array(at)).to_pandas().to_numpy()).astype(float)
             x /= np.sqrt((x * x).sum(1, keepdims=True))
-            s = np.floor(x @ x.T * 1e6 + 0.5) / 1e6
-            good = (s >= threshold) & (rank[at][None, :] < rank[at][:, None])
-            if across:
-                good &= b[at][None, :] != b[at][:, None]
-            hit = np.flatnonzero(good.any(1))
-            best = good[hit].argmax(1)  # in order of rank, so the smallest id
-            who.append(rank[at][hit])
-            first.append(rank[at][best])
-            sim.append(s[hit, best])
+            mine = np.flatnonzero(open_[at])
+            for part in np.array_split(mine, -(-max(len(mine), 1) // 256)):
+                s = np.floor(x[part] @ x.T * 1e6 + 0.5) / 1e6
+                good = (s >= threshold) & (np.arange(len(at))[None, :] < part[:, None])
+                if across:
+                    good &= b[at][None, :] != b[at[part]][:, None]
+                hit = np.flatnonzero(good.any(1))
+                best = good[hit].argmax(1)  # in order of rank, so the smallest id
+                who.append(rank[at[part[hit]]])
+                other.append(rank[at[best]])
+                sim.append(s[hit, best])
+        join = lambda xs, kind: np.concatenate(xs).astype(kind) if xs else np.zeros(0, kind)
         kind = cell["rep"].type
-        return pa.table({"rep": pa.array(names[np.concatenate(who)], kind), "cached_id": pa.array(names[np.concatenate(first)], kind), "similarity": np.concatenate(sim)})
+        return pa.table({"rep": pa.array(names[join(who, np.int64)], kind), "other": pa.array(names[join(other, np.int64)], kind), "similarity": join(sim, float)})
 
     kind = vectors.schema["id"].dataType.simpleString()
-    met = cells.groupBy("cell", "i", "j").applyInArrow(meet_all, f"rep {kind}, cached_id {kind}, similarity double")
-    met = met.groupBy("rep").agg(F.min("cached_id").alias("cached_id"), F.min_by("similarity", "cached_id").alias("similarity"))
-    found = classes.select("h", "g", "rep").join(met, "rep", "left")
+    pairs = celled(posted).groupBy("cell", "i", "j").applyInArrow(near, f"rep {kind}, other {kind}, last boolean")
+    pairs = stored(pairs.groupBy("rep", "other").agg(F.max("last").alias("last")))
+    left = pairs.join(classes.select("rep", "x"), "rep").select("rep", "x", "other", "last")
+    right = classes.select(F.col("rep").alias("other"), F.col("x").alias("y"))
+    checked = stored(left.join(right, "other").where("size(x) = size(y)").select("rep", "other", "last", F.round(cosine(F.col("x"), F.col("y")), 6).alias("similarity")))
+    good = checked.where(F.col("similarity") >= threshold).select("rep", "other", "similarity")
+    best = checked.groupBy("rep").agg(F.min(F.when(F.col("similarity") >= threshold, F.col("other"))).alias("best"), F.min(F.when(F.col("last"), F.col("other"))).alias("upto"))
+    open_ = stored(best.where("upto < best or (best is null and upto is not null)").select("rep"))
+    asked = posted.join(open_, "rep").select("rep", "bucket", F.lit(True).alias("open"))
+    others = posted.join(asked.select("bucket").distinct(), "bucket", "left_semi").join(open_.withColumn("open", F.lit(True)), "rep", "left")
+    again = celled(others.join(classes.select("rep", "x"), "rep").select("rep", "x", "bucket", F.coalesce("open", F.lit(False)).alias("open")))
+    again = again.groupBy("cell", "i", "j").applyInArrow(whole, f"rep {kind}, other {kind}, similarity double")
+    met = good.unionByName(again).groupBy("rep").agg(F.min("other").alias("cached_id"), F.min_by("similarity", "other").alias("similarity"))
+    joined = classes.select("h", "g", "rep").join(met, "rep", "left")
     # a copy of a class meets what the class meets, or else the class itself
-    out = rows.select("id", "h", "g").join(found, ["h", "g"]).where("cached_id is not null or rep < id")
+    out = rows.select("id", "h", "g").join(joined, ["h", "g"]).where("cached_id is not null or rep < id")
     return out.select("id", F.coalesce("cached_id", "rep").alias("cached_id"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))

@@ -170,7 +170,18 @@ def _neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("semantic_weight", _of(_neighbours, quality.semantic_weight), "SELECT a.vec_id AS id, round(exp(-(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6) AS weight FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
-_add("semantic_cache_hits", lambda s, d: quality.cache_hits(X.table(s, d, "embeddings").select(c("vec_id").alias("id"), c("embedding").alias("x"))))
+
+
+def _asked_again(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors, and after them a slightly moved one of each tenth."""
+    v = X.table(spark, d, "embeddings").select(c("vec_id").alias("id"), c("embedding").cast("array<double>").alias("x"))
+    moved = F.transform("x", lambda y, i: F.round(y + 0.02 * (F.pmod(i * 7 + c("id"), F.lit(5)) - 2), 6))
+    return v.unionByName(v.where("id % 10 = 3").select((c("id") + 100000000).alias("id"), moved.alias("x")))
+
+
+_add("semantic_cache_hits", lambda s, d: quality.cache_hits(_asked_again(s, d)), """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+w AS (SELECT * FROM v UNION ALL SELECT id + 100000000, list_transform(x, lambda y, i: round(y + 0.02::DOUBLE * (((i - 1) * 7 + id) % 5 - 2), 6)) FROM v WHERE id % 10 = 3)
+SELECT id, arg_min(other, other) AS cached_id, arg_min(s, other) AS similarity FROM (SELECT a.id, b.id AS other, round(list_cosine_similarity(a.x, b.x), 6) AS s FROM w a JOIN w b ON b.id < a.id) WHERE s >= 0.9 GROUP BY id""")
 
 # --- statistics and calibration ----------------------------------------------------------
 _add("platt_fit", _of(X.calibration, lambda r: stats.platt_fit(r).select(F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))))

@@ -220,7 +220,7 @@ def test_cache_hits_recall_in_crowded_buckets(spark):
     s = np.tril(unit @ unit.T, -1).round(6) >= 0.9
     want = {int(i): int(s[i].argmax()) for i in np.flatnonzero(s.any(1))}
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[0].tolist()), (9000, [float("nan")] * 48)], "id long, x array<double>")
-    for more in ({}, {"block": 64}):
+    for more in ({}, {"block": 64}, {"first": 1}, {"first": 2, "block": 100}):
         got = {r.id: (r.cached_id, r.similarity) for r in quality.cache_hits(df, **more).collect()}
         recall = sum(i in got and got[i][0] == j for i, j in want.items()) / len(want)
         assert len(want) > 200 and recall >= 0.99
