@@ -368,7 +368,8 @@ def evidence(questions: DataFrame, passages: DataFrame, k: int = 3) -> DataFrame
     only for pairs that can get an addition: who holds the question lacks at most its first and last term.
 
     Defined cases: a passage without a shared term is no evidence; for a question without terms all
-    passages score 0.5, so it gets the longest passage (up to 500) of each of the first k pages.
+    passages score 0.5, so it gets the longest passage (up to 500) of each of the first k pages;
+    passages without page_id are one page, last in order.
     """
     terms = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), 0), lambda t: (F.length(t) > 1) & ~t.isin(EVIDENCE_STOPWORDS)))
     low = F.lower(F.coalesce("question", F.lit("")))
@@ -398,17 +399,18 @@ def evidence(questions: DataFrame, passages: DataFrame, k: int = 3) -> DataFrame
     prefix = stored(ranked.join(needs, "q_id").where(F.col("place") + F.col("absent") <= F.col("n_terms") - F.col("least") + 1).select("q_id", "term"))
     hits = shared(prefix).join(needs, "q_id").where(F.col("common") >= F.col("least"))
     hits = stored(hits.withColumn("more", (F.col("common") >= F.col("n_terms") - 2) | F.col("capital").isNotNull()))
-    texts = passages.select("page_id", "passage_id", F.length("text").alias("len"), F.lower("text").alias("low"))
+    texts = passages.select(F.col("page_id").alias("_page"), F.col("passage_id").alias("_passage"), F.length("text").alias("_len"), F.lower("text").alias("low"))
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & F.col("passage_id").eqNullSafe(F.col("_passage")) & (F.col("len") == F.col("_len"))
     held = lambda part: F.coalesce(F.contains("low", part).cast("int"), F.lit(0))
-    fetched = hits.where("more").join(texts, ["page_id", "passage_id", "len"]).withColumn("plus", 0.1 * held(F.col("said")) + 0.2 * held(F.col("capital")))
+    fetched = hits.where("more").join(texts, same).withColumn("plus", 0.1 * held(F.col("said")) + 0.2 * held(F.col("capital")))
     columns = ["q_id", "page_id", "passage_id", "len", F.col("common") / F.col("n_terms")]
     both = hits.where("not more").select(*columns[:4], columns[4].alias("share"), F.lit(0.0).alias("plus")).unionByName(fetched.select(*columns[:4], columns[4].alias("share"), "plus"))
     scored = both.select(*columns[:4], F.round(F.least(F.lit(1.0), 0.2 + 0.7 * F.col("share") + F.col("plus")), 6).alias("score"))
-    first = passages.select("page_id").where("page_id is not null").distinct().orderBy("page_id").limit(k)
-    none = passages.select("page_id", "passage_id", F.length("text").alias("len")).join(F.broadcast(first), "page_id")
+    first = passages.select(F.col("page_id").alias("_page")).distinct().orderBy(F.col("_page").asc_nulls_last()).limit(k)
+    none = passages.select("page_id", "passage_id", F.length("text").alias("len")).join(F.broadcast(first), F.col("page_id").eqNullSafe(F.col("_page"))).drop("_page")
     none = asked.where("n_terms = 0").select("q_id").crossJoin(F.broadcast(_longest(none, "page_id"))).withColumn("score", F.lit(0.5))
     best = _longest(scored, "q_id", "page_id").unionByName(none.select("q_id", "page_id", "passage_id", "len", "score"))
-    return best.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.col("score").desc(), "page_id"))).where(F.col("rank") <= k).select("q_id", "rank", "page_id", "passage_id", "score")
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.col("score").desc(), F.col("page_id").asc_nulls_last()))).where(F.col("rank") <= k).select("q_id", "rank", "page_id", "passage_id", "score")
 
 
 def _longest(hits: DataFrame, *group: str) -> DataFrame:

@@ -62,10 +62,27 @@ def json_verdict(text: str) -> tuple[str | None, bool | None, float | None, str
     return (None,) * 5
 
 
+def _plain_verdict(v: Column) -> Column:
+    """The verdict in variant ``v`` as the fields that :func:`json_verdict` reads, where its values have the
+    types a judge is asked for; null else."""
+    at = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
+    kind = lambda name: F.schema_of_variant(at(name))
+    text = lambda name: F.try_variant_get(v, f"$.{name}", "string")
+    sure = at("confidence").isNull() | kind("confidence").rlike("^(BIGINT|DOUBLE|DECIMAL)")
+    why = (kind("explanation") == "STRING") & (text("explanation") != "")
+    steps = at("reasoning").isNull() | ((kind("reasoning") == "STRING") & (text("reasoning") != ""))
+    fields = F.struct(
+        F.lit("json").alias("mode"), F.try_variant_get(v, "$.correct", "boolean").alias("correct"), F.coalesce(F.try_variant_get(v, "$.confidence", "double"), F.lit(0.5)).alias("confidence"),
+        text("explanation").alias("explanation"), F.coalesce(text("reasoning"), text("explanation")).alias("reasoning"),
+    )
+    return F.when((kind("correct") == "BOOLEAN") & sure & why & steps, fields)
+
+
 def parse_verdicts(replies: DataFrame, column: str = "reply") -> DataFrame:
     """Add parse_mode, correct, confidence, explanation, reasoning to raw judge replies.
 
-    Only replies that could hold JSON go through the Arrow function; the text rules are native.
+    A reply that is one flat JSON object of the asked types is read as a variant, natively, as the text
+    rules are; only other replies that could hold JSON go through the Arrow function.
     A null reply and JSON that is no object are neutral: (true, 0.5).
     """
 
@@ -74,7 +91,10 @@ def parse_verdicts(replies: DataFrame, column: str = "reply") -> DataFrame:
         return pd.DataFrame([(None,) * 5 if x is None else json_verdict(x) for x in texts], columns=["mode", "correct", "confidence", "explanation", "reasoning"]).astype(object)
 
     text, low = F.col(column), F.lower(column)
-    tried = replies.withColumn("_j", from_json(F.when(text.rlike(r'\{|^\s*[\["\-0-9tfnNI]'), text)))
+    # Spark's parser stops at the end of the first value, so nothing may follow; escapes of code units are left to Python's
+    flat = text.rlike(r"^ *\{[^{}\x00-\x1F]*\} *$") & ~text.contains("\\u")
+    tried = replies.withColumn("_v", F.when(flat, F.try_parse_json(text))).withColumn("_n", _plain_verdict(F.col("_v"))).drop("_v")
+    tried = tried.withColumn("_j", F.coalesce(F.col("_n"), from_json(F.when(F.col("_n").isNull() & text.rlike(r'\{|^\s*[\["\-0-9tfnNI]'), text))))
     parsed, short = F.col("_j.mode").isNotNull(), F.substring(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), 1, 500)
     right, wrong = low.contains("correct") & ~low.contains("incorrect"), low.contains("incorrect") | low.contains("wrong")
     pick = lambda of_null, of_json, of_text: F.when(text.isNull(), of_null).when(parsed, of_json).otherwise(of_text)

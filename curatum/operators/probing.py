@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import answers as A
+from .ingest import stored
 
 
 def mcq_prompts(responses: DataFrame) -> DataFrame:
@@ -15,23 +16,50 @@ def mcq_prompts(responses: DataFrame) -> DataFrame:
     return responses.withColumn("prompt", F.concat(head, "question", F.lit("\n\n"), lines, F.lit("\n\nAnswer with a single letter (A, B, C, or D).")))
 
 
+#: Ranges of ids, in each run and question, over which right answers are counted.
+RANGES = 1024
+
+
 def dpo_pairs(responses: DataFrame, *, weak_share: float = 0.3, least_pairs: int = 20) -> DataFrame:
     """Preference pairs per (model, subject) run: wrong answers, weak pairs from the first right
-    answers up to ``weak_share`` of the wrong ones, and more right answers while a run has fewer
-    than ``least_pairs``. Quotas are counts per run joined to ranks within the run."""
+    answers, in order of (question_idx, id), up to ``weak_share`` of the wrong ones, and more right answers
+    while a run has fewer than ``least_pairs``.
+
+    The source is read once. Right answers are counted by run, question and range of ids; prefix sums
+    show which ranges reach into a run's quotas, and only rows of a range that a quota cuts are ranked, within
+    their range. So no run is sorted in one task, and rows that no quota takes are dropped at the first join.
+    """
     run = ["model", "subject"]
-    rows = mcq_prompts(responses)
-    counts = rows.groupBy(*run).agg(F.count_if(~F.col("right") & F.col("letter").isNotNull()).alias("wrong"), F.count_if("right").alias("n_right"))
-    counts = counts.withColumn("weak", F.least(F.floor(F.lit(weak_share) * F.col("wrong")), "n_right")).withColumn("extra", F.greatest(F.lit(0), F.lit(least_pairs) - F.col("wrong") - F.col("weak")))
-    place = F.row_number().over(W.partitionBy(*run).orderBy("question_idx", "id"))
+    said = F.col("letter").isNotNull() & ~F.col("right")
+    rows = stored(responses.where(F.col("right") | said))
+    low, high = rows.agg(F.min("id"), F.max("id")).first()
+    at = F.floor((F.col("id") - F.lit(low or 0)) / F.lit(max((high or 0) - (low or 0), 1)) * RANGES)
+    counts = rows.groupBy(*run, "question_idx", F.when(F.col("right"), at).alias("_at")).agg(F.count_if("right").alias("_n"), F.count_if(~F.col("right")).alias("_wrong"))
+    by_run = W.partitionBy(*run)
+    before = F.sum("_n").over(by_run.orderBy(F.col("question_idx").asc_nulls_first(), "_at")) - F.col("_n")
+    counts = counts.select(*run, "question_idx", "_at", "_n", before.alias("_before"), F.sum("_wrong").over(by_run).alias("_wrong"), F.sum("_n").over(by_run).alias("_right"))
+    counts = counts.withColumn("weak", F.least(F.floor(F.lit(weak_share) * F.col("_wrong")), "_right")).withColumn("extra", F.greatest(F.lit(0), F.lit(least_pairs) - F.col("_wrong") - F.col("weak")))
+    quotas = stored(counts.where("_at is not null and _before < greatest(weak, extra)").select(*(F.col(c).alias(f"_{c}") for c in [*run, "question_idx"]), F.col("_at").alias("_range"), "_n", "_before", "weak", "extra"))
+    same = F.col("right") & (at == F.col("_range"))
+    for c in [*run, "question_idx"]:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    # an end of the sort key that differs for whole ranges: only where a quota ends inside is a place within the range needed
+    inside = (F.col("weak") > F.col("_before")) & (F.col("weak") < F.col("_before") + F.col("_n")) | (F.col("extra") > F.col("_before")) & (F.col("extra") < F.col("_before") + F.col("_n"))
+    right = rows.join(quotas, same).withColumn("_cut", inside)
+    own = W.partitionBy(*run, "question_idx", "_range").orderBy("id")
+    ranked = right.where("_cut").withColumn("place", F.col("_before") + F.row_number().over(own)).unionByName(right.where("not _cut").withColumn("place", F.col("_before") + 1))
+    wrong = rows.where(said).withColumns({"weak": F.lit(0).cast("long"), "extra": F.lit(0).cast("long"), "place": F.lit(None).cast("long")})
+    both = mcq_prompts(ranked.select(*rows.columns, "weak", "extra", "place").unionByName(wrong))
+
     key = A.answer_text(F.col("key_letter"), F.element_at("choices", F.col("key_idx") + 1))
     other = F.when(F.col("key_idx") == 0, 1).otherwise(0)
     model_choice = F.try_element_at("choices", A.index_of(F.col("letter")) + 1)
-    wrong = rows.where(~F.col("right") & F.col("letter").isNotNull()).select("id", *run, F.lit("wrong").alias("kind"), "prompt", key.alias("chosen"), A.answer_text(F.col("letter"), model_choice).alias("rejected"))
-    right = rows.where("right").withColumn("place", place).join(counts, run)
-    weak = right.where(F.col("place") <= F.col("weak")).select("id", *run, F.lit("weak").alias("kind"), "prompt", key.alias("chosen"), F.lit("I'm not sure about this question.").alias("rejected"))
-    extra = right.where(F.col("place") <= F.col("extra")).select("id", *run, F.lit("extra").alias("kind"), "prompt", key.alias("chosen"), A.answer_text(A.letter_at(other), F.element_at("choices", other + 1)).alias("rejected"))
-    return wrong.unionByName(weak).unionByName(extra)
+    kind = lambda name, when, rejected: F.when(when, F.struct(F.lit(name).alias("kind"), rejected.alias("rejected")))
+    kinds = F.array_compact(F.array(
+        kind("wrong", said, A.answer_text(F.col("letter"), model_choice)), kind("weak", F.col("place") <= F.col("weak"), F.lit("I'm not sure about this question.")),
+        kind("extra", F.col("place") <= F.col("extra"), A.answer_text(A.letter_at(other), F.element_at("choices", other + 1))),
+    ))
+    return both.select("id", *run, "prompt", key.alias("chosen"), F.explode(kinds).alias("_k")).select("id", *run, "_k.kind", "prompt", "chosen", "_k.rejected")
 
 
 #: The sentence that describes each error class in a correction.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .ingest import stored
+
 
 def accuracy_by_domain(responses: DataFrame) -> DataFrame:
     """Mean of the subjects' mean accuracies by domain, the subject's part before the first underscore."""
@@ -99,20 +101,42 @@ def calibration_metrics(rows: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def group_calibration(rows: DataFrame, group: str, *, bins: int = 10, least: int = 50, key: str = "doc_id") -> DataFrame:
-    """(group, bin, n, confidence, accuracy): bins of equal mass of each group with ``least`` rows or more.
+    """(group, bin, n, confidence, accuracy): bins of equal mass of each group with ``least`` rows or more,
+    in order of (p, key), as ntile deals them.
 
-    Rows are ranked by (p, key) through prefix sums over score ranges, so that no group is sorted in one task.
+    Rows are counted by score first, so ties are weights; prefix sums over score ranges place each score.
+    A score whose ties lie in several bins (fewer than ``bins`` a group) is cut in order of ``key``: its
+    rows, and only these, are placed by prefix sums over ranges of the key, so that neither a group nor
+    a tie is sorted in one task. Rows without p take no part; a null group is a group.
     """
-    named = rows.where(F.col("p").isNotNull()).withColumn("_cell", _cell())
-    cells = named.groupBy(group, "_cell").agg(F.count("*").alias("_n"))
-    by_cell = W.partitionBy(group).orderBy("_cell")
-    cells = cells.select(F.col(group).alias("_g"), F.col("_cell").alias("_c"), (F.sum("_n").over(by_cell) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy(group)).alias("_total")).where(F.col("_total") >= least)
-    ranked = named.join(cells, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_cell") == F.col("_c"))).withColumn("_rank", F.col("_before") + F.row_number().over(W.partitionBy(group, "_cell").orderBy("p", key)) - 1)
+    named = rows.where(F.col("p").isNotNull()).select(F.col(group).alias("_g"), "p", "y", F.col(key).alias("_k"))
+    scores = stored(named.groupBy("_g", "p").agg(F.count("*").alias("_n"), F.sum("y").alias("_y"), F.min("_k").alias("_low"), F.max("_k").alias("_high")))
+    cells = scores.groupBy("_g", _cell().alias("_c")).agg(F.sum("_n").alias("_m"))
+    ahead, whole = W.partitionBy("_g").orderBy("_c").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("_g")
+    cells = cells.select(F.col("_g").alias("_h"), "_c", F.coalesce(F.sum("_m").over(ahead), F.lit(0)).alias("_ahead"), F.sum("_m").over(whole).alias("_total")).where(F.col("_total") >= least)
+    within = W.partitionBy("_g", _cell()).orderBy("p").rowsBetween(W.unboundedPreceding, -1)
+    placed = scores.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(cells, F.col("_g").eqNullSafe(F.col("_h")) & (_cell() == F.col("_c")))
     # the first total % bins bins hold one row more, as ntile has it
     small, more = F.floor(F.col("_total") / bins), F.col("_total") % bins
     first = more * (small + 1)
-    at = F.when(F.col("_rank") < first, F.floor(F.col("_rank") / (small + 1))).otherwise(more + F.floor((F.col("_rank") - first) / F.greatest(small, F.lit(1))))
-    return ranked.groupBy(group, at.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("confidence"), F.round(F.avg("y"), 6).alias("accuracy"))
+    at = lambda rank: F.when(rank < first, F.floor(rank / (small + 1))).otherwise(more + F.floor((rank - first) / F.greatest(small, F.lit(1)))).cast("int")
+    rank = F.col("_ahead") + F.col("_before")
+    placed = stored(placed.select("_g", "p", "_n", "_y", "_low", "_high", "_total", rank.alias("_rank"), at(rank).alias("_from"), at(rank + F.col("_n") - 1).alias("_to")))
+    kept = placed.where("_from = _to").select("_g", F.col("_from").alias("bin"), "_n", (F.col("p") * F.col("_n")).alias("_p"), "_y")
+
+    cut = placed.where("_from < _to").select(F.col("_g").alias("_h"), F.col("p").alias("_q"), "_total", F.col("_rank").alias("_start"), "_low", "_high")
+    tied = named.join(cut, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("p") == F.col("_q")))
+    span = F.greatest(F.col("_high").cast("double") - F.col("_low").cast("double"), F.lit(1.0))
+    tied = tied.withColumn("_c", F.coalesce(F.floor((F.col("_k").cast("double") - F.col("_low").cast("double")) / span * CELLS), F.lit(-1)))
+    ranges = tied.groupBy("_g", "p", "_c").agg(F.count("*").alias("_m"))
+    ahead = W.partitionBy("_g", "p").orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select(F.col("_g").alias("_i"), F.col("p").alias("_r"), F.col("_c").alias("_d"), F.coalesce(F.sum("_m").over(ahead), F.lit(0)).alias("_ahead"))
+    tied = tied.join(ranges, F.col("_g").eqNullSafe(F.col("_i")) & (F.col("p") == F.col("_r")) & (F.col("_c") == F.col("_d")))
+    place = F.col("_start") + F.col("_ahead") + F.row_number().over(W.partitionBy("_g", "p", "_c").orderBy("_k")) - 1
+    dealt = tied.withColumn("_rank", place).groupBy("_g", at(F.col("_rank")).alias("bin"), "p").agg(F.count("*").alias("_n"), F.sum("y").alias("_y"))
+    both = kept.unionByName(dealt.select("_g", "bin", "_n", (F.col("p") * F.col("_n")).alias("_p"), "_y"))
+    n = F.sum("_n")
+    return both.groupBy(F.col("_g").alias(group), "bin").agg(n.alias("n"), F.round(F.sum("_p") / n, 6).alias("confidence"), F.round(F.sum("_y") / n, 6).alias("accuracy"))
 
 
 #: Score ranges in [0, 1] over which prefix sums are taken.

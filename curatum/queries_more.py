@@ -209,10 +209,26 @@ def _edits(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("evidence_edit", _edits)
-_add("qa_prompt", lambda s, d: X.table(s, d, "documents").select("doc_id", F.sha2(knowledge.qa_prompt(c("text"), "history"), 256).alias("prompt_hash")), """SELECT doc_id, sha256('Read the following text and generate 3-5 question-answer pairs based on its content.' || chr(10) || 'The answers should be factual and grounded in the text in the domain of history.' || chr(10) || chr(10) || 'Text:' || chr(10) || '---' || chr(10) || left(text, 4000) || chr(10) || '---' || chr(10) || chr(10)
- || 'Output the Q&A pairs as a JSON array where each element has "question" and "answer" keys.' || chr(10) || 'Only output the JSON array, no other text.' || chr(10) || chr(10) || 'Example format:' || chr(10) || '[{"question": "...", "answer": "..."}, {"question": "...", "answer": "..."}]' || chr(10)) AS prompt_hash FROM documents""")
-
-_add("qa_prompt_chunks", lambda s, d: ingest.chunks(X.table(s, d, "documents")).select("doc_id", "index", F.sha2(knowledge.qa_prompt(c("text"), "history"), 256).alias("prompt_hash")))
+# Chunks in SQL: each step takes the window from a start, cuts it at the last mark in its last fifth, and goes back by the overlap.
+_LAST = "CASE WHEN contains(tail, {0}) THEN cut + length(tail) - strpos(reverse(tail), reverse({0})) - length({0}) + 1 ELSE -1 END"
+_STRIPPED = r"regexp_replace(part, '^[\s\x0B\x1C-\x1F\x85\xA0]+|[\s\x0B\x1C-\x1F\x85\xA0]+$', '', 'g')"
+
+
+def _chunk_sql(docs: str, size: int = 4000, overlap: int = 200) -> str:
+    """CTEs up to ``chunks(doc_id, index, start_char, end_char, text)`` of the query ``docs(doc_id, text)``."""
+    stop = f"least(a + {size}, length(text))"
+    ends = f"""SELECT *, CASE WHEN stop = length(text) THEN stop WHEN p2 > a THEN p2 WHEN p1 > a THEN p1 WHEN s > a THEN s + 1 ELSE stop END AS b FROM (
+  SELECT doc_id, text, n, a, stop, {_LAST.format("chr(10) || chr(10)")} AS p2, {_LAST.format("chr(10)")} AS p1, greatest({_LAST.format("'. '")}, {_LAST.format("'! '")}, {_LAST.format("'? '")}) AS s FROM (
+  SELECT doc_id, text, n, a, {stop} AS stop, a + {int(size * 0.8)} AS cut, substring(text, a + {int(size * 0.8)} + 1, {stop} - a - {int(size * 0.8)}) AS tail FROM w))"""
+    step = lambda source: f"SELECT doc_id, text, n, a, b FROM ({ends.replace('FROM w', f'FROM {source}')})"
+    return f"""WITH RECURSIVE source AS ({docs}), starts AS (SELECT doc_id, text, 0 AS n, 0 AS a FROM source WHERE length(text) > 0),
+windows AS ({step("starts")} UNION ALL {step(f"(SELECT doc_id, text, n + 1 AS n, greatest(b - {overlap}, a + 1) AS a FROM windows WHERE b < length(text))")}),
+chunks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS index, CAST(a AS INTEGER) AS start_char, CAST(b AS INTEGER) AS end_char, text FROM (SELECT doc_id, n, a, b, {_STRIPPED} AS text FROM (SELECT *, substring(text, a + 1, b - a) AS part FROM windows)) WHERE text <> '')"""
+
+
+ORACLES["chunk"] = f"{_chunk_sql('SELECT doc_id, text FROM documents')} SELECT * FROM chunks"
+_add("qa_prompt", lambda s, d: ingest.chunks(X.table(s, d, "documents")).select("doc_id", "index", F.sha2(knowledge.qa_prompt(c("text"), "history"), 256).alias("prompt_hash")), f"""{_chunk_sql("SELECT doc_id, text FROM documents")} SELECT doc_id, index, sha256('Read the following text and generate 3-5 question-answer pairs based on its content.' || chr(10) || 'The answers should be factual and grounded in the text in the domain of history.' || chr(10) || chr(10) || 'Text:' || chr(10) || '---' || chr(10) || text || chr(10) || '---' || chr(10) || chr(10)
+ || 'Output the Q&A pairs as a JSON array where each element has "question" and "answer" keys.' || chr(10) || 'Only output the JSON array, no other text.' || chr(10) || chr(10) || 'Example format:' || chr(10) || '[{{"question": "...", "answer": "..."}}, {{"question": "...", "answer": "..."}}]' || chr(10)) AS prompt_hash FROM chunks""")
 
 
 def _qa_replies(spark: SparkSession, d: str) -> DataFrame:

@@ -164,7 +164,7 @@ def test_prompts_hold_whole_documents(spark, tmp_path):
     assert len(parts) > 5 and {w for _, _, t in parts for w in t.split()} >= set(text.split())
     head, tail = spark.range(1).select(knowledge.qa_prompt(F.lit("\x00"), "history")).first()[0].split("\x00")
     want = {(i, n, hashlib.sha256((head + t + tail).encode()).hexdigest()) for i, n, t in parts}
-    assert {tuple(r) for r in QUERIES["qa_prompt_chunks"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in QUERIES["qa_prompt"](spark, str(tmp_path)).collect()} == want
 
 
 def test_hidden_text(spark):
@@ -309,3 +309,68 @@ def test_batch_ask_shares_its_rate(spark):
     times = sorted(float(r.reply) for r in rows)
     assert len(times) == 40 and all(b - a >= 0.05 for a, b in zip(times, times[8:], strict=False))
     assert judging.batch_ask(df.limit(0), client, calls_per_second=1.0).collect() == []
+
+
+def test_plain_verdicts_are_read_natively(spark):
+    """Replies of the asked form never reach Python; all replies read as Python's parser reads them."""
+    plain = ['{"correct": true, "confidence": 0.85, "explanation": "x y", "reasoning": "z"}', ' {"correct": false, "explanation": "no"} ', '{"confidence": 1, "correct": true, "explanation": "é \\" q", "more": [1]}', '{"correct": true, "confidence": 1e400, "explanation": "x"}']
+    other = ['{"correct": true, "explanation": "a"} tail', '{"correct": true, "explanation": "a"} {"b": 1}', '{"correct": "no", "explanation": "a"}', '{"correct": true, "confidence": "0.4", "explanation": "a"}', '{"correct": true, "confidence": null, "explanation": "a"}']
+    other += ['{"correct": true, "explanation": ""}', '{"correct": true, "explanation": "a", "reasoning": 5}', '{"correct": true, "explanation": "a", "correct": false}', '{"correct": true, "explanation": "a\nb"}', '{"correct": true, "explanation": "\\u00e9"}', '{"correct": 1, "explanation": {"a": 1}}', "{}", "{", "[1]"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(plain + other)], "id long, reply string")
+    for r in judging.parse_verdicts(df).collect():
+        want = judging.json_verdict(r.reply)
+        if want[0]:
+            assert (r.parse_mode, r.correct, r.confidence, r.explanation, r.reasoning) == want, r.reply
+    read = df.select("id", judging._plain_verdict(F.try_parse_json("reply")).isNotNull().alias("plain")).where("id < 4").collect()
+    assert all(r.plain for r in read)
+
+
+def test_ties_are_cut_by_key(spark):
+    """Nine tenths of a group have one score; bins follow ntile over (p, key)."""
+    rng = np.random.default_rng(5)
+    rows = [(i, 1.0 if rng.random() < 0.9 else float(rng.random()), float(rng.random() < 0.6), "a") for i in rng.permutation(5000).tolist()]
+    rows += [(i, float(rng.integers(0, 4)) / 3, float(rng.integers(0, 2)), "b") for i in range(777)] + [(i, 0.5, 1.0, "few") for i in range(20)] + [(i, 0.25, 0.0, None) for i in range(60)] + [(1, None, 1.0, "a")]
+    got = stats.group_calibration(spark.createDataFrame(rows, "doc_id long, p double, y double, lang string").repartition(5), "lang").collect()
+    want = {}
+    for g in ("a", "b", None):
+        own = sorted((p, i, y) for i, p, y, lang in rows if lang == g and p is not None)
+        size, more = divmod(len(own), 10)
+        at = 0
+        for b in range(10):
+            part = own[at : at + size + (b < more)]
+            at += len(part)
+            want[g, b] = (len(part), round(sum(x[0] for x in part) / len(part), 6), round(sum(x[2] for x in part) / len(part), 6))
+    assert {(r.lang, r.bin): (r.n, r.confidence, r.accuracy) for r in got} == want
+
+
+def test_quotas_of_pairs(spark, monkeypatch):
+    """Weak and extra pairs against a sort of each run, with many and with few ranges."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in rng.permutation(1500).tolist():
+        letter = [None, "A", "B", "C"][rng.integers(0, 4)]
+        run = int(rng.integers(0, 5))
+        right = bool(rng.random() < (0.02 if run == 4 else 0.5)) and letter is not None
+        rows.append((i, "m", f"s{run}" if run else None, int(rng.integers(1, 8)), "q", ["w", "x", "y", "z"], letter or "D" if not right else letter, "ABCD".index(letter or "D") if right else 3, right, letter))
+    schema = "id long, model string, subject string, question_idx int, question string, choices array<string>, key_letter string, key_idx int, right boolean, letter string"
+    want = set()
+    for s in {r[2] for r in rows}:
+        own = sorted((r for r in rows if r[2] == s), key=lambda r: (r[3], r[0]))
+        wrong, right = [r[0] for r in own if not r[8] and r[9]], [r[0] for r in own if r[8]]
+        weak = min(int(0.3 * len(wrong)), len(right))
+        extra = max(0, 20 - len(wrong) - weak)
+        want |= {(i, "wrong") for i in wrong} | {(i, "weak") for i in right[:weak]} | {(i, "extra") for i in right[:extra]}
+    for ranges in (1024, 3):
+        monkeypatch.setattr(probing, "RANGES", ranges)
+        got = [(r.id, r.kind) for r in probing.dpo_pairs(spark.createDataFrame(rows, schema).repartition(3)).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert probing.dpo_pairs(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_evidence_without_page_id(spark):
+    """Passages without page_id are found like others, as one page."""
+    words = "alpha beta gamma delta"
+    passages = spark.createDataFrame([(None, 0, f"well: {words} it is"), (1, 0, "alpha beta only here"), (2, 0, "nothing at all"), (None, None, "alpha")], "page_id long, passage_id int, text string")
+    questions = spark.createDataFrame([(1, words), (2, "?")], "q_id long, question string")
+    got = {(r.q_id, r["rank"]): (r.page_id, r.passage_id, r.score) for r in ingest.evidence(questions, passages).collect()}
+    assert got == {(1, 1): (None, 0, 1.0), (1, 2): (1, 0, 0.55), (2, 1): (1, 0, 0.5), (2, 2): (2, 0, 0.5), (2, 3): (None, 0, 0.5)}
