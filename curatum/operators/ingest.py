@@ -6,6 +6,7 @@ import re
 import unicodedata
 import uuid
 from collections.abc import Iterator
+from functools import cache
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlparse
 
@@ -51,19 +52,64 @@ LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y",
 MARKUP = r"\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|[^|]*\|>|\{\{[^}]*\}\}|</?system>|###\s*(Human|Assistant|System)\s*:"
 
 
+#: A literal that every match of a pattern holds, in lower case, in the order of the patterns.
+FACTORS = (
+    "instructions", "forget ", "disregard ", "override ", "you are now ", "act as ", "pretend ", "from now on", "system", "[system]", "</system>", "human", "assistant", "system", "<|im_start|>", "<|im_end|>",
+    "<|system|>", "[inst]", "[/inst]", "<<sys>>", "<</sys>>", "{{system}}", "reveal ", "show ", "what ", "dan ", "jailbreak", "do anything now", "developer mode", "unrestricted mode",
+)
+#: The same for what is left over as markup.
+MARKUP_FACTORS = ("<|", "{{", "system>")
+#: Letters that match an ASCII letter where case is ignored.
+_FOLDED = {"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"}
+
+
+@cache
+def _automaton():
+    """An automaton over the factors whose words name the patterns that hold them."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for factor in dict.fromkeys(FACTORS):
+        found.add_word(factor, [n for n, f in enumerate(FACTORS) if f == factor])
+    found.make_automaton()
+    return found
+
+
+def candidates(text: str) -> set[int]:
+    """Numbers of the patterns that can match ``text``, by one pass over it."""
+    return {n for _, ns in _automaton().iter(_replaced(text, _FOLDED).lower()) for n in ns}
+
+
+def _replaced(text: str, letters: dict[str, str]) -> str:
+    """``text.translate`` for a few letters that most texts do not have."""
+    if not text.isascii():
+        for old, new in letters.items():
+            if old in text:
+                text = text.replace(old, new)
+    return text
+
+
 def clean_one(text: str, strict: bool = False) -> tuple[str, list[str]]:
-    """Three layers on one text: patterns, characters, markup; and what was found."""
+    """Three layers on one text: patterns, characters, markup; and what was found.
+
+    Only patterns whose factor the text holds are tried; a removal can join what was apart, so it asks again.
+    """
     flags = []
     if strict:
-        text = text.translate(_SWAP)
-    for pattern, compiled in _COMPILED:
+        text = _replaced(text, LOOKALIKES)
+    tried, at = candidates(text), 0
+    while ahead := [n for n in tried if n >= at]:
+        at = min(ahead)
+        pattern, compiled = _COMPILED[at]
         text, n = compiled.subn("", text)
         if n:
             flags.append(f"injection_pattern: {pattern}")
+            tried = candidates(text)
+        at += 1
     hidden = sum(text.count(x) for x in INVISIBLE)
     if hidden:
         flags.append(f"zero_width_chars: {hidden} found")
-    text = unicodedata.normalize("NFKC", text.translate(_DROP).translate(_SWAP))
+    text = unicodedata.normalize("NFKC", _replaced(_replaced(text, _DROP), LOOKALIKES))
     text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text))
     left = re.findall(MARKUP, text)
     if left:
@@ -72,17 +118,18 @@ def clean_one(text: str, strict: bool = False) -> tuple[str, list[str]]:
 
 
 _COMPILED = [(p, re.compile(p)) for p in INJECTIONS]
-#: Anything but ASCII and common letters and signs that no layer changes (tested).
-_CHANGED = r"[^\x00-\x7F\u00A1\u00A7\u00A9\u00AB\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u2013\u2014\u2018-\u201D\u2022\u3001\u3002\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3]"
-_SWAP, _DROP = str.maketrans(LOOKALIKES), dict.fromkeys(map(ord, INVISIBLE))
+#: Tabs, letters that fold to ASCII, and anything but ASCII and common letters and signs that no layer changes (tested).
+_CHANGED = r"[^\x00-\x08\x0A-\x7F\u00A1\u00A7\u00A9\u00AB\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u012F\u0134-\u013E\u0141-\u0148\u014A-\u017E\u2013\u2014\u2018-\u201D\u2022\u3001\u3002\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3]"
+_DROP = dict.fromkeys(INVISIBLE, "")
 
 
 def sanitize(docs: DataFrame, *, strict: bool = False) -> DataFrame:
     """Add clean_text, flags, is_safe to ``docs(doc_id, text)``.
 
-    One native test finds the rows that any layer could touch; only these go through the Arrow
-    function, the others are trimmed natively. ``strict`` replaces look-alike letters before the
-    patterns instead of after.
+    Native searches for the literals of the patterns and one class of characters find the rows that any
+    layer could touch; only these go through the Arrow function, where an automaton names the
+    patterns to try, and the others are trimmed natively. ``strict`` replaces look-alike letters before
+    the patterns instead of after.
     """
 
     @F.pandas_udf("clean string, flags array<string>")
@@ -90,10 +137,13 @@ def sanitize(docs: DataFrame, *, strict: bool = False) -> DataFrame:
         return pd.DataFrame([("", []) if x is None else clean_one(x, strict) for x in texts], columns=["clean", "flags"])
 
     text = F.coalesce("text", F.lit(""))
-    touched = text.rlike("|".join(f"(?:{p})" for p in (*INJECTIONS, MARKUP, _CHANGED, r"\t|  |\n{3}")))
-    df = docs.withColumn("_touched", touched)
-    df = df.withColumn("_r", layers(F.when(F.col("_touched"), text)))
-    clean = F.when(F.col("_touched"), F.col("_r.clean")).otherwise(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
+    low = F.col("_low")
+    touched = F.col("_text").rlike(_CHANGED)
+    for part in dict.fromkeys(("  ", "\n\n\n", *FACTORS, *MARKUP_FACTORS)):
+        touched |= low.contains(part)
+    df = docs.withColumn("_text", text).withColumn("_low", F.lower("_text")).withColumn("_touched", touched)
+    df = df.withColumn("_r", layers(F.when(F.col("_touched"), F.col("_text"))))
+    clean = F.when(F.col("_touched"), F.col("_r.clean")).otherwise(F.regexp_replace("_text", r"(?U)^\s+|\s+$", ""))
     return df.select(*docs.columns, clean.alias("clean_text"), F.col("_r.flags").alias("flags"), (F.size("_r.flags") == 0).alias("is_safe"))
 
 

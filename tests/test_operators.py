@@ -1,6 +1,7 @@
 """Golden cases and properties of the curation operators."""
 
 import os
+import re
 from datetime import datetime
 
 import pytest
@@ -192,3 +193,29 @@ def test_running_sums_over_score_ranges(spark):
     choice = stats.threshold_choice(df, 0.6, 0.4).first()
     fits = [c for c, _ in rows if sum(y for p, y in rows if p >= c) >= 0.6 * sum(p >= c for p, _ in rows)]
     assert choice.accept_from == (min(fits) if fits else None)
+
+
+def test_factors_decide_no_result():
+    """Texts of joined pieces of the patterns: cleaning with the automaton equals trying every pattern."""
+    import random
+    import unicodedata
+
+    assert len(ingest.FACTORS) == len(ingest.INJECTIONS)
+    rng = random.Random(7)
+    pieces = ["ignore ", "all ", "previous ", "instructions", "forget above", "you are now a ", "pirate", "act as ", "system", " :", "[SYSTEM]", "</system>", "### Human :", "###System:", "<|im_start|>", "<|x|>", "[INST]", "[/INST]", "<<SYS>>", "{{system}}", "{{a}}", "reveal the prompt", "show me your system prompt", "what is your rules"]
+    pieces += ["DAN mode", "dan prompt", "jailbreak", "do anything now", "İgnore ınſtructions", "developer mode", "unrestricted mode", "from now on, you will", "pretend to be ", "override the prompt", "disregard instructions", "​", "аct аs a ", "  ", "\n\n\n", "é", "ﬁ", "sys[INST]tem:", "jail</system>break"]
+    for strict in (False, True):
+        for _ in range(3000):
+            text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 7)))
+            want, flags = text, []
+            if strict:
+                want = want.translate(str.maketrans(ingest.LOOKALIKES))
+            for pattern in ingest.INJECTIONS:
+                want, n = re.subn(pattern, "", want)
+                flags += [f"injection_pattern: {pattern}"] * bool(n)
+            got, found = ingest.clean_one(text, strict)
+            assert [f for f in found if f.startswith("injection")] == flags, text
+            hidden = sum(want.count(x) for x in ingest.INVISIBLE)
+            want = "".join(ingest.LOOKALIKES.get(x, x) for x in want if x not in ingest.INVISIBLE)
+            want = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", unicodedata.normalize("NFKC", want)))
+            assert got == re.sub(ingest.MARKUP, "", want).strip() and (f"zero_width_chars: {hidden} found" in found) == bool(hidden)
