@@ -374,3 +374,17 @@ def test_evidence_without_page_id(spark):
     questions = spark.createDataFrame([(1, words), (2, "?")], "q_id long, question string")
     got = {(r.q_id, r["rank"]): (r.page_id, r.passage_id, r.score) for r in ingest.evidence(questions, passages).collect()}
     assert got == {(1, 1): (None, 0, 1.0), (1, 2): (1, 0, 0.55), (2, 1): (1, 0, 0.5), (2, 2): (2, 0, 0.5), (2, 3): (None, 0, 0.5)}
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    class Session:
+        def __init__(self, master, **conf):
+            self.conf = conf
+            self.sparkContext = type("Context", (), {"master": master, "getCheckpointDir": lambda self: None})()
+
+    local = {"spark.sql.warehouse.dir": "file:/tmp/w"}
+    assert ingest.shared_dir(Session("local[4]", **local)) == "file:/tmp/w/curatum-stored"
+    assert ingest.shared_dir(Session("yarn", **{"spark.sql.warehouse.dir": "hdfs://x/w"})) == "hdfs://x/w/curatum-stored"
+    assert ingest.shared_dir(Session("yarn", **local, **{"spark.checkpoint.dir": "file:///shared"})) == "file:///shared"
+    with pytest.raises(RuntimeError):
+        ingest.shared_dir(Session("yarn", **local))
