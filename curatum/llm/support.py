@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
+from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder driver and executors share: ``spark.checkpoint.dir``, or the warehouse's where it is unset."""
+    """The folder driver and executors share: ``spark.checkpoint.dir``, or one in the warehouse where it is
+    unset and every task runs in this process or the warehouse is remote; an error else."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/curatum-stored"
+    if configured:
+        return configured
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if urlparse(warehouse).scheme in ("", "file") and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse}/curatum-stored"
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
