@@ -229,6 +229,7 @@ chunks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n
 ORACLES["chunk"] = f"{_chunk_sql('SELECT doc_id, text FROM documents')} SELECT * FROM chunks"
 _add("qa_prompt", lambda s, d: ingest.chunks(X.table(s, d, "documents")).select("doc_id", "index", F.sha2(knowledge.qa_prompt(c("text"), "history"), 256).alias("prompt_hash")), f"""{_chunk_sql("SELECT doc_id, text FROM documents")} SELECT doc_id, index, sha256('Read the following text and generate 3-5 question-answer pairs based on its content.' || chr(10) || 'The answers should be factual and grounded in the text in the domain of history.' || chr(10) || chr(10) || 'Text:' || chr(10) || '---' || chr(10) || text || chr(10) || '---' || chr(10) || chr(10)
  || 'Output the Q&A pairs as a JSON array where each element has "question" and "answer" keys.' || chr(10) || 'Only output the JSON array, no other text.' || chr(10) || chr(10) || 'Example format:' || chr(10) || '[{{"question": "...", "answer": "..."}}, {{"question": "...", "answer": "..."}}]' || chr(10)) AS prompt_hash FROM chunks""")
+_add("qa_prompt_chunks", QUERIES["qa_prompt"], ORACLES["qa_prompt"])  # its name before qa_prompt took the chunks
 
 
 def _qa_replies(spark: SparkSession, d: str) -> DataFrame:
