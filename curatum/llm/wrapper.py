@@ -5,10 +5,15 @@ and id, long numbers dropped), siblings with one label are one slot, and each sl
 and a length of its own text. Pages of one host are aligned with reference pages by simple
 tree matching: of the slots that two parents share, the heaviest sequence in the same order on
 both sides is matched. Aligned slots vote: the same text speaks for template, different text for
-content, with its length. Only pairs of pages that differ in a fifth of their text or more vote,
-so copies of one article do not make it a template.
+content, with its length.
 
-The votes of all pages of a host decide. A slot whose votes are nearly all equal is template:
+Copies of one article must not make it a template, so pages whose own text is the same do not
+vote against each other, however much or little of the page it is. A page's own text is that of the slot with the most
+characters times other texts that the host has for that slot, outside elements whose role says
+otherwise. An own text of under ``least_own`` characters that is also under a tenth of its page (a
+date, a line of advert) tells nothing about copies: such pages do not vote.
+
+The votes of all pages of a host decide, slot by slot. A slot whose votes are nearly all equal is template:
 its text, known by its fingerprint, is dropped wherever it stands. The content region is found
 by going down from the root to the child that holds most of the host's varying text, as long as
 there is one. The text of a page is that of its region, without template slots and without
@@ -22,10 +27,11 @@ joined by one space in page order.
 References are ``host_refs`` contents of each host and the first and last of each (host, layout),
 chosen by hash: a fixed number of comparisons a page, while every page votes.
 
-Plan: pages are scanned once for trees of some hundred bytes; references and votes are grouped
-with partial aggregation; wrappers, one row per host, are stored, so that Spark broadcasts them
-if their measured size allows and joins by shuffle otherwise. The html itself is never
-shuffled unless that table is large. Parsing and matching are iterative and take time in
+Plan: pages are scanned once for trees of some hundred bytes; texts of slots, references and votes are
+grouped with partial aggregation. A page gets the decisions on the slots of its own layout, rare
+or common, so that no row grows with its host; they are stored by digest of the html, and
+Spark broadcasts them if their measured size allows and joins by shuffle otherwise. The html itself
+is never shuffled unless that table is large, and then by a key that is the page's own. Parsing and matching are iterative and take time in
 proportion to the page, whatever its depth or the number of siblings.
 
 Defined cases: null and empty pages give an empty text; a page without tags is its whole text;
@@ -290,22 +296,46 @@ def _unpacked(tree: bytes) -> tuple[list[int], list[int], list[int], list[int]]:
 
 
 def _tree_maker(names: bool):
-    """(host, content, layout, tree): digests of texts and of slots, and the packed slot tree of each page."""
+    """(host, page, content, layout, tree): digests of the html, of texts and of slots, and the packed slot tree of each page.
+
+    Elements whose role says that they are no content have no length.
+    """
 
     def trees(batches):
-        for batch in (p for whole in batches for p in slices(whole, 1)):
+        for batch in (p for whole in batches for p in slices(whole, 2)):
             layouts, content, rows = [], [], []
-            for source in batch.column(1).to_pylist():
+            for source in batch.column(2).to_pylist():
                 page = Page(source or "", names)
                 prints, sizes = page.own_texts()
+                for slot, bad in zip(page.slot, page.out, strict=True):
+                    if bad:
+                        sizes[slot] = 0
                 rows.append(_packed(page.sig, page.above, prints, sizes))
                 layouts.append(_digest(2, array("q", page.sig).tobytes()))
                 content.append(_digest(3, rows[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.int64()), pa.array(layouts, pa.int64()), pa.array(rows, pa.binary())], names=["host", "content", "layout", "tree"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content, pa.int64()), pa.array(layouts, pa.int64()), pa.array(rows, pa.binary())], names=["host", "page", "content", "layout", "tree"])
 
     return trees
 
 
+def _slots(batches):
+    """(host, content, slot, print, size, whole) of every slot with text; ``whole`` is the length of the page's text."""
+    for batch in (p for many in batches for p in slices(many, 2)):
+        rows = []
+        for host, content, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            sig, _, prints, sizes = _unpacked(packed)
+            whole = sum(sizes)
+            rows += [(host, content, x, p, n, whole) for x, p, n in zip(sig, prints, sizes, strict=True) if n]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i else pa.string()) for i, c in enumerate(zip(*rows, strict=True) if rows else [[]] * 6)], names=["host", "content", "slot", "print", "size", "whole"])
+
+
+def _layout_slots(batches):
+    """(host, layout, slot) of every slot of a layout."""
+    for batch in batches:
+        rows = [(host, layout, x) for host, layout, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for x in _unpacked(packed)[0]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i else pa.string()) for i, c in enumerate(zip(*rows, strict=True) if rows else [[]] * 3)], names=["host", "layout", "slot"])
+
+
 def _votes(batches):
     """(host, slot, print, n, size): votes for a constant text, or with a null print for varying text."""
     known: dict = {}
@@ -320,11 +350,11 @@ def _votes(batches):
 
     for batch in batches:
         votes: dict[tuple, list[int]] = {}
-        for host, content, layout, packed, refs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for host, content, layout, own, packed, refs in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
             sig, above, prints, sizes = _unpacked(packed)
             for ref in refs:
-                if ref["content"] == content:
-                    continue
+                if ref["content"] == content or ref["own"] == own:
+                    continue  # copies of one article: no evidence of what is template
                 other = tree(ref["tree"])
                 key = (layout, ref["layout"])
                 if key not in known:
@@ -332,8 +362,6 @@ def _votes(batches):
                         known.clear()
                     known[key] = aligned((sig, above), other[:2])
                 pairs = [(i, prints[i] == other[2][j]) for i, j in known[key] if prints[i] or other[2][j]]
-                if 5 * sum(sizes[i] for i, same in pairs if same) > 4 * sum(sizes):
-                    continue  # copies of one article: no evidence of what is template
                 for i, same in pairs:
                     vote = votes.setdefault((host, sig[i], prints[i] if same else None), [0, 0])
                     vote[0] += 1
@@ -343,27 +371,39 @@ def _votes(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["host", "slot", "print", "n", "size"])
 
 
-def induce(pages: DataFrame, *, least_votes: int = 2, same_share: float = 0.9, host_refs: int = 4, names: bool = True) -> DataFrame:
-    """(host, wrapper): for each host whose pages vote, its slots with template fingerprint or null and mean varying length.
-
-    Slots with less than a hundredth of the votes of their host's commonest slot are left out, which
-    bounds a wrapper by a hundred times the slots of a page.
-    """
-    slim = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    trees = store(slim.mapInArrow(_tree_maker(names), "host string, content bigint, layout bigint, tree binary").dropDuplicates(["host", "content"]))
-    ref = F.struct(F.xxhash64("content").alias("o"), "content", "layout", "tree")
-    by_host = trees.groupBy("host", F.pmod(F.xxhash64("content", F.lit(7)), F.lit(host_refs)).alias("part")).agg(F.min(ref).alias("r")).groupBy("host").agg(F.collect_list("r").alias("refs"))
-    by_layout = trees.groupBy("host", "layout").agg(F.min(ref).alias("lo"), F.max(ref).alias("hi")).where("lo.content <> hi.content").select(F.col("host").alias("host2"), F.col("layout").alias("layout2"), F.array("lo", "hi").alias("own"))
+def _own_texts(contents: DataFrame, least_own: int) -> DataFrame:
+    """(host, content, own): the fingerprint of the text that makes a page differ from others of its host."""
+    texts = contents.select("host", "content", "tree").mapInArrow(_slots, "host string, content bigint, slot bigint, print bigint, size bigint, whole bigint")
+    others = texts.groupBy("host", "slot", "print").agg(F.lit(1).alias("one")).groupBy("host", "slot").agg((F.count("*") - 1).alias("others")).where("others > 0")
+    best = F.max(F.struct((F.col("size") * F.col("others")).alias("weight"), "size", "print", "whole")).alias("best")
+    found = texts.join(store(others), ["host", "slot"]).groupBy("host", "content").agg(best)
+    return found.where((F.col("best.size") >= least_own) | (10 * F.col("best.size") >= F.col("best.whole"))).select("host", "content", F.col("best.print").alias("own"))
+
+
+def induce(pages: DataFrame, *, least_votes: int = 2, same_share: float = 0.9, host_refs: int = 4, least_own: int = 100, names: bool = True) -> DataFrame:
+    """(host, page, wrapper): for each page (digest of its html) of a host whose pages vote, the slots of its layout with
+    template fingerprint or null and mean varying length."""
+    slim = pages.select(host_of(F.col("url")).alias("host"), page_digest(F.col("html")).alias("page"), F.col("html").cast("string").alias("html"))
+    trees = store(slim.mapInArrow(_tree_maker(names), "host string, page binary, content bigint, layout bigint, tree binary").dropDuplicates(["host", "page"]))
+    contents = trees.drop("page").dropDuplicates(["host", "content"])
+    voters = store(contents.join(store(_own_texts(contents, least_own)), ["host", "content"]))
+    ref = F.struct(F.xxhash64("content").alias("o"), "content", "layout", "own", "tree")
+    by_host = voters.groupBy("host", F.pmod(F.xxhash64("content", F.lit(7)), F.lit(host_refs)).alias("part")).agg(F.min(ref).alias("r")).groupBy("host").agg(F.collect_list("r").alias("refs"))
+    by_layout = voters.groupBy("host", "layout").agg(F.min(ref).alias("lo"), F.max(ref).alias("hi")).where("lo.content <> hi.content").select(F.col("host").alias("host2"), F.col("layout").alias("layout2"), F.array("lo", "hi").alias("near"))
     by_host, by_layout = store(by_host), store(by_layout)
-    asked = trees.join(by_host, "host").join(by_layout, (F.col("host") == F.col("host2")) & (F.col("layout") == F.col("layout2")), "left")
-    asked = asked.select("host", "content", "layout", "tree", F.array_distinct(F.concat("refs", F.coalesce("own", F.expr("array()")))).alias("refs"))
+    asked = voters.join(by_host, "host").join(by_layout, (F.col("host") == F.col("host2")) & (F.col("layout") == F.col("layout2")), "left")
+    asked = asked.select("host", "content", "layout", "own", "tree", F.array_distinct(F.concat("refs", F.coalesce("near", F.expr("array()")))).alias("refs"))
     votes = asked.mapInArrow(_votes, "host string, slot bigint, print bigint, n bigint, size bigint").groupBy("host", "slot", "print").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
     slots = votes.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("print").isNull(), F.col("size")).otherwise(0)).alias("varying"), F.max(F.when(F.col("print").isNotNull(), F.struct("n", "print"))).alias("top"))
-    slots = store(slots)
-    most = slots.groupBy(F.col("host").alias("host2")).agg(F.max("n").alias("most"))
     fixed = F.when((F.col("n") >= least_votes) & (F.col("top.n") >= same_share * F.col("n")), F.col("top.print"))
-    kept = slots.join(most, F.col("host") == F.col("host2")).where("100 * n >= most").select("host", F.struct("slot", fixed.alias("print"), (F.col("varying") / F.col("n")).alias("mass")).alias("x"))
-    return kept.where("x.print is not null or x.mass > 0").groupBy("host").agg(F.sort_array(F.collect_list("x")).alias("wrapper"))
+    decided = store(slots.select("host", F.struct("slot", fixed.alias("print"), (F.col("varying") / F.col("n")).alias("mass")).alias("x")).where("x.print is not null or x.mass > 0").select("host", F.col("x.slot").alias("slot"), "x"))
+    layouts = trees.groupBy("host", "layout").agg(F.min("tree").alias("tree")).mapInArrow(_layout_slots, "host string, layout bigint, slot bigint")
+    wrappers = store(layouts.join(decided, ["host", "slot"]).groupBy("host", "layout").agg(F.sort_array(F.collect_list("x")).alias("wrapper")))
+    return trees.select("host", "page", "layout").join(wrappers, ["host", "layout"]).select("host", "page", "wrapper")
+
+
+def page_digest(html: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(html.cast("string"), F.lit(""))))
 
 
 def main_text(pages: DataFrame, *, names: bool = True, **parameters) -> DataFrame:
@@ -371,7 +411,7 @@ def main_text(pages: DataFrame, *, names: bool = True, **parameters) -> DataFram
 
     Without ``names`` class and id names say nothing about roles.
     """
-    wrappers = store(induce(pages, names=names, **parameters).withColumnRenamed("host", "_host"))
+    wrappers = store(induce(pages, names=names, **parameters).withColumnRenamed("host", "_host").withColumnRenamed("page", "_page"))
 
     def extract(batches):
         for batch in (p for whole in batches for p in slices(whole, 2)):
@@ -381,5 +421,5 @@ def main_text(pages: DataFrame, *, names: bool = True, **parameters) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     slim = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    joined = slim.join(wrappers, host_of(F.col("url")) == F.col("_host"), "left").select("page_id", "url", "html", "wrapper")
+    joined = slim.join(wrappers, (host_of(F.col("url")) == F.col("_host")) & (page_digest(F.col("html")) == F.col("_page")), "left").select("page_id", "url", "html", "wrapper")
     return joined.mapInArrow(extract, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
