@@ -1,12 +1,12 @@
 """Approximate nearest neighbours by a permutation index.
 
 A vector is represented by its ``prefix`` nearest pivots in order. A shard of vectors keeps,
-for each pivot, an inverted file of the vectors that have it and at which place. A query's
+for each pivot, an inverted file: a row that says of each vector at which place it has the pivot, if at all. A query's
 candidates are ranked by the footrule distance of the two orders, a pivot outside a prefix
-counting as place ``prefix``. Only postings within ``window`` places of the query's are read.
-The best of each shard, ``rerank`` rows over all shards, are reranked by exact
-cosine, and each query's best rows are the answer. ``rerank`` is a fixed number: neighbours get
-nearer, and easier to rank, as the table grows (recall at the defaults is measured in the tests).
+counting as place ``prefix``. The best of each shard are reranked by exact cosine, and each query's best
+rows are the answer. Over all shards ``effort`` times the square root of the number of vectors are
+reranked, but at least ``k`` a shard: neighbours get nearer, and easier to rank, as the table
+grows (recall at the defaults is measured in the tests, on tables of which a fraction is reranked).
 
 Pivots are a bounded, documented sample: the ``pivots`` vectors with the smallest id hashes.
 Every valid vector is indexed: its pivots are found once and stored with it. Queries and vectors
@@ -54,7 +54,7 @@ def _indexer(pivots: np.ndarray, prefix: int):
     return index
 
 
-def _search_cell(queries: pd.DataFrame, vectors: pd.DataFrame, n_pivots: int, window: int, share: float, least: int, k: int) -> pd.DataFrame:
+def _search_cell(queries: pd.DataFrame, vectors: pd.DataFrame, n_pivots: int, share: float, k: int) -> pd.DataFrame:
     if not len(vectors) or not len(queries):
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
     vectors = vectors.sort_values("vec_id")
@@ -62,31 +62,30 @@ def _search_cell(queries: pd.DataFrame, vectors: pd.DataFrame, n_pivots: int, wi
     of = lambda column, kind: np.stack([np.frombuffer(x, kind) for x in column])
     v, q, order, asked = of(vectors.vector, float), of(queries.vector, float), of(vectors.places, np.uint16), of(queries.places, np.uint16)
     prefix = order.shape[1]
-    # inverted files: of each pivot the vectors that have it, by their place for it
-    by_pivot = np.lexsort((np.tile(np.arange(prefix), len(v)), order.ravel()))
-    owner, place = by_pivot // prefix, by_pivot % prefix
-    bounds = np.searchsorted(order.ravel()[by_pivot], np.arange(n_pivots + 1))
-    n = min(len(v), max(least, int(np.ceil(share * len(v)))))
-    norms = np.sqrt((v * v).sum(1))
-    out = []
+    near = (prefix - np.arange(prefix)).astype(np.uint8)[:, None]
+    files = np.zeros((n_pivots, len(v)), np.uint8)  # of each pivot: prefix less its place in each vector's order, 0 outside
+    files[order.T, np.arange(len(v))] = near
+    n = min(len(v), max(k, int(np.ceil(share * len(v)))))
+    norms, lengths = np.sqrt((v * v).sum(1)), np.sqrt((q * q).sum(1))
+    found_q, found_v, scores = [], [], []
     for i, ranks in enumerate(asked):
-        # footrule: start as if no pivot were shared, and correct by each posting of the query's pivots
-        saved = np.zeros(len(v), np.int64)
-        for r, p in enumerate(ranks):
-            a, b = bounds[p], bounds[p + 1]
-            lo, hi = a + np.searchsorted(place[a:b], (r - window, r + window + 1))
-            saved[owner[lo:hi]] += (prefix - r) + (prefix - place[lo:hi]) - np.abs(place[lo:hi] - r)
-        best = np.argsort(-saved, kind="stable")[: n + 1] if n < len(v) else np.arange(len(v))
-        best = best[v_ids[best] != q_ids[i]]
-        score = (v[best] @ q[i]) / (norms[best] * np.sqrt((q[i] * q[i]).sum()))
+        # the footrule is prefix * (prefix + 1) less twice, over shared pivots, the smaller of both nearnesses
+        shared = np.minimum(files[ranks], near).sum(0, dtype=np.uint16)
+        best = np.argsort(np.uint16(0xFFFF) - shared, kind="stable")[: n + 1]
+        best = best[v_ids[best] != q_ids[i]][:n]
+        score = (v[best] @ q[i]) / (norms[best] * lengths[i])
         top = np.lexsort((v_ids[best], -score))[:k]
-        out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": v_ids[best][top], "score": score[top]}))
-    return pd.concat(out)
+        found_q.append(np.full(len(top), q_ids[i]))
+        found_v.append(v_ids[best][top])
+        scores.append(score[top])
+    return pd.DataFrame({"query_id": np.concatenate(found_q), "vec_id": np.concatenate(found_v), "score": np.concatenate(scores)})
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, pivots: int = 256, prefix: int = 64, window: int = 48, rerank: int = 2500, shard_rows: int = 2048, query_rows: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, pivots: int = 256, prefix: int = 64, effort: float = 12.0, shard_rows: int = 4096, query_rows: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows of every row of ``vectors`` (vec_id,
-    embedding) for which ``is_query`` holds. Recall at the defaults is measured in the tests."""
+    embedding) for which ``is_query`` holds. ``prefix`` is at most 255."""
+    if not 0 < prefix < 256:
+        raise ValueError("prefix must be 1 to 255")
     spark = vectors.sparkSession
     x = F.expr("transform(embedding, e -> cast(e as double))")
     valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("q")).where(
@@ -95,12 +94,12 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, pivots: int = 2
     valid = store(valid.groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.max("q").alias("q")))
     found = None
     for width in [r[0] for r in valid.groupBy(F.size("embedding").alias("n")).agg(F.max("q").alias("q")).where("q").select("n").collect()]:
-        part = _nearest_of(valid.where(F.size("embedding") == width), k, pivots, prefix, window, rerank, shard_rows, query_rows)
+        part = _nearest_of(valid.where(F.size("embedding") == width), k, pivots, prefix, effort, shard_rows, query_rows)
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if found is None else found
 
 
-def _nearest_of(valid: DataFrame, k: int, pivots: int, prefix: int, window: int, rerank: int, shard_rows: int, query_rows: int) -> DataFrame:
+def _nearest_of(valid: DataFrame, k: int, pivots: int, prefix: int, effort: float, shard_rows: int, query_rows: int) -> DataFrame:
     """``nearest`` among vectors of one length."""
     points = _unit(np.array([r[0] for r in valid.orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(pivots).collect()]))
     index = store(valid.select("vec_id", "embedding", "q").mapInArrow(_indexer(points, min(prefix, len(points))), "vec_id long, q boolean, vector binary, places binary"))
@@ -110,7 +109,7 @@ def _nearest_of(valid: DataFrame, k: int, pivots: int, prefix: int, window: int,
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = index.where("q").select("vec_id", "vector", "places", of("vec_id", blocks).alias("block"), every(shards).alias("shard"))
     right = index.select("vec_id", "vector", "places", of("vec_id", shards).alias("shard"), every(blocks).alias("block"))
-    cell = lambda a, b: _search_cell(a, b, len(points), window, rerank / n, 16 * k, k)
+    cell = lambda a, b: _search_cell(a, b, len(points), effort / n**0.5, k)
     found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(cell, _FIELDS)
     best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("d"), "vec_id", "score"))), 1, k).alias("top"))
     return best.select("query_id", F.posexplode("top").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).alias("rank"), "hit.vec_id", "hit.score")
