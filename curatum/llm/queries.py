@@ -69,8 +69,8 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4 over quotations of all levels; op4 itself keeps to level 1, as its oracle does."""
-    return quotes.reply_ordered(table(spark, sf_dir, "conversations"), whole=True)
+    """The former name of op4 over quotations of all levels, which op4 now is."""
+    return op4_quotation_linking(spark, sf_dir)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_source_mixing, op3_lm_scoring, op4_quotation_linking, op5_line_dedup, op6_permutation_index, op7_matroska_packets, op8_wrapper_induction, op9_bpe_encoding, op10_minhash_near_dedup, op11_conversation_trie, op12_license_scan, op13_centroid_clustering, pipeline)}
 
-#: Beside the numbered queries, without oracle.
+#: Beside the numbered queries.
 MORE = {"quotation_threads": quotation_threads}
 
-ORACLES = {"op2_source_mixing": mixing.ORACLE, "op4_quotation_linking": quotes.ORACLE, "op11_conversation_trie": prefixtrie.ORACLE, "op12_license_scan": licenses.ORACLE, "op13_centroid_clustering": centroids.ORACLE}
+ORACLES = {"op2_source_mixing": mixing.ORACLE, "op4_quotation_linking": quotes.ORACLE, "quotation_threads": quotes.ORACLE, "op11_conversation_trie": prefixtrie.ORACLE, "op12_license_scan": licenses.ORACLE, "op13_centroid_clustering": centroids.ORACLE}

@@ -5,9 +5,9 @@ level form a passage; a passage and each of its lines are normalised (lower case
 as one space) and hashed to 128 bits. A quoted passage is joined to its origin, the first message that
 has it as text of its own: in the same conversation if there is one before the quoting
 message, else the first of all. Only one origin per hash enters the join, so a frequent line
-costs one row on that side. A message replies to the origin of its longest passage of level
-1, as the oracle says; with ``whole``, of the lowest level that finds an origin. Threads follow
-from reply pointers by doubling; they only point to earlier messages.
+costs one row on that side. Line breaks inside a passage count as spaces, so one that was wrapped
+anew is found. A message replies to the origin of its longest passage of the lowest level that
+finds one. Threads follow from reply pointers by doubling; they only point to earlier messages.
 
 Result: one row per message with its own text, without quotes, in reply order when sorted by
 (root_conv, root_turn, depth, conv_id, turn).
@@ -55,11 +55,10 @@ def _passages(parsed: DataFrame, quoted: bool, wrapped: bool = False) -> DataFra
     return rows.select("conv_id", "turn", "p.level", F.unhex(F.md5(body)).alias("hash"), F.length("p.body").alias("length"))
 
 
-def link(messages: DataFrame, whole: bool = False) -> DataFrame:
+def link(messages: DataFrame, whole: bool = True) -> DataFrame:
     """conv_id, turn, reply_conv, reply_turn of every message that quotes a known one.
 
-    With ``whole``, passages of all levels are asked for, the lowest level that finds an origin
-    gives the link, and a passage that was wrapped anew is still found.
+    Without ``whole``, only passages of level 1 are asked for, and only as they are wrapped.
     """
     parsed = _parsed(messages.select("conv_id", "turn", "text"))
     asked = store(_passages(parsed, True, whole).where("level >= 1" if whole else "level = 1").distinct())
@@ -87,7 +86,7 @@ def _roots(replies: DataFrame) -> DataFrame:
         state = joined.select("conv_id", "turn", F.coalesce("c", "root_conv").alias("root_conv"), F.coalesce("t", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"))
 
 
-def reply_ordered(messages: DataFrame, whole: bool = False) -> DataFrame:
+def reply_ordered(messages: DataFrame, whole: bool = True) -> DataFrame:
     """conv_id, turn, role, text (without quotes), n_quoted, max_level, reply_conv, reply_turn, root_conv, root_turn, depth."""
     replies = store(link(messages, whole))
     threads = replies.join(_roots(replies), ["conv_id", "turn"]).select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), "reply_conv", "reply_turn", F.col("root_conv").alias("_rc"), F.col("root_turn").alias("_rt"), F.col("depth").alias("_d"))
@@ -111,17 +110,17 @@ normal AS (SELECT *, trim(lower(regexp_replace(body, '[ \t\f\x0B]+', ' ', 'g')),
 solid AS (SELECT *, row_number() OVER w - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY i) AS island
   FROM normal WHERE n <> '' WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
 passages AS (
-  SELECT DISTINCT conv_id, turn, level, p FROM (
+  SELECT DISTINCT conv_id, turn, level, replace(p, chr(10), ' ') AS p FROM (
     SELECT conv_id, turn, level, string_agg(n, chr(10) ORDER BY i) AS p FROM solid GROUP BY conv_id, turn, level, island
     UNION ALL SELECT conv_id, turn, level, n FROM solid)),
 near AS (SELECT conv_id, p, min(turn) AS near_turn FROM passages WHERE level = 0 AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, p),
 first AS (SELECT p, min(ROW(conv_id, near_turn)) AS f FROM near GROUP BY p),
 found AS (
-  SELECT q.conv_id, q.turn, len(q.p) AS length,
+  SELECT q.conv_id, q.turn, q.level, len(q.p) AS length,
     CASE WHEN n.near_turn < q.turn THEN ROW(q.conv_id, n.near_turn) WHEN f.f < ROW(q.conv_id, q.turn) THEN f.f END AS origin
-  FROM passages q LEFT JOIN near n ON q.conv_id = n.conv_id AND q.p = n.p LEFT JOIN first f ON q.p = f.p WHERE q.level = 1),
+  FROM passages q LEFT JOIN near n ON q.conv_id = n.conv_id AND q.p = n.p LEFT JOIN first f ON q.p = f.p WHERE q.level >= 1),
 replies AS (SELECT conv_id, turn, origin[1] AS reply_conv, origin[2] AS reply_turn FROM (
-    SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length DESC, origin[1], origin[2]) AS r FROM found WHERE origin IS NOT NULL) WHERE r = 1),
+    SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, length DESC, origin[1], origin[2]) AS r FROM found WHERE origin IS NOT NULL) WHERE r = 1),
 chain AS (
   SELECT conv_id, turn, reply_conv AS c, reply_turn AS t, 1 AS depth FROM replies
   UNION ALL SELECT x.conv_id, x.turn, r.reply_conv, r.reply_turn, x.depth + 1 FROM chain x JOIN replies r ON x.c = r.conv_id AND x.t = r.turn),
