@@ -29,9 +29,9 @@ chosen by hash: a fixed number of comparisons a page, while every page votes.
 
 Plan: pages are scanned once for trees of some hundred bytes; texts of slots, references and votes are
 grouped with partial aggregation. A page gets the decisions on the slots of its own layout, rare
-or common, so that no row grows with its host; they are stored by digest of the html, and
-Spark broadcasts them if their measured size allows and joins by shuffle otherwise. The html itself
-is never shuffled unless that table is large, and then by a key that is the page's own. Parsing and matching are iterative and take time in
+or common, so that no row grows with its host; they are stored by host and layout, and
+Spark broadcasts them if their measured size allows and joins by shuffle otherwise. The parsed page
+is never shuffled unless that table is large. Parsing and matching are iterative and take time in
 proportion to the page, whatever its depth or the number of siblings.
 
 Defined cases: null and empty pages give an empty text; a page without tags is its whole text;
@@ -43,6 +43,7 @@ and vote once.
 from __future__ import annotations
 
 import html as _html
+import pickle
 import re
 from array import array
 from collections import Counter
@@ -295,25 +296,29 @@ def _unpacked(tree: bytes) -> tuple[list[int], list[int], list[int], list[int]]:
     return tuple(flat[i * n : (i + 1) * n].tolist() for i in range(4))
 
 
+def _layout(page: Page) -> int:
+    return _digest(2, array("q", page.sig).tobytes())
+
+
 def _tree_maker(names: bool):
-    """(host, page, content, layout, tree): digests of the html, of texts and of slots, and the packed slot tree of each page.
+    """(host, content, layout, tree): digests of texts and of slots, and the packed slot tree of each page.
 
     Elements whose role says that they are no content have no length.
     """
 
     def trees(batches):
-        for batch in (p for whole in batches for p in slices(whole, 2)):
+        for batch in (p for whole in batches for p in slices(whole, 1)):
             layouts, content, rows = [], [], []
-            for source in batch.column(2).to_pylist():
+            for source in batch.column(1).to_pylist():
                 page = Page(source or "", names)
                 prints, sizes = page.own_texts()
                 for slot, bad in zip(page.slot, page.out, strict=True):
                     if bad:
                         sizes[slot] = 0
                 rows.append(_packed(page.sig, page.above, prints, sizes))
-                layouts.append(_digest(2, array("q", page.sig).tobytes()))
+                layouts.append(_layout(page))
                 content.append(_digest(3, rows[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content, pa.int64()), pa.array(layouts, pa.int64()), pa.array(rows, pa.binary())], names=["host", "page", "content", "layout", "tree"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.int64()), pa.array(layouts, pa.int64()), pa.array(rows, pa.binary())], names=["host", "content", "layout", "tree"])
 
     return trees
 
@@ -381,11 +386,10 @@ def _own_texts(contents: DataFrame, least_own: int) -> DataFrame:
 
 
 def induce(pages: DataFrame, *, least_votes: int = 2, same_share: float = 0.9, host_refs: int = 4, least_own: int = 100, names: bool = True) -> DataFrame:
-    """(host, page, wrapper): for each page (digest of its html) of a host whose pages vote, the slots of its layout with
-    template fingerprint or null and mean varying length."""
-    slim = pages.select(host_of(F.col("url")).alias("host"), page_digest(F.col("html")).alias("page"), F.col("html").cast("string").alias("html"))
-    trees = store(slim.mapInArrow(_tree_maker(names), "host string, page binary, content bigint, layout bigint, tree binary").dropDuplicates(["host", "page"]))
-    contents = trees.drop("page").dropDuplicates(["host", "content"])
+    """(host, layout, wrapper): for each layout of a host whose pages vote, its slots with template fingerprint or null
+    and mean varying length."""
+    slim = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
+    contents = store(slim.mapInArrow(_tree_maker(names), "host string, content bigint, layout bigint, tree binary").dropDuplicates(["host", "content"]))
     voters = store(contents.join(store(_own_texts(contents, least_own)), ["host", "content"]))
     ref = F.struct(F.xxhash64("content").alias("o"), "content", "layout", "own", "tree")
     by_host = voters.groupBy("host", F.pmod(F.xxhash64("content", F.lit(7)), F.lit(host_refs)).alias("part")).agg(F.min(ref).alias("r")).groupBy("host").agg(F.collect_list("r").alias("refs"))
@@ -397,13 +401,8 @@ def induce(pages: DataFrame, *, least_votes: int = 2, same_share: float = 0.9, h
     slots = votes.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("print").isNull(), F.col("size")).otherwise(0)).alias("varying"), F.max(F.when(F.col("print").isNotNull(), F.struct("n", "print"))).alias("top"))
     fixed = F.when((F.col("n") >= least_votes) & (F.col("top.n") >= same_share * F.col("n")), F.col("top.print"))
     decided = store(slots.select("host", F.struct("slot", fixed.alias("print"), (F.col("varying") / F.col("n")).alias("mass")).alias("x")).where("x.print is not null or x.mass > 0").select("host", F.col("x.slot").alias("slot"), "x"))
-    layouts = trees.groupBy("host", "layout").agg(F.min("tree").alias("tree")).mapInArrow(_layout_slots, "host string, layout bigint, slot bigint")
-    wrappers = store(layouts.join(decided, ["host", "slot"]).groupBy("host", "layout").agg(F.sort_array(F.collect_list("x")).alias("wrapper")))
-    return trees.select("host", "page", "layout").join(wrappers, ["host", "layout"]).select("host", "page", "wrapper")
-
-
-def page_digest(html: Column) -> Column:
-    return F.unhex(F.md5(F.coalesce(html.cast("string"), F.lit(""))))
+    layouts = contents.groupBy("host", "layout").agg(F.min("tree").alias("tree")).mapInArrow(_layout_slots, "host string, layout bigint, slot bigint")
+    return layouts.join(decided, ["host", "slot"]).groupBy("host", "layout").agg(F.sort_array(F.collect_list("x")).alias("wrapper"))
 
 
 def main_text(pages: DataFrame, *, names: bool = True, **parameters) -> DataFrame:
@@ -411,15 +410,22 @@ def main_text(pages: DataFrame, *, names: bool = True, **parameters) -> DataFram
 
     Without ``names`` class and id names say nothing about roles.
     """
-    wrappers = store(induce(pages, names=names, **parameters).withColumnRenamed("host", "_host").withColumnRenamed("page", "_page"))
+    wrappers = store(induce(pages, names=names, **parameters).withColumnsRenamed({"host": "_host", "layout": "_layout"}))
+
+    def parse(batches):
+        for batch in (p for whole in batches for p in slices(whole, 3)):
+            parsed = [Page(source or "", names) for source in batch.column(3).to_pylist()]
+            held = pa.array([pickle.dumps(page, 5) for page in parsed], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([_layout(page) for page in parsed], pa.int64()), held], names=["page_id", "url", "host", "layout", "page"])
 
     def extract(batches):
         for batch in (p for whole in batches for p in slices(whole, 2)):
             texts = []
-            for source, slots in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                texts.append(Page(source or "", names).text({x["slot"]: (x["print"], x["mass"]) for x in slots} if slots else None))
+            for page, slots in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                texts.append(pickle.loads(page).text({x["slot"]: (x["print"], x["mass"]) for x in slots} if slots else None))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    slim = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    joined = slim.join(wrappers, (host_of(F.col("url")) == F.col("_host")) & (page_digest(F.col("html")) == F.col("_page")), "left").select("page_id", "url", "html", "wrapper")
+    slim = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), host_of(F.col("url")).alias("host"), F.col("html").cast("string"))
+    parsed = slim.mapInArrow(parse, "page_id long, url string, host string, layout long, page binary")
+    joined = parsed.join(wrappers, (F.col("host") == F.col("_host")) & (F.col("layout") == F.col("_layout")), "left").select("page_id", "url", "page", "wrapper")
     return joined.mapInArrow(extract, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
