@@ -205,21 +205,6 @@ def platt_fit(rows: DataFrame, iterations: int = 100) -> DataFrame:
     return rows.sparkSession.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "a double, b double")
 
 
-def isotonic_fit(rows: DataFrame, steps: int = 10_000) -> DataFrame:
-    """(p, calibrated) at the knots of the monotone map from p to y.
-
-    Scores are binned to ``steps`` equal widths and their labels averaged with weights, so that
-    what the fit gathers is bounded by ``steps`` and not by the rows.
-    """
-    from pyspark.ml.regression import IsotonicRegression
-
-    at = F.least(F.floor(F.col("p") * steps), F.lit(steps - 1))
-    bins = rows.where("p is not null and y is not null").groupBy(at.alias("k")).agg(F.avg("p").alias("p"), F.avg("y").alias("y"), F.count("*").cast("double").alias("w"))
-    model = IsotonicRegression(featuresCol="p", labelCol="y", weightCol="w").fit(bins)
-    knots = zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist(), strict=True)
-    return rows.sparkSession.createDataFrame([(p, y) for p, y in knots], "p double, calibrated double")
-
-
 def cost_threshold(rows: DataFrame, *, false_accept: float = 100.0, review: float = 5.0, edit: float = 3.0, bins: int = 10) -> DataFrame:
     """The cheapest (accept_from, edit_from): accept from the one, edit from the other, review below.
 

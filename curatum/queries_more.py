@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .operators import formats, ingest, judging, knowledge, probing, quality, review, stats
+from .operators import formats, ingest, isotonic, judging, knowledge, probing, quality, review, stats
 from .queries import _PROMPT, _QA, _WIDE, C, M, ORACLES, P, QUERIES, R, V, _add, _decisions, _ev, _margins, _of, _qa
 from .sources import fixtures as X, tables, versioned
 from .streaming import monitors
@@ -185,7 +185,9 @@ SELECT id, arg_min(other, other) AS cached_id, arg_min(s, other) AS similarity F
 
 # --- statistics and calibration ----------------------------------------------------------
 _add("platt_fit", _of(X.calibration, lambda r: stats.platt_fit(r).select(F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))))
-_add("isotonic_fit", _of(X.calibration, stats.isotonic_fit))
+_add("isotonic_fit", _of(X.calibration, isotonic.isotonic_fit), f"""{C}, g AS (SELECT p, count(*) AS w, sum(y) AS s FROM cal WHERE p IS NOT NULL AND y IS NOT NULL GROUP BY p), t AS (SELECT p, w, s, sum(w) OVER o AS tw, sum(s) OVER o AS ts FROM g WINDOW o AS (ORDER BY p)),
+slopes AS (SELECT a.p AS low, b.p, min(CAST(b.ts - a.ts + a.s AS DOUBLE) / CAST(b.tw - a.tw + a.w AS DOUBLE)) OVER (PARTITION BY a.p ORDER BY b.p DESC) AS v FROM t a JOIN t b ON b.p >= a.p), fit AS (SELECT p, max(v) AS v FROM slopes GROUP BY p)
+SELECT DISTINCT p, calibrated FROM (SELECT unnest([min(p), max(p)]) AS p, v AS calibrated FROM fit GROUP BY v)""")
 _add("cost_threshold", _of(X.calibration, stats.cost_threshold), f"""{C}, b AS (SELECT least(floor(p * 10), 9) AS bin, count(*) AS n, sum(1 - y) AS wrong FROM cal GROUP BY 1), g AS (SELECT a.k AS a, e.k AS e FROM range(11) a(k), range(11) e(k) WHERE e.k <= a.k)
 SELECT a / 10.0::DOUBLE AS accept_from, e / 10.0::DOUBLE AS edit_from, round(sum(CASE WHEN bin >= a THEN wrong * 100.0::DOUBLE WHEN bin >= e THEN n * 3.0::DOUBLE ELSE n * 5.0::DOUBLE END), 6) AS cost FROM b, g GROUP BY a, e ORDER BY cost, a, e LIMIT 1""")
 _add("run_history", _of(X.training_runs, stats.run_history), f"WITH {X.RUNS} SELECT * FROM runs ORDER BY started_at DESC, id LIMIT 100")

@@ -197,8 +197,6 @@ def test_calibration_fits(spark):
     rows = spark.createDataFrame(list(zip(p.tolist(), y.tolist(), strict=True)), "p double, y int")
     fit = stats.platt_fit(rows).first()
     assert abs(fit.a - 4) < 0.5 and abs(fit.b + 2) < 0.3
-    knots = stats.isotonic_fit(rows).orderBy("p").collect()
-    assert all(a.calibrated <= b.calibrated for a, b in zip(knots, knots[1:], strict=False))
 
 
 def test_cache_hits(spark):
