@@ -167,10 +167,11 @@ def packets(data) -> list[tuple[int, int, int, int, bool]]:
     """(track, timestamp, start, end, keyframe) of every frame in file order.
 
     Timestamps are milliseconds: a block's ticks times the file's scale; the frames of a lace
-    follow each other by the track's default duration, where it has one. A frame of a block
+    follow each other by the track's default duration, where its entry has one, in whatever order. A frame of a block
     group is a keyframe unless the group refers to another block.
     """
-    base, scale, number, group = 0, 1_000_000, 0, 0
+    base, scale, group = 0, 1_000_000, 0
+    entry: dict[int, int] = {}
     duration: dict[int, int] = {}
     out: list[tuple[int, int, int, int, bool]] = []
     for kind, at, end in elements(data):
@@ -178,10 +179,12 @@ def packets(data) -> list[tuple[int, int, int, int, bool]]:
             base = int.from_bytes(data[at:end], "big")
         elif kind == TIMESTAMP_SCALE:
             scale = int.from_bytes(data[at:end], "big")
-        elif kind == TRACK_NUMBER:
-            number = int.from_bytes(data[at:end], "big")
-        elif kind == DEFAULT_DURATION:
-            duration[number] = int.from_bytes(data[at:end], "big")
+        elif kind == TRACK_ENTRY:
+            entry = {}
+        elif kind in (TRACK_NUMBER, DEFAULT_DURATION):
+            entry[kind] = int.from_bytes(data[at:end], "big")
+            if len(entry) == 2:
+                duration[entry[TRACK_NUMBER]] = entry[DEFAULT_DURATION]
         elif kind == BLOCK_GROUP:
             group = len(out)
         elif kind == REFERENCE_BLOCK:

@@ -8,7 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from curatum.llm import ann, quality, wrapper
+from curatum.llm import ann, matroska, quality, wrapper
 
 
 def sentence(rng, n):
@@ -161,3 +161,12 @@ def test_quality_scores_equal_a_refit_from_the_formula(spark):
     want = dict(zip(rows.doc_id, 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -60, 60))), strict=True))
     got = quality.quality_scores(docs, labels).collect()
     assert len(got) == len(rows) and max(abs(r.score - want[r.doc_id]) for r in got) < 1e-6
+
+
+def test_default_duration_belongs_to_its_track_entry():
+    """Two tracks, the first entry with the duration before the number, the second without one."""
+    m, frames = matroska, [b"a", b"b", b"c"]
+    entries = m.element(m.TRACK_ENTRY, m._uint(m.DEFAULT_DURATION, 5_000_000) + m._uint(m.TRACK_NUMBER, 7)) + m.element(m.TRACK_ENTRY, m._uint(m.TRACK_NUMBER, 2))
+    blocks = m.element(m.SIMPLE_BLOCK, m._laced(7, 0, frames)) + m.element(m.SIMPLE_BLOCK, m._laced(2, 40, frames))
+    file = m.element(m.SEGMENT, m.element(m.TRACKS, entries) + m.element(m.CLUSTER, m._uint(m.TIMESTAMP, 100) + blocks))
+    assert [(track, time) for track, time, *_ in m.packets(file)] == [(7, 100), (7, 105), (7, 110), (2, 140), (2, 140), (2, 140)]
