@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -18,63 +17,94 @@ SHAPES = (
     (r"^([A-Z][^.]{2,60}?)\s+can be used to\s+", re.IGNORECASE, "How can {} be used?"),
     (r"^([A-Z][^.]{2,60}?)\s+(?:allows|enables)\s+", re.IGNORECASE, "What does {} allow or enable?"),
 )
-_DEFINITIONS = [re.compile(p) for p in DEFINITIONS]
-_SHAPES = [(re.compile(p, flags), ask) for p, flags, ask in SHAPES]
+#: White space as a class of Java's patterns, with all that Unicode has.
+_WS = r"[\t-\r\x1C- \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
+_SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
-def _from_headings(lines: list[str], within: str) -> Iterator[tuple[str, str]]:
-    for at, line in enumerate(lines):
-        if not 2 < len(line) < 100 or line[-1] in ".,;:?!":
-            continue
-        answer = " ".join([x for x in lines[at + 1 : at + 6] if x][:3])
-        title = re.sub(r"^#+\s*", "", re.sub(r"^[\d.]+\s*", "", line.rstrip(":.")))
-        if len(answer) <= 20 or len(title) < 3:
-            continue
-        short = title[0].isupper() and len(title.split()) <= 6
-        yield within + (f"what is {title}?" if short else f'what does the following describe: "{title}"?'), answer[:500]
 
+def _java(pattern: str, flags: int = 0) -> str:
+    """The pattern for Java: all white space counts, only line feeds end lines, and without case dotted and dotless i are letters."""
+    free = bool(flags & re.IGNORECASE)
+    return ("(?diu)" + pattern.replace("[A-Z]", "[A-Z\u0130\u0131]") if free else "(?d)" + pattern).replace(r"\s", _WS)
 
-def _from_definitions(sentences: list[str], within: str) -> Iterator[tuple[str, str]]:
-    for sentence in sentences:
-        found = next((m for p in _DEFINITIONS if (m := p.match(sentence))), None)
-        if found:
-            term, rest = found.group(1).strip(), found.group(2).strip()
-            yield f"{within}what is {term}?" if within else f"What is {term}?", f"{term} {rest}"
 
+def _strip(x: Column) -> Column:
+    return F.trim(x, F.lit(_SPACES))
 
-def _ask(sentence: str, within: str) -> str | None:
-    for n, (pattern, ask) in enumerate(_SHAPES):
-        if m := pattern.match(sentence):
-            return (within if n == 0 else "") + ask.format(m.group(1).strip())
-    words = sentence.split()
-    return f'What can you tell me about: "{" ".join(words[:3])}..."?' if len(words) >= 3 else None
 
+def _filled(question: str, term: Column) -> Column:
+    before, after = question.split("{}")
+    return F.concat(F.lit(before), term, F.lit(after))
 
-def candidates(text: str, subject: str | None = None) -> list[tuple[str, str]]:
-    """Questions and answers of one chunk: from headings, from definitions, then from its first ten sentences."""
-    within = f"In {subject}, " if subject else ""
-    sentences = [s.strip() for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
-    found = [*_from_headings([x.strip() for x in text.strip().split("\n")], within), *_from_definitions(sentences, within)]
-    for sentence in sentences[:10]:
-        if 30 <= len(sentence) <= 300 and not any(sentence[:50] in answer for _, answer in found):
-            if question := _ask(sentence, within):
-                found.append((question, sentence))
-    return found
 
+def _heading(lines: str, within: str):
+    """For ``lines``, what a line asks as a heading and the lines after it as the answer; null if it is none."""
 
-def generate_qa(chunks: DataFrame, subject: str | None = None, scope: tuple[str, ...] = ("doc_id", "chunk_ref")) -> DataFrame:
-    """(doc_id, chunk_ref, id, question, answer): first answer of each question of a chunk, or of ``scope``.
+    def pair(line: Column, at: Column) -> Column:
+        body = F.array_join(F.slice(F.filter(F.slice(lines, at + 2, 5), lambda x: x != ""), 1, 3), " ")
+        title = F.regexp_replace(F.regexp_replace(line, _java(r"^[\p{Nd}.]+\s*"), ""), _java(r"^#+\s*"), "")
+        named = title.rlike(r"^\p{IsUppercase}") & (F.size(F.split(title, f"{_WS}+")) <= 6)
+        question = F.when(named, _filled("what is {}?", title)).otherwise(_filled('what does the following describe: "{}"?', title))
+        fits = F.length(line).between(3, 99) & ~line.rlike("[.,;:?!]\\z") & (F.length(body) > 20) & (F.length(title) >= 3)
+        return F.when(fits, F.struct(F.concat(F.lit(within), question).alias("question"), F.substring(body, 1, 500).alias("answer")))
+
+    return pair
+
+
+def _definition(within: str):
+    """What a sentence defines, by the first pattern that it has; null if by none."""
+
+    def pair(sentence: Column) -> Column:
+        found = F.lit(None)
+        for pattern in map(_java, reversed(DEFINITIONS)):
+            term, rest = (_strip(F.regexp_extract(sentence, pattern, i)) for i in (1, 2))
+            made = F.struct(_filled(f"{within}what is {{}}?" if within else "What is {}?", term).alias("question"), F.concat_ws(" ", term, rest).alias("answer"))
+            found = F.when(sentence.rlike(pattern), made).otherwise(found)
+        return F.when(F.substring(sentence, 1, 1).between("A", "Z"), found)  # as all of them begin
+
+    return pair
+
+
+def _ask(sentence: Column, within: str) -> Column:
+    """The question of a sentence's first shape, else of its first three words; null if it has fewer."""
+    asked = []
+    for n, (shape, flags, question) in enumerate(SHAPES):
+        term = F.nullif(_strip(F.regexp_extract(sentence, _java(shape, flags), 1)), F.lit(""))
+        asked.append(_filled(question if n else within + question, term))  # null without a term
+    words = F.slice(F.split(sentence, f"{_WS}+", 4), 1, 3)
+    return F.coalesce(*asked, F.when(F.size(words) == 3, _filled('What can you tell me about: "{}..."?', F.array_join(words, " "))))
 
-    Python only proposes; the keep-first rule is a window over the proposals.
+
+def proposals(chunks: DataFrame, subject: str | None = None) -> DataFrame:
+    """``chunks`` with ``pairs``, an array of (question, answer) of its ``text``: from headings, from definitions,
+    then from those of its first ten sentences that no answer before holds. Null text is empty. No Python.
+
+    Lines and sentences are columns of their own, so that Spark splits a text once.
     """
+    within = f"In {subject}, " if subject else ""
+    text = F.coalesce("text", F.lit(""))
+    lines = F.transform(F.split(_strip(text), "\n"), _strip)
+    sentences = F.filter(F.split(_strip(text), f"(?<=[.!?]){_WS}+"), lambda x: x != "")
+    split = chunks.withColumns({"_lines": lines, "_sentences": sentences})
+    stated = F.concat(F.transform("_lines", _heading("_lines", within)), F.transform("_sentences", _definition(within)))
+    split = split.withColumn("_stated", F.filter(stated, lambda x: x.isNotNull()))
 
-    def run(frames):
-        for pdf in frames:
-            out = [(d, i, n, q, a) for d, i, t in zip(pdf.doc_id, pdf["index"], pdf.text, strict=True) for n, (q, a) in enumerate(candidates(t or "", subject))]
-            yield pd.DataFrame(out, columns=["doc_id", "chunk_ref", "id", "question", "answer"])
+    asked = lambda x: F.struct(F.when(F.length(x).between(30, 300), _ask(x, within)).alias("question"), x.alias("answer"))
+    split = split.withColumn("_asked", F.filter(F.transform(F.slice("_sentences", 1, 10), asked), lambda x: x["question"].isNotNull()))
 
-    proposed = chunks.select("doc_id", "index", "text").mapInPandas(run, "doc_id long, chunk_ref int, id int, question string, answer string")
-    return ingest.qa_dedup(proposed, *scope)
+    def more(pairs: Column, new: Column) -> Column:
+        held = F.exists(pairs, lambda x: F.contains(x["answer"], F.substring(new["answer"], 1, 50)))
+        return F.when(held, pairs).otherwise(F.array_append(pairs, new))
+
+    return split.withColumn("pairs", F.aggregate("_asked", F.col("_stated"), more)).drop("_lines", "_sentences", "_stated", "_asked")
+
+
+def generate_qa(chunks: DataFrame, subject: str | None = None, scope: tuple[str, ...] = ("doc_id", "chunk_ref")) -> DataFrame:
+    """(doc_id, chunk_ref, id, question, answer): first answer of each question of a chunk, or of ``scope``."""
+    made = proposals(chunks.select("doc_id", "index", "text"), subject)
+    flat = made.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("index").cast("int").alias("chunk_ref"), F.posexplode("pairs").alias("id", "qa"))
+    return ingest.qa_dedup(flat.select("doc_id", "chunk_ref", "id", "qa.question", "qa.answer"), *scope)
 
 
 def ingest_pages(pages: DataFrame) -> dict[str, DataFrame]:
