@@ -106,6 +106,18 @@ def test_stream_equals_batch(spark, event_files, job):
     assert want and got == want
 
 
+def test_ece_does_not_depend_on_the_order_of_rows(spark):
+    """Sums of doubles fell on either side of half of the sixth digit."""
+    rows = spark.createDataFrame([(datetime(2024, 1, 30), x, False) for x in [0.1] * 10 + [0.7] * 7 + [0.3] * 3], "ts timestamp, confidence double, right boolean")
+    assert {(r.bin, r.c) for r in monitors.bins_by_window(rows, "1 day", "1 day").collect()} == {(1, 1.0), (7, 4.9), (3, 0.9)}
+    bins = spark.createDataFrame([(1, 40, c, a) for c, a in [(0.2632, 5.0), (0.9797, 7.0), (1.9361, 8.0), (1.5355, 4.0), (0.9606, 2.0), (1.6743, 0.0), (1.9319, 0.0), (2.2402, 0.0), (1.681, 0.0), (3.0, 0.0)]], "start int, n long, c double, a double")
+    orders = [F.col("c"), -F.col("c"), *(F.xxhash64("c", F.lit(k)) for k in range(12))]
+    assert len({monitors.fold_ece(bins.coalesce(1).sortWithinPartitions(o)).first().ece for o in orders}) == 1
+    odd = spark.createDataFrame([(1, 1, float("nan"), 0.0), (2, 1, 1e30, 0.0), (2, 1, 0.5, 0.0), (3, 1, None, 1.0), (4, 1, None, 1.0), (4, 1, 0.5, 0.0)], bins.schema)
+    got = {r.start: r.ece for r in monitors.fold_ece(odd).collect()}
+    assert got[1] != got[1] and (got[2], got[3], got[4]) == (5e29, None, 0.25)
+
+
 def test_stream_drops_what_comes_after_the_watermark(spark, tmp_path):
     """A row more than the allowed day behind changes no window, once the watermark that passed it has reached late rows (one batch after state)."""
     row = lambda i, ts: (i, ts, 1, "view", 10.0)
