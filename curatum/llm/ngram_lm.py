@@ -28,8 +28,13 @@ probability 2 ** -60, and 2 ** -32 if they share their context.
 
 Plan: texts are hashed once into chunks (word ids within the chunk, its distinct words);
 chunks send their distinct words, pairs and triples to the shards, a shard merges all counts, builds
-its tries and answers with counts and codes; chunks join the answers and sum scores by
-document. Nothing but a thousand totals passes the driver.
+its tries, looks up each distinct n-gram once and answers with counts and codes; chunks join the
+answers and sum scores by document. Nothing but a thousand totals passes the driver.
+
+Messages grow in number with chunks times shards, so none is handled by itself: a chunk's keys
+are coded in one go (Elias-Fano: whole low bytes, high parts in unary) and cut into messages by
+offsets, and a shard decodes all its messages together. Shards are a power of two, so that each
+holds as many high parts.
 
 Defined cases: null and empty texts are the end token alone; a text's first word has the end
 token as context and no triple; repeated rows are scored and
@@ -43,7 +48,6 @@ import mmap
 import struct
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -97,6 +101,7 @@ class EliasFano:
         self.buffer = buffer
         self.n, self.low_bits, n_low, n_high = struct.unpack_from("<qqqq", buffer)
         self.low = np.frombuffer(buffer, np.uint8, n_low, 32)
+        self._words = np.ndarray(n_low - 7, "<u8", buffer, 32, (1,))  # the eight bytes from each byte on
         high = np.frombuffer(buffer, np.uint8, n_high, 32 + n_low)
         zeros = np.flatnonzero(np.unpackbits(high, bitorder="little") == 0)
         ones_before = zeros - np.arange(len(zeros))
@@ -109,7 +114,7 @@ class EliasFano:
         bits = max(0, (max(universe, 1) // max(n, 1)).bit_length() - 1)
         high = np.zeros(n + (max(universe, 1) >> bits) + 2, np.uint8)
         high[(v >> _U(bits)).astype(np.int64) + np.arange(n)] = 1
-        low = ((v[:, None] >> np.arange(bits, dtype=_U)) & _U(1)).astype(np.uint8) if bits else np.zeros((n, 0), np.uint8)
+        low = np.unpackbits(v.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :bits]
         low_bytes = np.packbits(low.reshape(-1), bitorder="little").tobytes() + b"\0" * 9
         high_bytes = np.packbits(high, bitorder="little").tobytes()
         return struct.pack("<qqqq", n, bits, len(low_bytes), len(high_bytes)) + low_bytes + high_bytes
@@ -119,10 +124,7 @@ class EliasFano:
             return np.zeros(len(i), _U)
         at = i * self.low_bits
         byte, shift = at >> 3, (at & 7).astype(_U)
-        word = np.zeros(len(i), _U)
-        for j in range(8):
-            word |= self.low[byte + j].astype(_U) << _U(8 * j)
-        word >>= shift
+        word = self._words[byte] >> shift
         if self.low_bits > 56:
             word |= np.where(shift > 0, self.low[byte + 8].astype(_U) << ((_U(64) - shift) & _U(63)), _U(0))
         return word & self._mask
@@ -240,12 +242,121 @@ def _firsts(lengths: np.ndarray) -> np.ndarray:
 
 
 def _bounds(keys: np.ndarray, shards: int, bits: int) -> np.ndarray:
-    """Where the shards, ranges of the ``bits``-bit key space, begin and end in sorted ``keys``."""
-    edges = np.array([(s << bits) // shards for s in range(1, shards)], dtype=_U)
+    """Where the shards, equal ranges of the ``bits``-bit key space, begin and end in sorted ``keys``."""
+    edges = np.arange(1, shards, dtype=_U) << _U(bits - shards.bit_length() + 1)
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
-_CHUNK = "chunk long, ids array<long>, train binary, lengths binary, words binary, stream binary, n_tokens long"
+def _run(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each of ``sizes``, one after the other."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - _firsts(sizes), sizes)
+
+
+def code_groups(values: np.ndarray, sizes: np.ndarray, unit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unsigned ``values``, those of each message from a new byte on, in groups of ``unit`` bits (2 or 4): the
+    highest bit says that the value goes on, the others hold it, lowest first. Also the bytes of each message."""
+    values, bits, a_byte = np.asarray(values, dtype=np.int64), unit - 1, 8 // unit
+    groups, long, j = np.ones(len(values), np.int8), np.flatnonzero(values >> bits), 1
+    while len(long):
+        groups[long] += 1
+        j += 1
+        long = long[values[long] >> (j * bits) > 0]
+    ends = np.append(0, np.cumsum(groups, dtype=np.int64))
+    edges = np.append(0, np.cumsum(sizes))
+    n_bytes = -(-np.diff(ends[edges]) // a_byte)
+    start = ends[:-1] + np.repeat(_firsts(n_bytes) * a_byte - ends[edges[:-1]], sizes)
+    out = np.zeros(int(n_bytes.sum()) * a_byte, np.uint8)
+    out[start] = values.astype(np.uint8) & ((1 << bits) - 1) | (groups > 1).view(np.uint8) << bits
+    live, j = np.flatnonzero(groups > 1), 1
+    while len(live):
+        more = groups[live] > j + 1
+        out[start[live] + j] = (values[live] >> (j * bits)) & ((1 << bits) - 1) | (more << bits)
+        live, j = live[more], j + 1
+    data = out[0::a_byte].copy()
+    for i in range(1, a_byte):
+        data |= out[i::a_byte] << (i * unit)
+    return data, n_bytes
+
+
+def decode_groups(data: np.ndarray, n_bytes: np.ndarray, sizes: np.ndarray, unit: int) -> np.ndarray:
+    """The values of ``code_groups``."""
+    bits, a_byte = unit - 1, 8 // unit
+    groups = np.empty(len(data) * a_byte, np.uint8)
+    for i in range(a_byte):
+        groups[i::a_byte] = (data >> (i * unit)) & ((1 << unit) - 1)
+    last = np.flatnonzero(groups < 1 << bits)
+    first = np.append(0, last + 1)[:-1]
+    own = _run(np.searchsorted(last, _firsts(n_bytes) * a_byte), sizes)  # not what fills up a message's last byte
+    first, last = first[own], last[own]
+    groups &= (1 << bits) - 1
+    out, live, j = groups[first].astype(np.int64), np.flatnonzero(first < last), 1
+    while len(live):
+        out[live] |= groups[first[live] + j].astype(np.int64) << (j * bits)
+        live, j = live[first[live] + j < last[live]], j + 1
+    return out
+
+
+#: Bits of the keys of words, pairs and triples.
+_BITS = (64, 60, 60)
+
+
+def low_bytes(bits: int, n: float, shards: int) -> int:
+    """Whole low bytes that make n keys of ``bits`` bits shortest, with as many high parts as shards at least."""
+    return min((x for x in range(1, 8) if bits - 8 * x >= shards.bit_length() - 1), key=lambda x: 8 * x * n + (1 << bits - 8 * x))
+
+
+def code_keys(kinds: list[np.ndarray], lows: tuple[int, ...], shards: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Sorted distinct keys of each kind as messages to ``shards``: keys by shard and kind, low bytes of each
+    kind, high parts of all kinds in unary, and the bytes of each shard's high parts."""
+    at = [_bounds(keys, shards, bits) for keys, bits in zip(kinds, _BITS, strict=True)]
+    sizes = np.stack([np.diff(a) for a in at], axis=1)
+    buckets = np.array([(1 << bits - 8 * x) // shards for bits, x in zip(_BITS, lows, strict=True)])
+    n_bytes = -(-(sizes + buckets).sum(axis=1) // 8)
+    high, low, start = np.zeros(8 * int(n_bytes.sum()), np.uint8), [], 8 * _firsts(n_bytes)
+    for i, (keys, x) in enumerate(zip(kinds, lows, strict=True)):
+        bucket = (keys >> _U(8 * x)).astype(np.int64)
+        high[bucket + np.arange(len(keys)) + np.repeat(start - np.arange(shards) * buckets[i] - at[i][:-1], sizes[:, i])] = 1
+        start = start + sizes[:, i] + buckets[i]
+        low.append(np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :x]).reshape(-1))
+    return sizes, low, np.packbits(high, bitorder="little"), n_bytes
+
+
+def decode_keys(shard: int, sizes: np.ndarray, low: list[np.ndarray], high: np.ndarray, n_bytes: np.ndarray, lows: tuple[int, ...], shards: int) -> list[np.ndarray]:
+    """The keys of each kind in a shard's messages, one message after the other."""
+    buckets = np.array([(1 << bits - 8 * x) // shards for bits, x in zip(_BITS, lows, strict=True)])
+    within = sizes + buckets
+    start = (8 * _firsts(n_bytes))[:, None] + np.cumsum(within, axis=1) - within
+    ones = np.flatnonzero(np.unpackbits(high, bitorder="little"))
+    bucket = ones - _run(start.reshape(-1), sizes.reshape(-1))
+    kind, out = by_kind(sizes), []
+    for i, x in enumerate(lows):
+        keys = np.zeros((int(sizes[:, i].sum()), 8), np.uint8)
+        keys[:, :x] = low[i].reshape(-1, x)
+        out.append(keys.reshape(-1).view("<u8") | ((bucket[kind == i] + shard * int(buckets[i])).astype(_U) << _U(8 * x)))
+    return out
+
+
+def by_kind(sizes: np.ndarray) -> np.ndarray:
+    """The kind of each key in messages of ``sizes``."""
+    return np.repeat(np.tile(np.arange(sizes.shape[1], dtype=np.int8), len(sizes)), sizes.reshape(-1))
+
+
+def _cut(data: np.ndarray, n_bytes: np.ndarray) -> pa.Array:
+    """A binary value of each of ``n_bytes``."""
+    return pa.Array.from_buffers(pa.binary(), len(n_bytes), [None, pa.py_buffer(np.append(0, np.cumsum(n_bytes)).astype("<i4")), pa.py_buffer(data)])
+
+
+def _joined(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column and how many each of its values has."""
+    data, edges = [], []
+    for part in column.chunks:
+        offsets = np.frombuffer(part.buffers()[1], "<i4", len(part) + 1, 4 * part.offset)
+        data.append(np.frombuffer(part.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]])
+        edges.append(np.diff(offsets).astype(np.int64))
+    return (np.concatenate(data), np.concatenate(edges)) if data else (np.zeros(0, np.uint8), np.zeros(0, np.int64))
+
+
+_CHUNK = "chunk long, ids array<long>, train binary, lengths binary, words binary, stream binary, n_tokens long, n_words long"
 
 
 def _chunker(chunk_words: int):
@@ -267,8 +378,8 @@ def _chunker(chunk_words: int):
             stream[body], stream[last] = words, END
             names, index = np.unique(stream, return_inverse=True)
             out = pa.RecordBatch.from_arrays(
-                [pa.array([task << 32 | serial]), pa.array([ids], pa.list_(pa.int64())), pa.array([np.packbits(train).tobytes()]), pa.array([pack(lengths)]), pa.array([pack_sorted(names)]), pa.array([pack(index)]), pa.array([len(stream)])],
-                names=["chunk", "ids", "train", "lengths", "words", "stream", "n_tokens"],
+                [pa.array([task << 32 | serial]), pa.array([ids], pa.list_(pa.int64())), pa.array([np.packbits(train).tobytes()]), pa.array([pack(lengths)]), pa.array([pack_sorted(names)]), pa.array([pack(index)]), pa.array([len(stream)]), pa.array([len(names)])],
+                names=["chunk", "ids", "train", "lengths", "words", "stream", "n_tokens", "n_words"],
             )
             serial, held, size = serial + 1, [], 0
             release_memory()
@@ -286,42 +397,47 @@ def _chunker(chunk_words: int):
     return cut
 
 
-def _sender(shards: int):
-    """Each chunk's distinct words, pairs and triples with training counts, one row per shard."""
+def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's distinct words, their places in its stream, and the lengths of its texts."""
+    return unpack_sorted(row["words"]), unpack(row["stream"]).astype(np.int64), unpack(row["lengths"]).astype(np.int64)
 
-    def send(frames):
-        for pdf in frames:
-            for row in pdf.itertuples():
-                names, index, lengths = unpack_sorted(row.words), unpack(row.stream).astype(np.int64), unpack(row.lengths).astype(np.int64)
-                learned = np.repeat(np.unpackbits(np.frombuffer(row.train, np.uint8))[: len(lengths)].astype(bool), lengths)
-                columns = [_messages(names, np.bincount(index[learned], minlength=len(names)), shards, 64)]
-                for keys in n_grams(names[index], _firsts(lengths)):
-                    distinct, inverse = np.unique(keys, return_inverse=True)
-                    times = np.bincount(inverse[learned], minlength=len(distinct))
-                    del inverse
-                    columns.append(_messages(distinct, times, shards, 60))
-                yield pd.DataFrame([(s, row.chunk, *(x for c in columns for x in c[s])) for s in range(shards)], columns=["shard", "chunk", *_SENT])
-                release_memory()
 
-    return send
+_SENT = ("words", "pairs", "triples", "high", "counts")
 
 
-_SENT = ("words", "words_n", "pairs", "pairs_n", "triples", "triples_n")
+def _sender(shards: int, lows: tuple[int, ...]):
+    """Each chunk's distinct words, pairs and triples with training counts, one row per shard."""
 
+    def message(row: dict) -> pa.RecordBatch:
+        names, index, lengths = _opened(row)
+        learned = np.repeat(np.unpackbits(np.frombuffer(row["train"], np.uint8))[: len(lengths)], lengths)
+        kinds, times = [names], [np.bincount(index[learned > 0], minlength=len(names))]
+        for keys in n_grams(names[index], _firsts(lengths)):
+            both = np.sort(keys << _U(1) | learned)
+            keys = both >> _U(1)
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            kinds.append(keys[first])
+            times.append(np.add.reduceat((both & _U(1)).astype(np.int64), first))
+        sizes, low, high, n_bytes = code_keys(kinds, lows, shards)
+        kind, counts = by_kind(sizes), np.zeros(int(sizes.sum()), np.int64)
+        for i, x in enumerate(times):
+            counts[kind == i] = x
+        columns = [*(_cut(x, sizes[:, i] * lows[i]) for i, x in enumerate(low)), _cut(high, n_bytes), _cut(*code_groups(counts, sizes.sum(axis=1), 2))]
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(shards, dtype=np.int32)), pa.array(np.full(shards, row["chunk"], np.int64)), *columns], names=["shard", "chunk", *_SENT])
+
+    def send(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield message(batch.slice(i, 1).to_pylist()[0])
+                release_memory()
 
-def _messages(keys: np.ndarray, counts: np.ndarray, shards: int, bits: int) -> list[tuple[bytes, bytes]]:
-    at = _bounds(keys, shards, bits)
-    return [(pack_sorted(keys[a:b]), pack(counts[a:b])) for a, b in zip(at, at[1:], strict=False)]
+    return send
 
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    seen = c > 0
-    k, c = k[seen], c[seen]
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order].astype(np.int64)
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    return k[first], np.add.reduceat(c, first) if len(k) else c
+def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the sums of their counts, and which of them each key is."""
+    distinct, which = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64), which
 
 
 def _counts_of_counts(counts: np.ndarray) -> list[int]:
@@ -330,28 +446,40 @@ def _counts_of_counts(counts: np.ndarray) -> list[int]:
     return [*np.bincount(kind, minlength=_BINS)[:_BINS].tolist(), *np.bincount(kind, weights=counts, minlength=_BINS)[:_BINS].astype(int).tolist()]
 
 
-def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+def _answerer(shards: int, lows: tuple[int, ...]):
     """One shard: merge the counts, build the tries, answer each chunk's words, pairs and triples."""
-    words = [unpack_sorted(x) for x in pdf.words]
-    known, count = _merged(words, [unpack(x) for x in pdf.words_n])
-    exact = []
-    for w in words:
-        at = np.minimum(np.searchsorted(known, w), max(len(known) - 1, 0))
-        exact.append(pack(np.where(known[at] == w, count[at], 0) if len(known) else np.zeros(len(w), np.int64)))
-    codes, stats = [], [int(count.sum()), len(known), int((count == 1).sum())]
-    for name in ("pairs", "triples"):
-        keys = [unpack_sorted(x) for x in pdf[name]]
-        merged, times = _merged(keys, [unpack(x) for x in pdf[name + "_n"]])
-        merged, times = _by_context(merged[merged != 0]), times[merged != 0]
-        order = np.argsort(merged)
-        trie = Trie.build(merged[order], times[order])
-        codes.append([_squeeze(trie.lookup(_by_context(k)).tobytes()) for k in keys])
-        stats.append(len(merged))
-        if name == "pairs":
-            stats += _counts_of_counts(count) + _counts_of_counts(times)
-    release_memory()
-    out = [(chunk, int(pdf.shard.iloc[0]), *x, stats if i == 0 else None) for i, (chunk, *x) in enumerate(zip(pdf.chunk, exact, *codes, strict=True))]
-    return pd.DataFrame(out, columns=["chunk", "shard", "words", "pairs", "triples", "stats"])
+
+    def answer(sent: pa.Table) -> pa.Table:
+        shard = sent.column("shard")[0].as_py()
+        (*low, high, counts), n_bytes = zip(*(_joined(sent.column(x)) for x in _SENT), strict=True)
+        sizes = np.stack([n // x for n, x in zip(n_bytes, lows, strict=False)], axis=1)
+        keys = decode_keys(shard, sizes, low, high, n_bytes[3], lows, shards)
+        kind, times = by_kind(sizes), decode_groups(counts, n_bytes[4], sizes.sum(axis=1), 2)
+        out, stats, classes = np.zeros(len(kind), np.int64), [], []
+        for i in range(3):
+            distinct, total, which = _merged(keys[i], times[kind == i])
+            keys[i] = None
+            count = total[(total > 0) & (distinct != 0) if i else total > 0]
+            if i:
+                names = _by_context(distinct)
+                order = np.argsort(names)  # contexts in order are found faster
+                names, found = names[order], total[order]
+                seen = (found > 0) & (names != 0)
+                found[order] = Trie.build(names[seen], found[seen]).lookup(names)
+                stats.append(len(count))
+            else:
+                found = total
+                stats += [int(count.sum()), len(count), int((count == 1).sum())]
+            if i < 2:
+                classes += _counts_of_counts(count)
+            out[kind == i] = found[which]
+        stats = [*stats[:4], *classes, stats[4]]
+        data = _cut(*code_groups(out, sizes.sum(axis=1), 4))
+        release_memory()
+        first = [stats] + [None] * (len(sizes) - 1)
+        return pa.table({"chunk": sent.column("chunk"), "shard": sent.column("shard"), "codes": data, "stats": pa.array(first, pa.list_(pa.int64()))})
+
+    return answer
 
 
 def successor_power(numbers: list[int], sums: list[int], distinct: int) -> float:
@@ -367,41 +495,32 @@ def successor_power(numbers: list[int], sums: list[int], distinct: int) -> float
 def _scorer(shards: int, n: int, v: int, once: int, beta2: float, beta3: float, discount: float):
     unknown = max(once, 1) / (max(n, 1) + 1)
 
-    def gathered(keys: np.ndarray, bits: int, answers: list, expand) -> np.ndarray:
-        at, out = _bounds(keys, shards, bits), np.zeros(len(keys), np.int64)
-        for s, data in answers:
-            out[at[s] : at[s + 1]] = expand(data)
-        return out
-
-    def counted(keys: np.ndarray, answers: list) -> np.ndarray:
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        code = gathered(distinct, 60, answers, lambda x: np.frombuffer(_expand(x), "<u2"))
-        return BOOK[code][inverse]
-
     def mixed(seen: np.ndarray, context: np.ndarray, beta: float, lower: np.ndarray) -> np.ndarray:
         c = np.maximum(context, 1)
         back = np.where(context > 0, discount * c ** (beta - 1), 1.0)
         return (1 - back) * np.minimum(seen / c, 1.0) + back * lower
 
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        frames = []
-        for row in left.itertuples():
-            names, index, lengths = unpack_sorted(row.words), unpack(row.stream).astype(np.int64), unpack(row.lengths).astype(np.int64)
-            first = _firsts(lengths)
-            count = gathered(names, 64, list(zip(right.shard, right.words, strict=True)), unpack)
-            pairs, triples = n_grams(names[index], first)
-            c_w, c_uw = count[index], counted(pairs, list(zip(right.shard, right.pairs, strict=True)))
-            c_tuw = counted(triples, list(zip(right.shard, right.triples, strict=True)))
-            c_u, c_tu = np.append(0, c_w[:-1]), np.append(0, c_uw[:-1])
-            c_u[first] = count[np.searchsorted(names, END)]
-            p = np.where(c_w > 0, (1 - unknown) * c_w / max(n, 1), unknown)
-            p = mixed(c_uw, c_u, beta2, p)
-            c_tu[first] = 0
-            p = mixed(c_tuw, c_tu, beta3, p)
-            base = np.log10((c_w + 1) / (n + v + 1))
-            frames.append(pd.DataFrame({"doc_id": pd.array(row.ids, "Int64"), "n_tokens": lengths, "n_known": np.add.reduceat((c_w > 0).astype(np.int64), first), "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(np.log10(p), first)}))
+    def scored(row: dict, right: pa.Table) -> pa.Table:
+        names, index, lengths = _opened(row)
+        first = _firsts(lengths)
+        pairs, triples = (np.unique(keys, return_inverse=True) for keys in n_grams(names[index], first))
+        sizes = np.stack([np.diff(_bounds(keys, shards, bits)) for keys, bits in zip((names, pairs[0], triples[0]), _BITS, strict=True)], axis=1)
+        kind, codes = by_kind(sizes), decode_groups(*_joined(right.take(np.argsort(right.column("shard"))).column("codes")), sizes.sum(axis=1), 4)
+        count = codes[kind == 0]
+        c_w, c_uw, c_tuw = count[index], BOOK[codes[kind == 1]][pairs[1]], BOOK[codes[kind == 2]][triples[1]]
+        c_u, c_tu = np.append(0, c_w[:-1]), np.append(0, c_uw[:-1])
+        c_u[first] = count[np.searchsorted(names, END)]
+        p = np.where(c_w > 0, (1 - unknown) * c_w / max(n, 1), unknown)
+        p = mixed(c_uw, c_u, beta2, p)
+        c_tu[first] = 0
+        p = mixed(c_tuw, c_tu, beta3, p)
+        base = np.log10((c_w + 1) / (n + v + 1))
+        return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "n_tokens": lengths, "n_known": np.add.reduceat((c_w > 0).astype(np.int64), first), "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(np.log10(p), first)})
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = pa.concat_tables(scored(row, right) for row in left.to_pylist())
         release_memory()
-        return pd.concat(frames) if frames else pd.DataFrame(columns=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        return out
 
     return score
 
@@ -415,14 +534,15 @@ def lm_score(docs: DataFrame, held_out, *, chunk_words: int = 1_000_000, shard_t
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(~held_out, F.lit(False)).alias("train"), F.col("text").cast("string").alias("text"))
     chunks = store(slim.mapInArrow(_chunker(chunk_words), _CHUNK))
-    total = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    shards = max(4, -(-total // shard_tokens))
-    sent = chunks.select("chunk", "train", "lengths", "words", "stream").mapInPandas(_sender(shards), f"shard int, chunk long, {', '.join(f'{x} binary' for x in _SENT)}")
-    answers = store(sent.groupBy("shard").applyInPandas(_answer, "chunk long, shard int, words binary, pairs binary, triples binary, stats array<long>"))
+    total, a_chunk, names = chunks.agg(*(F.coalesce(x, F.lit(0)) for x in (F.sum("n_tokens"), F.avg("n_tokens"), F.avg("n_words")))).first()
+    shards = 1 << (max(4, -(-total // shard_tokens)) - 1).bit_length()
+    lows = tuple(low_bytes(bits, x, shards) for bits, x in zip(_BITS, (names, a_chunk, a_chunk), strict=True))
+    sent = chunks.select("chunk", "train", "lengths", "words", "stream").mapInArrow(_sender(shards, lows), f"shard int, chunk long, {', '.join(f'{x} binary' for x in _SENT)}")
+    answers = store(sent.groupBy("shard").applyInArrow(_answerer(shards, lows), "chunk long, shard int, codes binary, stats array<long>"))
     totals = {r.pos: r.x for r in answers.select(F.posexplode("stats").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x")).collect()}
     n, v, once, n_pairs, *rest = (totals.get(i, 0) for i in range(5 + 4 * _BINS))
     *classes, n_triples = rest
     one, one_sum, two, two_sum = (classes[i * _BINS : (i + 1) * _BINS] for i in range(4))
     score = _scorer(shards, n, v, once, successor_power(one, one_sum, n_pairs), successor_power(two, two_sum, n_triples), discount)
-    scored = chunks.select("chunk", "ids", "lengths", "words", "stream").groupBy("chunk").cogroup(answers.drop("stats").groupBy("chunk")).applyInPandas(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    scored = chunks.select("chunk", "ids", "lengths", "words", "stream").groupBy("chunk").cogroup(answers.drop("stats").groupBy("chunk")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

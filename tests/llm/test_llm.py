@@ -4,10 +4,13 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +194,50 @@ def test_lm_does_not_depend_on_layout(spark):
     assert sum(x[1] for x in tested) > sum(x[0] for x in tested)
 
 
+def test_lm_work_does_not_grow_with_messages(monkeypatch):
+    """op3: each of chunks times shards messages used to be coded, looked up and answered by itself."""
+    rng, text = np.random.default_rng(5), pa.array([" ".join(f"w{x}" for x in range(i, i + 500)) for i in range(0, 4000, 50)])
+    docs = pa.RecordBatch.from_arrays([pa.array(rng.permutation(len(text))), pa.array([i % 7 != 2 for i in range(len(text))]), text], names=["doc_id", "train", "text"])
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 3))
+    chunks = [c for part in range(0, len(text), 8) for c in ngram_lm._chunker(10**6)([docs.slice(part, 8)])]
+    chunks = [c.set_column(0, "chunk", pa.array([i])) for i, c in enumerate(chunks)]
+
+    def calls(work):
+        seen = Counter()
+        sys.setprofile(lambda frame, event, arg: seen.update([event]))
+        try:
+            out = work()
+        finally:
+            sys.setprofile(None)
+        return out, seen["call"] + seen["c_call"]
+
+    sent, of_shards = zip(*(calls(lambda n=n: next(iter(ngram_lm._sender(n, (6, 5, 5))(chunks[:1])))) for n in (4, 4096)), strict=True)
+    assert [x.num_rows for x in sent] == [4, 4096] and of_shards[1] < 1.1 * of_shards[0]
+    answer = ngram_lm._answerer(4, (6, 5, 5))
+    messages = pa.Table.from_batches(ngram_lm._sender(4, (6, 5, 5))(chunks))
+    messages = messages.take(np.flatnonzero(np.asarray(messages.column("shard")) == 2))
+    assert len(messages) == len(chunks) == 10
+    (few, of_few), (many, of_many) = calls(lambda: answer(messages.slice(0, 1))), calls(lambda: answer(messages))
+    assert (len(few), len(many)) == (1, 10) and of_many < 1.5 * of_few
+
+
+def test_lm_messages_are_lossless():
+    rng = np.random.default_rng(6)
+    for unit in (2, 4):
+        sizes = np.array([0, 3, 0, 4000, 1, 0, 77, 0])
+        values = rng.integers(0, 1 << rng.integers(0, 45, sizes.sum()))
+        data, n_bytes = ngram_lm.code_groups(values, sizes, unit)
+        assert len(data) == n_bytes.sum() and (ngram_lm.decode_groups(data, n_bytes, sizes, unit) == values).all()
+    for shards, n in ((4, 0), (4, 9), (64, 3000), (4096, 30_000)):
+        kinds = [np.unique(np.append(rng.integers(0, 1 << 62, n).astype(np.uint64) << np.uint64(2) >> np.uint64(64 - bits), np.array([0, (1 << bits) - 1], np.uint64)[: 2 * bool(n)])) for bits in (64, 60, 60)]
+        lows = tuple(ngram_lm.low_bytes(bits, n, shards) for bits in (64, 60, 60))
+        sizes, low, high, n_bytes = ngram_lm.code_keys(kinds, lows, shards)
+        ends = np.vstack([np.zeros(3, int), np.cumsum(sizes, axis=0)]) * np.array(lows)
+        edges = np.append(0, np.cumsum(n_bytes))
+        got = [ngram_lm.decode_keys(s, sizes[s : s + 1], [x[ends[s, i] : ends[s + 1, i]] for i, x in enumerate(low)], high[edges[s] : edges[s + 1]], n_bytes[s : s + 1], lows, shards) for s in range(shards)]
+        assert all((np.concatenate([g[i] for g in got]) == kinds[i]).all() for i in range(3))
+
+
 def test_trie_finds_all_and_nothing_else(tmp_path):
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(0, 50, 4000).astype(np.uint64) << np.uint64(32) | rng.integers(0, 1 << 32, 4000).astype(np.uint64))
